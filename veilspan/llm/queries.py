@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe, token_counts
 from .common import read
 from .substring_dedup import dedup_substrings
 
@@ -12,18 +13,28 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(read(spark, sf_dir, "documents"), window=50, texts=False)
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), limit=2048)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_bpe": op2_bpe,
+    "op5_token_counts": op5_token_counts,
 }
 
 _OP1 = r"""
-WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50),
 grams AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + 49], ' ')) AS g FROM starts),
 firsts AS (SELECT g, min(doc_id) AS lo FROM grams GROUP BY g HAVING min(doc_id) < max(doc_id)),
 hits AS (SELECT DISTINCT doc_id, i FROM grams JOIN firsts USING (g) WHERE lo < doc_id),
 gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM hits) GROUP BY doc_id),
-kept AS (SELECT w.doc_id, len(ws) AS n, CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, (x, i) -> NOT list_contains(ps, i)) END AS k FROM w LEFT JOIN gone USING (doc_id))
+kept AS (SELECT w.doc_id, len(ws) AS n, CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END AS k FROM w LEFT JOIN gone USING (doc_id))
 SELECT doc_id, n::BIGINT AS n_words, (n - len(k))::BIGINT AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
 """
 
