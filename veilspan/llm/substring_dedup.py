@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, cut, signed, sliding_min
+from .common import Words, block_of, chunks, cut, packed_blocks, signed, sliding_min, unpacked
 
 PATHS = "doc long, start int, edges int, anchor long, h1 long, h2 long"
 _PATHS = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("edges", pa.int32()), ("anchor", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
@@ -62,37 +62,58 @@ def _paths(window: int, anchor: int):
     return run
 
 
+class _At:
+    """The rows of a table of coordinates (doc, start, edges, h1), by document."""
+
+    def __init__(self, rows: pa.Table, window: int):
+        doc, self.start, edges, self.h1 = (rows.column(c).to_numpy() for c in ("doc", "start", "edges", "h1"))
+        order = np.argsort(doc, kind="stable")
+        self.doc, self.start, self.size, self.h1 = doc[order], self.start[order], (edges + window - 1)[order], self.h1[order]
+
+    def of(self, doc: int | None, base: int, n: int, lane, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, number of words) of a document's rows, if the words there have the row's hash.
+
+        The document has ``n`` words, from ``base`` on in ``sums``.
+        """
+        a, b = (np.searchsorted(self.doc, doc, side) for side in ("left", "right")) if doc is not None else (0, 0)
+        start, size, h1 = self.start[a:b], self.size[a:b], self.h1[a:b]
+        inside = start + size <= n
+        start, size, h1 = start[inside], size[inside], h1[inside]
+        same = signed(lane.ranges(sums, base + start, base + start + size)) == h1
+        return start[same], size[same]
+
+
 def _expand(window: int):
-    """Rows (doc_id, text, paths) to their single edges, verified against the paths' hashes."""
+    """The single edges of the paths asked for in a block's documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, asked = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("paths")
+    def run(texts: pa.Table, asked: pa.Table) -> pa.Table:
+        found, at = [_EDGES.empty_table()], _At(asked, window)
+        for batch in unpacked(texts.column("piece")) if len(asked) else ():
+            ids = batch.column("doc_id").to_pylist()
             for a, b, buf, offsets in chunks(batch.column("text")):
+                rows = [row for row in range(a, b) if ids[row] is not None and (k := np.searchsorted(at.doc, ids[row])) < len(at.doc) and at.doc[k] == ids[row]]
+                if not rows:
+                    continue
                 w = Words(buf, offsets)
                 (lane, sums), (lane2, sums2) = w.sequence(0), w.sequence(1)
-                found = []
-                for row in range(a, b):
-                    part = asked[row].values.flatten()
-                    start, edges, h1 = (x.to_numpy(zero_copy_only=False) for x in part)
-                    base, n = w.first[row - a], w.counts[row - a]
-                    ok = start + edges + window - 1 <= n
-                    start, edges, h1 = start[ok] + base, edges[ok], h1[ok]
-                    same = signed(lane.ranges(sums, start, start + edges + window - 1)) == h1
-                    start, edges = start[same], edges[same]
+                for row in rows:
+                    base = w.first[row - a]
+                    start, size = at.of(ids[row], base, w.counts[row - a], lane, sums)
+                    edges = size - window + 1
                     each = np.repeat(start - np.append(0, np.cumsum(edges)[:-1]), edges) + np.arange(edges.sum())
-                    found.append((np.full(len(each), ids[row], np.int64), each - base, each))
-                doc, start, at = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.record_batch([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(signed(lane.ranges(sums, at, at + window))), pa.array(signed(lane2.ranges(sums2, at, at + window)))], schema=_EDGES)
+                    i = base + each
+                    found.append(pa.table([pa.array(np.full(len(each), ids[row], np.int64)), pa.array(each.astype(np.int32)), *(pa.array(signed(x.ranges(y, i, i + window))) for x, y in ((lane, sums), (lane2, sums2)))], schema=_EDGES))
+        return pa.concat_tables(found)
 
     return run
 
 
-def repeated_paths(docs: DataFrame, window: int = 50, anchor: int = 12) -> DataFrame:
+def repeated_paths(docs: DataFrame, packed: DataFrame, blocks: int, window: int = 50, anchor: int = 12) -> DataFrame:
     """(doc, start, edges, h1): the windows of each document that also start in one with a smaller id.
 
     ``start`` is the first window's first word, ``edges`` the number of consecutive windows, ``h1`` the
-    hash of their words. Rows with a null doc_id or text are neither sources nor targets.
+    hash of their words. Rows with a null doc_id or text are neither sources nor targets. ``packed`` and
+    ``blocks`` are the same documents as ``packed_blocks`` gives them.
     """
     if not 0 < anchor <= window:
         raise ValueError("anchor must be between 1 and window")
@@ -112,54 +133,53 @@ def repeated_paths(docs: DataFrame, window: int = 50, anchor: int = 12) -> DataF
     source = branching.groupBy("h1", "h2").agg(F.min("doc").alias("source"))
     branching = branching.join(source, ["h1", "h2"])
     copies = branching.where("doc > source").select("doc", "start", "edges", "h1")
-    asked = branching.where("doc = source").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("start", "edges", "h1")).alias("paths"))
-    edges = cut(docs.join(asked, "doc_id").mapInArrow(_expand(window), EDGES).distinct())
+    asked = branching.where("doc = source").select("doc", "start", "edges", "h1").withColumn("block", _block(blocks))
+    edges = packed.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_expand(window), EDGES)
+    edges = edges.repartition("h1", "h2")  # the aggregation and the join below share this exchange
     first = edges.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
     single = edges.join(first, ["h1", "h2"]).where("doc > lo").select("doc", "start", F.lit(1).alias("edges"), "h1")
     return straight.unionByName(copies).unionByName(single)
 
 
+def _block(blocks: int):
+    return block_of(F.col("doc"), F.lit(0).cast("long"), blocks)
+
+
 def _apply(window: int, texts: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rest = batch.drop_columns(["text", "paths"])
-            texts_in, asked = batch.column("text"), batch.column("paths")
-            words, removed, digest, kept_text, spans = [], [], [], [], []
-            for a, b, buf, offsets in chunks(texts_in):
+    def run(pieces: pa.Table, spans: pa.Table) -> pa.Table:
+        at, keys = _At(spans, window), []
+        words, removed, digest, kept_text, gone_spans = [], [], [], [], []
+        for batch in unpacked(pieces.column("piece")):
+            ids = batch.column("doc_id").to_pylist()
+            keys += ids
+            for a, b, buf, offsets in chunks(batch.column("text")):
                 w = Words(buf, offsets)
                 lane, sums = w.sequence(0)
                 data = buf.tobytes()
                 for row in range(a, b):
                     base, n = w.first[row - a], int(w.counts[row - a])
-                    own = data[offsets[row - a] : offsets[row - a + 1]].split()
-                    out, runs = own, []
-                    if asked[row].is_valid and n:
-                        start, edges, h1 = (x.to_numpy(zero_copy_only=False) for x in asked[row].values.flatten())
-                        size = edges + window - 1
-                        ok = start + size <= n
-                        start, size, h1 = start[ok], size[ok], h1[ok]
-                        same = signed(lane.ranges(sums, base + start, base + start + size)) == h1
+                    out = data[offsets[row - a] : offsets[row - a + 1]].split()
+                    start, size = at.of(ids[row], base, n, lane, sums)
+                    runs = []
+                    if len(start):
                         change = np.zeros(n + 1, np.int64)
-                        np.add.at(change, start[same], 1)
-                        np.add.at(change, start[same] + size[same], -1)
+                        np.add.at(change, start, 1)
+                        np.add.at(change, start + size, -1)
                         gone = np.cumsum(change[:-1]) > 0
-                        out = [own[i] for i in np.flatnonzero(~gone)]
-                        if texts:
-                            turn = np.flatnonzero(np.diff(np.concatenate(([0], gone, [0])).astype(np.int8)))
-                            runs = [{"start": int(x), "end": int(y)} for x, y in turn.reshape(-1, 2)]
+                        out = [out[i] for i in np.flatnonzero(~gone)]
+                        turn = np.flatnonzero(np.diff(np.concatenate(([0], gone, [0])).astype(np.int8)))
+                        runs = [{"start": int(x), "end": int(y)} for x, y in turn.reshape(-1, 2)]
                     kept = b" ".join(out)
                     words.append(n)
                     removed.append(n - len(out))
                     digest.append(hashlib.sha256(kept).hexdigest())
                     if texts:
                         kept_text.append(kept.decode())
-                        spans.append(runs)
-            more = [pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())]
-            names = ["n_words", "n_removed", "kept_sha256"]
-            if texts:
-                more += [pa.array(kept_text, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
-                names += ["kept_text", "removed_spans"]
-            yield pa.RecordBatch.from_arrays([*rest.columns, *more], names=[*rest.schema.names, *names])
+                        gone_spans.append(runs)
+        out = {"doc_id": pa.array(keys, pa.int64()), "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
+        if texts:
+            out |= {"kept_text": pa.array(kept_text, pa.string()), "removed_spans": pa.array(gone_spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
+        return pa.table(out)
 
     return run
 
@@ -170,10 +190,11 @@ def dedup_substrings(docs: DataFrame, window: int = 50, anchor: int = 12, texts:
     Returns doc_id, n_words, n_removed, kept_sha256 and, with ``texts``, kept_text (kept words joined by
     a space) and removed_spans (glued spans in words, end exclusive). Other input columns are not
     read. A null text has no words; a row with a null doc_id keeps all its words; rows that share a
-    doc_id are one document, and each loses the spans found at its own coordinates. An empty table gives an empty result.
+    doc_id are one document, and each loses the spans found at its own coordinates. An empty table
+    gives an empty result.
     """
-    spans = repeated_paths(docs, window, anchor).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "edges", "h1")).alias("paths"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    packed, blocks = packed_blocks(docs)
+    spans = repeated_paths(docs, packed, blocks, window, anchor).withColumn("block", _block(blocks))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     schema += ", kept_text string, removed_spans array<struct<start: int, end: int>>" * texts
-    return docs.join(spans, "doc_id", "left").mapInArrow(_apply(window, texts), schema)
+    return packed.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_apply(window, texts), schema)
