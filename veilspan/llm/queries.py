@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe, token_counts
 from .common import read
 from .minhash import near_duplicates
+from .secrets import secret_digests
 from .substring_dedup import dedup_substrings
 
 
@@ -26,11 +27,16 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe": op2_bpe,
     "op5_token_counts": op5_token_counts,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 _OP1 = r"""
@@ -56,7 +62,42 @@ comp AS (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x)
 SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept FROM comp LEFT JOIN n USING (doc_id)
 """
 
+_ANY_CASE = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in x) for x in ("password", "passwd", "secret", "token", "api_?key"))
+_SECRETS = [
+    ("assign", f"(?:{_ANY_CASE})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", "length(regexp_extract(m, '{pattern}', 1)) >= 6"),
+    ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"),
+    ("hex", "[0-9a-f]+", "length(m) >= 24"),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", "true"),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", "true"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", "true"),
+    ("private_key", "-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----", "true"),
+]
+
+
+def _secret_sql(rank: int, kind: str, pattern: str, keep: str) -> str:
+    pattern = pattern.replace("'", "''")
+    keep = keep.format(pattern=pattern)
+    return f"""
+SELECT doc_id, {rank} AS rank, '{kind}' AS kind, s, s + length(m) AS e FROM (
+  SELECT doc_id, ms[i] AS m, list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s
+  FROM (SELECT doc_id, ps, ms, unnest(range(1, len(ms) + 1)) AS i FROM (
+    SELECT doc_id, string_split_regex(text, '{pattern}') AS ps, regexp_extract_all(text, '{pattern}') AS ms FROM documents WHERE text IS NOT NULL))
+) WHERE {keep}"""
+
+
+_OP10 = (
+    "WITH found AS ("
+    + " UNION ALL ".join(_secret_sql(k, *x) for k, x in enumerate(_SECRETS))
+    + """),
+text AS (SELECT doc_id, rank, s, kind || ':' || s::BIGINT || ':' || e::BIGINT AS t FROM found),
+agg AS (SELECT doc_id, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS b, count(*) FILTER (rank = 2) AS c,
+  string_agg(t, ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg(t, ',' ORDER BY s, rank) AS spans FROM text GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN agg USING (doc_id)"""
+)
+
 ORACLE_SQL = {
+    "op10_secret_scan": _OP10,
     "op6_minhash_near_dedup": _OP6,
     "op1_substring_dedup": _OP1,
 }
