@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe, token_counts
 from .common import read
 from .minhash import near_duplicates
+from .mixing import mixture
 from .secrets import secret_digests
 from .substring_dedup import dedup_substrings
 
@@ -31,9 +32,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(read(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe": op2_bpe,
+    "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op10_secret_scan": op10_secret_scan,
