@@ -126,6 +126,12 @@ class Words:
         sums = _BYTES[lane].prefix(_BYTE_CODES[lane][self.buf])
         return _BYTES[lane].ranges(sums, self.start, self.end)
 
+    def heads(self, size: int) -> np.ndarray:
+        """Hashes of the first ``size`` bytes of each word; 0 for words that are not longer."""
+        sums = _BYTES[0].prefix(_BYTE_CODES[0][self.buf])
+        long = self.end - self.start > size
+        return np.where(long, _BYTES[0].ranges(sums, self.start, np.minimum(self.start + size, self.end)) ^ np.uint64(size), np.uint64(0))
+
     def sequence(self, lane: int = 0, hashes: np.ndarray | None = None) -> tuple[Rolling, np.ndarray]:
         """Prefix sums over the word hashes, for the hashes of word ranges."""
         return _WORDS[lane], _WORDS[lane].prefix(self.hashes(lane) if hashes is None else hashes)
