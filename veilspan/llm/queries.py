@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, token_counts
+from . import ann, bpe, token_counts
 from .common import read
+from .language_id import document_languages, page_languages
 from .minhash import near_duplicates
 from .mixing import mixture
 from .quality import quality
@@ -46,12 +48,27 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("passages")
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_languages(read(spark, sf_dir, "documents"))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_languages(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe": op2_bpe,
+    "op3_language_id": op3_language_id,
+    "language_id_pages": language_id_pages,
     "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_ann": op7_ann,
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
     "op10_secret_scan": op10_secret_scan,
