@@ -87,9 +87,9 @@ def splitting_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
 
 
 def mixed(
-    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, depth: int = 4, seed: int = 20240607, block_rows: int = BLOCK_ROWS
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, depth: int = 4, seed: int = 20240607, block_rows: int = BLOCK_ROWS, columns: list[str] | None = None
 ) -> DataFrame:
-    """The rows of ``docs`` as a struct ``row``, with size, source_size, target, copies, taken and shards.
+    """The named columns of ``docs`` (all, if none are named) as a struct ``row``, with size, source_size, target, copies, taken and shards.
 
     Sources in code point order, null last, get ``weights`` in turn and together ``share`` times all words; no
     target is above ``cap`` (a whole number) times its source's size. ``copies`` is how often the mix takes the row, at most ``cap``
@@ -97,12 +97,12 @@ def mixed(
     document of its target. A null text has size 0; a null source is a source; null ids are dealt like any others;
     rows equal in doc_id and text are taken or left together. An empty table gives an empty result.
     """
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in columns or docs.columns))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.xxhash64(F.lit(seed), "doc_id", "text")
-    rows = docs.select(row.alias("row"), F.col("source"), size.alias("size"), key.alias("key"))
-    # what the plan needs of a row, so that sources and blocks are counted without the texts
-    slim = rows.select("source", "size", "key")
+    rows = docs.select(row.alias("row"), F.xxhash64("source").alias("id"), key.alias("key"))
+    # what the plan needs of a row; texts meet the plan in one join at the end
+    slim = cut(docs.select("source", size.alias("size"), key.alias("key")))
     sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy())
     each = F.greatest(F.lit(block_rows).cast("long"), F.ceil(total / _MOST_BLOCKS))
@@ -138,16 +138,17 @@ def mixed(
     within = F.sum("words").over(Window.partitionBy("id", "block").orderBy("key"))
     edge = edge.withColumn("middle", F.col("start") + within - F.col("words") / 2).where("middle <= rest").select("id", "block", "key", F.lit(True).alias("chosen"))
 
-    here = rows.join(sources, same(rows)).select("row", "size", "key", "source_size", "target", "full", "id", block.alias("block"))
+    here = slim.join(sources, same(slim)).select("size", "key", "source_size", "target", "full", "id", block.alias("block"))
     here = here.join(blocks.drop("start"), ["id", "block"]).join(edge, ["id", "block", "key"], "left")
     copies = (F.col("full") + F.when(F.col("prefix") == 2, 1).when(F.col("chosen"), 1).otherwise(0)).cast("int")
-    out = here.select("row", "size", "source_size", "target", copies.alias("copies"), "in_shards")
+    here = here.select("id", "key", "size", "source_size", "target", copies.alias("copies"), "in_shards").dropDuplicates(["id", "key"])
+    out = rows.join(here, ["id", "key"])
     return out.select("row", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), F.slice("in_shards", 1, "copies").alias("shards"))
 
 
 def mixture(docs: DataFrame, **parameters) -> DataFrame:
     """(doc_id, size, source_size, target, taken, shards) of every row."""
-    return mixed(docs, **parameters).select("row.doc_id", "size", "source_size", "target", "taken", "shards")
+    return mixed(docs, columns=["doc_id"], **parameters).select("row.doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def shuffled(docs: DataFrame, seed: int = 20240607, **parameters) -> DataFrame:
