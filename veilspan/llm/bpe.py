@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import BLOCK_BYTES, packed_blocks, unpacked
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-#: Distinct-word lists of a block are dealt into this many shares for each block that there is, at least 16.
-SHARES_PER_BLOCK = 2
+#: A block's distinct words are dealt into a share for every so many blocks, and 16 at least.
+BLOCKS_PER_SHARE = 2
 _BATCH = 4096
 
 
@@ -88,7 +88,7 @@ def _encode_words(path: str):
     return run
 
 
-def _fill(shares: int):
+def _fill(shares: int, decoded: str | None):
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         """Join the ids of a block's distinct words to its texts by position."""
         expand, ids = zstandard.ZstdDecompressor().decompress, {}
@@ -100,27 +100,34 @@ def _fill(shares: int):
             for word, end in zip(words, ends.tolist(), strict=True):
                 ids[word] = data[at:end]
                 at = end
-        keys, out = [], []
+        del lists
+        keys, out, back = [], [], []
         for batch in unpacked(texts.column("piece")):
+            mine = [b"".join(map(ids.__getitem__, text.as_buffer().to_pybytes().split())) for text in batch.column("text")]
             keys.append(batch.column("doc_id"))
-            out += [b"".join(map(ids.__getitem__, text.as_buffer().to_pybytes().split())) for text in batch.column("text")]
-        return pa.table({"doc_id": pa.chunked_array(keys, pa.int64()), "ids": pa.array(out, pa.large_binary()).cast(pa.binary())})
+            out.append(pa.array(mine, pa.binary()))
+            if decoded:
+                back.append(pa.array([_decoded(x, pieces(decoded)) for x in mine], pa.string()))
+        columns = {"doc_id": pa.chunked_array(keys, pa.int64()), "ids": pa.chunked_array(out, pa.binary())}
+        return pa.table(columns | ({"decoded": pa.chunked_array(back, pa.string())} if decoded else {}))
 
     return run
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, path: str = VOCABULARY, block_bytes: int = BLOCK_BYTES, back: bool = False) -> DataFrame:
     """(doc_id, ids): each row's token ids as little-endian unsigned 32-bit integers in a binary column.
 
     The ids are those that the tokenizers library gives the whole text without added special tokens;
     special tokens' strings inside a text become their ids. A null or empty text has no ids, a null
-    doc_id stays, repeated rows stay repeated, other columns are not read.
+    doc_id stays, repeated rows stay repeated, other columns are not read. With ``back``, ``decoded`` has what
+    ``decode`` makes of the ids, in the task that has them.
     """
     packed, blocks = packed_blocks(docs, block_bytes)
-    shares = max(16, SHARES_PER_BLOCK * blocks)
+    shares = max(16, blocks // BLOCKS_PER_SHARE)
     lists = packed.groupBy("block").applyInArrow(_lists(shares), "block int, share int, words binary")
     found = lists.groupBy("share").applyInArrow(_encode_words(path), "block int, share int, ids binary")
-    return packed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_fill(shares), "doc_id long, ids binary")
+    schema = "doc_id long, ids binary" + ", decoded string" * back
+    return packed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_fill(shares, path if back else None), schema)
 
 
 @functools.lru_cache(4)
@@ -134,6 +141,12 @@ def pieces(path: str) -> np.ndarray:
     return out
 
 
+def _decoded(ids, table: np.ndarray) -> str:
+    x = np.frombuffer(ids, "<u4")
+    found = table[x[x < len(table)]].tolist()
+    return " ".join([p for p in found if p is not None] if None in found else found)
+
+
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """Add ``decoded``: the pieces of ``ids`` joined by a space, as the library's decode without a decoder
     step gives them, special tokens included.
@@ -143,12 +156,8 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(path)
-        for batch in batches:
-            out = []
-            for ids in batch.column("ids"):
-                x = np.frombuffer(ids.as_buffer(), "<u4") if ids.is_valid else np.zeros(0, np.uint32)
-                found = table[x[x < len(table)]].tolist()
-                out.append(" ".join([p for p in found if p is not None] if None in found else found))
+        for batch in (x.slice(k, 512) for x in batches for k in range(0, x.num_rows, 512)):
+            out = [_decoded(ids.as_buffer() if ids.is_valid else b"", table) for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in encoded.schema)
@@ -157,7 +166,7 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 def encode_decode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids, decoded) of every row."""
-    return decode(encode(docs, path), path)
+    return encode(docs, path, back=True)
 
 
 def digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:

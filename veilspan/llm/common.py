@@ -169,7 +169,8 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 #: Bytes of text in a block of documents; a task holds a block's texts together.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
+_PACKED_ROWS = 4096
 _TEXTS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
 
@@ -190,7 +191,7 @@ def packed_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for batch in batches:
+        for batch in (x.slice(k, _PACKED_ROWS) for x in batches for k in range(0, x.num_rows, _PACKED_ROWS)):
             block = batch.column("block").to_numpy(zero_copy_only=False)
             order = np.argsort(block, kind="stable")
             rows = pa.record_batch([batch.column("doc_id"), batch.column("text").fill_null("")], schema=_TEXTS).take(pa.array(order))
