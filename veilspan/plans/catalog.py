@@ -2,5 +2,585 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.entity import ENTITIES, entity, replaced
+from ..functions.types import ALIASES, CANONICAL, DETECTOR_TYPES, canonical_type, display_name, normalize_type
+from ..operators import evaluate, prepare
+from ..operators.anonymize import Anonymizer, decrypted, encrypted, hashed, mask, pseudonymize, redact, restore, synthetic
+from ..operators.detect import Registry, at_least, batch_statistics, detect, exploded, type_distribution
+from ..operators.recognizers import HYBRID, Recognizer
+from ..operators.refine import drop_false_positives, merge_adjacent_rows, merge_overlapping, refine, resolve, resolve_rows, validate_context
+from ..operators.rules import structured_entities
+from ..operators.model import conversation_text, source_turn
+from ..operators.tables import PRIORITIES
+from ..functions.spans import find_spans
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents")
+
+
+def _found(spark: SparkSession, sf_dir: str, types: list[str] | None = None) -> DataFrame:
+    return detect(_docs(spark, sf_dir).select("doc_id", "text"), Registry.default(), entity_types=types)
+
+
+def _canonical(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("entities", F.transform("entities", lambda e: replaced(e, entity_type=canonical_type(e["entity_type"]))))
+
+
+_SPAN = ("entity_type", "value", "start_pos", "end_pos")
+
+
+def _long(*names: str) -> list[Column]:
+    return [F.col(n).cast("long").alias(n) if n.endswith("_pos") else F.col(n) for n in names]
+
+
+def _meta(*names: str) -> list[Column]:
+    return [F.col("metadata")[n].alias(n) for n in names]
+
+
+_CONFIDENCE = F.round("confidence", 6).alias("confidence")
+
+# ---- SQL parts -------------------------------------------------------------
+
+
+def _spans(table: str, key: str, text: str, pattern: str) -> str:
+    """(key, text, value, s, e) of every match of an RE2 pattern."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT {key}, text, v AS value, s::BIGINT AS s, (s + length(v))::BIGINT AS e FROM (
+  SELECT {key}, text, ms[i] AS v, list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s
+  FROM (SELECT {key}, text, ps, ms, unnest(range(1, len(ms) + 1)) AS i FROM (
+    SELECT {key}, {text} AS text, string_split_regex({text}, '{p}') AS ps, regexp_extract_all({text}, '{p}') AS ms FROM {table})))"""
+
+
+def _luhn_sql(v: str) -> str:
+    d = f"TRY_CAST(substr({v}, length({v}) + 1 - i, 1) AS INTEGER)"
+    return f"(list_sum(list_transform(range(1, length({v}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {d} WHEN {d} > 4 THEN 2 * {d} - 9 ELSE 2 * {d} END)) % 10 = 0)"
+
+
+_EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+_IP = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
+_EMAIL_OK = "(len(string_split(value, '@')) = 2 AND split_part(value, '@', 2) LIKE '%.%' AND left(split_part(value, '@', 2), 1) <> '.' AND right(value, 1) <> '.')"
+_IP_OK = "(list_aggregate(list_transform(string_split(value, '.'), lambda x: CAST(x AS INTEGER)), 'max') <= 255)"
+_BANK_OK, _CARD_OK = _luhn_sql("value"), _luhn_sql("value")
+
+
+def _typed(kind: str, rank: int, pattern: str, confidence: str, table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    return f"SELECT {key}, text, '{kind}' AS entity_type, {rank} AS rank, value, s, e, {confidence} AS confidence FROM ({_spans(table, key, text, pattern)})"
+
+
+_DETECTED = {
+    "CHINA_PHONE": _typed("CHINA_PHONE", 1, "1[3-9][0-9]{9}", "0.8::DOUBLE"),
+    "CHINA_BANK_CARD": _typed("CHINA_BANK_CARD", 2, r"\b[1-9][0-9]{15,18}\b", f"CASE WHEN {_BANK_OK} THEN 0.85::DOUBLE + 0.05::DOUBLE ELSE 0.85::DOUBLE * 0.7::DOUBLE END"),
+    "EMAIL": _typed("EMAIL", 4, _EMAIL, f"CASE WHEN {_EMAIL_OK} THEN 0.8::DOUBLE ELSE 0.8::DOUBLE * 0.7::DOUBLE END"),
+    "IP_ADDRESS": _typed("IP_ADDRESS", 5, _IP, f"CASE WHEN {_IP_OK} THEN 0.85::DOUBLE ELSE 0.85::DOUBLE * 0.7::DOUBLE END"),
+    "CREDIT_CARD": _typed("CREDIT_CARD", 7, r"\b[0-9]{13,19}\b", f"CASE WHEN {_CARD_OK} THEN 0.85::DOUBLE + 0.05::DOUBLE ELSE 0.85::DOUBLE * 0.7::DOUBLE END"),
+}
+_TYPES = list(_DETECTED)
+_ENT = "ent AS (" + "\nUNION ALL ".join(_DETECTED.values()) + ")"
+_TO_CANON = "CASE entity_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in DETECTOR_TYPES.items()) + " ELSE entity_type END"
+_PRIORITY = "CASE t " + " ".join(f"WHEN '{a}' THEN {b}" for a, b in PRIORITIES.items()) + " ELSE 0 END"
+_CANON = f"{_ENT}, canon AS (SELECT doc_id, text, {_TO_CANON} AS t, rank, value, s, e, confidence FROM ent)"
+_RUNS = f"""{_CANON},
+marked AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM canon),
+runs AS (SELECT *, sum(CASE WHEN m IS NULL OR s >= m THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e, rank ROWS UNBOUNDED PRECEDING) AS run,
+  confidence * 1.2::DOUBLE + ({_PRIORITY}) / 100.0::DOUBLE * 0.5::DOUBLE AS score FROM marked),
+resolved AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY score DESC, s, e, rank) AS k FROM runs) WHERE k = 1)"""
+_OUT = "s::BIGINT AS start_pos, e::BIGINT AS end_pos"
+
+
+# ---- detection ---------------------------------------------------------------
+
+
+@query(f"WITH {_ENT} SELECT entity_type, count(*)::BIGINT AS n, round(avg(confidence), 6) AS mean_confidence FROM ent GROUP BY entity_type")
+def detect_summary(spark, sf_dir):
+    each = exploded(_found(spark, sf_dir), "doc_id")
+    return each.groupBy("entity_type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+
+
+def _one(kind: str, *facts: str):
+    def run(spark, sf_dir):
+        each = exploded(_found(spark, sf_dir, [kind]), "doc_id")
+        return each.select("doc_id", *_long(*_SPAN), _CONFIDENCE, *_meta(*facts))
+
+    return run
+
+
+def _detection(name: str, kind: str, facts: dict[str, str]) -> None:
+    QUERIES[name] = _one(kind, *facts)
+    extra = "".join(f", {sql} AS {fact}" for fact, sql in facts.items())
+    ORACLE_SQL[name] = f"WITH ent AS ({_DETECTED[kind]}) SELECT doc_id, entity_type, value, {_OUT}, round(confidence, 6) AS confidence{extra} FROM ent"
+
+
+_detection("detect_email", "EMAIL", {"valid": f"{_EMAIL_OK}::VARCHAR", "local_part": "split_part(value, '@', 1)", "domain": "split_part(value, '@', 2)", "tld": "split_part(value, '.', -1)"})
+_detection("detect_phone", "CHINA_PHONE", {"normalized": "value", "has_country_code": "'false'"})
+_detection("detect_bank_card", "CHINA_BANK_CARD", {"luhn_valid": f"{_BANK_OK}::VARCHAR", "normalized": "value", "length": "length(value)::VARCHAR"})
+_PRIVATE = r"regexp_matches(value, '^(10\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.168\.|127\.)')::VARCHAR"
+_detection("detect_ip", "IP_ADDRESS", {"valid": f"{_IP_OK}::VARCHAR", "ip_type": "'ipv4'", "is_private": _PRIVATE})
+_BRAND = "CASE WHEN value LIKE '4%' THEN 'Visa' WHEN left(value, 2) IN ('51','52','53','54','55','22','23','24','25','26','27') THEN 'MasterCard' WHEN left(value, 2) IN ('34','37') THEN 'Amex' WHEN left(value, 4) = '6011' OR left(value, 3) IN ('644','645','646','647','648','649') OR left(value, 2) = '65' THEN 'Discover' WHEN left(value, 2) = '35' THEN 'JCB' ELSE 'Unknown' END"
+_detection("detect_credit_card", "CREDIT_CARD", {"luhn_valid": f"{_CARD_OK}::VARCHAR", "card_type": _BRAND, "masked": "left(value, 4) || repeat('*', length(value) - 8) || right(value, 4)"})
+
+
+@query(
+    f"""WITH ent AS ({_spans("pages", "page_id", "url", "https?://[^ ]+")})
+SELECT page_id, value, {_OUT}, 0.8::DOUBLE AS confidence, split_part(value, '://', 1) AS scheme, regexp_extract(value, '^[a-z]+://([^/?#]*)', 1) AS domain,
+  CASE WHEN regexp_extract(value, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(value, '^[a-z]+://[^/?#]*([^?#]*)', 1) END AS path,
+  regexp_matches(value, '^[^?#]*[?][^#]')::VARCHAR AS has_query FROM ent"""
+)
+def detect_url_pages(spark, sf_dir):
+    each = exploded(detect(_table(spark, sf_dir, "pages").select("page_id", "url"), Registry.default(), "url", ["URL"]), "page_id")
+    return each.select("page_id", *_long("value", "start_pos", "end_pos"), _CONFIDENCE, *_meta("scheme", "domain", "path", "has_query"))
+
+
+def _customers(spark, sf_dir, text: Column) -> DataFrame:
+    return _table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
+
+
+_key = F.col("c_custkey").cast("string")
+_padded = lambda n: F.lpad(F.pmod("c_custkey", F.lit(10**n)).cast("string"), n, "0")
+_SSN_TEXT = "'no ' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') || '-' || lpad((c_custkey % 100)::VARCHAR, 2, '0') || '-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') || ' ok'"
+
+
+@query(
+    f"""WITH ent AS (SELECT *, left(value, 3) NOT IN ('000', '666') AND left(value, 3) < '900' AND substr(value, 5, 2) <> '00' AND right(value, 4) <> '0000' AS ok
+FROM ({_spans("customer", "c_custkey", _SSN_TEXT, "[0-9]{3}-[0-9]{2}-[0-9]{4}")}))
+SELECT c_custkey, value, {_OUT}, round(CASE WHEN ok THEN 0.85::DOUBLE ELSE 0.85::DOUBLE * 0.7::DOUBLE END, 6) AS confidence, ok::VARCHAR AS valid, left(value, 3) AS area, '***-**-' || right(value, 4) AS masked FROM ent"""
+)
+def detect_ssn(spark, sf_dir):
+    text = F.concat(F.lit("no "), _padded(3), F.lit("-"), _padded(2), F.lit("-"), _padded(4), F.lit(" ok"))
+    each = exploded(detect(_customers(spark, sf_dir, text), Registry.default(), entity_types=["US_SSN"]), "c_custkey")
+    return each.select("c_custkey", *_long("value", "start_pos", "end_pos"), _CONFIDENCE, *_meta("valid", "area", "masked"))
+
+
+_ID_TEXT = "'id 1101011990' || lpad((c_custkey % 12 + 1)::VARCHAR, 2, '0') || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0') || lpad((c_custkey % 1000)::VARCHAR, 3, '0') || substr('0123456789X', (c_custkey % 11 + 1)::INTEGER, 1)"
+_ID_SUM = " + ".join(f"CAST(substr(value, {k + 1}, 1) AS INTEGER) * {w}" for k, w in enumerate((7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)))
+
+
+@query(
+    f"""WITH ent AS (SELECT *, substr('10X98765432', ({_ID_SUM}) % 11 + 1, 1) = right(value, 1) AS ok
+FROM ({_spans("customer", "c_custkey", _ID_TEXT, "[1-9][0-9]{5}(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9Xx]")}))
+SELECT c_custkey, value, {_OUT}, round(CASE WHEN ok THEN 0.85::DOUBLE + 0.05::DOUBLE ELSE 0.85::DOUBLE * 0.7::DOUBLE END, 6) AS confidence, ok::VARCHAR AS checksum_valid, left(value, 6) AS region_code, substr(value, 7, 8) AS birth_date FROM ent"""
+)
+def detect_id_card(spark, sf_dir):
+    two = lambda n: F.lpad((F.pmod("c_custkey", F.lit(n)) + 1).cast("string"), 2, "0")
+    last = F.substr(F.lit("0123456789X"), (F.pmod("c_custkey", F.lit(11)) + 1).cast("int"), F.lit(1))
+    text = F.concat(F.lit("id 1101011990"), two(12), two(28), _padded(3), last)
+    each = exploded(detect(_customers(spark, sf_dir, text), Registry.default(), entity_types=["CHINA_ID_CARD"]), "c_custkey")
+    return each.select("c_custkey", *_long("value", "start_pos", "end_pos"), _CONFIDENCE, *_meta("checksum_valid", "region_code", "birth_date"))
+
+
+_PASS_TEXT = "'E' || lpad((c_custkey % 100000000)::VARCHAR, 8, '0') || ' and G' || lpad((c_custkey % 10000000)::VARCHAR, 7, '0')"
+
+
+@query(
+    f"""WITH ent AS ({_spans("customer", "c_custkey", _PASS_TEXT, "E[0-9]{8}")} UNION ALL {_spans("customer", "c_custkey", _PASS_TEXT, "[PG][0-9]{7}")})
+SELECT c_custkey, value, {_OUT}, round(CASE WHEN left(value, 1) = 'E' THEN 0.8::DOUBLE ELSE 0.8::DOUBLE * 0.7::DOUBLE END, 6) AS confidence, left(value, 1) AS prefix, CASE left(value, 1) WHEN 'E' THEN '电子护照' ELSE '普通护照' END AS passport_type FROM ent"""
+)
+def detect_passport(spark, sf_dir):
+    text = F.concat(F.lit("E"), _padded(8), F.lit(" and G"), _padded(7))
+    each = exploded(detect(_customers(spark, sf_dir, text), Registry.default(), entity_types=["CHINA_PASSPORT"]), "c_custkey")
+    return each.select("c_custkey", *_long("value", "start_pos", "end_pos"), _CONFIDENCE, *_meta("prefix", "passport_type"))
+
+
+_NEAR = "lower(substr(text, greatest(s - {w}, 0) + 1, s + {w} - greatest(s - {w}, 0)))"
+_WORDS, _DENY = ("the", "of", "with", "para"), ("que", "sch")
+
+
+def _has(words, width: int, how: str = " + ") -> str:
+    near = _NEAR.format(w=width)
+    return how.join(f"contains({near}, '{w}')::INTEGER" for w in words)
+
+
+@query(
+    f"""WITH ent AS ({_spans("documents", "doc_id", "text", _IP)})
+SELECT doc_id, value, {_OUT}, round((0.6::DOUBLE + least(0.15::DOUBLE, ({_has(_WORDS, 50)}) * 0.05::DOUBLE)) * CASE WHEN {_IP_OK} THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END, 6) AS confidence FROM ent WHERE ({_has(_DENY, 100)}) = 0"""
+)
+def context_and_deny_words(spark, sf_dir):
+    own = Registry([Recognizer("IP_ADDRESS", (_IP,), "ip", base=0.6, context_words=_WORDS, deny_words=_DENY)])
+    each = exploded(detect(_docs(spark, sf_dir).select("doc_id", "text"), own), "doc_id")
+    return each.select("doc_id", *_long("value", "start_pos", "end_pos"), _CONFIDENCE)
+
+
+@query(f"WITH {_ENT} SELECT doc_id, entity_type, value, {_OUT} FROM ent WHERE confidence >= 0.85")
+def confidence_filter(spark, sf_dir):
+    rows = _found(spark, sf_dir, _TYPES).withColumn("entities", at_least("entities", 0.85))
+    return exploded(rows, "doc_id").select("doc_id", *_long(*_SPAN))
+
+
+@query(
+    f"""WITH {_ENT}, n AS (SELECT doc_id, count(*) AS n FROM ent GROUP BY doc_id)
+SELECT count(*)::BIGINT AS total_texts, coalesce(sum(n), 0)::BIGINT AS total_entities, count(n)::BIGINT AS texts_with_entities, round(count(n) / count(*), 6) AS rate, round(coalesce(sum(n), 0) / count(*), 6) AS mean_entities,
+  (SELECT count(*) FROM ent WHERE entity_type = 'EMAIL')::BIGINT AS emails, (SELECT count(*) FROM ent)::BIGINT AS by_regex, 0::BIGINT AS by_llm FROM documents LEFT JOIN n USING (doc_id)"""
+)
+def batch_stats(spark, sf_dir):
+    out = batch_statistics(_found(spark, sf_dir))
+    count = lambda m, k: F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(0)).cast("long")
+    return out.select("total_texts", "total_entities", "texts_with_entities", F.round("rate", 6).alias("rate"), F.round("mean_entities", 6).alias("mean_entities"), count("by_type", "EMAIL").alias("emails"), count("by_method", "regex").alias("by_regex"), count("by_method", "llm").alias("by_llm"))
+
+
+@query(f"WITH {_ENT} SELECT entity_type, count(*)::BIGINT AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS percentage FROM ent GROUP BY entity_type")
+def distribution_by_type(spark, sf_dir):
+    return type_distribution(exploded(_found(spark, sf_dir, _TYPES), "doc_id"))
+
+
+@query(
+    "WITH e AS ("
+    + " UNION ALL ".join(
+        f"SELECT doc_id, '{k}' AS entity_type, value, s, e FROM ({_spans('documents', 'doc_id', 'text', p)})" + w
+        for k, p, w in (
+            ("PHONE_NUMBER", "1[3-9][0-9]{9}", ""),
+            ("ID_CARD", "[0-9]{17}[0-9Xx]", " WHERE CAST(substr(value, 7, 4) AS INTEGER) BETWEEN 1900 AND 2024"),
+            ("EMAIL", _EMAIL, ""),
+            ("BANK_CARD", r"\b[0-9]{13,19}\b", " WHERE len(list_distinct(string_split(value, ''))) > 1"),
+            ("IP_ADDRESS", _IP, ""),
+        )
+    )
+    + f") SELECT doc_id, entity_type, value, {_OUT} FROM e"
+)
+def rule_detector(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", structured_entities(F.col("text")).alias("entities"))
+    kept = exploded(rows, "doc_id").where(F.col("entity_type").isin("PHONE_NUMBER", "ID_CARD", "EMAIL", "BANK_CARD", "IP_ADDRESS"))
+    return kept.select("doc_id", *_long(*_SPAN))
+
+
+# ---- refinement -----------------------------------------------------------------
+
+
+@query(f"WITH {_RUNS} SELECT doc_id, t AS entity_type, value, {_OUT}, round(confidence, 6) AS confidence FROM resolved")
+def resolve_conflicts(spark, sf_dir):
+    rows = _canonical(_found(spark, sf_dir, _TYPES))
+    rows = rows.withColumn("entities", resolve(F.col("entities")))
+    return exploded(rows, "doc_id").select("doc_id", *_long(*_SPAN), _CONFIDENCE)
+
+
+@query(ORACLE_SQL["resolve_conflicts"])
+def resolve_conflicts_by_rows(spark, sf_dir):
+    each = exploded(_canonical(_found(spark, sf_dir, _TYPES)), "doc_id")
+    return resolve_rows(each, "doc_id").select("doc_id", *_long(*_SPAN), _CONFIDENCE)
+
+
+@query()
+def merge_overlaps(spark, sf_dir):
+    rows = _canonical(_found(spark, sf_dir, _TYPES))
+    return exploded(rows.withColumn("entities", merge_overlapping(F.col("entities"))), "doc_id").select("doc_id", *_long(*_SPAN), _CONFIDENCE)
+
+
+_CAPITAL = "[A-Z][a-z]+"
+
+
+@query(
+    f"""WITH ent AS ({_spans("documents", "doc_id", "left(text, 400)", _CAPITAL)}),
+marked AS (SELECT *, lag(e) OVER w AS pe FROM ent WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
+chains AS (SELECT *, sum(CASE WHEN pe IS NOT NULL AND s - pe BETWEEN 0 AND 2 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS c FROM marked)
+SELECT doc_id, string_agg(value, '' ORDER BY s) AS value, min(s)::BIGINT AS start_pos, max(e)::BIGINT AS end_pos, count(*)::INTEGER AS merged_from FROM chains GROUP BY doc_id, c"""
+)
+def merge_neighbours(spark, sf_dir):
+    start = F.left("text", F.lit(400))
+    spans = F.transform(find_spans(start, _CAPITAL), lambda s: entity("PERSON_NAME", s["value"], s["start"], s["end"], 0.8, "regex", "capital"))
+    each = exploded(_docs(spark, sf_dir).select("doc_id", spans.alias("entities")), "doc_id")
+    return merge_adjacent_rows(each, "doc_id").select("doc_id", *_long("value", "start_pos", "end_pos"), "merged_from")
+
+
+_KEY_TEXT = "CASE c_custkey % 4 WHEN 0 THEN '联系电话 ' WHEN 1 THEN '订单号 ' WHEN 2 THEN '手机 价格 ' ELSE '' END || '138' || lpad((c_custkey % 100000000)::VARCHAR, 8, '0')"
+_CONTEXT = """CASE c_custkey % 4 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN -1.0::DOUBLE WHEN 2 THEN 0.0::DOUBLE ELSE 0.0::DOUBLE END"""
+
+
+@query(
+    f"""WITH ent AS ({_spans("customer", "c_custkey", _KEY_TEXT, "1[3-9][0-9]{9}")}), scored AS (SELECT *, {_CONTEXT} AS c FROM ent)
+SELECT c_custkey, value, {_OUT}, round(CASE WHEN c > 0 THEN 0.45::DOUBLE + c * 0.1::DOUBLE WHEN c < 0 THEN 0.45::DOUBLE + c * 0.2::DOUBLE ELSE 0.45::DOUBLE END, 6) AS confidence FROM scored WHERE c >= 0"""
+)
+def context_validation(spark, sf_dir):
+    turn = F.pmod("c_custkey", F.lit(4))
+    text = F.concat(F.when(turn == 0, "联系电话 ").when(turn == 1, "订单号 ").when(turn == 2, "手机 价格 ").otherwise(""), F.lit("138"), _padded(8))
+    rows = detect(_customers(spark, sf_dir, text), Registry([Recognizer("PHONE_NUMBER", (r"1[3-9]\d{9}",), base=0.45)]))
+    rows = rows.withColumn("entities", validate_context(F.col("entities"), F.col("text")))
+    return exploded(rows, "c_custkey").select("c_custkey", *_long("value", "start_pos", "end_pos"), _CONFIDENCE)
+
+
+_ONE_DIGIT = "len(list_distinct(string_split(value, '')))"
+
+
+@query(
+    f"""WITH {_CANON} SELECT doc_id, t AS entity_type, value, {_OUT} FROM canon WHERE
+NOT (t = 'EMAIL' AND (contains(lower(value), 'example.com') OR contains(lower(value), 'noreply@') OR contains(lower(value), 'no-reply@') OR contains(lower(value), 'test@') OR contains(lower(value), 'example@')))
+AND NOT (t = 'PHONE_NUMBER' AND {_ONE_DIGIT} = 1) AND NOT (t = 'BANK_CARD' AND ({_ONE_DIGIT} <= 2 OR NOT {_luhn_sql("value")})) AND NOT (t = 'IP_ADDRESS' AND value IN ('127.0.0.1', '0.0.0.0'))"""
+)
+def false_positive_filter(spark, sf_dir):
+    rows = _canonical(_found(spark, sf_dir, _TYPES))
+    return exploded(rows.withColumn("entities", drop_false_positives(F.col("entities"))), "doc_id").select("doc_id", *_long(*_SPAN))
+
+
+@query()
+def refined(spark, sf_dir):
+    return exploded(refine(_canonical(_found(spark, sf_dir, _TYPES))), "doc_id").select("doc_id", *_long(*_SPAN), _CONFIDENCE)
+
+
+# ---- anonymisation -----------------------------------------------------------------
+
+
+def _resolved(spark, sf_dir) -> DataFrame:
+    rows = _canonical(_found(spark, sf_dir, _TYPES))
+    return rows.withColumn("entities", resolve(F.col("entities"))).where(F.size("entities") > 0)
+
+
+def _replaced_sql(new: str) -> str:
+    """Text with each resolved entity replaced by an SQL expression of it."""
+    return f"""WITH {_RUNS},
+cuts AS (SELECT doc_id, text, s, e, {new} AS new, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM resolved)
+SELECT doc_id, string_agg(substr(text, before + 1, s - before) || new, '' ORDER BY s) || substr(any_value(text), max(e) + 1) AS anonymized_text FROM cuts GROUP BY doc_id"""
+
+
+@query(_replaced_sql("'[' || t || ']'"))
+def redact_text(spark, sf_dir):
+    return Anonymizer({"redact": redact()}, default="redact").apply(_resolved(spark, sf_dir)).select("doc_id", "anonymized_text")
+
+
+_MASKED = "left(value, {a}) || repeat('*', length(value) - {a} - {b}) || right(value, {b})"
+_MASK = f"CASE t WHEN 'PHONE_NUMBER' THEN {_MASKED.format(a=3, b=4)} WHEN 'BANK_CARD' THEN {_MASKED.format(a=6, b=4)} WHEN 'EMAIL' THEN left(value, 2) || repeat('*', length(value) - 2) ELSE {_MASKED.format(a=2, b=2)} END"
+
+
+@query(_replaced_sql(_MASK))
+def mask_text(spark, sf_dir):
+    return Anonymizer({"mask": mask()}, default="mask").apply(_resolved(spark, sf_dir)).select("doc_id", "anonymized_text")
+
+
+@query(_replaced_sql("CASE WHEN t = 'EMAIL' THEN 'HASH:' || sha256('pepper' || value) ELSE 'HASH:' || left(md5('salt' || value), 16) END"))
+def hash_text(spark, sf_dir):
+    a = Anonymizer({"long": hashed("pepper"), "short": hashed("salt", "md5", length=16)}, {"EMAIL": "long"}, "short")
+    return a.apply(_resolved(spark, sf_dir)).select("doc_id", "anonymized_text")
+
+
+@query(f"WITH {_RUNS} SELECT doc_id, value AS original_value, {_MASK} AS value, s::BIGINT AS start_pos, (s + length({_MASK}))::BIGINT AS end_pos, 'mask' AS strategy FROM resolved")
+def anonymize_entities(spark, sf_dir):
+    a = Anonymizer({"mask": mask()}, default="mask")
+    each = exploded(_resolved(spark, sf_dir).withColumn("entities", a.entities(F.col("entities"))), "doc_id")
+    return each.select("doc_id", F.col("metadata")["original_value"].alias("original_value"), *_long("value", "start_pos", "end_pos"), F.col("metadata")["anonymization_strategy"].alias("strategy"))
+
+
+@query("SELECT c_custkey, c_name AS restored, TRUE AS hidden FROM customer")
+def encrypt_round_trip(spark, sf_dir):
+    key = "0123456789abcdef0123456789abcdef"
+    e = entity("PERSON_NAME", F.col("c_name"), F.lit(0), F.length("c_name"), 1.0)
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", encrypted(key)(e).alias("secret"))
+    return rows.select("c_custkey", decrypted(F.col("secret"), key).alias("restored"), (~F.col("secret").contains(F.col("c_name"))).alias("hidden"))
+
+
+@query(
+    f"""WITH {_RUNS}, firsts AS (SELECT doc_id, t, value, min(s) AS f FROM resolved GROUP BY ALL),
+named AS (SELECT *, '[' || t || '_' || dense_rank() OVER (PARTITION BY doc_id, t ORDER BY f) || ']' AS new FROM firsts)
+SELECT doc_id, t AS entity_type, value, new AS pseudonym, TRUE AS restored FROM named"""
+)
+def pseudonyms(spark, sf_dir):
+    rows = pseudonymize(_resolved(spark, sf_dir))
+    same = restore(F.col("pseudonymized_text"), F.col("pseudonyms")) == F.col("text")
+    each = rows.select("doc_id", same.alias("restored"), F.explode("pseudonyms").alias("pseudonym", "value"))
+    return each.select("doc_id", F.regexp_extract("pseudonym", r"^\[(.*)_\d+\]$", 1).alias("entity_type"), "value", "pseudonym", "restored")
+
+
+@query()
+def synthetic_text(spark, sf_dir):
+    return Anonymizer({"synthetic": synthetic("s")}, default="synthetic").apply(_resolved(spark, sf_dir)).select("doc_id", "anonymized_text")
+
+
+# ---- evaluation ------------------------------------------------------------------------
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    return exploded(_canonical(_found(spark, sf_dir, ["CHINA_PHONE", "CHINA_BANK_CARD", "EMAIL", "IP_ADDRESS"])), "doc_id").withColumnRenamed("doc_id", "sample_id")
+
+
+def _predicted(spark, sf_dir) -> DataFrame:
+    return exploded(detect(_docs(spark, sf_dir).select("doc_id", "text"), Registry(HYBRID)), "doc_id").withColumnRenamed("doc_id", "sample_id")
+
+
+_HYBRID = " UNION ".join(
+    f"SELECT doc_id, '{k}' AS t, value FROM ({_spans('documents', 'doc_id', 'text', p)})"
+    for k, p in (("PHONE_NUMBER", "1[3-9][0-9]{9}"), ("ID_CARD", "[1-9][0-9]{5}(?:18|19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9Xx]"), ("BANK_CARD", "[0-9]{16,19}"), ("EMAIL", _EMAIL), ("IP_ADDRESS", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"))
+)
+_GOLD = f"SELECT DISTINCT doc_id, t, value FROM canon WHERE rank <> 7"
+_MATCH = f"""{_CANON}, gold AS ({_GOLD}), pred AS ({_HYBRID}),
+m AS (SELECT coalesce(p.doc_id, g.doc_id) AS sample_id, coalesce(p.t, g.t) AS t, coalesce(p.value, g.value) AS value, (p.t IS NOT NULL AND g.t IS NOT NULL)::BIGINT AS tp, (g.t IS NULL)::BIGINT AS fp, (p.t IS NULL)::BIGINT AS fn
+  FROM pred p FULL OUTER JOIN gold g ON p.doc_id = g.doc_id AND p.t = g.t AND p.value = g.value)"""
+_PRF = """CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r"""
+
+
+@query(f"WITH {_MATCH} SELECT sample_id, t AS entity_type, value, tp, fp, fn FROM m")
+def match_entities(spark, sf_dir):
+    return evaluate.matches(_predicted(spark, sf_dir), _labelled(spark, sf_dir))
+
+
+_METRICS = "round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, round(CASE WHEN 4 * p + r > 0 THEN 5 * p * r / (4 * p + r) ELSE 0 END, 6) AS f2"
+
+
+def _rounded(rows: DataFrame, *keep: str) -> DataFrame:
+    return rows.select(*keep, "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "f2")))
+
+
+@query(
+    f"""WITH {_MATCH}, c AS (SELECT CASE WHEN grouping(t) = 1 THEN 'ALL' ELSE t END AS entity_type, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM m GROUP BY GROUPING SETS ((t), ())), q AS (SELECT *, {_PRF} FROM c)
+SELECT entity_type, (tp + fn)::BIGINT AS support, tp, fp, fn, {_METRICS} FROM q"""
+)
+def metrics_by_type(spark, sf_dir):
+    return _rounded(evaluate.evaluate_by_type(_predicted(spark, sf_dir), _labelled(spark, sf_dir)), "entity_type", "support")
+
+
+@query(
+    f"""WITH {_MATCH}, c AS (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM m), q AS (SELECT *, {_PRF} FROM c), f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS x FROM q)
+SELECT tp, fp, fn, {_METRICS}, x >= 0.875 AND r >= 0.9 AS accepted FROM f"""
+)
+def acceptance(spark, sf_dir):
+    return _rounded(evaluate.accepted(evaluate.evaluate(_predicted(spark, sf_dir), _labelled(spark, sf_dir))), "accepted")
+
+
+@query(f"WITH {_CANON}, gold AS ({_GOLD}), pred AS ({_HYBRID}) SELECT doc_id AS sample_id, t AS entity_type, value FROM gold UNION SELECT doc_id, t, value FROM pred")
+def ensemble_union(spark, sf_dir):
+    return evaluate.ensemble(_predicted(spark, sf_dir), _labelled(spark, sf_dir))
+
+
+@query(f"WITH {_CANON}, pred AS ({_HYBRID}) SELECT doc_id AS sample_id, t AS entity_type, value FROM pred EXCEPT SELECT doc_id, t, value FROM canon WHERE t IN ('EMAIL', 'PHONE_NUMBER')")
+def missed_entities(spark, sf_dir):
+    """What a detector of two types misses of the hybrid one's entities."""
+    some = exploded(_canonical(_found(spark, sf_dir, ["EMAIL", "CHINA_PHONE"])), "doc_id").withColumnRenamed("doc_id", "sample_id")
+    return evaluate.missed(some, _predicted(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_MATCH}, total AS (SELECT t, count(*) AS total FROM (SELECT doc_id, t, value FROM ({_HYBRID.replace(" UNION ", " UNION ALL ")})) GROUP BY t), lost AS (SELECT t, count(*) AS missed FROM m WHERE fp = 1 GROUP BY t)
+SELECT t AS entity_type, total::BIGINT AS total, coalesce(missed, 0)::BIGINT AS missed, round(coalesce(missed, 0) / total, 6) AS miss_rate FROM total LEFT JOIN lost USING (t) ORDER BY coalesce(missed, 0) / total DESC, t LIMIT 3"""
+)
+def worst_missed_types(spark, sf_dir):
+    out = evaluate.missed_by_type(_labelled(spark, sf_dir), _predicted(spark, sf_dir), _docs(spark, sf_dir).select(F.col("doc_id").alias("sample_id"), "text"), worst=3)
+    return out.select("entity_type", "total", "missed", F.round("miss_rate", 6).alias("miss_rate"))
+
+
+@query(
+    f"""WITH {_MATCH}, c AS (SELECT t, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM m GROUP BY t), q AS (SELECT *, {_PRF} FROM c), f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM q),
+b AS (SELECT t, sum(tp + fn) > 0 AS g FROM c GROUP BY t)
+SELECT t AS entity_type, NOT g AS is_new, round(f1 - CASE WHEN g THEN 1 ELSE 0 END, 6) AS f1_change FROM f JOIN b USING (t)"""
+)
+def compare_models(spark, sf_dir):
+    gold, pred = _labelled(spark, sf_dir), _predicted(spark, sf_dir)
+    out = evaluate.compare(evaluate.evaluate_by_type(gold, gold), evaluate.evaluate_by_type(pred, gold)).where("entity_type <> 'ALL'")
+    return out.select("entity_type", "is_new", F.round("f1_change", 6).alias("f1_change"))
+
+
+@query(
+    """WITH r AS (SELECT event_type, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, any_value(n)::BIGINT AS n, min(x) AS min, max(x) AS max, max(x) FILTER (i = floor(n * 0.5)) AS p50, max(x) FILTER (i = floor(n * 0.95)) AS p95, max(x) FILTER (i = floor(n * 0.99)) AS p99, round(median(x), 6) AS median FROM r GROUP BY event_type"""
+)
+def latency_percentiles(spark, sf_dir):
+    out = evaluate.latency(_table(spark, sf_dir, "events"), "value", "event_type")
+    return out.select("event_type", "n", "min", "max", "p50", "p95", "p99", F.round("median", 6).alias("median"))
+
+
+@query("SELECT count(*)::BIGINT AS n, round(avg(contains(text, CASE doc_id % 2 WHEN 0 THEN 'the' ELSE 'que' END)::INTEGER), 6) AS recall FROM documents")
+def response_recall(spark, sf_dir):
+    rows = _docs(spark, sf_dir).withColumn("expected", F.when(F.pmod("doc_id", F.lit(2)) == 0, "the").otherwise("que"))
+    return evaluate.containment_recall(rows, "expected", "text").select("n", F.round("recall", 6).alias("recall"))
+
+
+# ---- data preparation ----------------------------------------------------------------------
+
+_NAMES = ("EMAIL", "ip", "Car_Plate", "PERSON_NAME", "office_card", "Whatever")
+
+
+@query(
+    "WITH n AS (SELECT o_orderkey, ["
+    + ", ".join(f"'{n}'" for n in _NAMES)
+    + "][(o_orderkey % 6 + 1)::INTEGER] AS type FROM orders) SELECT type, count(*)::BIGINT AS n, CASE "
+    + " ".join(f"WHEN upper(type) = '{c}' THEN '{c}'" for c in CANONICAL)
+    + " "
+    + " ".join(f"WHEN upper(type) = '{a}' THEN '{b}'" for a, b in ALIASES.items())
+    + " ELSE type END AS normalized, CASE WHEN type = 'EMAIL' THEN '电子邮箱' WHEN type = 'ip' THEN 'IP地址' WHEN type = 'Car_Plate' THEN '车牌号' WHEN type = 'PERSON_NAME' THEN '人名' WHEN type = 'office_card' THEN '军官证' ELSE type END AS display FROM n GROUP BY type"
+)
+def normalize_types(spark, sf_dir):
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.pmod("o_orderkey", F.lit(6)) + 1).cast("int"))
+    counts = _table(spark, sf_dir, "orders").select(name.alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+    return counts.select("type", "n", normalize_type(F.col("type")).alias("normalized"), display_name(F.col("type")).alias("display"))
+
+
+@query(
+    """WITH h AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id::VARCHAR), doc_id) - 1 AS i, count(*) OVER () AS n FROM documents)
+SELECT doc_id, CASE WHEN i < floor(n * 0.8) THEN 'train' WHEN i < floor(n * 0.8) + floor(n * 0.1) THEN 'validation' ELSE 'test' END AS split FROM h"""
+)
+def split_in_three(spark, sf_dir):
+    return prepare.split(_docs(spark, sf_dir).select("doc_id"), "doc_id")
+
+
+@query(
+    """WITH a AS (SELECT page_id AS id, 'pages' AS source_name FROM pages ORDER BY page_id LIMIT (SELECT floor(count(*) * 0.5)::BIGINT FROM pages)), b AS (SELECT doc_id AS id, 'documents' AS source_name FROM documents)
+SELECT * FROM a UNION ALL SELECT * FROM b"""
+)
+def union_by_ratio(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"))
+    return prepare.ratio_union({"pages": (pages, 0.5), "documents": (_docs(spark, sf_dir).select(F.col("doc_id").alias("id")), 1.0)}, "id")
+
+
+_TAG_SQL = "CASE (o_orderkey + i) % 5 WHEN 0 THEN 'B-PER' WHEN 1 THEN 'I-PER' WHEN 2 THEN 'O' WHEN 3 THEN 'B-LOC' ELSE 'O' END"
+
+
+@query(
+    f"""WITH t AS (SELECT o_orderkey, unnest(range(0, 12)) AS i FROM orders), tok AS (SELECT o_orderkey, i, chr((97 + (o_orderkey * 7 + i) % 26)::INTEGER) AS c, {_TAG_SQL} AS g FROM t),
+r AS (SELECT *, sum(CASE WHEN g LIKE 'B-%' OR g = 'O' THEN 1 ELSE 0 END) OVER (PARTITION BY o_orderkey ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM tok)
+SELECT o_orderkey, CASE max(CASE WHEN g LIKE 'B-%' THEN g END) WHEN 'B-PER' THEN 'PERSON_NAME' ELSE 'ADDRESS' END AS entity_type, string_agg(c, '' ORDER BY i) AS value, min(i)::BIGINT AS start_pos, (max(i) + 1)::BIGINT AS end_pos
+FROM r GROUP BY o_orderkey, run HAVING max(CASE WHEN g LIKE 'B-%' THEN 1 ELSE 0 END) = 1"""
+)
+def tagged_to_spans(spark, sf_dir):
+    places = F.sequence(F.lit(0), F.lit(11))
+    tokens = F.transform(places, lambda i: F.char(F.pmod(F.col("o_orderkey") * 7 + i, F.lit(26)) + 97))
+    tags = F.transform(places, lambda i: F.element_at(F.array(*map(F.lit, ("B-PER", "I-PER", "O", "B-LOC", "O"))), (F.pmod(F.col("o_orderkey") + i, F.lit(5)) + 1).cast("int")))
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.inline(prepare.bio_spans(tokens, tags)))
+    return rows.select("o_orderkey", F.col("type").alias("entity_type"), "value", F.col("start").cast("long").alias("start_pos"), F.col("end").cast("long").alias("end_pos"))
+
+
+_MASK_TEXT = "c_name || ' lives in ' || c_mktsegment"
+
+
+@query(
+    f"""SELECT c_custkey, 'PERSON_NAME' AS entity_type, c_name AS value, 0::BIGINT AS start_pos, length(c_name)::BIGINT AS end_pos FROM customer
+UNION ALL SELECT c_custkey, 'ADDRESS', c_mktsegment, (strpos({_MASK_TEXT}, c_mktsegment) - 1)::BIGINT, (strpos({_MASK_TEXT}, c_mktsegment) - 1 + length(c_mktsegment))::BIGINT FROM customer"""
+)
+def masks_to_spans(spark, sf_dir):
+    text = F.concat("c_name", F.lit(" lives in "), "c_mktsegment")
+    mask_map = F.create_map(F.lit("USERNAME_1"), F.col("c_name"), F.lit("CITY_2"), F.col("c_mktsegment"), F.lit("AGE_3"), F.lit("44"))
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.inline(prepare.mask_spans(text, mask_map)))
+    return rows.select("c_custkey", F.col("type").alias("entity_type"), "value", F.col("start").cast("long").alias("start_pos"), F.col("end").cast("long").alias("end_pos"))
+
+
+@query()
+def generated_samples(spark, sf_dir):
+    return prepare.generate(spark, {"ID_CARD": 200, "BANK_CARD": 200, "PHONE_NUMBER": 100, "MAC_ADDRESS": 50})
+
+
+@query(
+    """WITH l AS (SELECT conv_id, turn, coalesce(role, '') || ': ' || coalesce(text, '') || chr(10) AS line FROM conversations),
+s AS (SELECT conv_id, turn, coalesce(sum(length(line)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, line FROM l),
+c AS (SELECT conv_id, string_agg(line, '' ORDER BY turn) AS text FROM l GROUP BY conv_id), w AS ("""
+    + _spans("c", "conv_id", "text", "assistant")
+    + """) SELECT w.conv_id, w.s::BIGINT AS start_pos, max(s.turn) AS source_turn FROM w JOIN s ON w.conv_id = s.conv_id AND s.start <= w.s GROUP BY w.conv_id, w.s"""
+)
+def conversation_sources(spark, sf_dir):
+    talks = conversation_text(_table(spark, sf_dir, "conversations"))
+    each = talks.select("conv_id", "turns", F.inline(find_spans(F.col("text"), "assistant")))
+    return each.select("conv_id", F.col("start").cast("long").alias("start_pos"), source_turn(F.col("start"), F.col("turns")).alias("source_turn"))
