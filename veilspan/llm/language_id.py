@@ -114,13 +114,13 @@ def _softmax(scores: Column) -> Column:
 def identify(rows: DataFrame, model: Trigrams, key: str, text: Column, declared: Column, suffix: Column, host: Column, pull: float = PULL, least: float = LEAST_SCORE) -> DataFrame:
     """(key, lang, score, kept) of every row; score is the posterior of lang.
 
-    Evidence that is null says nothing. Rows whose text has no trigram, or whose best language scores under
+    Evidence that is null says nothing. A text without a word is no text. Rows whose text has no trigram, or whose best language scores under
     ``least``, are not kept; a row without a trigram has a null lang and score 0. Keys may be null or repeat. Only ``key`` and what the expressions name
     is read. Without any language in the model no row is identified.
     """
     names, n = model.languages, len(model.languages)
     kind = rows.schema[key].dataType.simpleString()
-    base = rows.select(F.col(key).alias("__key"), F.lower(F.substring(declared, 1, 2)).alias("__declared"), suffix.alias("__suffix"), host.alias("__host"), text.cast("string").alias("__text"))
+    base = rows.select(F.col(key).alias("__key"), F.lower(F.substring(declared, 1, 2)).alias("__declared"), suffix.alias("__suffix"), host.alias("__host"), F.when(text.rlike(r"[^\x20\x09-\x0D]"), text.cast("string")).alias("__text"))
     if not names:
         return base.select(F.col("__key").alias(key), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
     schema = f"__key {kind}, __declared string, __suffix string, __host string, __n long, __text_score array<double>"

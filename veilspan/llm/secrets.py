@@ -77,7 +77,7 @@ def _spell(items) -> tuple[list[str] | None, Query]:
 
     for kind, arg in items:
         own: list[str] | None = None
-        asks = _ANY
+        asks, more = _ANY, False
         if kind is sre.LITERAL:
             own = [chr(arg).lower()]
         elif kind is sre.IN and all(k is sre.LITERAL for k, _ in arg) and len(arg) <= 8:
@@ -91,8 +91,9 @@ def _spell(items) -> tuple[list[str] | None, Query]:
         elif kind in (sre.MAX_REPEAT, sre.MIN_REPEAT):
             low, high, part = arg
             inner, inner_asks = _spell(part)
-            if inner is not None and high == low and len(inner) ** low <= SPELT:
+            if inner is not None and low and len(inner) ** low <= SPELT:
                 own = ["".join(x) for x in product(inner, repeat=low)]
+                more = high != low  # further repeats follow what is spelt out
             elif inner is not None and (low, high) == (0, 1):
                 own = ["", *inner]
             asks = inner_asks if low else _ANY
@@ -100,6 +101,8 @@ def _spell(items) -> tuple[list[str] | None, Query]:
             own = [""]
         if own is not None and len(texts) * len(own) <= SPELT:
             texts = [a + b for a in texts for b in own]
+            if more:
+                flush()
         else:
             flush()
             query = _both(query, asks)
