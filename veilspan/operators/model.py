@@ -100,7 +100,7 @@ def first_object(response: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def extract_json(response: pd.Series) -> pd.Series:
     """``first_object`` of a column; bracket matching is beyond regular expressions."""
     return response.map(first_object)

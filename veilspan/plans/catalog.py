@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.entity import ENTITIES, entity, replaced
+from ..functions.entity import entity, replaced
 from ..functions.types import ALIASES, CANONICAL, DETECTOR_TYPES, canonical_type, display_name, normalize_type
 from ..operators import evaluate, prepare
 from ..operators.anonymize import Anonymizer, decrypted, encrypted, hashed, mask, pseudonymize, redact, restore, synthetic
@@ -60,7 +60,9 @@ def _meta(*names: str) -> list[Column]:
     return [F.col("metadata")[n].alias(n) for n in names]
 
 
-_CONFIDENCE = F.round("confidence", 6).alias("confidence")
+def _confidence() -> Column:
+    return F.round("confidence", 6).alias("confidence")
+
 
 # ---- SQL parts -------------------------------------------------------------
 
@@ -122,7 +124,7 @@ def detect_summary(spark, sf_dir):
 def _one(kind: str, *facts: str):
     def run(spark, sf_dir):
         each = exploded(_found(spark, sf_dir, [kind]), "doc_id")
-        return each.select("doc_id", *_long(*_SPAN), _CONFIDENCE, *_meta(*facts))
+        return each.select("doc_id", *_long(*_SPAN), _confidence(), *_meta(*facts))
 
     return run
 
@@ -150,15 +152,19 @@ SELECT page_id, value, {_OUT}, 0.8::DOUBLE AS confidence, split_part(value, '://
 )
 def detect_url_pages(spark, sf_dir):
     each = exploded(detect(_table(spark, sf_dir, "pages").select("page_id", "url"), Registry.default(), "url", ["URL"]), "page_id")
-    return each.select("page_id", *_long("value", "start_pos", "end_pos"), _CONFIDENCE, *_meta("scheme", "domain", "path", "has_query"))
+    return each.select("page_id", *_long("value", "start_pos", "end_pos"), _confidence(), *_meta("scheme", "domain", "path", "has_query"))
 
 
 def _customers(spark, sf_dir, text: Column) -> DataFrame:
     return _table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
 
 
-_key = F.col("c_custkey").cast("string")
-_padded = lambda n: F.lpad(F.pmod("c_custkey", F.lit(10**n)).cast("string"), n, "0")
+
+
+def _padded(n: int) -> Column:
+    return F.lpad(F.pmod("c_custkey", F.lit(10**n)).cast("string"), n, "0")
+
+
 _SSN_TEXT = "'no ' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') || '-' || lpad((c_custkey % 100)::VARCHAR, 2, '0') || '-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') || ' ok'"
 
 
@@ -170,7 +176,7 @@ SELECT c_custkey, value, {_OUT}, round(CASE WHEN ok THEN 0.85::DOUBLE ELSE 0.85:
 def detect_ssn(spark, sf_dir):
     text = F.concat(F.lit("no "), _padded(3), F.lit("-"), _padded(2), F.lit("-"), _padded(4), F.lit(" ok"))
     each = exploded(detect(_customers(spark, sf_dir, text), Registry.default(), entity_types=["US_SSN"]), "c_custkey")
-    return each.select("c_custkey", *_long("value", "start_pos", "end_pos"), _CONFIDENCE, *_meta("valid", "area", "masked"))
+    return each.select("c_custkey", *_long("value", "start_pos", "end_pos"), _confidence(), *_meta("valid", "area", "masked"))
 
 
 _ID_TEXT = "'id 1101011990' || lpad((c_custkey % 12 + 1)::VARCHAR, 2, '0') || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0') || lpad((c_custkey % 1000)::VARCHAR, 3, '0') || substr('0123456789X', (c_custkey % 11 + 1)::INTEGER, 1)"
@@ -187,7 +193,7 @@ def detect_id_card(spark, sf_dir):
     last = F.substr(F.lit("0123456789X"), (F.pmod("c_custkey", F.lit(11)) + 1).cast("int"), F.lit(1))
     text = F.concat(F.lit("id 1101011990"), two(12), two(28), _padded(3), last)
     each = exploded(detect(_customers(spark, sf_dir, text), Registry.default(), entity_types=["CHINA_ID_CARD"]), "c_custkey")
-    return each.select("c_custkey", *_long("value", "start_pos", "end_pos"), _CONFIDENCE, *_meta("checksum_valid", "region_code", "birth_date"))
+    return each.select("c_custkey", *_long("value", "start_pos", "end_pos"), _confidence(), *_meta("checksum_valid", "region_code", "birth_date"))
 
 
 _PASS_TEXT = "'E' || lpad((c_custkey % 100000000)::VARCHAR, 8, '0') || ' and G' || lpad((c_custkey % 10000000)::VARCHAR, 7, '0')"
@@ -200,7 +206,7 @@ SELECT c_custkey, value, {_OUT}, round(CASE WHEN left(value, 1) = 'E' THEN 0.8::
 def detect_passport(spark, sf_dir):
     text = F.concat(F.lit("E"), _padded(8), F.lit(" and G"), _padded(7))
     each = exploded(detect(_customers(spark, sf_dir, text), Registry.default(), entity_types=["CHINA_PASSPORT"]), "c_custkey")
-    return each.select("c_custkey", *_long("value", "start_pos", "end_pos"), _CONFIDENCE, *_meta("prefix", "passport_type"))
+    return each.select("c_custkey", *_long("value", "start_pos", "end_pos"), _confidence(), *_meta("prefix", "passport_type"))
 
 
 _NEAR = "lower(substr(text, greatest(s - {w}, 0) + 1, s + {w} - greatest(s - {w}, 0)))"
@@ -219,7 +225,7 @@ SELECT doc_id, value, {_OUT}, round((0.6::DOUBLE + least(0.15::DOUBLE, ({_has(_W
 def context_and_deny_words(spark, sf_dir):
     own = Registry([Recognizer("IP_ADDRESS", (_IP,), "ip", base=0.6, context_words=_WORDS, deny_words=_DENY)])
     each = exploded(detect(_docs(spark, sf_dir).select("doc_id", "text"), own), "doc_id")
-    return each.select("doc_id", *_long("value", "start_pos", "end_pos"), _CONFIDENCE)
+    return each.select("doc_id", *_long("value", "start_pos", "end_pos"), _confidence())
 
 
 @query(f"WITH {_ENT} SELECT doc_id, entity_type, value, {_OUT} FROM ent WHERE confidence >= 0.85")
@@ -271,19 +277,19 @@ def rule_detector(spark, sf_dir):
 def resolve_conflicts(spark, sf_dir):
     rows = _canonical(_found(spark, sf_dir, _TYPES))
     rows = rows.withColumn("entities", resolve(F.col("entities")))
-    return exploded(rows, "doc_id").select("doc_id", *_long(*_SPAN), _CONFIDENCE)
+    return exploded(rows, "doc_id").select("doc_id", *_long(*_SPAN), _confidence())
 
 
 @query(ORACLE_SQL["resolve_conflicts"])
 def resolve_conflicts_by_rows(spark, sf_dir):
     each = exploded(_canonical(_found(spark, sf_dir, _TYPES)), "doc_id")
-    return resolve_rows(each, "doc_id").select("doc_id", *_long(*_SPAN), _CONFIDENCE)
+    return resolve_rows(each, "doc_id").select("doc_id", *_long(*_SPAN), _confidence())
 
 
 @query()
 def merge_overlaps(spark, sf_dir):
     rows = _canonical(_found(spark, sf_dir, _TYPES))
-    return exploded(rows.withColumn("entities", merge_overlapping(F.col("entities"))), "doc_id").select("doc_id", *_long(*_SPAN), _CONFIDENCE)
+    return exploded(rows.withColumn("entities", merge_overlapping(F.col("entities"))), "doc_id").select("doc_id", *_long(*_SPAN), _confidence())
 
 
 _CAPITAL = "[A-Z][a-z]+"
@@ -315,7 +321,7 @@ def context_validation(spark, sf_dir):
     text = F.concat(F.when(turn == 0, "联系电话 ").when(turn == 1, "订单号 ").when(turn == 2, "手机 价格 ").otherwise(""), F.lit("138"), _padded(8))
     rows = detect(_customers(spark, sf_dir, text), Registry([Recognizer("PHONE_NUMBER", (r"1[3-9]\d{9}",), base=0.45)]))
     rows = rows.withColumn("entities", validate_context(F.col("entities"), F.col("text")))
-    return exploded(rows, "c_custkey").select("c_custkey", *_long("value", "start_pos", "end_pos"), _CONFIDENCE)
+    return exploded(rows, "c_custkey").select("c_custkey", *_long("value", "start_pos", "end_pos"), _confidence())
 
 
 _ONE_DIGIT = "len(list_distinct(string_split(value, '')))"
@@ -333,7 +339,7 @@ def false_positive_filter(spark, sf_dir):
 
 @query()
 def refined(spark, sf_dir):
-    return exploded(refine(_canonical(_found(spark, sf_dir, _TYPES))), "doc_id").select("doc_id", *_long(*_SPAN), _CONFIDENCE)
+    return exploded(refine(_canonical(_found(spark, sf_dir, _TYPES))), "doc_id").select("doc_id", *_long(*_SPAN), _confidence())
 
 
 # ---- anonymisation -----------------------------------------------------------------
