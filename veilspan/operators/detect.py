@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Mapping
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,12 @@ MODES = ("fast", "auto", "deep")
 MODEL_TYPES = ("PERSON_NAME", "ADDRESS", "ORGANIZATION")
 
 
+@functools.lru_cache(256)
+def _entities_of(recognizer: Recognizer, column: str, context: SparkContext | None) -> Column:
+    """A recognizer's expression over a named column; building one takes longer than Catalyst takes to plan it."""
+    return recognizer.entities(F.col(column))
+
+
 class Registry:
     """Recognizers by entity type, in the order of registration. Lives on the driver; plans are built from it."""
 
@@ -72,14 +80,16 @@ class Registry:
         """All, or those of the named types in that order; unknown types are ignored."""
         return self.recognizers() if entity_types is None else [self._by_type[t] for t in entity_types if t in self._by_type]
 
-    def entities(self, text: Column, entity_types: Iterable[str] | None = None) -> Column:
-        found = [r.entities(text) for r in self.chosen(entity_types)]
+    def entities(self, text: Column | str, entity_types: Iterable[str] | None = None) -> Column:
+        """The entities of a column, which is best given by its name: expressions over a name are kept."""
+        context = SparkContext._active_spark_context
+        found = [_entities_of(r, text, context) if isinstance(text, str) else r.entities(text) for r in self.chosen(entity_types)]
         return F.concat(no_entities(), *found)
 
 
 def detect(docs: DataFrame, registry: Registry | None = None, text: str = "text", entity_types: Iterable[str] | None = None, into: str = "entities") -> DataFrame:
     """Add the array of detected entities to each row. A narrow projection: one pass, no shuffle."""
-    return docs.withColumn(into, (registry or Registry.default()).entities(F.col(text), entity_types))
+    return docs.withColumn(into, (registry or Registry.default()).entities(text, entity_types))
 
 
 def at_least(entities: Column | str, confidence: float) -> Column:

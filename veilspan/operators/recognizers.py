@@ -95,6 +95,8 @@ class Recognizer:
     descriptions: tuple[str, ...] = field(default=(), compare=False)
 
     def __post_init__(self):
+        for name in ("patterns", "context_words", "deny_words", "descriptions"):
+            object.__setattr__(self, name, tuple(getattr(self, name)))
         if not self.entity_type or not isinstance(self.entity_type, str):
             raise ValueError("entity_type must be a non-empty text")
         if not self.patterns:
