@@ -23,8 +23,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is identified, with that language as lang. A document without text goes."""
     keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    none = F.lit(None).cast("string")
-    found = identify(keyed, fit(docs), "__row", F.col("text"), none, none, F.col("source"))
+    found = identify(keyed, fit(docs), "__row", F.col("text"), None, None, F.col("source"))
     found = found.where("kept").groupBy("__row").agg(F.first("lang").alias("__lang"))
     return keyed.join(found, "__row").withColumn("lang", F.col("__lang")).select(*COLUMNS)
 

@@ -30,6 +30,8 @@ STRENGTH = 60.0
 #: Rows' worth of the wider prior that a host's or a suffix's own counts are mixed with.
 PULL = 10.0
 LEAST_SCORE = 0.5
+#: Counts of hosts, suffixes or declarations by language are broadcast up to this many numbers.
+BROADCAST_CELLS = 500_000
 
 
 def _buckets(buf: np.ndarray) -> np.ndarray:
@@ -111,14 +113,16 @@ def _softmax(scores: Column) -> Column:
     return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, y: a + y))
 
 
-def identify(rows: DataFrame, model: Trigrams, key: str, text: Column, declared: Column, suffix: Column, host: Column, pull: float = PULL, least: float = LEAST_SCORE) -> DataFrame:
+def identify(rows: DataFrame, model: Trigrams, key: str, text: Column, declared: Column | None, suffix: Column | None, host: Column | None, pull: float = PULL, least: float = LEAST_SCORE) -> DataFrame:
     """(key, lang, score, kept) of every row; score is the posterior of lang.
 
-    Evidence that is null says nothing. A text without a word is no text. Rows whose text has no trigram, or whose best language scores under
+    Evidence that is null, or not given, says nothing. A text without a word is no text. Rows whose text has no trigram, or whose best language scores under
     ``least``, are not kept; a row without a trigram has a null lang and score 0. Keys may be null or repeat. Only ``key`` and what the expressions name
     is read. Without any language in the model no row is identified.
     """
     names, n = model.languages, len(model.languages)
+    given = [by for by, c in (("__suffix", suffix), ("__host", host), ("__declared", declared)) if c is not None]
+    declared, suffix, host = (F.lit(None).cast("string") if c is None else c for c in (declared, suffix, host))
     kind = rows.schema[key].dataType.simpleString()
     base = rows.select(F.col(key).alias("__key"), F.lower(F.substring(declared, 1, 2)).alias("__declared"), suffix.alias("__suffix"), host.alias("__host"), F.when(text.rlike(r"[^\x20\x09-\x0D]"), text.cast("string")).alias("__text"))
     if not names:
@@ -131,7 +135,9 @@ def identify(rows: DataFrame, model: Trigrams, key: str, text: Column, declared:
     sums = [F.sum(F.when(F.col("__n") > 0, F.col("__p")[k]).otherwise(0.0)) for k in range(n)]
 
     def counts(by: str) -> DataFrame:
-        return scored.where(F.col(by).isNotNull()).groupBy(by).agg(F.array(*sums).alias(f"{by}_n"))
+        """A row for each value; broadcast only if there are few, else joined by a shuffle in which nulls are spread."""
+        table = cut(scored.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("__value")).agg(F.array(*sums).alias(f"{by}_n")))
+        return F.broadcast(table) if table.count() * n <= BROADCAST_CELLS else table
 
     total = list(scored.agg(F.array(*sums).alias("n")).first().n)
     overall = [(x or 0.0) + 1.0 for x in total]
@@ -145,7 +151,11 @@ def identify(rows: DataFrame, model: Trigrams, key: str, text: Column, declared:
 
     out = scored
     for by in ("__suffix", "__host", "__declared"):
-        out = out.join(counts(by), by, "left")
+        if by in given:
+            value = F.coalesce(by, F.concat(F.lit("\0"), F.pmod(F.hash("__key"), F.lit(4096))))  # no value begins so
+            out = out.withColumn("__value", value).join(counts(by), "__value", "left").drop("__value")
+        else:
+            out = out.withColumn(f"{by}_n", F.lit(None).cast("array<double>"))
     out = out.withColumn("__wide", shrunk(F.col("__suffix_n"), overall)).withColumn("__prior", shrunk(F.col("__host_n"), F.col("__wide")))
     # P(declared | language), up to a factor that all languages share: the language's share among the rows that declare so, over its share of all
     said = F.zip_with(shrunk(F.col("__declared_n"), overall), overall, lambda a, w: F.log(a / w))
@@ -161,8 +171,7 @@ def identify(rows: DataFrame, model: Trigrams, key: str, text: Column, declared:
 
 def document_languages(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, score, kept) of documents: text and the source as host. The rows' lang is read for fitting only."""
-    none = F.lit(None).cast("string")
-    return identify(docs, fit(docs), "doc_id", F.col("text"), none, none, F.col("source"))
+    return identify(docs, fit(docs), "doc_id", F.col("text"), None, None, F.col("source"))
 
 
 def page_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
