@@ -113,52 +113,62 @@ def _sets(size: int):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): each node's smallest reachable node, for undirected links (a, b).
+    """(node, root): each node's smallest reachable node, for undirected links (a, b) of any ordered type.
 
     Every round takes the least root among a node's neighbours and then the root of that root, with a
-    checkpoint; the driver sees only how many rows changed.
+    checkpoint; the driver sees only whether a row changed. Stars around their smallest node need one round.
     """
     both = cut(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = cut(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root")))
+    roots = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")).select("node", "root")
     while True:
+        roots = cut(roots)
         near = both.join(roots, both.b == roots.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         low = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("low"))
         up = roots.select(F.col("node").alias("low"), F.col("root").alias("up"))
-        new = cut(low.join(up, "low", "left").select("node", "old", F.least("low", F.coalesce("up", "low")).alias("root")))
+        new = low.join(up, "low", "left").select("node", "old", F.least("low", F.coalesce("up", "low")).alias("root"))
+        new = cut(new)
         if new.where("old != root").isEmpty():
-            return new.select("node", "root")
+            return roots
         roots = new.select("node", "root")
 
 
 def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Roots of the nodes that have a link, given bucket members (bucket, node, n, shared) and their shingles."""
-    possible = lambda x, y: F.col(f"{x}.n") + F.col(f"{y}.n")
-    links, roots, width = None, None, 1
+    """Roots of the nodes that have a link, given bucket members (bucket, node, n, shared) and the nodes' shingles.
+
+    A node is a pair of the share of its shingles that occur nowhere else and its id: in that order the likeliest hubs
+    come first, and the hub of a star is its root.
+    """
+    roots, width = None, 1
     while True:
         rows = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots else members.withColumn("root", F.col("node"))
         open_ = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
-        order = Window.partitionBy("bucket").orderBy((F.col("n") - F.col("shared")) / F.col("n"), "node")
-        rows = cut(rows.join(open_, "bucket").withColumn("turn", F.row_number().over(order)))
+        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
+        rows = cut(rows.join(open_, "bucket").withColumn("turn", turn))
         if rows.isEmpty():
             return roots
-        hubs = rows.where(F.col("turn") <= width).alias("h")
         pairs = (
             rows.alias("m")
-            .join(hubs, F.col("m.bucket") == F.col("h.bucket"))
+            .join(rows.where(F.col("turn") <= width).alias("h"), F.col("m.bucket") == F.col("h.bucket"))
             .where((F.col("m.turn") > F.col("h.turn")) & (F.col("m.root") != F.col("h.root")))
             # |A & B| is at most what either shares with anyone, and at least percent/(100 + percent) of |A| + |B|
-            .where((100 + percent) * F.least("m.shared", "h.shared", "m.n", "h.n") >= percent * possible("m", "h"))
-            .select(F.col("h.node").alias("a"), F.col("m.node").alias("b"))
+            .where((100 + percent) * F.least("m.shared", "h.shared") >= percent * (F.col("m.n") + F.col("h.n")))
+            .select(F.col("h.node").alias("a"), F.col("m.node").alias("b"), F.col("h.root").alias("x"), F.col("m.root").alias("y"))
             .distinct()
         )
-        one, two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-        both = F.size(F.array_intersect("x", "y"))
-        found = pairs.join(one, "b").join(two, "a").where((100 + percent) * both >= percent * (F.size("x") + F.size("y"))).select("a", "b")
-        links = cut(links.unionAll(found) if links else found)
-        if not links.isEmpty():
-            roots = components(links)
+        one = sets.select(F.col("node").alias("one"), F.col("shingles").alias("p"))
+        two = sets.select(F.col("node").alias("two"), F.col("shingles").alias("q"))
+        both = F.size(F.array_intersect("p", "q"))
+        near = pairs.join(one, F.col("b.id") == one.one).join(two, F.col("a.id") == two.two)
+        found = cut(near.where((100 + percent) * both >= percent * (F.size("p") + F.size("q"))).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        if not found.isEmpty():
+            new = components(found)  # of the roots so far
+            if roots:
+                moved = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+                roots = cut(moved.unionAll(new).distinct())
+            else:
+                roots = new
         members = rows.where(F.col("turn") > width).select("bucket", "node", "n", "shared")
-        width *= 4
+        width *= 16
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
@@ -191,10 +201,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     alone = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
     alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
     members = members.join(alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("shared") * 100 >= F.col("n") * percent)
-    roots = _linked(cut(members.select("bucket", "node", "n", "shared")), sets, percent)
+    # a link needs (100 + percent) * shared >= percent * (n + the partner's n), and a partner is at least as large as the bucket's smallest
+    members = cut(members.select("bucket", "node", "n", "shared"))
+    smallest = members.groupBy("bucket").agg(F.min("n").alias("low"), F.count("*").alias("size")).where("size > 1")
+    members = members.join(smallest, "bucket").where((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("low")))
+    node = F.struct(((F.col("n") - F.col("shared")) / F.col("n")).alias("apart"), F.col("node").alias("id"))
+    roots = _linked(cut(members.select("bucket", node.alias("node"), "n", "shared")), sets, percent)
 
     own = classes.select("node", "n", "doc")
     if roots is not None:
+        roots = roots.select(F.col("node.id").alias("node"), F.col("root.id").alias("root"))
         group = roots.join(own.select("node", "doc"), "node").groupBy("root").agg(F.min("doc").alias("component"))
         own = own.join(roots.join(group, "root").select("node", "component"), "node", "left")
     else:
