@@ -142,8 +142,10 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | No
     while True:
         rows = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots else members.withColumn("root", F.col("node"))
         open_ = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
-        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        rows = cut(rows.join(open_, "bucket").withColumn("turn", turn))
+        # members of the bucket's smaller components come first, so that a round settles what lies outside the largest one
+        peers = F.count("*").over(Window.partitionBy("bucket", "root"))
+        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("peers", "node"))
+        rows = cut(rows.join(open_, "bucket").withColumn("peers", peers).withColumn("turn", turn).drop("peers"))
         if rows.isEmpty():
             return roots
         pairs = (
