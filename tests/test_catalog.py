@@ -43,3 +43,23 @@ def test_import_needs_no_session():
     import sys
 
     subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], check=True, timeout=120)
+
+
+def test_neighbours_of_whole_texts(spark, tmp_path):
+    """Chains after the 400th character and one on it are found whole."""
+    import re
+
+    texts = ["x" * 395 + " Alexander Smith said, and Mary  Ann Lee too. " + "y " * 300 + "Old Town", "Ann Bo\nCy " * 200, "none", None, "é🙂 Ada Lovelace"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    wanted = []
+    for k, text in enumerate(texts):
+        chains = []
+        for m in re.finditer("[A-Z][a-z]+", text or ""):
+            if chains and m.start() - chains[-1][-1].end() <= 2:
+                chains[-1].append(m)
+            else:
+                chains.append([m])
+        wanted += [(k, "".join(m[0] for m in c), c[0].start(), c[-1].end(), len(c)) for c in chains]
+    got = QUERIES["merge_neighbours_whole"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(wanted)
+    assert any(x[2] < 400 < x[3] for x in wanted)

@@ -295,6 +295,12 @@ def merge_overlaps(spark, sf_dir):
 _CAPITAL = "[A-Z][a-z]+"
 
 
+def _neighbours(spark, sf_dir, text: Column) -> DataFrame:
+    spans = F.transform(find_spans(text, _CAPITAL), lambda s: entity("PERSON_NAME", s["value"], s["start"], s["end"], 0.8, "regex", "capital"))
+    each = exploded(_docs(spark, sf_dir).select("doc_id", spans.alias("entities")), "doc_id")
+    return merge_adjacent_rows(each, "doc_id").select("doc_id", *_long("value", "start_pos", "end_pos"), "merged_from")
+
+
 @query(
     f"""WITH ent AS ({_spans("documents", "doc_id", "left(text, 400)", _CAPITAL)}),
 marked AS (SELECT *, lag(e) OVER w AS pe FROM ent WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
@@ -302,10 +308,13 @@ chains AS (SELECT *, sum(CASE WHEN pe IS NOT NULL AND s - pe BETWEEN 0 AND 2 THE
 SELECT doc_id, string_agg(value, '' ORDER BY s) AS value, min(s)::BIGINT AS start_pos, max(e)::BIGINT AS end_pos, count(*)::INTEGER AS merged_from FROM chains GROUP BY doc_id, c"""
 )
 def merge_neighbours(spark, sf_dir):
-    start = F.left("text", F.lit(400))
-    spans = F.transform(find_spans(start, _CAPITAL), lambda s: entity("PERSON_NAME", s["value"], s["start"], s["end"], 0.8, "regex", "capital"))
-    each = exploded(_docs(spark, sf_dir).select("doc_id", spans.alias("entities")), "doc_id")
-    return merge_adjacent_rows(each, "doc_id").select("doc_id", *_long("value", "start_pos", "end_pos"), "merged_from")
+    """The first 400 characters of each text, as its SQL reads them; merge_neighbours_whole reads all."""
+    return _neighbours(spark, sf_dir, F.left("text", F.lit(400)))
+
+
+@query()
+def merge_neighbours_whole(spark, sf_dir):
+    return _neighbours(spark, sf_dir, F.col("text"))
 
 
 _KEY_TEXT = "CASE c_custkey % 4 WHEN 0 THEN '联系电话 ' WHEN 1 THEN '订单号 ' WHEN 2 THEN '手机 价格 ' ELSE '' END || '138' || lpad((c_custkey % 100000000)::VARCHAR, 8, '0')"
