@@ -209,6 +209,24 @@ def test_quality_line_frequency(spark):
     assert got[60].n_removed == 0 and got[70].n_removed == 0 and got[70].kept
 
 
+def test_quality_texts_without_frequent_lines(spark, awkward, empty):
+    own = lambda k: " ".join(chr(97 + k % 26) * 3 + chr(97 + j) for j in range(12))
+    boiler, again = "All rights reserved 2024, you & me", "  ALL rights  reserved 1999, you & me\t"
+    rows = [(k, f"{own(k)}\n\n{boiler}\n é {chr(97 + k)}x\n{again}\n", "en", "h") for k in range(6)]
+    # one doc_id and text under two hosts, a repeated row, a null host, nulls
+    rows += [(3, rows[3][1], "en", "other"), rows[4], (60, rows[5][1], "en", None), (None, rows[0][1], "en", "h"), (61, None, "en", "h")]
+    got = quality.quality(as_rows(spark, rows), line_limit=5, texts=True)
+    cleaned = lambda k: f"{own(k)}\n\n é {chr(97 + k)}x\n"
+    wanted = [(k, cleaned(k), [boiler, again], 14) for k in [0, 1, 2, 3, 4, 4, 5]]
+    wanted += [(3, rows[3][1], [], 0), (60, rows[5][1], [], 0), (None, cleaned(0), [boiler, again], 14), (61, None, [], 0)]
+    assert rows_of(got.select("doc_id", "kept_text", "removed_lines", "n_removed")) == sorted(wanted, key=repr)
+    assert rows_of(got.drop("kept_text", "removed_lines")) == rows_of(quality.quality(as_rows(spark, rows), line_limit=5))
+    plain = quality.quality(awkward, texts=True)
+    assert rows_of(plain.select("doc_id", "kept_text")) == sorted(((i, t) for i, t, *_ in awkward_rows()), key=repr)
+    assert rows_of(plain.drop("kept_text", "removed_lines")) == rows_of(quality.quality(awkward))
+    assert rows_of(quality.quality(empty, texts=True)) == []
+
+
 ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 

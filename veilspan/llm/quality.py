@@ -53,6 +53,11 @@ def _repeated(hashes: np.ndarray, width: int) -> int:
     return int((np.cumsum(change) > 0).sum())
 
 
+def _normal(line: bytes) -> list[bytes]:
+    """The words of a normalised line."""
+    return line.translate(_NORMAL).split()
+
+
 def _measured(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,7 +75,7 @@ def _measured(width: int):
                     seen: Counter[bytes] = Counter()
                     again, raw = 0, set()
                     for line in data[offsets[k] : offsets[k + 1]].split(b"\n"):
-                        parts = line.translate(_NORMAL).split()
+                        parts = _normal(line)
                         if parts:
                             again += line in raw
                             raw.add(line)
@@ -88,25 +93,59 @@ def _measured(width: int):
     return run
 
 
-def quality(docs: DataFrame, line_limit: int = LINE_LIMIT, least_left: float = LEAST_LEFT, min_words: int = MIN_WORDS, max_repeated_percent: int = MAX_REPEATED_PERCENT) -> DataFrame:
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text without the lines whose hashes are in ``gone``, those lines in order, and the number of their words."""
+    for batch in batches:
+        kept, lost, words = [], [], []
+        for text, gone in zip(batch.column("text").cast(pa.binary()), batch.column("gone"), strict=True):
+            text, gone = text.as_py(), set(gone.as_py() or ())
+            out, away, n = [], [], 0
+            for line in text.split(b"\n") if gone else ():
+                parts = _normal(line)
+                if parts and int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(parts))).view(np.int64)) in gone:
+                    away.append(line)
+                    n += len(parts)
+                else:
+                    out.append(line)
+            kept.append(b"\n".join(out) if gone else text)
+            lost.append(away)
+            words.append(n)
+        fields = [f for f in batch.schema if f.name not in ("text", "gone")]
+        arrays = [batch.column(f.name) for f in fields] + [pa.array(words, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lost, pa.list_(pa.binary())).cast(pa.list_(pa.string()))]
+        yield pa.record_batch(arrays, names=[*(f.name for f in fields), "n_removed", "kept_text", "removed_lines"])
+
+
+def quality(docs: DataFrame, line_limit: int = LINE_LIMIT, least_left: float = LEAST_LEFT, min_words: int = MIN_WORDS, max_repeated_percent: int = MAX_REPEATED_PERCENT, texts: bool = False) -> DataFrame:
     """The base statistics of every row, with n_removed (words in frequent lines), base_failed and kept.
 
+    With ``texts`` also kept_text (the text without its frequent lines, the others as they are, joined by line feeds; null for
+    a null text) and removed_lines (those lines as they stood, in order), of rejected rows too.
+
     The host is ``source``; null is a host of its own. A null text has no words and fails the base rules. Rows with a null
     doc_id and repeated rows are judged like any others. Other columns are not read.
     """
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("content"), text.alias("text"))
-    rows = cut(rows.mapInArrow(_measured(5), f"doc_id long, source string, content long, {_BASE}, lines array<long>, line_words array<int>"))
-    one = F.arrays_zip(F.col("lines").alias("line"), F.col("line_words").alias("words"))
-    lines = rows.select("doc_id", "content", "source", F.inline(one)).select("doc_id", "content", F.xxhash64("source", "line").alias("line"), "words")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("content"), text.alias("text"))
+    rows = cut(named.mapInArrow(_measured(5), f"doc_id long, source string, content long, {_BASE}, lines array<long>, line_words array<int>"))
+    one = F.arrays_zip(F.col("lines").alias("hash"), F.col("line_words").alias("words"))
+    # rows of equal doc_id, source and text have equal lines, so one of them stands for all
+    mine = F.xxhash64(F.lit(7), "doc_id", "content", F.coalesce("source", F.lit("")), F.col("source").isNull())
+    lines = rows.select(mine.alias("own"), "content", "source", F.inline(one)).withColumn("line", F.xxhash64("source", "hash"))
     frequent = lines.groupBy("line").agg(F.count_distinct("content").alias("n")).where(F.col("n") > line_limit).select("line")
-    # rows of equal doc_id and text have equal lines, so one of them stands for all
-    mine = F.xxhash64(F.lit(7), "doc_id", "content")
-    removed = lines.join(frequent, "line").select(mine.alias("own"), "line", "words").groupBy("own", "line").agg(F.first("words").alias("words")).groupBy("own").agg(F.sum("words").alias("n_removed"))
-    out = rows.withColumn("own", mine).join(removed, "own", "left")
+    removed = lines.join(frequent, "line").groupBy("own", "line").agg(F.first("words").alias("words"), F.first("hash").alias("hash"))
+    removed = removed.groupBy("own").agg(F.sum("words").alias("n_removed"), F.collect_list("hash").alias("gone"))
+    base = [x.split()[0] for x in _BASE.split(", ")]
+    out = rows.withColumn("own", mine)
+    more = []
+    if texts:
+        of_text = out.select("own", *base).dropDuplicates(["own"]).join(removed.select("own", "gone"), "own", "left")
+        out = named.select("doc_id", "text", mine.alias("own")).join(of_text, "own").select("doc_id", *base, "text", "gone")
+        out = out.mapInArrow(_without, f"doc_id long, {_BASE}, n_removed long, kept_text string, removed_lines array<string>")
+        more = ["kept_text", "removed_lines"]
+    else:
+        out = out.join(removed.select("own", "n_removed"), "own", "left")
     gone = F.coalesce("n_removed", F.lit(0).cast("long"))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeated_percent)
     left = F.col("n_words") - gone
     depleted = (gone > 0) & ((left < min_words) | (left < F.col("n_words") * least_left))
-    base = [x.split()[0] for x in _BASE.split(", ")]
-    return out.select("doc_id", *base, gone.alias("n_removed"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
+    return out.select("doc_id", *base, gone.alias("n_removed"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), *more)
