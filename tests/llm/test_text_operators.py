@@ -111,6 +111,32 @@ def test_prefix_counts_of_random_words():
     assert len(c.words) <= token_counts.KEPT
 
 
+def test_counts_inside_words():
+    """Every prefix of a word against the library: contractions, other spaces, specials, letters outside NFC or that grow when lowered."""
+    c = token_counts.counter(token_counts.VOCABULARY)
+    rng = np.random.default_rng(1)
+    letters = [*"aabceéghillnoorstTuüß'.-0!日本İΣ", "'re", "'LL", "\u3000", "\xa0", "\x1c", "e\u0301", "<|endoftext|>", "<|end", "한", "🙂"]
+    for k in range(150):
+        word = "".join(rng.choice(letters[: 29 if k % 2 else None], rng.integers(1, 12)))
+        assert c.inside(word) == [len(library(word[:n])[0]) for n in range(len(word) + 1)], word
+
+
+def test_truncated_inside_words(spark):
+    rng = np.random.default_rng(2)
+    pick = lambda letters, n: "".join(rng.choice(list(letters), n))
+    texts = [pick("日本語的一是在人有我他這中大来上国", 400), pick("ABCDEFGHabcdefgh0123456789+/", 500), "two words  then " + pick("abcdefghij", 300) + " end", "fits here ", "", None]
+    docs = as_rows(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])
+    tables = token_counts.prefix_counts(docs).join(docs.select("doc_id", "text"), "doc_id")
+    for budget in (0, 1, 7, 50):
+        for r in token_counts.truncated(tables, budget).collect():
+            text = r.text or ""
+            fits = max(k for k in range(len(text) + 1) if (not k or not text[k - 1].isspace()) and len(library(text[:k])[0]) <= budget)
+            assert (r.kept_text, r.kept_bytes, r.kept_tokens) == (None if r.text is None else text[:fits], len(text[:fits].encode()), len(library(text[:fits])[0]))
+            assert r.kept_bytes > 0 or not text or budget < 2
+    nulls = token_counts.truncated(tables, F.lit(None)).select("kept_text", "kept_bytes", "kept_tokens")
+    assert {tuple(r) for r in nulls.collect()} == {(None, None, None)}
+
+
 def brute_near(rows, size, percent):
     sets = []
     for i, t, *_ in rows:

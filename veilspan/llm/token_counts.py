@@ -7,8 +7,8 @@ a local test: a sequence is the encoding of its text if and only if each token a
 neighbours would come out of the merges as it is. Pairs are tested once and kept.
 
 A text's table holds the byte position of each word's end and the exact count up to there. A prefix
-that ends inside a word adds the count of that partial word. Truncation and budget questions read the
-table and encode nothing again.
+that ends inside a word adds the count of that partial word. Questions about whole words read the
+table alone; ``truncated`` computes the prefix counts of the one word that crosses the budget.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ from .common import Words, chunks
 #: Entries that a task's tables of words, pieces and pairs hold at most before they start afresh.
 KEPT = 1_000_000
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\f\va-z0-9]+")
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SHORT = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}
 
 
 class _Kept(dict):
@@ -66,6 +69,7 @@ class PrefixCounter:
         self.fits = _Kept(lambda pair: self._apart(*pair))
         self.pieces = _Kept(lambda s: self.prefixes(s)[1][-1])
         self.words = _Kept(self._word)
+        self.lowered = _Kept(self.tokenizer.normalizer.normalize_str)
 
     def _edge(self, token: str, side: int) -> list[tuple[str, float]]:
         """What stands at a token's left (0) or right (1) edge while it is built, and the merge that ends each."""
@@ -124,6 +128,47 @@ class PrefixCounter:
             return len(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
         return sum(map(self.pieces.__getitem__, self.split(word.decode())))
 
+    def inside(self, word: str) -> list[int]:
+        """The exact count of each prefix of a word: out[k] is that of its first k characters.
+
+        Special strings and spaces beyond ASCII divide a word into parts that are counted alone. A part that isn't in NFC
+        is counted anew at each prefix.
+        """
+        out, start, at = [0], 0, 0
+        special = re.compile("|".join(re.escape(x.decode()) for x in self.special) or "(?!)")
+        for m in special.finditer(word):
+            # a cut inside the special string leaves plain text
+            out += self._spaced(word[start : m.end() - 1], out[start])
+            out.append(out[m.start()] + 1)
+            start = at = m.end()
+        return out + self._spaced(word[at:], out[at])
+
+    def _spaced(self, text: str, before: int) -> list[int]:
+        out: list[int] = []
+        for part in re.split(f"({_SPACES.pattern}+)", text):
+            base = out[-1] if out else before
+            out += [base] * len(part) if _SPACES.match(part) else [base + x for x in self._part(part)]
+        return out
+
+    def _part(self, text: str) -> list[int]:
+        count = lambda x: sum(map(self.pieces.__getitem__, self.split(x)))
+        if not unicodedata.is_normalized("NFC", text):
+            return [count(text[:k]) for k in range(1, len(text) + 1)]
+        shown = [self.lowered[x] for x in text]
+        low = "".join(shown)
+        at, before = [0] * (len(low) + 1), 0
+        for piece, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(low):
+            if low[a:b] in _SHORT:
+                ends = [0] + [count(low[a : a + k]) for k in range(1, b - a + 1)]
+            else:
+                ends = self.prefixes(piece, every=True)[1]
+            size = 0
+            for k in range(a, b):
+                size += len(low[k].encode())
+                at[k + 1] = before + ends[size]
+            before = at[b]
+        return [at[k] for k in np.cumsum([len(x) for x in shown])]
+
 
 @functools.lru_cache(2)
 def counter(path: str) -> PrefixCounter:
@@ -165,7 +210,10 @@ def words_within(budget: int | Column) -> Column:
 
 
 def bytes_within(budget: int | Column) -> Column:
-    """Length in bytes of the longest run of whole words, from the text's start, within a budget of tokens."""
+    """Length in bytes of the longest run of whole words, from the text's start, within a budget of tokens.
+
+    It is 0 if the first word is over the budget; ``truncated`` also cuts inside words.
+    """
     n = words_within(budget)
     return F.when(n > 0, F.element_at("prefix_bytes", n)).otherwise(0)
 
@@ -196,6 +244,46 @@ def count_at(tables: DataFrame, position: str = "position", path: str = VOCABULA
     return tables.mapInArrow(run, f"{schema}, tokens_before long")
 
 
+def truncated(tables: DataFrame, budget: int | Column, path: str = VOCABULARY) -> DataFrame:
+    """Add kept_text, kept_bytes and kept_tokens: each text's longest start within a budget of tokens, cut at any character.
+
+    ``tables`` has the columns of ``prefix_counts`` with text. The start ends with a character of a word. Of the words, only
+    the one that crosses the budget is looked at. A null budget gives nulls; a null text has a null start of 0 bytes.
+    """
+    limit = "__budget"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(path)
+        for batch in batches:
+            texts, sizes, counts = [], [], []
+            for text, most, ends, tokens in zip(*(batch.column(x) for x in ("text", limit, "prefix_bytes", "prefix_tokens")), strict=True):
+                if not most.is_valid:
+                    for x in (texts, sizes, counts):
+                        x.append(None)
+                    continue
+                data, most = (text.as_py() or "").encode(), most.as_py()
+                ends, tokens = ends.values.to_numpy(zero_copy_only=False), tokens.values.to_numpy(zero_copy_only=False)
+                k = int(np.searchsorted(tokens, most, "right"))
+                size, n = (int(ends[k - 1]), int(tokens[k - 1])) if k else (0, 0)
+                if k < len(ends) and n <= most:
+                    raw = data[size : int(ends[k])]
+                    word = raw.split()[0].decode()
+                    inside = np.array(c.inside(word))
+                    last = int(np.flatnonzero(inside <= most - n)[-1])
+                    if last:
+                        size, n = int(ends[k]) - len(word[last:].encode()), n + int(inside[last])
+                texts.append(data[:size].decode() if text.is_valid else None)
+                sizes.append(size)
+                counts.append(n)
+            columns = [batch.column(x) for x in batch.schema.names if x != limit]
+            names = [x for x in batch.schema.names if x != limit]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names=[*names, "kept_text", "kept_bytes", "kept_tokens"])
+
+    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in tables.schema)
+    rows = tables.withColumn(limit, (F.lit(budget) if isinstance(budget, int) else budget).cast("long"))
+    return rows.mapInArrow(run, f"{schema}, kept_text string, kept_bytes long, kept_tokens long")
+
+
 def token_counts(docs: DataFrame, limit: int = 2048, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) from the prefix tables."""
     return prefix_counts(docs, path).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
