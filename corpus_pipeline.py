@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspan.llm import bpe, mixing, secrets
@@ -29,9 +29,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates, the one with the smallest doc_id; rows without an id stay."""
-    kept = near_duplicates(docs, shingle=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    """Keep one row of each group of near duplicates, the first by doc_id, hash of text, lang, source and n_chars.
+
+    Rows without a word or an id are in no group and stay.
+    """
+    rows = near_duplicates(docs, shingle=5, percent=80, by_row=True).where("doc_id is not null").select("doc_id", "content", "root")
+    kept = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "content")).alias("row")).select("row.*", F.lit(False).alias("__alone"))
+    kept = kept.unionByName(rows.where("root is null").select("doc_id", "content", F.lit(True).alias("__alone")).distinct()).withColumnRenamed("content", "__content")
+    named = docs.select(*COLUMNS, F.xxhash64("text").alias("__content")).join(kept, ["doc_id", "__content"])
+    turn = F.row_number().over(Window.partitionBy("doc_id", "__content").orderBy("lang", "source", "n_chars"))
+    named = named.withColumn("__turn", turn).where("__turn = 1 or __alone").select(*COLUMNS)
     return named.unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 

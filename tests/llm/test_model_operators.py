@@ -270,6 +270,17 @@ def test_pipeline_stages(spark, awkward, tmp_path):
     assert names == ["language_id", "near_dedup", "secret_scan", "source_mix", "bpe_codec"]
 
 
+def test_near_dedup_keeps_one_row_of_a_group(spark):
+    """Repeated rows, and copies under an id whose other text stays; rows without an id stay."""
+    say = lambda k: " ".join(f"{chr(97 + k)}{j}" for j in range(60))
+    near = say(0).replace("a59", "end")
+    rows = [(1, say(0)), (1, say(0)), (2, say(0)), (2, say(1)), (2, say(1)), (3, near), (4, say(2)), (4, say(3)), (5, say(2)), (6, None), (6, None), (None, say(0)), (None, say(0))]
+    rows = [(i, t, "en", s) for i, t in rows for s in ("a",)] + [(4, say(3), "en", "b")]
+    got = corpus_pipeline.near_dedup(spark, as_rows(spark, rows), "").select("doc_id", "text", "source")
+    wanted = [(1, say(0), "a"), (2, say(1), "a"), (4, say(2), "a"), (4, say(3), "a"), (6, None, "a"), (6, None, "a"), (None, say(0), "a"), (None, say(0), "a")]
+    assert rows_of(got) == sorted(wanted, key=repr)
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]

@@ -71,6 +71,7 @@ def _bands(sketches: np.ndarray, bands: int) -> np.ndarray:
 def _sketched(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            more = batch.schema.names[2:]
             for a, b, buf, offsets in chunks(batch.column("text")):
                 n, sums, found, full = [], [], [], []
                 for k, items in enumerate(shingle_sets(buf, offsets, size)):
@@ -83,7 +84,7 @@ def _sketched(size: int, bands: int, rows: int):
                 lengths = np.zeros(b - a + 1, np.int32)
                 lengths[np.array(full, int) + 1] = bands
                 sums = signed(np.array(sums, np.uint64).reshape(-1, 2))
-                yield pa.record_batch([batch.column("doc_id")[a:b], pa.array(n, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.ListArray.from_arrays(pa.array(np.cumsum(lengths).astype(np.int32)), pa.array(signed(keys.reshape(-1))))], names=["doc_id", "n_shingles", "s1", "s2", "bands"])
+                yield pa.record_batch([batch.column("doc_id")[a:b], pa.array(n, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.ListArray.from_arrays(pa.array(np.cumsum(lengths).astype(np.int32)), pa.array(signed(keys.reshape(-1)))), *(batch.column(x)[a:b] for x in more)], names=["doc_id", "n_shingles", "s1", "s2", "bands", *more])
 
     return run
 
@@ -171,7 +172,7 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | No
         width *= 16
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, by_row: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: groups of documents linked by similar shingle sets.
 
     Two rows are linked if 100 * |A & B| >= percent * |A | B| over their distinct shingles of words with A-Z lowered; a text
@@ -181,9 +182,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     A pair at the threshold of 80 % is missed by all 32 bands with probability 5e-8; no pair that meets in a
     band is dropped unless it is verified or cannot reach the threshold.
+
+    ``by_row`` adds content (xxhash64 of the text) and root, which tells components apart even if they have the same smallest
+    doc_id; root is null for a row that links nothing for want of a word or an id.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
+    more = [F.xxhash64("text").alias("content")] if by_row else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    schema = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>" + ", content long" * by_row
     sketched = cut(docs.mapInArrow(_sketched(shingle, bands, rows), schema))
     classes = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
     classes = classes.select(F.col("s1").alias("node"), F.col("n_shingles").alias("n"), "doc", "bands")
@@ -212,10 +217,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     if roots is not None:
         roots = roots.select(F.col("node.id").alias("node"), F.col("root.id").alias("root"))
         group = roots.join(own.select("node", "doc"), "node").groupBy("root").agg(F.min("doc").alias("component"))
-        own = own.join(roots.join(group, "root").select("node", "component"), "node", "left")
+        own = own.join(roots.join(group, "root").select("node", "root", "component"), "node", "left")
     else:
-        own = own.withColumn("component", F.col("doc"))
-    own = own.select(F.col("node").alias("s1"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
-    out = sketched.select("doc_id", "n_shingles", "s1").join(own, ["s1", "n_shingles"], "left")
+        own = own.withColumn("component", F.col("doc")).withColumn("root", F.col("node"))
+    own = own.select(F.col("node").alias("s1"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"), F.coalesce("root", "node").alias("root"))
+    out = sketched.select("doc_id", "n_shingles", "s1", *["content"] * by_row).join(own, ["s1", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *(["content", F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("root")] if by_row else []))
