@@ -7,9 +7,10 @@ need one or two rounds. Two sets agree in a bin with probability equal to their
 shingles of one round are placed without replacement the number of equal bins is concentrated.
 
 Rows with equal shingle sets are one class, so exact copies cost one row. Classes that agree in a whole band
-of bins meet in a bucket. Inside a bucket no pairs are listed: in each round a few hubs are verified against the members that
-are not yet in their component, then they leave the bucket, and buckets whose members are in one component are done.
-Classes that cannot reach the threshold with anyone, because too many of their shingles occur nowhere else, leave first.
+of bins meet in a bucket. Classes that cannot reach the threshold with anyone, because too many of their shingles occur nowhere
+else, leave first. Inside a bucket no pairs are listed: one hub, the class that meets most others, is verified against the members,
+and buckets whose members are in one component are done. What is left of the others meets by prefix filtering: classes
+of different components are compared only if they share one of their rarest shingles and no bound on their sizes forbids a link.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import Words, block_of, chunks, cut, mix, packed_blocks, signed, unpacked
 
+#: Common shingles whose order the driver hands to the tasks, at most. It bears on speed only: any order of shingles finds all pairs.
+HEAVY = 1 << 16
 _ROUNDS = mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -133,43 +136,96 @@ def components(links: DataFrame) -> DataFrame:
         roots = new.select("node", "root")
 
 
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``pairs`` (a, b, ...) whose nodes' full sets reach the threshold."""
+    one = sets.select(F.col("node").alias("one"), F.col("shingles").alias("p"))
+    two = sets.select(F.col("node").alias("two"), F.col("shingles").alias("q"))
+    both = F.size(F.array_intersect("p", "q"))
+    met = pairs.join(one, F.col("b") == one.one).join(two, F.col("a") == two.two)
+    return met.where((100 + percent) * both >= percent * (F.size("p") + F.size("q"))).select(*pairs.columns)
+
+
+def _prefixes(percent: int, heavy: list[int]):
+    """Each node's prefix, as rows with the shingle, its position and the parities of the whole set.
+
+    Shingles are ordered by how common they are, those that ``heavy`` lists (from rare to common) last. A set that
+    shares ``percent`` of its n shingles with another shares one of its first n - ceil(percent * n / 100) + 1.
+    """
+    keys = np.array(heavy, np.int64).view(np.uint64)
+    by = np.argsort(keys)
+    keys = keys[by]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list[np.ndarray]] = [[] for _ in range(3)]
+            parities = np.zeros((batch.num_rows, 8), np.int64)
+            for k, x in enumerate(batch.column("shingles")):
+                items = x.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                at = np.minimum(np.searchsorted(keys, items), max(len(keys) - 1, 0))
+                rank = np.where(keys[at] == items, by[at] + 1, 0) if len(keys) else np.zeros(len(items), int)
+                first = np.lexsort((items, rank))[: len(items) - -(-percent * len(items) // 100) + 1]
+                parities[k] = np.packbits((np.bincount((items >> np.uint64(7) & np.uint64(511)).astype(np.intp), minlength=512) & 1).astype(np.uint8)).view(np.int64)
+                for out, value in zip(rows, (np.full(len(first), k), np.arange(len(first)), signed(items[first])), strict=True):
+                    out.append(value)
+            row, place, shingle = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in rows)
+            own = [batch.column(c).take(pa.array(row)) for c in ("node", "root", "n")]
+            yield pa.record_batch([*own, pa.array(place, pa.int32()), pa.array(shingle), *(pa.array(parities[row, i]) for i in range(8))], names=["node", "root", "n", "place", "s", *(f"p{i}" for i in range(8))])
+
+    return run
+
+
+def _open_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, x, y) of nodes with different roots x and y that may reach the threshold, for ``nodes`` (node, root, n).
+
+    Two nodes meet at a shingle of both prefixes. A pair is left out only where arithmetic forbids a link: what follows the
+    first common shingle is too short, or the sets differ in more shingles than a link allows, because each differing parity of
+    their shingles by bucket needs one shingle of its own.
+    """
+    sized = sets.join(nodes, "node").select("node", "root", "n", "shingles")
+    common = sized.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    heavy = [r.s for r in common.orderBy(F.desc("n"), "s").limit(HEAVY).collect()][::-1]
+    kinds = dict((f.name, f.dataType.simpleString()) for f in nodes.schema)
+    rows = sized.mapInArrow(_prefixes(percent, heavy), f"node long, root {kinds['root']}, n long, place int, s long, " + ", ".join(f"p{i} long" for i in range(8)))
+    left = F.least(F.col("h.n") - F.col("h.place"), F.col("m.n") - F.col("m.place"))
+    apart = sum((F.bit_count(F.col(f"h.p{i}").bitwiseXOR(F.col(f"m.p{i}"))) for i in range(8)), F.lit(0))
+    sizes = F.col("h.n") + F.col("m.n")
+    may = ((100 + percent) * left >= percent * sizes) & ((100 + percent) * apart <= (100 - percent) * sizes)
+    pairs = rows.alias("h").join(rows.alias("m"), (F.col("h.s") == F.col("m.s")) & (F.col("h.node") < F.col("m.node")) & (F.col("h.root") != F.col("m.root")) & may)
+    return pairs.select(F.col("h.node").alias("a"), F.col("m.node").alias("b"), F.col("h.root").alias("x"), F.col("m.root").alias("y")).distinct()
+
+
 def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Roots of the nodes that have a link, given bucket members (bucket, node, n, shared) and the nodes' shingles.
+    """(node, root) of the nodes that have a link, given bucket members (bucket, node, n, shared, central) and the nodes' sets.
 
-    A node is a pair of the share of its shingles that occur nowhere else and its id: in that order the likeliest hubs
-    come first, and the hub of a star is its root.
+    Each bucket's most central node is its hub, and the others are verified against it: that makes a component of a base text and
+    its copies in one round. Members of buckets that are still of different components meet once more at their prefixes.
     """
-    roots, width = None, 1
-    while True:
-        rows = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots else members.withColumn("root", F.col("node"))
-        open_ = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
-        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        rows = cut(rows.join(open_, "bucket").withColumn("turn", turn))
-        if rows.isEmpty():
-            return roots
-        pairs = (
-            rows.alias("m")
-            .join(rows.where(F.col("turn") <= width).alias("h"), F.col("m.bucket") == F.col("h.bucket"))
-            .where((F.col("m.turn") > F.col("h.turn")) & (F.col("m.root") != F.col("h.root")))
-            # |A & B| is at most what either shares with anyone, and at least percent/(100 + percent) of |A| + |B|
-            .where((100 + percent) * F.least("m.shared", "h.shared") >= percent * (F.col("m.n") + F.col("h.n")))
-            .select(F.col("h.node").alias("a"), F.col("m.node").alias("b"), F.col("h.root").alias("x"), F.col("m.root").alias("y"))
-            .distinct()
-        )
-        one = sets.select(F.col("node").alias("one"), F.col("shingles").alias("p"))
-        two = sets.select(F.col("node").alias("two"), F.col("shingles").alias("q"))
-        both = F.size(F.array_intersect("p", "q"))
-        near = pairs.join(one, F.col("b.id") == one.one).join(two, F.col("a.id") == two.two)
-        found = cut(near.where((100 + percent) * both >= percent * (F.size("p") + F.size("q"))).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-        if not found.isEmpty():
-            new = components(found)  # of the roots so far
-            if roots:
-                moved = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-                roots = cut(moved.unionAll(new).distinct())
-            else:
-                roots = new
-        members = rows.where(F.col("turn") > width).select("bucket", "node", "n", "shared")
-        width *= 16
+    place = F.struct((-F.col("central")).alias("far"), F.col("node").alias("id"))
+    members = cut(members.select("bucket", place.alias("node"), "n", "shared"))
+    hubs = members.groupBy("bucket").agg(F.min(F.struct("node", "n", "shared")).alias("hub"))
+    pairs = members.join(hubs, "bucket").where(
+        (F.col("node") != F.col("hub.node"))
+        # |A & B| is at most what either shares with anyone, and at least percent/(100 + percent) of |A| + |B|
+        & ((100 + percent) * F.least("shared", "hub.shared") >= percent * (F.col("n") + F.col("hub.n")))
+    )
+    pairs = pairs.select(F.col("hub.node").alias("x"), F.col("node").alias("y")).distinct().select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "x", "y")
+    links = cut(_near(pairs, sets, percent).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    roots = components(links) if not links.isEmpty() else None
+
+    rows = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots else members.withColumn("root", F.col("node"))
+    rows = cut(rows.select("bucket", "node", "root", "n"))
+    open_ = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
+    nodes = cut(rows.join(open_, "bucket", "left_semi").select(F.col("node.id").alias("node"), "root", "n").distinct())
+    if nodes.isEmpty():
+        return roots
+    found = cut(_near(_open_pairs(nodes, sets, percent), sets, percent).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    if found.isEmpty():
+        return roots
+    new = components(found)  # of the roots so far
+    if not roots:
+        return new
+    moved = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return cut(moved.unionAll(new).distinct())
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, by_row: bool = False) -> DataFrame:
@@ -181,7 +237,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     kept. Rows that share a doc_id stay rows of their own. Other columns are not read.
 
     A pair at the threshold of 80 % is missed by all 32 bands with probability 5e-8; no pair that meets in a
-    band is dropped unless it is verified or cannot reach the threshold.
+    band is left out unless it is verified, in one component already or cannot reach the threshold.
 
     ``by_row`` adds content (xxhash64 of the text) and root, which tells components apart even if they have the same smallest
     doc_id; root is null for a row that links nothing for want of a word or an id.
@@ -197,21 +253,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     buckets = met.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("all")).where("size > 1")
     buckets = met.join(buckets, "bucket")
     # bands in which the same classes meet are one bucket
-    members = cut(buckets.groupBy("node", "n", "size", "lo", "hi", "all").agg(F.min("bucket").alias("bucket")).select("bucket", "node", "n"))
-    active = members.select("node").distinct().join(classes.select("node", "doc"), "node")
+    members = buckets.groupBy("node", "n", "size", "lo", "hi", "all").agg(F.min("bucket").alias("bucket"), F.count("*").alias("bands"))
+    members = cut(members.select("bucket", "node", "n", (F.col("size") * F.col("bands")).alias("met")))
+    # how many meetings a node has grows with its similarity to the others: the base of a group has most
+    active = members.groupBy("node").agg(F.sum("met").alias("central")).join(classes.select("node", "doc"), "node")
+    active = cut(active)
 
     packed, blocks = packed_blocks(docs)
-    asked = active.withColumn("block", block_of(F.col("doc"), F.lit(0).cast("long"), blocks))
+    asked = active.select("node", "doc").withColumn("block", block_of(F.col("doc"), F.lit(0).cast("long"), blocks))
     sets = cut(packed.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_sets(shingle), "node long, shingles array<long>"))
     alone = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
     alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
-    members = members.join(alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("shared") * 100 >= F.col("n") * percent)
+    known = active.select("node", "central").join(alone, "node", "left")
+    members = members.join(known, "node").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("shared") * 100 >= F.col("n") * percent)
     # a link needs (100 + percent) * shared >= percent * (n + the partner's n), and a partner is at least as large as the bucket's smallest
-    members = cut(members.select("bucket", "node", "n", "shared"))
+    members = cut(members.select("bucket", "node", "n", "shared", "central"))
     smallest = members.groupBy("bucket").agg(F.min("n").alias("low"), F.count("*").alias("size")).where("size > 1")
     members = members.join(smallest, "bucket").where((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("low")))
-    node = F.struct(((F.col("n") - F.col("shared")) / F.col("n")).alias("apart"), F.col("node").alias("id"))
-    roots = _linked(cut(members.select("bucket", node.alias("node"), "n", "shared")), sets, percent)
+    roots = _linked(members, sets, percent)
 
     own = classes.select("node", "n", "doc")
     if roots is not None:
