@@ -60,6 +60,16 @@ def test_neighbours_of_whole_texts(spark, tmp_path):
             else:
                 chains.append([m])
         wanted += [(k, "".join(m[0] for m in c), c[0].start(), c[-1].end(), len(c)) for c in chains]
-    got = QUERIES["merge_neighbours_whole"](spark, str(tmp_path))
+    got = QUERIES["merge_neighbours"](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == sorted(wanted)
     assert any(x[2] < 400 < x[3] for x in wanted)
+
+
+def test_detection_is_computed_once(spark):
+    """Each pattern is matched once for a row, whatever is done with the entities afterwards."""
+    from veilspan.operators.recognizers import DEFAULTS
+
+    all_, five = sum(len(r.patterns) for r in DEFAULTS), 6
+    for name, most in (("detect_email", 1), ("detect_summary", all_), ("batch_stats", all_), ("resolve_conflicts", five), ("refined", five), ("redact_text", five), ("pseudonyms", five), ("type_filter", all_), ("confidence_filter", five)):
+        plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all(") <= most, name

@@ -221,6 +221,10 @@ def test_generated_values_are_valid(spark):
     assert flat.where(F.expr("substr(input, start + 1, end - start) <> value")).count() == 0
     assert flat.where("type = 'ID_CARD'").where(~checks.id_checksum(F.col("value"))).count() == 0
     assert flat.where("type = 'BANK_CARD'").where(~checks.luhn(F.col("value"), 16, 19)).count() == 0
+    code = lambda v: sum(prepare.CREDIT_CODE.index(c) * 3**k for k, c in enumerate(v[:17])) + prepare.CREDIT_CODE.index(v[17])
+    assert all(code(r.value) % 31 == 0 for r in flat.where("type = 'TAX_ID'").collect())
+    assert flat.where("type = 'IPV6_ADDRESS' and not rlike(value, '^([0-9a-f]{4}:){7}[0-9a-f]{4}$')").count() == 0
+    assert flat.where("type = 'HK_MACAU_PASS' and not rlike(value, '^[CH][0-9]{8}$')").count() == 0
     assert rows.count() == 20 * len(prepare.TEMPLATES) and "<|im_start|>assistant" in prepare.chat(rows).first().chat
 
 
@@ -256,6 +260,88 @@ def test_model_detection(spark):
     assert spark.range(1).select(model.lenient_json(F.lit('a {"x": {}} b'))).first()[0] == '{"x": {}}'
 
 
+class Sleepy:
+    def generate(self, prompt, system=None, temperature=0.0, max_tokens=0):
+        import time
+
+        time.sleep(30 if "hang" in prompt else 0)
+        if "boom" in prompt:
+            raise RuntimeError
+        return prompt.upper()
+
+
+def test_a_hung_call_loses_its_row_only(spark):
+    import time
+
+    rows = spark.createDataFrame([(k, p) for k, p in enumerate(["a", "hang", "b", "boom", None, "c"])], "id long, prompt string").coalesce(1)
+    began = time.time()
+    got = {r.id: r.response for r in model.ask(rows, Sleepy, timeout=1.0).collect()}
+    assert got == {0: "A", 1: None, 2: "B", 3: None, 4: None, 5: "C"} and time.time() - began < 20
+    assert [r.response for r in model.ask(rows.where("id in (0, 3)"), Sleepy).orderBy("id").collect()] == ["A", None]
+
+
+def test_answers_of_a_tuned_model(spark):
+    cases = [
+        ('{"entities": [{"value": "Ann"}]}', [("UNKNOWN", "Ann", 3, 6, 0.85)]),
+        ('{"entities": [{"type": "P", "value": "Ann", "start_pos": 0, "end_pos": 2, "confidence": 0.9}]}', [("P", "Ann", 0, 2, 0.9)]),
+        ('{"entities": [{"type": "P", "value": "Bob"}, {"type": "P", "value": "Ann"}]}', [("P", "Ann", 3, 6, 0.85)]),
+        ('{"entities": [{"type": "P", "value": "Ann"}, {"type": "P"}]}', []),  # an empty value is unsound
+        ('{"entities": [{"type": "P", "value": "Ann", "confidence": 2.0}, {"type": "P", "value": "Ann"}]}', []),
+        ('{"entities": ["Ann"]}', []),
+        ('{"entities": [{"type": "P", "value": "Ann"}]} tail', []),
+        ("{}", []),
+        ("no", []),
+        (None, []),
+    ]
+    df = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(cases)], "id long, answer string").withColumn("json", model.whole_object("answer"))
+    got = {r.id: [(e.entity_type, e.value, e.start_pos, e.end_pos, e.confidence) for e in r.e] for r in df.select("id", model.tuned_entities(F.lit("hi Ann"), F.col("json")).alias("e")).collect()}
+    assert got == {k: wanted for k, (_, wanted) in enumerate(cases)}
+    marked = spark.createDataFrame([('so {"entities": []} <|im_end|> x',), ('{"entities": [1',), ("none",)], "a string").select(model.marked_json(F.col("a")).alias("m"))
+    assert [r.m for r in marked.collect()] == ['{"entities": []}', '{"entities": [1', None]
+
+
+def test_detector_information(spark):
+    from veilspan.operators.detect import CallStatistics, detector_info, supported_types
+
+    assert supported_types()["llm"] == [] and len(supported_types(True)["all"]) == 8
+    assert detector_info("deep") == {"mode": "auto", "llm_enabled": False, "regex_types": supported_types()["regex"], "llm_types": [], "total_types": 5}
+    with pytest.warns(UserWarning):
+        hybrid_detect(docs(spark, "x"), "deep")
+    calls = CallStatistics(Registry.default())
+    assert calls.detect(docs(spark, "13812345678", "a@b.org c@d.org", "x"), entity_types=["EMAIL", "CHINA_PHONE"]).count() == 3
+    calls.detect(docs(spark, "e@f.org"), entity_types=["EMAIL"]).collect()
+    assert calls.get()["EMAIL"] == {"total_calls": 4, "total_hits": 3} and calls.get()["CHINA_PHONE"] == {"total_calls": 3, "total_hits": 1} and calls.get()["URL"]["total_calls"] == 0
+    calls.reset()
+    assert calls.get()["EMAIL"]["total_calls"] == 0
+
+
+def test_latency_by_definition(spark):
+    """Ties, one very common value, small groups, nulls and no groups at all."""
+    rng = random.Random(3)
+    rows = [(g, rng.choice([5.0, rng.random() * 100])) for g in ("a", "b") for _ in range(3001)] + [("c", 7.0), ("d", 1.0), ("d", 2.0), (None, 3.0), ("a", None)]
+
+    def wanted(xs):
+        xs = sorted(xs)
+        n = len(xs)
+        return (n, xs[0], xs[-1], (xs[(n - 1) // 2] + xs[n // 2]) / 2, xs[int(n * 0.5)], xs[int(n * 0.95)], xs[int(n * 0.99)])
+
+    df = spark.createDataFrame(rows, "g string, x double")
+    cols = ("n", "min", "max", "median", "p50", "p95", "p99")
+    got = {r.g: tuple(r[c] for c in cols) for r in evaluate.latency(df, "x", "g").collect()}
+    assert got == {g: wanted([x for h, x in rows if h == g and x is not None]) for g in ("a", "b", "c", "d", None)}
+    assert tuple(evaluate.latency(df, "x").select(*cols).first()) == wanted([x for _, x in rows if x is not None])
+    assert evaluate.latency(df.limit(0), "x", "g").count() == 0
+
+
+def test_first_rows(spark):
+    values = [random.Random(4).choice([7, k]) for k in range(2000)] + [None, None]
+    df = spark.createDataFrame([(v,) for v in values], "k int")
+    in_order = sorted(values, key=lambda v: (v is not None, v or 0))
+    for n in (0, 1, 3, 900, 1500, 2002):
+        assert sorted((r.k for r in prepare.first_rows(df, "k", n).collect()), key=lambda v: (v is not None, v or 0)) == in_order[:n]
+    assert prepare.first_rows(df.limit(0), "k", 0).count() == 0
+
+
 def test_conversations(spark):
     turns = spark.createDataFrame([(1, 0, "u", "hi"), (1, 1, "a", "Ann here"), (2, 0, "u", None)], "conv_id long, turn long, role string, text string")
     r = model.conversation_text(turns).orderBy("conv_id").first()
@@ -315,6 +401,22 @@ def test_data_sets(spark, tmp_path):
     rows = prepare.split(prepare.generate(spark, {"EMAIL": 20}), "input")
     datasets.write_splits(rows, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 20
+    names = datasets.write_named_splits(rows, str(tmp_path / "all"))
+    assert [n.rsplit("/", 1)[1] for n in names] == ["all_train.jsonl", "all_validation.jsonl", "all_test.jsonl"]
+    assert [datasets.json_lines(spark, n).count() for n in names] == [16, 2, 2]
+    rows.limit(3).write.parquet(str(tmp_path / "saved" / "train"))
+    rows.limit(2).write.parquet(str(tmp_path / "saved" / "extra"))
+    assert datasets.saved(spark, str(tmp_path / "saved")).count() == 3 and datasets.saved(spark, str(tmp_path / "saved"), "test").count() == 2
+    assert datasets.saved(spark, str(tmp_path / "saved" / "extra")).count() == 2
+    datasets.write_document(rows.limit(2), str(tmp_path / "d.json"))
+    with pytest.raises(ValueError):
+        datasets.write_document(rows, str(tmp_path / "d.json"), most=19)
+    lines = "".join(f"t{k} B-X\n" + "\n" * (k % 3 == 0) for k in range(3000))
+    (tmp_path / "long.txt").write_text(lines)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    got = datasets.tagged_text(spark, str(tmp_path / "long.txt")).orderBy("sentence").collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [t for r in got for t in r.tokens] == [f"t{k}" for k in range(3000)] and {len(r.tokens) for r in got} <= {1, 2, 3}
 
 
 def test_streams(spark, tmp_path):

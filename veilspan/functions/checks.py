@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Fixed values of the identity-number checksum.
 ID_WEIGHTS = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)
 ID_DIGITS = "10X98765432"
-# Card brands by prefix; the first that fits counts.
+# Card brands by prefix; the first that fits counts.
 CARD_PREFIXES = (
     ("Visa", ("4",)),
     ("MasterCard", ("51", "52", "53", "54", "55", "22", "23", "24", "25", "26", "27")),

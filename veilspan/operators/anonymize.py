@@ -73,10 +73,10 @@ def synthetic(seed: str = "") -> Strategy:
 
     def replacement(e: Column) -> Column:
         v = e["value"]
-        bits = F.sha2(F.concat(F.lit(seed), e["entity_type"], v).cast("binary"), 512)
+        bits = F.sha2(F.concat(F.lit(seed), e["entity_type"], v).cast("binary"), 256)
 
         def char(c: Column, i: Column) -> Column:
-            n = F.conv(F.substr(bits, F.pmod(i * 2, F.lit(126)) + 1, F.lit(2)), 16, 10).cast("int")
+            n = F.conv(F.substr(bits, F.pmod(i * 2, F.lit(62)) + 1, F.lit(2)), 16, 10).cast("int")
             pick = lambda alphabet: F.substr(F.lit(alphabet), F.pmod(n, F.lit(len(alphabet))) + 1, F.lit(1))
             return F.when(c.rlike("^[0-9]$"), pick("0123456789")).when(c.rlike("^[a-z]$"), pick("abcdefghijklmnopqrstuvwxyz")).when(c.rlike("^[A-Z]$"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(c)
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import functools
+import warnings
 from collections.abc import Callable, Iterable, Mapping
 
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.entity import no_entities
@@ -102,19 +103,25 @@ def of_types(entities: Column | str, types: Iterable[str]) -> Column:
 
 
 def exploded(rows: DataFrame, *keys: str, entities: str = "entities") -> DataFrame:
-    """A row for each entity, with its place in the array as ``ord``."""
-    each = rows.select(*keys, F.posexplode(entities).alias("ord", "entity"))
+    """A row for each entity, with its place in the array as ``ord``.
+
+    Rows without entities leave after the explosion: an inner one would make Catalyst test the size of the array below the
+    projection that computes it, and so compute it again.
+    """
+    each = rows.select(*keys, F.posexplode_outer(entities).alias("ord", "entity")).where(F.col("ord").isNotNull())
     return each.select(*keys, "ord", "entity.*")
 
 
 def hybrid_detect(docs: DataFrame, mode: str = "auto", model: Callable[[DataFrame], DataFrame] | None = None, text: str = "text", entity_types: Iterable[str] | None = None) -> DataFrame:
     """Patterns for the structured types, a model for names, addresses and organisations.
 
-    ``model`` adds ``model_entities`` to a table; without one, deep falls back to auto, and fast never calls it. Nothing is
+    ``model`` adds ``model_entities`` to a table; without one, deep falls back to auto with a warning, and fast never calls it. Nothing is
     deduplicated here. With ``entity_types`` only those are looked for, in sorted order.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
+    if mode == "deep" and model is None:
+        warnings.warn("deep mode has no model and falls back to auto", stacklevel=2)
     wanted = None if entity_types is None else sorted(set(entity_types))
     out = detect(docs, Registry(HYBRID), text, wanted)
     if model is None or mode == "fast" or wanted is not None and not set(wanted) & set(MODEL_TYPES):
@@ -124,20 +131,71 @@ def hybrid_detect(docs: DataFrame, mode: str = "auto", model: Callable[[DataFram
     return out.withColumn("entities", F.concat("entities", F.coalesce(found, no_entities()))).drop("model_entities")
 
 
+def supported_types(model: bool = False) -> dict[str, list[str]]:
+    """The types of the hybrid detector by method, and all of them; those of the model only if there is one."""
+    patterns, named = [r.entity_type for r in HYBRID], list(MODEL_TYPES) if model else []
+    return {"regex": patterns, "llm": named, "all": [*patterns, *named]}
+
+
+def detector_info(mode: str = "auto", model: bool = False) -> dict:
+    """The mode in effect, whether a model is used, and the types by method with their number."""
+    types = supported_types(model)
+    return {"mode": "auto" if mode == "deep" and not model else mode, "llm_enabled": model, "regex_types": types["regex"], "llm_types": types["llm"], "total_types": len(types["all"])}
+
+
+class CallStatistics:
+    """How many texts each recognizer of a registry has read, and how many hits it had, over the jobs that ran since the last reset.
+
+    The figures are observed in the jobs that detect, without a job of their own; a job that hasn't run is waited for.
+    """
+
+    def __init__(self, registry: Registry):
+        self.registry = registry
+        self.reset()
+
+    def reset(self) -> None:
+        self._seen: list[tuple[list[str], Observation]] = []
+
+    def detect(self, docs: DataFrame, text: str = "text", entity_types: Iterable[str] | None = None) -> DataFrame:
+        """``detect`` with observation; the result can run once only."""
+        types = [r.entity_type for r in self.registry.chosen(entity_types)]
+        seen = Observation()
+        hits = [F.sum(F.size(of_types("entities", [t])).cast("long")).alias(f"n{k}") for k, t in enumerate(types)]
+        self._seen.append((types, seen))
+        return detect(docs, self.registry, text, types).observe(seen, F.count(F.lit(1)).alias("calls"), *hits)
+
+    def get(self) -> dict[str, dict[str, int]]:
+        out = {t: {"total_calls": 0, "total_hits": 0} for t in self.registry.entity_types()}
+        for types, seen in self._seen:
+            for k, t in enumerate(types):
+                own = out.setdefault(t, {"total_calls": 0, "total_hits": 0})
+                own["total_calls"] += seen.get["calls"]
+                own["total_hits"] += seen.get[f"n{k}"] or 0
+        return out
+
+
 def batch_statistics(rows: DataFrame, entities: str = "entities") -> DataFrame:
     """One row: texts, entities, texts with any, their rate, entities for each text, and counts by type and by method.
 
-    Texts without entities count; both methods are always listed.
+    Texts without entities count; both methods are always listed. Rows are counted by type and method as they are read, so that
+    one pass over them and a row for each pair are all it takes.
     """
-    n = F.size(entities)
-    totals = rows.agg(F.count("*").alias("total_texts"), F.coalesce(F.sum(n.cast("long")), F.lit(0)).alias("total_entities"), F.count_if(n > 0).alias("texts_with_entities"))
-    each = rows.select(F.explode(entities).alias("e")).groupBy("e.entity_type", "e.detection_method").count()
-    by = lambda c: each.groupBy(c).agg(F.sum("count").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n"))))).first()[0]
-    types, methods = by("entity_type"), {"regex": 0, "llm": 0} | by("detection_method")
-    as_map = lambda items: F.create_map(*(F.lit(x) for kv in sorted(items.items()) for x in kv)).cast("map<string,bigint>")
-    total = F.col("total_texts")
-    rate = lambda x: F.when(total > 0, x / total).otherwise(0.0)
-    return totals.select("*", rate(F.col("texts_with_entities")).alias("rate"), rate(F.col("total_entities")).alias("mean_entities"), as_map(types).alias("by_type"), as_map(methods).alias("by_method"))
+    kept = (F.col("e.entity_type"), F.col("e.detection_method"))
+    each = rows.select(F.posexplode_outer(entities).alias("ord", "e")).groupBy(kept[0].alias("type"), kept[1].alias("method"))
+    found = F.col("ord").isNotNull()
+    # every text has either no entity or one at place 0
+    counts = each.agg(F.count_if(found).alias("n"), F.count_if(F.col("ord") == 0).alias("some"), F.count_if(~found).alias("none"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    one = counts.agg((total("some") + total("none")).alias("total_texts"), total("n").alias("total_entities"), total("some").alias("texts_with_entities"), F.collect_list(F.when(F.col("n") > 0, F.struct("type", "method", "n"))).alias("__each"))
+
+    def by(field: str, names: Column) -> Column:
+        sums = lambda k: F.aggregate(F.filter("__each", lambda x: x[field] == k), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+        return F.map_from_entries(F.transform(F.array_sort(names), lambda k: F.struct(k.alias("key"), sums(k).alias("value"))))
+
+    rate = lambda x: F.when(F.col("total_texts") > 0, x / F.col("total_texts")).otherwise(0.0)
+    types = F.array_distinct(F.col("__each.type"))
+    methods = F.array_distinct(F.concat(F.array(F.lit("regex"), F.lit("llm")), F.col("__each.method")))
+    return one.select("total_texts", "total_entities", "texts_with_entities", rate(F.col("texts_with_entities")).alias("rate"), rate(F.col("total_entities")).alias("mean_entities"), by("type", types).alias("by_type"), by("method", methods).alias("by_method"))
 
 
 def type_distribution(each: DataFrame, by: str = "entity_type") -> DataFrame:

@@ -6,6 +6,8 @@ type and value count once.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,22 +95,42 @@ def accepted(result: DataFrame, f1: float = 0.875, recall: float = 0.90) -> Data
     return result.withColumn("accepted", (F.col("f1") >= f1) & (F.col("recall") >= recall))
 
 
+_PARTS = 64
+
+
 def latency(rows: DataFrame, column: str, *by: str) -> DataFrame:
     """n, min, max, mean, stdev, median, and p50, p95 and p99 as the value at place int(n * p) of the sorted ones.
 
-    A distributed sort numbers the values of a group, so that a group isn't gathered in one row.
+    Equal values are counted first. Ranges of a group's values, cut at approximate quantiles, are counted next, and only the ranges that hold
+    a wanted place are sorted, each by itself, so that no task sorts a whole group.
     """
-    ranked = rows.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("x"))
-    n = F.count("*").over(Window.partitionBy(*by))
-    ranked = ranked.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("x")) - 1).withColumn("n", n)
-    at = lambda p: F.max(F.when(F.col("i") == F.floor(F.col("n") * p), F.col("x")))
-    middle = F.avg(F.when((F.col("i") == F.floor((F.col("n") - 1) / 2)) | (F.col("i") == F.floor(F.col("n") / 2)), F.col("x")))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("stdev"), middle.alias("median"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    keys = [*by] or [F.lit(1).alias("__one")]
+    key = [*by] or ["__one"]
+    values = rows.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("x")).groupBy(*key, "x").agg(F.count("*").alias("c"))
+    figures = rows.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("x")).groupBy(*key)
+    figures = figures.agg(F.count("*").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("stdev"), F.percentile_approx("x", [k / _PARTS for k in range(1, _PARTS)], 1000).alias("__cuts"))
+    n = F.col("n")
+    places = {"p50": F.floor(n * 0.5), "p95": F.floor(n * 0.95), "p99": F.floor(n * 0.99), "__low": F.floor((n - 1) / 2), "__high": F.floor(n / 2)}
+    same = lambda a, b: functools.reduce(lambda x, y: x & y, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in key))
+    pick = lambda t, *c: [F.col(f"{t}.{k}").alias(k) for k in key] + [F.col(x) for x in c]
+    part = F.size(F.filter("__cuts", lambda c: c < F.col("x"))).alias("part")
+    parted = values.alias("v").join(figures.select(*key, "__cuts").alias("f"), same("v", "f")).select(*pick("v", "x", "c"), part)
+    before = F.coalesce(F.sum("size").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = parted.groupBy(*key, "part").agg(F.sum("c").alias("size")).withColumn("before", before)
+    wanted = figures.select(*key, F.explode(F.array(*(F.struct(F.lit(name).alias("name"), at.alias("at")) for name, at in places.items()))).alias("w")).select(*key, "w.*")
+    wanted = wanted.alias("w").join(sizes.alias("s"), same("w", "s") & (F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("size"))).select(*pick("w", "name", "part"), (F.col("at") - F.col("before")).alias("at"))
+    inner = parted.alias("p").join(wanted.select(*key, "part").distinct().alias("w"), same("p", "w") & (F.col("p.part") == F.col("w.part"))).select(*pick("p", "p.part", "x", "c"))
+    ends = inner.withColumn("upto", F.sum("c").over(Window.partitionBy(*key, "part").orderBy("x")))
+    found = wanted.alias("w").join(ends.alias("e"), same("w", "e") & (F.col("w.part") == F.col("e.part")) & (F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("c")))
+    found = found.select(*pick("w", "name", "x")).groupBy(*key).agg(*(F.max(F.when(F.col("name") == name, F.col("x"))).alias(name) for name in places))
+    out = figures.alias("a").join(found.alias("b"), same("a", "b"))
+    return out.select(*(F.col(f"a.{k}").alias(k) for k in by), "n", "min", "max", "mean", "stdev", ((F.col("__low") + F.col("__high")) / 2).alias("median"), "p50", "p95", "p99")
 
 
 def throughput(rows: DataFrame, started: str, ended: str) -> DataFrame:
-    """Requests, the seconds from the first start to the last end, and requests per second."""
-    out = rows.agg(F.count("*").alias("requests"), (F.max(F.col(ended).cast("double")) - F.min(F.col(started).cast("double"))).alias("seconds"))
+    """Requests, the seconds from the first start to the last end, and requests per second; times are timestamps or seconds."""
+    seconds = lambda c: (F.col(c).cast("timestamp") if rows.schema[c].dataType.typeName() == "timestamp_ntz" else F.col(c)).cast("double")
+    out = rows.agg(F.count("*").alias("requests"), (F.max(seconds(ended)) - F.min(seconds(started))).alias("seconds"))
     return out.withColumn("per_second", _ratio(F.col("requests"), F.col("seconds")))
 
 

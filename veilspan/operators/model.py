@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from threading import Thread
 from typing import Protocol
 
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.entity import entity, no_entities
+from ..functions.entity import entity, no_entities, problems
 
 CONFIDENCE = 0.85
 ANSWER = T.StructType(
@@ -50,23 +50,42 @@ def rendered(template: str, text: Column) -> Column:
     return out
 
 
+def _answer(engine: Engine, prompt: str, system: str | None, out: list) -> None:
+    try:
+        out.append(engine.generate(prompt, system))
+    except Exception:  # a failed call is a missing answer
+        out.append(None)
+
+
 def ask(rows: DataFrame, open_engine: Callable[[], Engine], prompt: str = "prompt", system: str | None = None, timeout: float | None = None, into: str = "response") -> DataFrame:
-    """Add each prompt's answer; a failed call, or one beyond ``timeout`` seconds, gives null and the job goes on."""
+    """Add each prompt's answer; a failed call, or one beyond ``timeout`` seconds, gives null and the job goes on.
+
+    With a timeout each call has a daemon thread of its own. One that hangs is left behind with its engine, and a new engine serves the rest.
+    """
     schema = T.StructType([f for f in rows.schema.fields if f.name != into] + [T.StructField(into, T.StringType())])
     columns = schema.fieldNames()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         engine = open_engine()
-        with ThreadPoolExecutor(1) as pool:
-
-            def one(text):
-                try:
-                    return pool.submit(engine.generate, text, system).result(timeout) if text is not None else None
-                except Exception:
-                    return None
 
-            for frame in frames:
-                yield frame.assign(**{into: [one(x) for x in frame[prompt]]})[columns]
+        def one(text):
+            nonlocal engine
+            if text is None:
+                return None
+            out: list = []
+            if timeout is None:
+                _answer(engine, text, system, out)
+                return out[0]
+            call = Thread(target=_answer, args=(engine, text, system, out), daemon=True)
+            call.start()
+            call.join(timeout)
+            if out:
+                return out[0]
+            engine = open_engine()
+            return None
+
+        for frame in frames:
+            yield frame.assign(**{into: [one(x) for x in frame[prompt]]})[columns]
 
     return rows.mapInPandas(run, schema)
 
@@ -113,6 +132,48 @@ def lenient_json(response: Column) -> Column:
     return F.when((start > 0) & (F.locate("}", response) > 0) & (end >= start), F.substr(response, start, end - start + 1))
 
 
+def marked_json(response: Column, begin: str = '{"entities"', end: str = "<|im_end|>") -> Column:
+    """What lies from the first ``begin`` to the next ``end`` or, without one, to the end of the answer."""
+    rest = F.substr(response, F.locate(begin, response), F.length(response))
+    return F.when(F.locate(begin, response) > 0, F.trim(F.substring_index(rest, end, 1)))
+
+
+@F.pandas_udf(T.StringType())
+def whole_object(response: pd.Series) -> pd.Series:
+    """The answer itself if all of it is one JSON object whose entities, if it has any, are objects; otherwise null."""
+
+    def one(x: str | None) -> str | None:
+        try:
+            found = json.loads(x).get("entities", [])
+            return x if isinstance(found, list) and all(isinstance(e, dict) for e in found) else None
+        except (ValueError, TypeError, AttributeError):
+            return None
+
+    return response.map(one)
+
+
+_TUNED = "struct<entities: array<struct<type: string, value: string, start_pos: int, end_pos: int, confidence: double>>>"
+
+
+def tuned_entities(text: Column, response_json: Column, name: str = "tuned_model", least: float = 0.0) -> Column:
+    """Entities of a tuned model's answer (see ``whole_object``): a missing type is UNKNOWN, missing positions are looked up.
+
+    An entity whose value isn't in the text goes. One that is unsound empties the whole list, as an answer that doesn't parse does.
+    """
+
+    def one(a: Column) -> Column:
+        value = F.coalesce(a["value"], F.lit(""))
+        given = a["start_pos"].isNotNull() & a["end_pos"].isNotNull()
+        start = F.when(given, a["start_pos"]).otherwise(F.call_function("locate", value, text) - 1)
+        end = F.when(given, a["end_pos"]).otherwise(start + F.length(value))
+        found = entity(F.coalesce(a["type"], F.lit("UNKNOWN")), value, start, end, F.coalesce(a["confidence"], F.lit(CONFIDENCE)), "llm_finetuned", name)
+        return F.when(given | (start >= 0), found)
+
+    found = F.array_compact(F.transform(F.from_json(response_json, _TUNED)["entities"], one))
+    sound = F.forall(found, lambda e: F.size(problems(e)) == 0)
+    return F.coalesce(F.when(sound, F.filter(found, lambda e: e["confidence"] >= least)), no_entities())
+
+
 def answered(response_json: Column) -> Column:
     """The entities of an answer in JSON: those with a type and a value."""
     found = F.from_json(response_json, ANSWER)["entities"]

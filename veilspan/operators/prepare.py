@@ -104,14 +104,30 @@ def hash_order(*keys: str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)).cast("binary"))
 
 
+def first_rows(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """The first ``n`` rows by a column, of rows with equal values any.
+
+    Ranges of the column, cut at a bounded sample of its values, are counted; only the range that holds the last row is sorted. Nulls come first.
+    """
+    cuts = sorted({r[0] for r in rows.select(order).where(F.col(order).isNotNull()).orderBy(F.xxhash64(order)).limit(256).collect()})
+    part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) + 1, F.lit(0)) if cuts else F.lit(0)
+    ranged = rows.withColumn("__part", F.when(F.col(order).isNull(), 0).otherwise(part))
+    seen = 0
+    for r in ranged.groupBy("__part").count().orderBy("__part").collect():  # 258 rows at most
+        if seen + r["count"] > n:
+            whole = ranged.where(F.col("__part") < r["__part"])
+            return whole.unionAll(ranged.where(F.col("__part") == r["__part"]).orderBy(order).limit(n - seen)).drop("__part")
+        seen += r["count"]
+    return rows
+
+
 def ratio_union(sources: Mapping[str, tuple[DataFrame, float]], order: str) -> DataFrame:
     """The first int(n * ratio) rows of each source, by ``order``, with the source's name."""
     out = None
     for name, (rows, ratio) in sources.items():
         if not 0 <= ratio <= 1:
             raise ValueError(f"{name}: the ratio must be within 0 and 1")
-        n = int(rows.count() * ratio)
-        part = (rows if ratio == 1 else rows.orderBy(order).limit(n)).withColumn("source_name", F.lit(name))
+        part = (rows if ratio == 1 else first_rows(rows, order, int(rows.count() * ratio))).withColumn("source_name", F.lit(name))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
@@ -126,18 +142,28 @@ def split(rows: DataFrame, *keys: str, parts: tuple[float, float] = (0.8, 0.1),
     counts = hashed.groupBy("__range").count().orderBy("__range").collect()  # at most 4096 rows
     n = sum(r["count"] for r in counts)
     limits = (int(n * parts[0]), int(n * parts[0]) + int(n * parts[1]))
-    before, seen, edges = {}, 0, set()
+    edges: dict[str, int] = {}  # ranges that a threshold divides, and the rows before them
+    names = ("train", "validation", "test")
+    first: list[tuple[str, str]] = []  # names of the other ranges, each from its first range on
+    seen = 0
     for r in counts:
-        before[r["__range"]] = seen
-        edges |= {r["__range"] for x in limits if seen < x < seen + r["count"]}
+        if any(seen < x < seen + r["count"] for x in limits):
+            edges[r["__range"]] = seen
+        elif not first or first[-1][1] != (name := names[sum(seen >= x for x in limits)]):
+            first.append((r["__range"], names[sum(seen >= x for x in limits)]))
         seen += r["count"]
-    base = F.element_at(literal_map(before), F.col("__range")) if before else F.lit(0)
-    rank = F.row_number().over(Window.partitionBy("__range").orderBy("__h", *keys)) - 1
-    inner = hashed.where(F.col("__range").isin(*edges)).withColumn("__at", base + rank) if edges else None
-    outer = (hashed.where(~F.col("__range").isin(*edges)) if edges else hashed).withColumn("__at", base + F.lit(0))
-    placed = outer if inner is None else outer.unionByName(inner)
-    name = F.when(F.col("__at") < limits[0], "train").when(F.col("__at") < limits[1], "validation").otherwise("test")
-    return placed.withColumn("split", name).drop("__h", "__range", "__at")
+    whole = F.lit(None).cast("string")
+    for begin, name in first:
+        whole = F.when(F.col("__range") >= begin, name).otherwise(whole)
+    outer = (hashed.where(~F.col("__range").isin(*edges)) if edges else hashed).withColumn("split", whole)
+    if edges:
+        before = F.lit(0)
+        for at, size in edges.items():
+            before = F.when(F.col("__range") == at, size).otherwise(before)
+        place = before + F.row_number().over(Window.partitionBy("__range").orderBy("__h", *keys)) - 1
+        inner = hashed.where(F.col("__range").isin(*edges)).withColumn("split", F.when(place < limits[0], names[0]).when(place < limits[1], names[1]).otherwise(names[2]))
+        outer = outer.unionByName(inner)
+    return outer.drop("__h", "__range")
 
 
 def conversion_rate(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -190,6 +216,16 @@ def id_digit(first_17: Column) -> Column:
     return F.substr(F.lit(ID_DIGITS), F.pmod(total, F.lit(11)) + 1, F.lit(1))
 
 
+#: The characters of a social credit code in the order of their numbers.
+CREDIT_CODE = "0123456789ABCDEFGHJKLMNPQRTUWXY"
+
+
+def credit_code_digit(first_17: Column) -> Column:
+    """The character that completes a social credit code: weights are powers of 3 modulo 31."""
+    total = sum(((F.instr(F.lit(CREDIT_CODE), F.substr(first_17, F.lit(k + 1), F.lit(1))) - 1) * pow(3, k, 31) for k in range(17)), F.lit(0))
+    return F.substr(F.lit(CREDIT_CODE), F.pmod(F.lit(31) - F.pmod(total, F.lit(31)), F.lit(31)) + 1, F.lit(1))
+
+
 def _number(row: Column, salt: str, size: int) -> Column:
     """``size`` digits that the row and the salt fix."""
     return F.lpad(F.pmod(F.xxhash64(row, F.lit(salt)), F.lit(10**size)).cast("string"), size, "0")
@@ -227,7 +263,11 @@ def _value(kind: str, r: Column) -> Column:
     if kind == "POSTAL_CODE":
         return F.concat(pick("z", "123456"), digits("o", 5))
     if kind == "TAX_ID":
-        return F.concat(F.lit("91"), digits("g", 6), F.upper(hexes("h", 10)))
+        return let(F.concat(F.lit("91"), digits("g", 6), F.upper(hexes("h", 9))), lambda x: F.concat(x, credit_code_digit(x)))
+    if kind == "IPV6_ADDRESS":
+        return F.regexp_replace(hexes("v6", 32), "(....)(?=.)", "$1:")
+    if kind == "HK_MACAU_PASS":
+        return F.concat(pick("hk", "CH"), digits("hm", 8))
     if kind == "SOCIAL_SECURITY":
         return digits("k", 10)
     if kind == "IMEI":
@@ -241,25 +281,27 @@ def _value(kind: str, r: Column) -> Column:
     return F.concat(pick("cc", ("华东", "北方")), pick("dd", ("科技", "贸易")), F.lit("有限公司"))
 
 
-# A sentence for each type; the value stands for {}.
+#: A sentence for each type; the value stands for {}.
 TEMPLATES = {
-    "PHONE_NUMBER": "请拨打手机 {} 联系我。",
-    "EMAIL": "我的邮箱是 {} 。",
-    "ID_CARD": "身份证号：{}。",
-    "BANK_CARD": "银行卡号 {} 已绑定。",
-    "PASSPORT": "护照号码 {} 有效。",
-    "DRIVER_LICENSE": "驾驶证号 {} 。",
-    "VEHICLE_PLATE": "车牌号是{}。",
-    "IP_ADDRESS": "服务器 IP 地址 {} 。",
-    "MAC_ADDRESS": "网卡 MAC 地址 {} 。",
-    "POSTAL_CODE": "邮编 {} 。",
-    "IMEI": "手机串号 IMEI {} 。",
-    "VIN": "车架号 {} 。",
-    "TAX_ID": "税号 {} 。",
-    "SOCIAL_SECURITY": "社保号 {} 。",
-    "PERSON_NAME": "联系人姓名：{}。",
-    "ADDRESS": "收货地址：{}。",
-    "ORGANIZATION": "就职于{}。",
+    "PHONE_NUMBER": "晚上七点以后打{}最容易找到人。",
+    "EMAIL": "附件已转发到 {} ，请查收。",
+    "ID_CARD": "登记表第三栏填写的是{}，核对无误。",
+    "BANK_CARD": "退款退回尾号所在的卡 {} ，三天内到账。",
+    "PASSPORT": "出境时查验的证件为 {} 。",
+    "DRIVER_LICENSE": "租车前需出示驾照，编码 {} 。",
+    "VEHICLE_PLATE": "地库出口拍到的车是{}。",
+    "IP_ADDRESS": "昨夜的登录来自 {} 。",
+    "IPV6_ADDRESS": "新机房的网关设为 {} 。",
+    "MAC_ADDRESS": "打印机接口标签写着 {} 。",
+    "POSTAL_CODE": "包裹寄往邮区 {} 。",
+    "IMEI": "维修单上的机身串码是 {} 。",
+    "VIN": "挡风玻璃下方刻有 {} 。",
+    "TAX_ID": "开票时抬头后面写 {} 。",
+    "SOCIAL_SECURITY": "参保记录查询编号 {} 。",
+    "HK_MACAU_PASS": "过关时刷的是 {} 。",
+    "PERSON_NAME": "会议由{}主持。",
+    "ADDRESS": "快递放在{}门卫处。",
+    "ORGANIZATION": "合同的甲方是{}。",
 }
 
 

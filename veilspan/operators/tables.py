@@ -120,7 +120,7 @@ REVEALED_ELSE = (2, 2)
 
 # Annotation tags of corpora in canonical terms.
 TAGS = {"PER": "PERSON_NAME", "LOC": "ADDRESS", "ORG": "ORGANIZATION", "GPE": "ADDRESS"}
-# Placeholders of masked corpora, by the first part that occurs in their name.
+# Placeholders of masked corpora, by the first part that occurs in their name.
 PLACEHOLDERS = (("NAME", "PERSON_NAME"), ("EMAIL", "EMAIL"), ("PHONE", "PHONE_NUMBER"), ("CITY|LOCATION|STREET", "ADDRESS"), ("ORG|COMPANY", "ORGANIZATION"))
 
 # Fixed values of the heuristic detector: surnames, and the words that end addresses and organisations.
@@ -141,6 +141,7 @@ ORGANIZATION_WORDS = (
     "公司", "集团", "企业", "有限", "股份", "科技", "实业", "贸易", "银行", "医院", "学校", "大学", "学院", "研究所", "中心", "局",
     "部", "委", "厅", "署", "队", "所", "站", "馆", "院", "社", "会", "协会", "基金会", "联盟", "组织", "机构",
 )
+# Patterns of the heuristic detector.
 RULE_PATTERNS = {
     "PHONE_NUMBER": r"1[3-9]\d{9}",
     "ID_CARD": r"\d{17}[\dXx]",

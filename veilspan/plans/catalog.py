@@ -11,12 +11,12 @@ from ..functions.entity import entity, replaced
 from ..functions.types import ALIASES, CANONICAL, DETECTOR_TYPES, canonical_type, display_name, normalize_type
 from ..operators import evaluate, prepare
 from ..operators.anonymize import Anonymizer, decrypted, encrypted, hashed, mask, pseudonymize, redact, restore, synthetic
-from ..operators.detect import Registry, at_least, batch_statistics, detect, exploded, type_distribution
-from ..operators.recognizers import HYBRID, Recognizer
+from ..operators.detect import MODEL_TYPES, Registry, at_least, batch_statistics, detect, exploded, hybrid_detect, of_types, type_distribution
+from ..operators.recognizers import HYBRID, Recognizer, from_config
 from ..operators.refine import drop_false_positives, merge_adjacent_rows, merge_overlapping, refine, resolve, resolve_rows, validate_context
-from ..operators.rules import structured_entities
-from ..operators.model import conversation_text, source_turn
-from ..operators.tables import PRIORITIES
+from ..operators.rules import rule_entities, structured_entities, with_rules
+from ..operators.model import conversation_text, marked_json, model_detect, source_turn, tuned_entities, whole_object
+from ..operators.tables import ADDRESS_WORDS, CONTEXT_KEYWORDS, ORGANIZATION_WORDS, PRIORITIES, SURNAMES
 from ..functions.spans import find_spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -234,6 +234,86 @@ def confidence_filter(spark, sf_dir):
     return exploded(rows, "doc_id").select("doc_id", *_long(*_SPAN))
 
 
+@query(f"WITH {_ENT} SELECT doc_id, entity_type, value, {_OUT} FROM ent WHERE entity_type IN ('EMAIL', 'CHINA_PHONE')")
+def type_filter(spark, sf_dir):
+    rows = _found(spark, sf_dir).withColumn("entities", of_types("entities", ["EMAIL", "CHINA_PHONE"]))
+    return exploded(rows, "doc_id").select("doc_id", *_long(*_SPAN))
+
+
+# Entries as a configuration file has them.
+_CONFIGURED = (
+    {"name": "Mail", "entity_type": "EMAIL_ADDRESS", "confidence_base": 0.7, "patterns": [{"pattern": _EMAIL, "score": 0.9}], "context_words": ["the", "of"], "deny_lists": ["que"]},
+    {"entity_type": "IP_ADDRESS_V4", "patterns": [{"pattern": _IP}]},
+    {"name": "Long", "entity_type": "LONG_NUMBER", "confidence_base": 0.5, "patterns": [{"pattern": r"\b[0-9]{13,19}\b"}, {"pattern": "1[3-9][0-9]{9}"}]},
+)
+
+
+@query(
+    f"""WITH e AS (SELECT doc_id, text, 'EMAIL_ADDRESS' AS entity_type, 'Mail' AS name, value, s, e, (0.7::DOUBLE + least(0.15::DOUBLE, ({_has(("the", "of"), 50)}) * 0.05::DOUBLE)) * CASE WHEN {_EMAIL_OK} THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM ({_spans("documents", "doc_id", "text", _EMAIL)}) WHERE ({_has(("que",), 100)}) = 0
+UNION ALL SELECT doc_id, text, 'IP_ADDRESS_V4', 'IP_ADDRESS_V4_recognizer', value, s, e, CASE WHEN {_IP_OK} THEN 0.85::DOUBLE ELSE 0.85::DOUBLE * 0.7::DOUBLE END FROM ({_spans("documents", "doc_id", "text", _IP)})
+UNION ALL SELECT doc_id, text, 'LONG_NUMBER', 'Long', value, s, e, 0.5::DOUBLE FROM ({_spans("documents", "doc_id", "text", r"\b[0-9]{13,19}\b")} UNION ALL {_spans("documents", "doc_id", "text", "1[3-9][0-9]{9}")}))
+SELECT doc_id, entity_type, name AS recognizer_name, value, {_OUT}, round(confidence, 6) AS confidence FROM e"""
+)
+def configured_recognizers(spark, sf_dir):
+    rows = detect(_docs(spark, sf_dir).select("doc_id", "text"), Registry(map(from_config, _CONFIGURED)))
+    return exploded(rows, "doc_id").select("doc_id", "entity_type", "recognizer_name", *_long("value", "start_pos", "end_pos"), _confidence())
+
+
+class _Echo:
+    """A stand-in for a model: it names a text's first capitalised word, and something that isn't there."""
+
+    def generate(self, prompt, system_prompt=None, temperature=0.0, max_tokens=512):
+        import re
+
+        found = re.search("[A-Z][a-z]+", prompt)
+        one = f'{{"type": "PERSON_NAME", "value": "{found[0]}"}}, ' if found else ""
+        return f'<think>{{"entities": 1}}</think>Here: {{"entities": [{one}{{"type": "ADDRESS", "value": "#nowhere#"}}, {{"value": "x"}}]}} done'
+
+
+_FIRST = "regexp_extract(text, '[A-Z][a-z]+')"
+_NAMED = f"SELECT doc_id, 'PERSON_NAME' AS entity_type, {_FIRST} AS value, (strpos(text, {_FIRST}) - 1)::BIGINT AS start_pos, (strpos(text, {_FIRST}) - 1 + length({_FIRST}))::BIGINT AS end_pos FROM documents WHERE {_FIRST} <> ''"
+
+
+@query(_NAMED)
+def model_entities(spark, sf_dir):
+    rows = model_detect(_docs(spark, sf_dir).select("doc_id", "text"), _Echo, "{text}", MODEL_TYPES, into="entities")
+    return exploded(rows, "doc_id").select("doc_id", *_long(*_SPAN))
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, 'PHONE_NUMBER' AS entity_type, value, s, e FROM ({_spans("documents", "doc_id", "text", "1[3-9][0-9]{9}")}) UNION ALL SELECT doc_id, 'EMAIL', value, s, e FROM ({_spans("documents", "doc_id", "text", _EMAIL)}))
+SELECT doc_id, entity_type, value, {_OUT} FROM p UNION ALL {_NAMED}"""
+)
+def hybrid_detection(spark, sf_dir):
+    ask = lambda rows: model_detect(rows, _Echo, "{text}", MODEL_TYPES)
+    rows = hybrid_detect(_docs(spark, sf_dir).select("doc_id", "text"), "deep", ask, entity_types=["PHONE_NUMBER", "EMAIL", "PERSON_NAME"])
+    return exploded(rows, "doc_id").select("doc_id", *_long(*_SPAN))
+
+
+_ANSWERS = (
+    '{"entities": [{"value": "Customer"}]}',
+    '{"entities": [{"type": "NAME", "value": "Customer", "start_pos": 0, "end_pos": 8, "confidence": 0.9}, {"type": "NAME", "value": "absent"}]}',
+    '{"entities": [{"type": "NAME", "value": "Customer"}, {"type": "NAME", "value": "x", "start_pos": 5, "end_pos": 5}]}',
+    '{"entities": [{"type": "NAME", "value": "Customer"}',
+    '{"entities": [{"type": "NAME", "value": "Customer", "confidence": 0.3}, {"type": "NAME", "value": "#", "confidence": 0.8}]}',
+    'so {"entities": [{"type": "NAME", "value": "Customer"}]}<|im_end|> more',
+)
+
+
+@query(
+    """SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'UNKNOWN' ELSE 'NAME' END AS entity_type, CASE c_custkey % 6 WHEN 4 THEN '#' ELSE 'Customer' END AS value,
+  CASE c_custkey % 6 WHEN 4 THEN strpos(c_name, '#') - 1 ELSE 0 END::BIGINT AS start_pos, CASE c_custkey % 6 WHEN 4 THEN strpos(c_name, '#') ELSE 8 END::BIGINT AS end_pos,
+  CASE c_custkey % 6 WHEN 1 THEN 0.9 WHEN 4 THEN 0.8 ELSE 0.85 END::DOUBLE AS confidence FROM customer WHERE c_custkey % 6 IN (0, 1, 4, 5)"""
+)
+def tuned_answers(spark, sf_dir):
+    """Whole answers in JSON, and one that is cut out of its marks."""
+    turn = F.pmod("c_custkey", F.lit(6))
+    answer = F.element_at(F.array(*map(F.lit, _ANSWERS)), (turn + 1).cast("int"))
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("text"), F.when(turn == 5, marked_json(answer)).otherwise(answer).alias("answer"))
+    rows = rows.withColumn("json", whole_object("answer")).withColumn("entities", tuned_entities(F.col("text"), F.col("json"), least=0.5))
+    return exploded(rows, "c_custkey").select("c_custkey", *_long(*_SPAN), _confidence())
+
+
 @query(
     f"""WITH {_ENT}, n AS (SELECT doc_id, count(*) AS n FROM ent GROUP BY doc_id)
 SELECT count(*)::BIGINT AS total_texts, coalesce(sum(n), 0)::BIGINT AS total_entities, count(n)::BIGINT AS texts_with_entities, round(count(n) / count(*), 6) AS rate, round(coalesce(sum(n), 0) / count(*), 6) AS mean_entities,
@@ -260,14 +340,44 @@ def distribution_by_type(spark, sf_dir):
             ("EMAIL", _EMAIL, ""),
             ("BANK_CARD", r"\b[0-9]{13,19}\b", " WHERE len(list_distinct(string_split(value, ''))) > 1"),
             ("IP_ADDRESS", _IP, ""),
+            ("POSTAL_CODE", r"\b[0-9]{6}\b", " WHERE regexp_matches(lower(substr(text, greatest(s - 10, 0) + 1, e + 10 - greatest(s - 10, 0))), '邮编|邮政编码|zip|postal')"),
+            ("UNIFIED_SOCIAL_CREDIT_CODE", "[0-9A-HJ-NPQRTUWXY]{2}[0-9]{6}[0-9A-HJ-NPQRTUWXY]{10}", ""),
         )
     )
     + f") SELECT doc_id, entity_type, value, {_OUT} FROM e"
 )
 def rule_detector(spark, sf_dir):
+    """No document has a letter of a vehicle plate's province."""
     rows = _docs(spark, sf_dir).select("doc_id", structured_entities(F.col("text")).alias("entities"))
-    kept = exploded(rows, "doc_id").where(F.col("entity_type").isin("PHONE_NUMBER", "ID_CARD", "EMAIL", "BANK_CARD", "IP_ADDRESS"))
-    return kept.select("doc_id", *_long(*_SPAN))
+    return exploded(rows, "doc_id").select("doc_id", *_long(*_SPAN))
+
+
+_CJK = "一-龥"
+_CHINESE = "CASE c_custkey % 7 WHEN 0 THEN '联系人张伟，住址北京市海淀区中关村大街' || c_custkey || '号院，邮编 100080' WHEN 1 THEN '华东科技有限公司的李娜' WHEN 2 THEN '京A12345停在人民广场，王芳之友' WHEN 3 THEN '电话号' || c_custkey || '，证件号' WHEN 4 THEN '周小明供职于复旦大学医院研究所' WHEN 5 THEN '无' ELSE 'plain text ' || c_custkey END"
+
+
+def _rule_sql(kind: str, pattern: str, where: str = "true") -> str:
+    return f"SELECT c_custkey, '{kind}' AS entity_type, value, s, e FROM ({_spans('customer', 'c_custkey', _CHINESE, pattern)}) WHERE {where}"
+
+
+_HEURISTIC = [_rule_sql("PERSON_NAME", f"[{SURNAMES}][{_CJK}]{{1,3}}", "NOT (s >= 1 AND substr(text, s, 1) IN ('的', '之')) AND substr(text, e + 1, 1) NOT IN ('的', '之')")]
+_HEURISTIC += [_rule_sql("ADDRESS", f"[{_CJK}0-9]{{2,20}}{w}", "NOT (e < length(text) AND regexp_matches(value, '电话|手机|证件|身份|证号|卡号'))" if w == "号" else "true") for w in ADDRESS_WORDS]
+_HEURISTIC += [_rule_sql("ORGANIZATION", f"[{_CJK}0-9A-Za-z_]{{2,30}}{w}", "length(value) BETWEEN 3 AND 30") for w in ORGANIZATION_WORDS]
+_HEURISTIC += [_rule_sql("VEHICLE_PLATE", "[京津沪渝冀豫云辽黑湘皖鲁新苏浙赣鄂桂甘晋蒙陕吉闽贵粤青藏川宁琼使领][A-Z][A-Z0-9]{5,6}"), _rule_sql("POSTAL_CODE", r"100080", "true")]
+
+
+def _chinese(spark, sf_dir) -> DataFrame:
+    turn, key = F.pmod("c_custkey", F.lit(7)), F.col("c_custkey").cast("string")
+    text = F.when(turn == 0, F.concat(F.lit("联系人张伟，住址北京市海淀区中关村大街"), key, F.lit("号院，邮编 100080"))).when(turn == 1, "华东科技有限公司的李娜").when(turn == 2, "京A12345停在人民广场，王芳之友")
+    text = text.when(turn == 3, F.concat(F.lit("电话号"), key, F.lit("，证件号"))).when(turn == 4, "周小明供职于复旦大学医院研究所").when(turn == 5, "无").otherwise(F.concat(F.lit("plain text "), key))
+    return _customers(spark, sf_dir, text)
+
+
+@query(f"WITH e AS ({' UNION ALL '.join(_HEURISTIC)}) SELECT c_custkey, entity_type, value, {_OUT}, count(*)::BIGINT AS n FROM e GROUP BY ALL")
+def rule_heuristics(spark, sf_dir):
+    rows = _chinese(spark, sf_dir).select("c_custkey", rule_entities(F.col("text")).alias("entities"))
+    each = exploded(rows, "c_custkey").select("c_custkey", *_long(*_SPAN))
+    return each.groupBy("c_custkey", *_SPAN).agg(F.count("*").alias("n"))
 
 
 # ---- refinement -----------------------------------------------------------------
@@ -286,7 +396,18 @@ def resolve_conflicts_by_rows(spark, sf_dir):
     return resolve_rows(each, "doc_id").select("doc_id", *_long(*_SPAN), _confidence())
 
 
-@query()
+_SHARED = "least(heads[k].e, o.e) - greatest(heads[k].s, o.s)"
+
+
+@query(
+    f"""WITH RECURSIVE {_CANON}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, length(value) DESC, rank) AS i FROM canon),
+g AS (SELECT doc_id, i, [struct_pack(s := s, e := e)] AS heads, 1 AS mine FROM o WHERE i = 1
+  UNION ALL SELECT doc_id, i, CASE WHEN hit IS NULL THEN list_append(heads, struct_pack(s := s, e := e)) ELSE heads END, coalesce(hit, len(heads) + 1) FROM (
+    SELECT o.doc_id, o.i, o.s, o.e, heads, list_filter(range(1, len(heads) + 1), lambda k: {_SHARED} > 0 AND {_SHARED} >= 0.3 * least(heads[k].e - heads[k].s, o.e - o.s))[1] AS hit FROM g JOIN o ON o.doc_id = g.doc_id AND o.i = g.i + 1)),
+m AS (SELECT o.*, g.mine, count(DISTINCT o.t) OVER (PARTITION BY o.doc_id, g.mine) > 1 AS mixed FROM o JOIN g ON o.doc_id = g.doc_id AND o.i = g.i)
+SELECT doc_id, t AS entity_type, value, {_OUT}, round(confidence, 6) AS confidence FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, mine ORDER BY CASE WHEN mixed THEN 0 ELSE -length(value) END, confidence DESC, i) AS place FROM m) WHERE place = 1"""
+)
 def merge_overlaps(spark, sf_dir):
     rows = _canonical(_found(spark, sf_dir, _TYPES))
     return exploded(rows.withColumn("entities", merge_overlapping(F.col("entities"))), "doc_id").select("doc_id", *_long(*_SPAN), _confidence())
@@ -295,26 +416,16 @@ def merge_overlaps(spark, sf_dir):
 _CAPITAL = "[A-Z][a-z]+"
 
 
-def _neighbours(spark, sf_dir, text: Column) -> DataFrame:
-    spans = F.transform(find_spans(text, _CAPITAL), lambda s: entity("PERSON_NAME", s["value"], s["start"], s["end"], 0.8, "regex", "capital"))
-    each = exploded(_docs(spark, sf_dir).select("doc_id", spans.alias("entities")), "doc_id")
-    return merge_adjacent_rows(each, "doc_id").select("doc_id", *_long("value", "start_pos", "end_pos"), "merged_from")
-
-
 @query(
-    f"""WITH ent AS ({_spans("documents", "doc_id", "left(text, 400)", _CAPITAL)}),
-marked AS (SELECT *, lag(e) OVER w AS pe FROM ent WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
+    f"""WITH ent AS ({_spans("documents", "doc_id", "text", _CAPITAL)}),
+marked AS (SELECT doc_id, value, s, e, lag(e) OVER w AS pe FROM ent WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
 chains AS (SELECT *, sum(CASE WHEN pe IS NOT NULL AND s - pe BETWEEN 0 AND 2 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS c FROM marked)
 SELECT doc_id, string_agg(value, '' ORDER BY s) AS value, min(s)::BIGINT AS start_pos, max(e)::BIGINT AS end_pos, count(*)::INTEGER AS merged_from FROM chains GROUP BY doc_id, c"""
 )
 def merge_neighbours(spark, sf_dir):
-    """The first 400 characters of each text, as its SQL reads them; merge_neighbours_whole reads all."""
-    return _neighbours(spark, sf_dir, F.left("text", F.lit(400)))
-
-
-@query()
-def merge_neighbours_whole(spark, sf_dir):
-    return _neighbours(spark, sf_dir, F.col("text"))
+    spans = F.transform(find_spans(F.col("text"), _CAPITAL), lambda s: entity("PERSON_NAME", s["value"], s["start"], s["end"], 0.8, "regex", "capital"))
+    each = exploded(_docs(spark, sf_dir).select("doc_id", spans.alias("entities")), "doc_id")
+    return merge_adjacent_rows(each, "doc_id").select("doc_id", *_long("value", "start_pos", "end_pos"), "merged_from")
 
 
 _KEY_TEXT = "CASE c_custkey % 4 WHEN 0 THEN '联系电话 ' WHEN 1 THEN '订单号 ' WHEN 2 THEN '手机 价格 ' ELSE '' END || '138' || lpad((c_custkey % 100000000)::VARCHAR, 8, '0')"
@@ -336,18 +447,34 @@ def context_validation(spark, sf_dir):
 _ONE_DIGIT = "len(list_distinct(string_split(value, '')))"
 
 
-@query(
-    f"""WITH {_CANON} SELECT doc_id, t AS entity_type, value, {_OUT} FROM canon WHERE
-NOT (t = 'EMAIL' AND (contains(lower(value), 'example.com') OR contains(lower(value), 'noreply@') OR contains(lower(value), 'no-reply@') OR contains(lower(value), 'test@') OR contains(lower(value), 'example@')))
+_SOUND = f"""NOT (t = 'EMAIL' AND (contains(lower(value), 'example.com') OR contains(lower(value), 'noreply@') OR contains(lower(value), 'no-reply@') OR contains(lower(value), 'test@') OR contains(lower(value), 'example@')))
 AND NOT (t = 'PHONE_NUMBER' AND {_ONE_DIGIT} = 1) AND NOT (t = 'BANK_CARD' AND ({_ONE_DIGIT} <= 2 OR NOT {_luhn_sql("value")})) AND NOT (t = 'IP_ADDRESS' AND value IN ('127.0.0.1', '0.0.0.0'))"""
-)
+
+
+@query(f"WITH {_CANON} SELECT doc_id, t AS entity_type, value, {_OUT} FROM canon WHERE {_SOUND}")
 def false_positive_filter(spark, sf_dir):
     rows = _canonical(_found(spark, sf_dir, _TYPES))
     return exploded(rows.withColumn("entities", drop_false_positives(F.col("entities"))), "doc_id").select("doc_id", *_long(*_SPAN))
 
 
-@query()
+_AROUND = "lower(substr(text, greatest(s - 20, 0) + 1, e + 20 - greatest(s - 20, 0)))"
+
+
+def _said(kind: str, side: str) -> str:
+    return " + ".join(f"(length(near) - length(replace(near, '{w.lower()}', ''))) // {len(w)}" for w in CONTEXT_KEYWORDS[kind][side])
+
+
+_BALANCE = "CASE t " + " ".join(f"WHEN '{k}' THEN [{_said(k, 'positive')}, {_said(k, 'negative')}]" for k in ("PHONE_NUMBER", "BANK_CARD", "EMAIL", "IP_ADDRESS")) + " END"
+
+
+@query(
+    f"""WITH {_RUNS}, around AS (SELECT *, {_AROUND} AS near FROM resolved), said AS (SELECT *, {_BALANCE} AS pn FROM around),
+scored AS (SELECT *, CASE WHEN confidence >= 0.8 OR pn[1] + pn[2] = 0 THEN 0 ELSE (pn[1] - pn[2]) / (pn[1] + pn[2]) END AS c FROM said),
+judged AS (SELECT *, greatest(0, least(1, confidence + CASE WHEN c > 0 THEN c * 0.1::DOUBLE ELSE c * 0.2::DOUBLE END)) AS new FROM scored)
+SELECT doc_id, t AS entity_type, value, {_OUT}, round(new, 6) AS confidence FROM judged WHERE (new > 0.3 OR confidence >= 0.8) AND {_SOUND}"""
+)
 def refined(spark, sf_dir):
+    """Neighbours merge among names, addresses and organisations only, of which these types have none."""
     return exploded(refine(_canonical(_found(spark, sf_dir, _TYPES))), "doc_id").select("doc_id", *_long(*_SPAN), _confidence())
 
 
@@ -356,14 +483,15 @@ def refined(spark, sf_dir):
 
 def _resolved(spark, sf_dir) -> DataFrame:
     rows = _canonical(_found(spark, sf_dir, _TYPES))
-    return rows.withColumn("entities", resolve(F.col("entities"))).where(F.size("entities") > 0)
+    return rows.withColumn("entities", resolve(F.col("entities")))
 
 
 def _replaced_sql(new: str) -> str:
     """Text with each resolved entity replaced by an SQL expression of it."""
     return f"""WITH {_RUNS},
 cuts AS (SELECT doc_id, text, s, e, {new} AS new, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM resolved)
-SELECT doc_id, string_agg(substr(text, before + 1, s - before) || new, '' ORDER BY s) || substr(any_value(text), max(e) + 1) AS anonymized_text FROM cuts GROUP BY doc_id"""
+SELECT doc_id, string_agg(substr(text, before + 1, s - before) || new, '' ORDER BY s) || substr(any_value(text), max(e) + 1) AS anonymized_text FROM cuts GROUP BY doc_id
+UNION ALL SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM resolved)"""
 
 
 @query(_replaced_sql("'[' || t || ']'"))
@@ -409,11 +537,18 @@ SELECT doc_id, t AS entity_type, value, new AS pseudonym, TRUE AS restored FROM
 def pseudonyms(spark, sf_dir):
     rows = pseudonymize(_resolved(spark, sf_dir))
     same = restore(F.col("pseudonymized_text"), F.col("pseudonyms")) == F.col("text")
-    each = rows.select("doc_id", same.alias("restored"), F.explode("pseudonyms").alias("pseudonym", "value"))
+    each = rows.select("doc_id", same.alias("restored"), F.explode_outer("pseudonyms").alias("pseudonym", "value")).where(F.col("pseudonym").isNotNull())
     return each.select("doc_id", F.regexp_extract("pseudonym", r"^\[(.*)_\d+\]$", 1).alias("entity_type"), "value", "pseudonym", "restored")
 
 
-@query()
+_HEX = "(strpos('0123456789abcdef', substr(h, ((i - 1) * 2) % 62 + {k}, 1)) - 1)"
+_NTH = f"(16 * {_HEX.format(k=1)} + {_HEX.format(k=2)})"
+_STAND_IN = f"""array_to_string(list_transform(range(1, length(value) + 1), lambda i: CASE WHEN regexp_matches(substr(value, i, 1), '^[0-9]$') THEN substr('0123456789', {_NTH} % 10 + 1, 1)
+  WHEN regexp_matches(substr(value, i, 1), '^[a-z]$') THEN substr('abcdefghijklmnopqrstuvwxyz', {_NTH} % 26 + 1, 1)
+  WHEN regexp_matches(substr(value, i, 1), '^[A-Z]$') THEN substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', {_NTH} % 26 + 1, 1) ELSE substr(value, i, 1) END), '')"""
+
+
+@query(_replaced_sql(_STAND_IN.replace("substr(h,", "substr(sha256('s' || t || value),")))
 def synthetic_text(spark, sf_dir):
     return Anonymizer({"synthetic": synthetic("s")}, default="synthetic").apply(_resolved(spark, sf_dir)).select("doc_id", "anonymized_text")
 
@@ -473,6 +608,54 @@ def ensemble_union(spark, sf_dir):
     return evaluate.ensemble(_predicted(spark, sf_dir), _labelled(spark, sf_dir))
 
 
+_RULES = " UNION ALL ".join(
+    f"SELECT doc_id, '{k}' AS t, value, s FROM ({_spans('documents', 'doc_id', 'text', p)})" for k, p in (("PHONE_NUMBER", "1[3-9][0-9]{9}"), ("EMAIL", _EMAIL), ("IP_ADDRESS", _IP))
+)
+
+
+@query(
+    f"""WITH {_CANON}, model AS (SELECT DISTINCT doc_id, t, value FROM canon WHERE t IN ('EMAIL', 'BANK_CARD')), rules AS (SELECT doc_id, t, value, min(s) AS s FROM ({_RULES}) GROUP BY ALL)
+SELECT coalesce(m.doc_id, r.doc_id) AS sample_id, coalesce(m.t, r.t) AS entity_type, coalesce(m.value, r.value) AS value, CASE WHEN m.t IS NULL THEN 'rule' ELSE 'model' END AS source FROM model m FULL OUTER JOIN rules r ON m.doc_id = r.doc_id AND m.t = r.t AND m.value = r.value"""
+)
+def ensemble_with_rules(spark, sf_dir):
+    """The union of two detectors as a set, and what only the rules find."""
+    one, two = (exploded(_canonical(_found(spark, sf_dir, types)), "doc_id").withColumnRenamed("doc_id", "sample_id") for types in (["EMAIL", "CHINA_BANK_CARD"], ["EMAIL", "CREDIT_CARD"]))
+    both = evaluate.ensemble(one, two).withColumn("start_pos", F.lit(0))
+    rules = exploded(_docs(spark, sf_dir).select("doc_id", structured_entities(F.col("text")).alias("entities")), "doc_id").where(F.col("entity_type").isin("PHONE_NUMBER", "EMAIL", "IP_ADDRESS"))
+    rules = rules.select(F.col("doc_id").alias("sample_id"), "entity_type", "value", "start_pos")
+    return with_rules(both, rules, "sample_id").select("sample_id", "entity_type", "value", "source")
+
+
+@query(
+    """SELECT count(*)::BIGINT AS requests, round(epoch(max(o_orderdate)) - epoch(min(o_orderdate)), 3)::DOUBLE AS seconds, round(count(*) / (epoch(max(o_orderdate)) - epoch(min(o_orderdate))), 9) AS per_second FROM orders"""
+)
+def throughput(spark, sf_dir):
+    out = evaluate.throughput(_table(spark, sf_dir, "orders"), "o_orderdate", "o_orderdate")
+    return out.select("requests", F.round("seconds", 3).alias("seconds"), F.round("per_second", 9).alias("per_second"))
+
+
+@query(
+    """SELECT (max(o_orderkey) % 100)::INTEGER AS percent, max(o_orderkey) AS step, max(o_orderkey) + 7 AS of, 'running' AS state FROM orders WHERE o_orderkey % 3 = 0
+  AND o_orderkey IN (SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 500)"""
+)
+def log_progress(spark, sf_dir):
+    """The last progress line among the last 500 of a log."""
+    key = F.col("o_orderkey")
+    line = F.when(F.pmod(key, F.lit(3)) == 0, F.concat(F.pmod(key, F.lit(100)).cast("string"), F.lit("%|###   | "), key.cast("string"), F.lit("/"), (key + 7).cast("string"), F.lit(" [00:10]"))).otherwise("saving a checkpoint")
+    return evaluate.progress(_table(spark, sf_dir, "orders").select(key.alias("line_no"), line.alias("value")))
+
+
+@query(
+    """SELECT o_orderkey, (o_orderkey % 100)::DOUBLE AS precision, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 90 + 0.5)::DOUBLE END AS recall, (o_orderkey % 80)::DOUBLE AS f1 FROM orders"""
+)
+def scraped_reports(spark, sf_dir):
+    key = F.col("o_orderkey")
+    number = lambda n: F.pmod(key, F.lit(n)).cast("string")
+    recall = F.when(F.pmod(key, F.lit(2)) == 0, F.concat(F.lit("召回率: "), number(90), F.lit(".5 %\n"))).otherwise("recall: none\n")
+    report = F.concat(F.lit("Precision: "), number(100), F.lit("%\n"), recall, F.lit("F1 score = "), number(80), F.lit("%"))
+    return evaluate.scraped_metrics(_table(spark, sf_dir, "orders").select("o_orderkey", report.alias("value"))).drop("value")
+
+
 @query(f"WITH {_CANON}, pred AS ({_HYBRID}) SELECT doc_id AS sample_id, t AS entity_type, value FROM pred EXCEPT SELECT doc_id, t, value FROM canon WHERE t IN ('EMAIL', 'PHONE_NUMBER')")
 def missed_entities(spark, sf_dir):
     """What a detector of two types misses of the hybrid one's entities."""
@@ -569,6 +752,39 @@ def tagged_to_spans(spark, sf_dir):
     return rows.select("o_orderkey", F.col("type").alias("entity_type"), "value", F.col("start").cast("long").alias("start_pos"), F.col("end").cast("long").alias("end_pos"))
 
 
+@query(
+    """WITH n AS (SELECT o_orderkey, count(*) FILTER (g IN (0, 3)) AS spans FROM (SELECT o_orderkey, (o_orderkey + unnest(range(0, o_orderkey % 3))) % 5 AS g FROM orders) GROUP BY o_orderkey), k AS (SELECT * FROM n WHERE spans > 0)
+SELECT (SELECT count(*) FROM orders) AS rows_in, (SELECT count(*) FROM k) AS rows_out, round((SELECT avg(spans) FROM k), 6) AS mean_entities, round((SELECT count(*) FROM k) / (SELECT count(*) FROM orders), 6) AS rate"""
+)
+def conversion_rates(spark, sf_dir):
+    """Tagged sentences of no to two tokens; those without a span go."""
+    key = F.col("o_orderkey")
+    size = F.pmod(key, F.lit(3)).cast("int")
+    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    tags = F.transform(places, lambda i: F.element_at(F.array(*map(F.lit, ("B-PER", "I-PER", "O", "B-LOC", "O"))), (F.pmod(key + i, F.lit(5)) + 1).cast("int")))
+    before = _table(spark, sf_dir, "orders").select(F.transform(places, lambda i: F.lit("t")).alias("tokens"), tags.alias("ner_tags"))
+    out = prepare.conversion_rate(before, prepare.from_bio(before))
+    return out.select("rows_in", "rows_out", F.round("mean_entities", 6).alias("mean_entities"), F.round("rate", 6).alias("rate"))
+
+
+@query("SELECT count(*)::BIGINT AS samples, count(*) FILTER (c_custkey % 5 = 0)::BIGINT AS invalid, count(*) FILTER (c_custkey % 5 <> 0)::BIGINT AS standard, count(*) FILTER (c_custkey % 5 IN (1, 2))::BIGINT AS other FROM customer")
+def type_consistency(spark, sf_dir):
+    turn = F.pmod("c_custkey", F.lit(5))
+    span = lambda kind: F.struct(F.lit(kind).alias("type"), F.col("c_name").alias("value"), F.lit(0).alias("start"), F.length("c_name").alias("end"))
+    spans = F.when(turn.isin(1, 2), F.array(span("PERSON_NAME"), span("ip"))).when(turn > 2, F.array(span("EMAIL")))
+    return prepare.consistency(_table(spark, sf_dir, "customer").select(spans.alias("entities")))
+
+
+@query(
+    """SELECT c_custkey, '<|im_start|>system' || chr(10) || 'Find names.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || c_name || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)
+  || '{"entities":[{"type":"PERSON_NAME","value":"' || c_name || '","start":0,"end":' || length(c_name) || '}]}<|im_end|>' || chr(10) AS chat FROM customer"""
+)
+def chat_samples(spark, sf_dir):
+    spans = F.array(F.struct(F.lit("PERSON_NAME").alias("type"), F.col("c_name").alias("value"), F.lit(0).alias("start"), F.length("c_name").alias("end")))
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", *prepare.sample(F.col("c_name"), spans))
+    return prepare.chat(rows, "Find names.").select("c_custkey", "chat")
+
+
 _MASK_TEXT = "c_name || ' lives in ' || c_mktsegment"
 
 

@@ -49,24 +49,47 @@ def tagged_text(spark: SparkSession, path: str) -> DataFrame:
     """(sentence, tokens, ner_tags) of a file with a token and a tag on each line and a blank line after each sentence.
 
     Lines with fewer than two parts end a sentence if they are blank and are left out otherwise; a last sentence without a blank line counts. The
-    file is read in the order of its lines.
+    file is read in the order of its lines: each task numbers the blank lines of its part, and the parts' totals are added up.
     """
     lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
     parts = F.split(F.trim("value"), r"\s+")
-    lines = lines.select("n", parts.alias("p"), (F.length(F.trim("value")) == 0).alias("blank"))
-    lines = lines.withColumn("sentence", F.sum(F.col("blank").cast("long")).over(Window.orderBy("n")))
-    words = lines.where(~F.col("blank") & (F.size("p") >= 2)).groupBy("sentence").agg(F.array_sort(F.collect_list(F.struct("n", F.col("p")[0].alias("t"), F.element_at("p", -1).alias("g")))).alias("w"))
+    lines = lines.select("n", F.shiftright("n", 33).alias("part"), parts.alias("p"), (F.length(F.trim("value")) == 0).cast("long").alias("blank"))
+    totals = lines.groupBy("part").agg(F.sum("blank").alias("blanks"))  # a row for each part of the file
+    before = F.coalesce(F.sum("blanks").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = lines.join(totals.select("part", before.alias("before")), "part")
+    lines = lines.withColumn("sentence", F.col("before") + F.sum("blank").over(Window.partitionBy("part").orderBy("n")))
+    words = lines.where((F.col("blank") == 0) & (F.size("p") >= 2)).groupBy("sentence").agg(F.array_sort(F.collect_list(F.struct("n", F.col("p")[0].alias("t"), F.element_at("p", -1).alias("g")))).alias("w"))
     return words.select("sentence", F.col("w.t").alias("tokens"), F.col("w.g").alias("ner_tags"))
 
 
+def saved(spark: SparkSession, path: str, prefer: str = "train") -> DataFrame:
+    """A saved data set in Parquet: the preferred split if the folder has one, else its first by name, else the folder itself."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    entries = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    splits = sorted(x.getPath().getName() for x in entries if x.isDirectory() and not x.getPath().getName().startswith(("_", ".")) and "=" not in x.getPath().getName())
+    return spark.read.parquet(f"{path}/{prefer if prefer in splits else splits[0]}" if splits else path)
+
+
 def write_splits(rows: DataFrame, path: str, by: str = "split") -> None:
     """JSON lines, a folder for each split."""
     rows.write.partitionBy(by).mode("overwrite").json(path)
 
 
-def write_document(rows: DataFrame, path: str) -> None:
-    """A small result, such as a report, as a JSON file on the driver; the caller knows that it is small."""
+def write_named_splits(rows: DataFrame, stem: str, by: str = "split", names: Iterable[str] = ("train", "validation", "test")) -> list[str]:
+    """JSON lines as ``<stem>_<split>.jsonl``, each a folder of part files, without the column ``by``; returns the paths."""
+    out = []
+    for name in names:
+        rows.where(F.col(by) == name).drop(by).write.mode("overwrite").json(path := f"{stem}_{name}.jsonl")
+        out.append(path)
+    return out
+
+
+def write_document(rows: DataFrame, path: str, most: int = 100_000) -> None:
+    """A small result, such as a report, as a JSON file on the driver; a result of more than ``most`` rows is refused."""
     import json
 
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows: write them as JSON lines")
     with open(path, "w", encoding="utf-8") as out:
-        json.dump([r.asDict(recursive=True) for r in rows.collect()], out, ensure_ascii=False, indent=2, default=str)
+        json.dump([r.asDict(recursive=True) for r in found], out, ensure_ascii=False, indent=2, default=str)
