@@ -7,13 +7,13 @@ next one's docs, which also cuts the lineage.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspan.llm import bpe, mixing, secrets
+from veilspan.llm.common import shared_folder
 from veilspan.llm.language_id import fit, identify
 from veilspan.llm.minhash import near_duplicates
 
@@ -71,13 +71,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilspan-pipeline-")
+    """All stages over the documents of ``sf_dir``. A stage's table is deleted once its successor's is written; the last one stays for the result."""
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{folder}/pipeline-{uuid.uuid4().hex}/{k}-{name}"
-            docs.write.parquet(path)
+            docs.write.parquet(path := f"{folder}/{k}-{name}")
             docs = spark.read.parquet(path)
+            if before:
+                old = spark._jvm.org.apache.hadoop.fs.Path(before)
+                old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+            before = path
     return docs
