@@ -76,3 +76,15 @@ def test_entity_rules(spark):
     assert row.ok == [] and set(row.bad) == {"value", "start_pos", "end_pos", "confidence", "detection_method"}
     kept = spark.range(1).select(entity.with_metadata(entity.entity("T", F.lit("v"), F.lit(0), F.lit(1), 1.0, metadata={"a": F.lit(1), "b": F.lit(2)}), {"b": F.lit(3)}).alias("e")).first()
     assert kept.e.metadata == {"a": "1", "b": "3"}
+
+
+def test_required_parts_of_patterns(spark):
+    cases = {r"[a-z]+@[a-z]+": ("@", False), r"https?://[^\s]+": ("http", False), r"\b(?:[0-9]{1,3}\.){3}\d": (".", True), "a|b1": ("", False), "(?i)abc": ("", False), r"x?\d*(?:ab)?": ("", False), r"[PG]\d{7}": ("", True), r"(?i:ab)c": ("c", False), "[0-9a-f]{4}": ("", False), "E+x": ("E", False)}
+    assert {p: spans.required(p) for p in cases} == cases
+    texts = ["no", "a@b", "http://x", "1.2.3.4", "G1234567", "", None, "\u0663\u0664 a@"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    import re
+
+    for p in (r"[a-z]+@[a-z]+", r"https?://[^\s]+", r"\b(?:[0-9]{1,3}\.){3}\d", r"[PG]\d{7}", r"\d\d"):
+        got = [[x.value for x in r.s] for r in df.select(spans.find_spans(F.col("t"), p).alias("s")).collect()]
+        assert got == [re.findall(p, t) if t else [] for t in texts] or "(" in p and got == [[m[0] for m in re.finditer(p, t or "")] for t in texts]

@@ -6,6 +6,8 @@ Positions are code points, 0-based, the end exclusive.
 from __future__ import annotations
 
 import re
+import re._constants as sre
+import re._parser as parser
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
@@ -30,10 +32,43 @@ def compiled(pattern: str) -> str:
     return f"(?U){pattern}"
 
 
+def required(pattern: str) -> tuple[str, bool]:
+    """The longest literal that every match of a pattern holds, and whether each holds a digit."""
+
+    def walk(items) -> tuple[str, bool]:
+        best, run, digit = "", "", False
+        for kind, arg in items:
+            if kind is sre.LITERAL:
+                run += chr(arg)
+                continue
+            best, run, inner = max(best, run, key=len), "", None
+            if kind is sre.IN:
+                digit |= all(x in ((sre.RANGE, (48, 57)), (sre.CATEGORY, sre.CATEGORY_DIGIT)) for x in arg)
+            elif kind is sre.SUBPATTERN and not arg[1]:
+                inner = walk(arg[3])
+            elif kind in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0]:
+                inner = walk(arg[2])
+            if inner:
+                best, digit = max(best, inner[0], key=len), digit | inner[1]
+        return max(best, run, key=len), digit
+
+    parsed = parser.parse(pattern)
+    return ("", False) if parsed.state.flags & re.IGNORECASE else walk(parsed)
+
+
+def _possible(text: Column, pattern: str) -> Column:
+    """Whether a text holds what every match needs; null for a null text. Most texts have no match, and this costs less than the pattern."""
+    literal, digit = required(pattern)
+    out = text.rlike(r"\p{Nd}") if digit else None
+    if literal:
+        out = text.contains(literal) if out is None else out & text.contains(literal)
+    return text.isNotNull() if out is None else out
+
+
 def find_spans(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches as an array of (value, start, end); empty for a null text.
 
-    The text between matches gives their positions, in one fold over the matches.
+    The text between matches gives their positions, in one fold over the matches. Texts that cannot match are not searched.
     """
     regex = compiled(pattern)
     empty = F.array().cast(f"array<{SPAN}>")
@@ -49,7 +84,7 @@ def find_spans(text: Column, pattern: str) -> Column:
         found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
         return F.when(F.size(matches) > 0, found).otherwise(empty)
 
-    return F.when(text.isNotNull(), let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), located)).otherwise(empty)
+    return F.when(_possible(text, pattern), let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), located)).otherwise(empty)
 
 
 def window(text: Column, start: Column, end: Column, width: int) -> Column:
