@@ -748,7 +748,7 @@ def tagged_to_spans(spark, sf_dir):
     places = F.sequence(F.lit(0), F.lit(11))
     tokens = F.transform(places, lambda i: F.char(F.pmod(F.col("o_orderkey") * 7 + i, F.lit(26)) + 97))
     tags = F.transform(places, lambda i: F.element_at(F.array(*map(F.lit, ("B-PER", "I-PER", "O", "B-LOC", "O"))), (F.pmod(F.col("o_orderkey") + i, F.lit(5)) + 1).cast("int")))
-    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.inline(prepare.bio_spans(tokens, tags)))
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.inline_outer(prepare.bio_spans(tokens, tags))).where("type is not null")
     return rows.select("o_orderkey", F.col("type").alias("entity_type"), "value", F.col("start").cast("long").alias("start_pos"), F.col("end").cast("long").alias("end_pos"))
 
 
@@ -795,7 +795,7 @@ UNION ALL SELECT c_custkey, 'ADDRESS', c_mktsegment, (strpos({_MASK_TEXT}, c_mkt
 def masks_to_spans(spark, sf_dir):
     text = F.concat("c_name", F.lit(" lives in "), "c_mktsegment")
     mask_map = F.create_map(F.lit("USERNAME_1"), F.col("c_name"), F.lit("CITY_2"), F.col("c_mktsegment"), F.lit("AGE_3"), F.lit("44"))
-    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.inline(prepare.mask_spans(text, mask_map)))
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.inline_outer(prepare.mask_spans(text, mask_map))).where("type is not null")
     return rows.select("c_custkey", F.col("type").alias("entity_type"), "value", F.col("start").cast("long").alias("start_pos"), F.col("end").cast("long").alias("end_pos"))
 
 

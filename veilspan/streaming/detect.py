@@ -17,5 +17,5 @@ def anonymized_stream(docs: DataFrame, anonymizer: Anonymizer, registry: Registr
 
 def counts_by_window(docs: DataFrame, time: str, width: str, late: str, registry: Registry | None = None, text: str = "text") -> DataFrame:
     """Entities by type in tumbling windows of event time; rows later than ``late`` behind the newest are dropped with their window."""
-    found = detect(docs.withWatermark(time, late), registry, text).select(time, F.explode("entities").alias("e"))
+    found = detect(docs.withWatermark(time, late), registry, text).select(time, F.explode_outer("entities").alias("e")).where("e is not null")
     return found.groupBy(F.window(time, width), "e.entity_type").agg(F.count("*").alias("n"))
