@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -23,16 +24,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which the driver and all executors share.
 
-    Only where neither the context nor ``spark.checkpoint.dir`` names one (tests, a laptop), a
-    temporary folder is set.
+    Where it is unset, a temporary folder serves if all run in one process (tests, a laptop); on a cluster that is an error.
     """
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="veilspan-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veilspan-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -176,12 +184,14 @@ _TEXTS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
 def block_of(doc_id: Column, otherwise: Column, blocks: int) -> Column:
     """The block of a document: by its id, or by another column where the id is null."""
-    return F.pmod(F.xxhash64(F.coalesce(doc_id.cast("long"), otherwise)), F.lit(blocks)).cast("int")
+    return F.pmod(F.xxhash64(F.coalesce(doc_id.cast("long"), otherwise.cast("long"))), F.lit(blocks)).cast("int")
 
 
-def packed_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+def packed_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, by_id: bool = True) -> tuple[DataFrame, int]:
     """(block, piece) rows and the number of blocks: doc_id and text of every row, dealt into blocks by doc_id.
 
+    Rows without an id, and all rows unless ``by_id``, are dealt one by one, so that no number of equal ones makes a large block.
+
     A piece holds the rows of one batch that belong to a block, compressed together, so that texts which
     must meet other rows are shuffled at about a third of their size. Null texts are packed as empty ones.
     """
@@ -202,7 +212,8 @@ def packed_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[Data
                     out.write_batch(rows.slice(a, b - a))
                 yield pa.record_batch([pa.array([int(block[order[a]])], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "piece"])
 
-    dealt = docs.withColumn("block", block_of(F.col("doc_id"), F.xxhash64("text"), blocks))
+    turn = F.monotonically_increasing_id()
+    dealt = docs.withColumn("block", block_of(F.col("doc_id"), turn, blocks) if by_id else block_of(turn, turn, blocks))
     return dealt.mapInArrow(run, "block int, piece binary"), blocks
 
 
