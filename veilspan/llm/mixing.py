@@ -13,6 +13,8 @@ shuffles its documents locally.
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,9 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: Documents in a block, at least. The number of blocks is held near 2**20, which bounds the tree's work.
 BLOCK_ROWS = 256
 _MOST_BLOCKS = 1 << 20
+#: Words in an output shard, at most, and parts of a shard that are written by different tasks.
+SHARD_WORDS = 40_000_000
+PARTS = 8
 
 
 def _unit(*columns: Column) -> Column:
@@ -87,14 +92,15 @@ def splitting_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
 
 
 def mixed(
-    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, depth: int = 4, seed: int = 20240607, block_rows: int = BLOCK_ROWS, columns: list[str] | None = None
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, depth: int | None = None, seed: int = 20240607, block_rows: int = BLOCK_ROWS, columns: list[str] | None = None
 ) -> DataFrame:
     """The named columns of ``docs`` (all, if none are named) as a struct ``row``, with size, source_size, target, copies, taken and shards.
 
     Sources in code point order, null last, get ``weights`` in turn and together ``share`` times all words; no
     target is above ``cap`` (a whole number) times its source's size. ``copies`` is how often the mix takes the row, at most ``cap``
-    times, ``taken`` the words that makes and ``shards`` the output shard of each copy, of 2**depth. The words that a source gives are within half of a
-    document of its target. A null text has size 0; a null source is a source; null ids are dealt like any others;
+    times, ``taken`` the words that makes and ``shards`` the output shard of each copy, of 2**depth; unless given, depth follows
+    from the number of words, so that a shard has ``SHARD_WORDS`` at most. The words that a source gives fall short of its target by less than the smallest
+    document of its last block that is left. A null text has size 0; a null source is a source; null ids are dealt like any others;
     rows equal in doc_id and text are taken or left together. An empty table gives an empty result.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in columns or docs.columns))
@@ -112,6 +118,9 @@ def mixed(
     full = F.when(words > 0, F.floor(target / words)).otherwise(0)
     sources = cut(sources.withColumn("id", F.xxhash64("source")).withColumn("full", full).withColumn("rest", target - F.col("full") * words))
 
+    if depth is None:
+        words_out = (sources.agg(F.sum("source_size")).first()[0] or 0) * share
+        depth = min(20, max(4, ceil(log2(max(1.0, words_out / SHARD_WORDS)))))
     same = lambda a: a["source"].eqNullSafe(sources["source"])
     block = F.pmod(F.xxhash64("key", F.lit(1)), "blocks")
     of_block = slim.join(sources, same(slim)).select("id", "blocks", block.alias("block"), "size", "full", "rest").groupBy("id", "block").agg(F.sum("size").alias("words"), F.first("full").alias("full"), F.first("rest").alias("rest"), F.first("blocks").alias("blocks"))
@@ -135,8 +144,15 @@ def mixed(
     # documents of the blocks where a prefix ends, in their own permuted order
     edge = slim.join(sources, same(slim)).select("id", block.alias("block"), "size", "key", "rest").join(blocks.where("prefix = 1").select("id", "block", "start"), ["id", "block"])
     edge = edge.groupBy("id", "block", "key").agg(F.sum("size").alias("words"), F.first("start").alias("start"), F.first("rest").alias("rest"))
-    within = F.sum("words").over(Window.partitionBy("id", "block").orderBy("key"))
-    edge = edge.withColumn("middle", F.col("start") + within - F.col("words") / 2).where("middle <= rest").select("id", "block", "key", F.lit(True).alias("chosen"))
+    # in that order each is taken that still fits; a block's keys and sizes are one row
+    edge = edge.groupBy("id", "block").agg(F.array_sort(F.collect_list(F.struct("key", "words"))).alias("docs"), F.first(F.col("rest") - F.col("start")).alias("room"))
+
+    def fit(s: Column, x: Column) -> Column:
+        fits = x["words"] <= s["room"]
+        return F.struct(F.when(fits, s["room"] - x["words"]).otherwise(s["room"]).alias("room"), F.when(fits, F.concat(s["keys"], F.array(x["key"]))).otherwise(s["keys"]).alias("keys"))
+
+    chosen = F.aggregate("docs", F.struct("room", F.array().cast("array<bigint>").alias("keys")), fit, lambda s: s["keys"])
+    edge = edge.select("id", "block", F.explode(chosen).alias("key"), F.lit(True).alias("chosen"))
 
     here = slim.join(sources, same(slim)).select("size", "key", "source_size", "target", "full", "id", block.alias("block"))
     here = here.join(blocks.drop("start"), ["id", "block"]).join(edge, ["id", "block", "key"], "left")
@@ -154,8 +170,9 @@ def mixture(docs: DataFrame, **parameters) -> DataFrame:
 def shuffled(docs: DataFrame, seed: int = 20240607, **parameters) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, gathered by shard and shuffled within it.
 
-    Adds ``shard``, in place of an input column of that name.
+    A shard is ``PARTS`` runs of its random order, each of which one task sorts. Adds ``shard``, in place of an input column of that name.
     """
     out = mixed(docs, seed=seed, **parameters).select("row", F.posexplode("shards").alias("copy", "shard"))
-    out = out.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "copy", "row"))
+    out = out.withColumn("order", F.xxhash64(F.lit(seed), "copy", "row")).withColumn("part", F.pmod(F.shiftright("order", 32), F.lit(PARTS)))
+    out = out.repartition("shard", "part").sortWithinPartitions("shard", "part", "order")
     return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c != "shard"), "shard")
