@@ -16,21 +16,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, chunks, cut
 
-#: Labelled documents that the trigrams are fitted on, at most.
-SAMPLE = 4000
-LANGUAGES = 100
+#: Labelled documents of each language that the trigrams are fitted on, at most.
+SAMPLE = 1000
 BUCKETS = 1 << 15
 #: A text counts as this many independent trigrams at most; neighbours overlap and words repeat.
 STRENGTH = 60.0
 #: Rows' worth of the wider prior that a host's or a suffix's own counts are mixed with.
 PULL = 10.0
 LEAST_SCORE = 0.5
-#: Counts of hosts, suffixes or declarations by language are broadcast up to this many numbers.
+#: Counts of hosts, suffixes or declarations by language are broadcast up to this many numbers, keys of the sample up to this many rows.
 BROADCAST_CELLS = 500_000
 
 
@@ -53,10 +52,19 @@ class Trigrams:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Trigrams:
-    """Fit on at most ``sample`` rows with text and lang, chosen by a hash; the driver gets their trigram counts by bucket."""
+    """Fit on at most ``sample`` texts of each language, chosen by a hash, so that rare languages are known as well.
+
+    Every language with a labelled text is in the model. Of equal rows one teaches. The driver gets the trigram counts by language and bucket.
+    """
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang", F.xxhash64("doc_id", "text").alias("key"))
-    keys = rows.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(sample)
-    rows = rows.join(F.broadcast(keys), "key", "left_semi")  # at most ``sample`` keys are broadcast
+    # a language's rows are thinned by their hash to about twice the sample before they meet in one task
+    sizes = cut(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_CELLS else sizes
+    turn = F.shiftrightunsigned(F.xxhash64("key"), 11) / F.lit(float(1 << 53))
+    near = rows.select("lang", "key").join(sizes, "lang").withColumn("turn", turn).where(F.col("turn") * F.col("n") < 2 * sample + 100)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "key"))
+    keys = cut(near.select("lang", "key", "turn").distinct().withColumn("place", place).where(F.col("place") <= sample).select("lang", "key"))
+    rows = rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_CELLS else keys, ["lang", "key"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,9 +83,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Trigrams:
                 yield pa.record_batch([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int32()), pa.array(n[found])], names=["lang", "bucket", "n"])
 
     counts = rows.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    most = [r.lang for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    table = counts.where(F.col("lang").isin(most)).toArrow().to_pandas()
-    languages = sorted(most)
+    table = counts.toArrow().to_pandas()
+    languages = sorted(set(table["lang"]))
     n = np.full((BUCKETS, len(languages)), 0.5)
     if len(table):
         np.add.at(n, (table["bucket"].to_numpy(), np.searchsorted(languages, table["lang"])), table["n"].to_numpy())
@@ -114,7 +121,7 @@ def _softmax(scores: Column) -> Column:
 
 
 def identify(rows: DataFrame, model: Trigrams, key: str, text: Column, declared: Column | None, suffix: Column | None, host: Column | None, pull: float = PULL, least: float = LEAST_SCORE) -> DataFrame:
-    """(key, lang, score, kept) of every row; score is the posterior of lang.
+    """(key, lang, score, kept) of every row; score is the posterior of lang. Of languages with equal posteriors the first by name is taken.
 
     Evidence that is null, or not given, says nothing. A text without a word is no text. Rows whose text has no trigram, or whose best language scores under
     ``least``, are not kept; a row without a trigram has a null lang and score 0. Keys may be null or repeat. Only ``key`` and what the expressions name
