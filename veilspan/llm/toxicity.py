@@ -24,8 +24,6 @@ from .common import Words, chunks, cut, mix, signed
 
 #: Training documents of each label at most, chosen by a hash of the id. The bound holds for fitting only.
 SAMPLE = 5000
-#: Tokens in the model at most, by significance.
-VOCABULARY = 50_000
 PRIOR = 0.5
 #: Hashes by which copies among the training documents are found.
 MARKS = 1
@@ -81,28 +79,29 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def segments(at: np.ndarray, scores: np.ndarray, cost: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score) of a sequence, in one scan.
+    """All maximal scoring segments (start, end, score) of a sequence, in one scan and linear time.
 
-    ``at`` and ``scores`` give the positions with a score of their own; the others cost ``cost`` each.
+    ``at`` and ``scores`` give the positions with a score of their own; the others cost ``cost`` each. Each segment keeps
+    the index of the nearest earlier one that begins at a smaller sum, so that a search never walks over a segment twice.
     """
-    found: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum after, nearest with a smaller sum before
     total, next_at = 0.0, 0
     for p, s in zip(at.tolist(), scores.tolist(), strict=True):
         total -= (p - next_at) * cost
         next_at = p + 1
         if s > 0:
-            new = (p, p + 1, total, total + s)
+            first, before, after, k = p, total, total + s, len(found) - 1
             while True:
-                k = len(found) - 1
-                while k >= 0 and found[k][2] >= new[2]:
-                    k -= 1
-                if k < 0 or found[k][3] >= new[3]:
-                    found.append(new)
+                while k >= 0 and found[k][2] >= before:
+                    k = found[k][4]
+                if k < 0 or found[k][3] >= after:
+                    found.append((first, p + 1, before, after, k))
                     break
-                new = (found[k][0], new[1], found[k][2], new[3])
+                first, _, before, _, link = found[k]
                 del found[k:]
+                k = link
         total += s
-    return [(a, b, y - x) for a, b, x, y in found]
+    return [(a, b, y - x) for a, b, x, y, _ in found]
 
 
 @dataclass(frozen=True)
@@ -177,14 +176,36 @@ def _telling(rows: list, significance: np.ndarray) -> np.ndarray:
 
 
 def _known(model: Model):
+    """(text, toxic) to (toxic, number of tokens, highest segment score, evidence under the model)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, offsets in chunks(batch.column("text")):
                 w, keys = _tokens(buf, offsets)
                 scores = model.token_scores(keys)
-                rows = [scores[w.first[k] : w.first[k + 1]] for k in range(b - a)]
-                at = [np.flatnonzero(~np.isnan(x)) for x in rows]
-                yield pa.record_batch([batch.column("toxic")[a:b], pa.array(w.counts, pa.int64()), pa.array(at, pa.list_(pa.int64())), pa.array([x[i] for x, i in zip(rows, at, strict=True)], pa.list_(pa.float64()))], names=["toxic", "n", "at", "scores"])
+                best, told = [], []
+                for k in range(b - a):
+                    own = scores[w.first[k] : w.first[k + 1]]
+                    at = np.flatnonzero(~np.isnan(own))
+                    best.append(max((x[2] for x in segments(at, own[at], COST)), default=0.0))
+                    told.append(evidence(model.passages(own)))
+                yield pa.record_batch([batch.column("toxic")[a:b], pa.array(w.counts, pa.int64()), pa.array(best, pa.float64()), pa.array(told, pa.float64())], names=["toxic", "n", "best", "evidence"])
+
+    return run
+
+
+def _score_counts(model: Model):
+    """(text, toxic) to (score, n): how often each score occurs in the texts that are not toxic."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros(0)]
+            clean = batch.filter(pa.array(batch.column("toxic").to_numpy(zero_copy_only=False) == 0))
+            for _, _, buf, offsets in chunks(clean.column("text")):
+                scores = model.token_scores(_tokens(buf, offsets)[1])
+                found.append(scores[~np.isnan(scores)])
+            score, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.record_batch([pa.array(score), pa.array(n.astype(np.int64))], names=["score", "n"])
 
     return run
 
@@ -196,10 +217,12 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` documents of each label whose id is not held out.
 
-    Rows with a null id or label teach nothing, and of copies and most near copies one teaches. The driver gets the significant tokens, at most ``VOCABULARY``, and the scores of the sample.
+    Rows with a null id or label teach nothing, nor do labels that contradict each other, and of copies and most near copies
+    one teaches. The driver gets the significant tokens of the sample, which toxic ones each of its documents has, and figures for each document.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    known = known.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    known = known.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
     order = F.xxhash64(F.lit(11), "doc_id")
     chosen = known.where("toxic = 1").orderBy(order).limit(sample).unionAll(known.where("toxic = 0").orderBy(order).limit(sample))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -220,24 +243,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     odds = lambda y, n: F.log((F.col(y) + PRIOR) / (n + PRIOR - F.col(y)))
     error = F.sqrt(1 / (F.col("y1") + PRIOR) + 1 / (F.col("y0") + PRIOR))
     counts = counts.withColumn("odds", odds("y1", n1) - odds("y0", n0)).withColumn("error", error).where(F.abs("odds") > LEAST_Z * F.col("error"))
-    rows = counts.orderBy((F.abs("odds") / F.col("error")).desc(), "token").limit(VOCABULARY).select("token", (F.col("odds") / F.col("error")).alias("z"), (F.signum("odds") * (F.abs("odds") - 2 * F.col("error"))).alias("score")).collect()
+    rows = counts.select("token", (F.col("odds") / F.col("error")).alias("z"), (F.signum("odds") * (F.abs("odds") - 2 * F.col("error"))).alias("score")).collect()
     tokens = np.array([r.token for r in rows], np.int64).view(np.uint64)
     by = np.argsort(tokens)
     tokens, scores, z = tokens[by], np.array([r.score for r in rows])[by], np.array([r.z for r in rows])[by]
-    if len(tokens):
-        held = texts.mapInArrow(_present(tokens), "toxic int, tokens array<long>").collect()
-        kept = (z < 0) | _telling(held, z)
+    bad = np.flatnonzero(z > 0)
+    if len(bad):
+        held = texts.mapInArrow(_present(tokens[bad]), "toxic int, tokens array<long>").collect()
+        kept = z < 0
+        kept[bad] = _telling(held, z[bad])
         tokens, scores = tokens[kept], scores[kept]
     model = Model(tokens, scores)
 
-    scored = texts.mapInArrow(_known(model), "toxic int, n long, at array<long>, scores array<double>").collect()
-    clean, own = [r for r in scored if not r.toxic], np.array([x for r in scored if not r.toxic for x in r.scores])
+    figures = "toxic int, n long, best double, evidence double"
+    clean = [r for r in texts.mapInArrow(_known(model), figures).collect() if not r.toxic]
+    counts = texts.mapInArrow(_score_counts(model), "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()  # a row for each score of the model at most
     total = sum(r.n for r in clean) + 1
     high = float(np.median(model.scores[model.scores > 0])) if (model.scores > 0).any() else 1.0
-    own = np.append(own, high)  # one chance occurrence more than seen
+    own, times = np.array([r.score for r in counts] + [high]), np.array([r.n for r in counts] + [1])  # one chance occurrence more than seen
 
     def mean_power(rate: float) -> float:
-        return (np.exp(rate * own).sum() + (total + 1 - len(own)) * math.exp(-rate * COST)) / (total + 1)
+        return ((times * np.exp(rate * own)).sum() + (total + 1 - times.sum()) * math.exp(-rate * COST)) / (total + 1)
 
     low, top = 1e-3, 1e-3
     while mean_power(top) < 1 and top < 100:
@@ -245,18 +271,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for _ in range(60):
         middle = (low + top) / 2
         low, top = (middle, top) if mean_power(middle) < 1 else (low, middle)
-    best = [max((x[2] for x in segments(np.array(r.at, int), np.array(r.scores), COST)), default=0.0) for r in clean]
-    over = (sum(s >= high for s in best) + 0.5) / (len(best) + 1)
+    over = (sum(r.best >= high for r in clean) + 0.5) / (len(clean) + 1)
     length = max(1.0, total / max(1, len(clean)))
     chance = -math.log1p(-min(over, 0.999)) / (length * math.exp(-low * high))
     model = Model(model.tokens, model.scores, low, chance)
 
-    def of(r) -> float:
-        full = np.full(r.n, np.nan)
-        full[np.array(r.at, int)] = r.scores
-        return evidence(model.passages(full))
-
-    x, y = np.array([of(r) for r in scored]), np.array([r.toxic for r in scored], float)
+    told = texts.mapInArrow(_known(model), figures).collect()
+    x, y = np.array([r.evidence for r in told]), np.array([r.toxic for r in told], float)
     slope, offset = _logistic(x, y)
     return Model(model.tokens, model.scores, low, chance, slope, offset)
 
