@@ -2,8 +2,7 @@
 
 Base statistics of each text are computed where it lies. Each document also lists its distinct normalised lines;
 grouped aggregation counts in how many distinct documents of a host a line occurs, lines above the limit
-are removed, and a document that they deplete is rejected. Documents with equal texts are one document
-to the count, so copies don't make each other's lines frequent.
+are removed, and a document that they deplete is rejected.
 """
 
 from __future__ import annotations
@@ -25,6 +24,8 @@ LINE_LIMIT = 100
 LEAST_LEFT = 0.3
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
+#: Hashes of frequent lines that are broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_LINES = 500_000
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _HEAD = np.arange(256) & 0xC0 != 0x80  # bytes that begin a code point
@@ -121,7 +122,8 @@ def quality(docs: DataFrame, line_limit: int = LINE_LIMIT, least_left: float = L
     With ``texts`` also kept_text (the text without its frequent lines, the others as they are, joined by line feeds; null for
     a null text) and removed_lines (those lines as they stood, in order), of rejected rows too.
 
-    The host is ``source``; null is a host of its own. A null text has no words and fails the base rules. Rows with a null
+    A line is frequent if more than ``line_limit`` documents of its host have it; rows that share a doc_id are one document to that
+    count, and so are rows without an id that share a text. The host is ``source``; null is a host of its own. A null text has no words and fails the base rules. Rows with a null
     doc_id and repeated rows are judged like any others. Other columns are not read.
     """
     text = F.col("text").cast("string")
@@ -130,8 +132,12 @@ def quality(docs: DataFrame, line_limit: int = LINE_LIMIT, least_left: float = L
     one = F.arrays_zip(F.col("lines").alias("hash"), F.col("line_words").alias("words"))
     # rows of equal doc_id, source and text have equal lines, so one of them stands for all
     mine = F.xxhash64(F.lit(7), "doc_id", "content", F.coalesce("source", F.lit("")), F.col("source").isNull())
-    lines = rows.select(mine.alias("own"), "content", "source", F.inline(one)).withColumn("line", F.xxhash64("source", "hash"))
-    frequent = lines.groupBy("line").agg(F.count_distinct("content").alias("n")).where(F.col("n") > line_limit).select("line")
+    document = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit(1), "doc_id")).otherwise(F.xxhash64(F.lit(2), "content"))
+    lines = rows.select(mine.alias("own"), document.alias("document"), "source", F.inline(one)).withColumn("line", F.xxhash64("source", "hash"))
+    frequent = cut(lines.groupBy("line").agg(F.count_distinct("document").alias("n")).where(F.col("n") > line_limit).select("line"))
+    # a frequent line is in more than line_limit documents, so there are few; beyond the limit they are joined by a shuffle
+    if frequent.count() <= BROADCAST_LINES:
+        frequent = F.broadcast(frequent)
     removed = lines.join(frequent, "line").groupBy("own", "line").agg(F.first("words").alias("words"), F.first("hash").alias("hash"))
     removed = removed.groupBy("own").agg(F.sum("words").alias("n_removed"), F.collect_list("hash").alias("gone"))
     base = [x.split()[0] for x in _BASE.split(", ")]

@@ -136,10 +136,10 @@ WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, list_filter(string
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
 twice AS (SELECT doc_id, i FROM win SEMI JOIN (SELECT doc_id, g FROM win GROUP BY ALL HAVING count(*) > 1) USING (doc_id, g)),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY doc_id),
-line AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM w),
-full_line AS (SELECT doc_id, source, md5(text) AS content, line, array_to_string(list_filter(string_split_regex(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' ') AS normal FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+line AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM w),
+full_line AS (SELECT doc_id, source, line, array_to_string(list_filter(string_split_regex(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' ') AS normal FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM full_line GROUP BY doc_id),
-frequent AS (SELECT source, normal FROM full_line GROUP BY ALL HAVING count(DISTINCT content) > 100),
+frequent AS (SELECT source, normal FROM full_line GROUP BY ALL HAVING count(DISTINCT doc_id) > 100),
 gone AS (SELECT doc_id, sum(len(string_split(f.normal, ' ')))::BIGINT AS n FROM full_line f JOIN frequent q ON f.normal = q.normal AND f.source IS NOT DISTINCT FROM q.source GROUP BY doc_id),
 base AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_removed
