@@ -6,9 +6,9 @@ the prefix as one more than the count before that token. Which entry is the last
 a local test: a sequence is the encoding of its text if and only if each token and each pair of
 neighbours would come out of the merges as it is. Pairs are tested once and kept.
 
-A text's table holds the byte position of each word's end and the exact count up to there. A prefix
-that ends inside a word adds the count of that partial word. Questions about whole words read the
-table alone; ``truncated`` computes the prefix counts of the one word that crosses the budget.
+A text's table holds the byte position of each word's end and the exact count up to there and, if asked for, the exact count
+of every prefix by characters. Questions about whole words read the former and ``count_at`` the latter; ``truncated``
+needs the former only and computes the prefix counts of the one word that crosses the budget.
 """
 
 from __future__ import annotations
@@ -69,6 +69,7 @@ class PrefixCounter:
         self.fits = _Kept(lambda pair: self._apart(*pair))
         self.pieces = _Kept(lambda s: self.prefixes(s)[1][-1])
         self.words = _Kept(self._word)
+        self.insides = _Kept(lambda word: np.array(self.inside(word.decode()), np.int32))
         self.lowered = _Kept(self.tokenizer.normalizer.normalize_str)
 
     def _edge(self, token: str, side: int) -> list[tuple[str, float]]:
@@ -175,32 +176,62 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def _tables(path: str):
+def _every(counter: PrefixCounter, data: bytes, offsets: np.ndarray, w: Words, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text's counts begin, and the count of every prefix of each text by characters, the empty one first.
+
+    ``before`` has the count before each word within its text.
+    """
+    heads = np.append(0, np.cumsum(np.frombuffer(data, np.uint8) & 0xC0 != 0x80))
+    first = heads[offsets] + np.arange(len(offsets))  # a text of n characters has n + 1 counts
+    out = np.zeros(int(first[-1]), np.int32)
+    if not len(w):
+        return first, out
+    number: dict[bytes, int] = {}
+    own = np.array([number.setdefault(data[x:y], len(number)) for x, y in zip(w.start.tolist(), w.end.tolist(), strict=True)])
+    insides = [counter.insides[x][1:] for x in number]
+    sizes = np.array([len(x) for x in insides])
+    flat, begin = np.concatenate(insides), np.append(0, np.cumsum(sizes)[:-1])
+    size, at = sizes[own], heads[w.start] + w.doc + 1  # of the count after each word's first character
+    step = np.arange(size.sum()) - np.repeat(np.append(0, np.cumsum(size)[:-1]), size)
+    out[np.repeat(at, size) + step] = flat[np.repeat(begin[own], size) + step] + np.repeat(before, size)
+    # between words the count stays
+    known = np.zeros(len(out), bool)
+    known[np.repeat(at, size) + step] = True
+    known[first[:-1]] = True
+    return first, out[np.maximum.accumulate(np.where(known, np.arange(len(out)), 0))]
+
+
+def _tables(path: str, every: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path).words.__getitem__
+        words = counter(path).words.__getitem__
         for batch in batches:
             for a, b, buf, offsets in chunks(batch.column("text")):
                 w, data = Words(buf, offsets), buf.tobytes()
-                found = [np.fromiter(map(count, data[x:y].split()), np.int64) for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
+                found = [np.fromiter(map(words, data[x:y].split()), np.int64) for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
                 sums = [np.cumsum(x) for x in found]
                 first = pa.array(w.first.astype(np.int32))
                 ends = pa.ListArray.from_arrays(first, pa.array((w.end - offsets[w.doc]).astype(np.int32)))
                 counts = pa.ListArray.from_arrays(first, pa.array(np.concatenate(sums).astype(np.int32)))
                 total = [int(x[-1]) if len(x) else 0 for x in sums]
-                yield pa.record_batch([batch.column("doc_id")[a:b], pa.array(np.diff(offsets), pa.int64()), pa.array(total, pa.int64()), ends, counts], names=["doc_id", "n_bytes", "n_tokens", "prefix_bytes", "prefix_tokens"])
+                arrays = [batch.column("doc_id")[a:b], pa.array(np.diff(offsets), pa.int64()), pa.array(total, pa.int64()), ends, counts]
+                if every:
+                    begin, flat = _every(counter(path), data, offsets, w, np.concatenate(sums) - np.concatenate(found))
+                    arrays.append(pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(flat)))
+                yield pa.record_batch(arrays, names=["doc_id", "n_bytes", "n_tokens", "prefix_bytes", "prefix_tokens", "char_tokens"][: len(arrays)])
 
     return run
 
 
-def prefix_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, prefix_bytes, prefix_tokens) of every row.
+def prefix_counts(docs: DataFrame, path: str = VOCABULARY, every: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, prefix_bytes, prefix_tokens) of every row and, with ``every``, char_tokens.
 
     ``prefix_bytes`` has the byte position of each word's end, ``prefix_tokens`` the exact count of the
-    text up to there. A null or empty text counts 0 and has empty arrays; a null doc_id and repeated rows stay;
-    other columns are not read.
+    text up to there, ``char_tokens`` the exact count of the first 0, 1, 2, ... characters. A null or empty text counts 0 and has
+    no words; a null doc_id and repeated rows stay; other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_tables(path), "doc_id long, n_bytes long, n_tokens long, prefix_bytes array<int>, prefix_tokens array<int>")
+    schema = "doc_id long, n_bytes long, n_tokens long, prefix_bytes array<int>, prefix_tokens array<int>" + ", char_tokens array<int>" * every
+    return docs.mapInArrow(_tables(path, every), schema)
 
 
 def words_within(budget: int | Column) -> Column:
@@ -218,30 +249,13 @@ def bytes_within(budget: int | Column) -> Column:
     return F.when(n > 0, F.element_at("prefix_bytes", n)).otherwise(0)
 
 
-def count_at(tables: DataFrame, position: str = "position", path: str = VOCABULARY) -> DataFrame:
-    """Add ``tokens_before``: the exact token count of the text's first ``position`` characters.
+def count_at(position: int | Column) -> Column:
+    """The exact token count of a text's first ``position`` characters, read from char_tokens.
 
-    ``tables`` has the columns of ``prefix_counts`` with text and ``position``. The stored count of the last
-    whole word is read; only the word that the position cuts is looked at. A null position gives null.
+    A position below 0 counts as 0 and one beyond the text as its end; a null position gives null.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path).words.__getitem__
-        for batch in batches:
-            out = []
-            for text, at, ends, tokens in zip(*(batch.column(c) for c in ("text", position, "prefix_bytes", "prefix_tokens")), strict=True):
-                if not at.is_valid:
-                    out.append(None)
-                    continue
-                head = (text.as_py() or "")[: max(0, at.as_py())].encode()
-                ends = ends.values.to_numpy(zero_copy_only=False)
-                k = int(np.searchsorted(ends, len(head), "right"))
-                rest = head[int(ends[k - 1]) if k else 0 :].split()
-                out.append((tokens[k - 1].as_py() if k else 0) + sum(map(count, rest)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "tokens_before"])
-
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in tables.schema)
-    return tables.mapInArrow(run, f"{schema}, tokens_before long")
+    position = F.lit(position) if isinstance(position, int) else position
+    return F.element_at("char_tokens", F.greatest(F.lit(0), F.least(position, F.size("char_tokens") - 1)).cast("int") + 1)
 
 
 def truncated(tables: DataFrame, budget: int | Column, path: str = VOCABULARY) -> DataFrame:
