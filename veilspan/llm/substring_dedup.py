@@ -11,11 +11,13 @@ the graph is kept compacted from the start, as genome assemblers do:
    whether all their paths are equal (nonbranching) or not.
 3. A join sends that back to the paths. On a nonbranching minimiser a whole path is decided by its
    smallest document. On a branching one, copies of a path are decided by the smallest document that
-   has the same path, and only that document's own path is expanded into single edges, whose smallest
-   documents a last aggregation and join find.
-4. Repeated paths and edges carry source coordinates (document, first word, number of edges) and the
-   hash of the words there; neighbouring ones are glued to long spans when the text is read again, and
-   a span counts only if the words at its coordinates have that hash.
+   has the same path, and only that document's own path is expanded into single edges with their nodes.
+4. Of these, a grouped aggregation keeps the edges that are repeated and finds the source of each. The degrees of their nodes are
+   counted and joined, and a join sends nodes with one edge in and one out back to the edges: repeated edges of a
+   document that meet at such a node and have one source are compacted to one path.
+5. Paths carry coordinates (document, first word, number of edges) and 128 bits of hash, equal to
+   those of the source's words; neighbouring ones are glued to long spans when the text is read again, and
+   a span counts only if the words at its coordinates have those hashes.
 """
 
 from __future__ import annotations
@@ -25,15 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, block_of, chunks, cut, packed_blocks, signed, sliding_min, unpacked
 
 PATHS = "doc long, start int, edges int, anchor long, h1 long, h2 long"
 _PATHS = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("edges", pa.int32()), ("anchor", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
-EDGES = "doc long, start int, h1 long, h2 long"
-_EDGES = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+EDGES = "doc long, content long, start int, h1 long, h2 long, head long, tail long"
+_EDGES = pa.schema([(x, pa.int32() if x == "start" else pa.int64()) for x in ("doc", "content", "start", "h1", "h2", "head", "tail")])
 
 
 def _paths(window: int, anchor: int):
@@ -63,56 +65,74 @@ def _paths(window: int, anchor: int):
 
 
 class _At:
-    """The rows of a table of coordinates (doc, start, edges, h1), by document."""
+    """The rows of a table of coordinates (doc, start, edges, h1, h2, folded), by document.
+
+    The hashes are those of the words or, if ``folded``, of each window's words, joined by exclusive or.
+    """
 
     def __init__(self, rows: pa.Table, window: int):
-        doc, self.start, edges, self.h1 = (rows.column(c).to_numpy() for c in ("doc", "start", "edges", "h1"))
+        doc, self.start, edges, *hashes = (rows.column(c).to_numpy() for c in ("doc", "start", "edges", "h1", "h2"))
         order = np.argsort(doc, kind="stable")
-        self.doc, self.start, self.size, self.h1 = doc[order], self.start[order], (edges + window - 1)[order], self.h1[order]
+        self.doc, self.start, self.size = doc[order], self.start[order], (edges + window - 1)[order]
+        self.hashes, self.window = [h[order] for h in hashes], window
+        self.folded = rows.column("folded").to_numpy(zero_copy_only=False)[order] if "folded" in rows.column_names else np.zeros(len(order), bool)
+
+    def has(self, doc: int | None) -> bool:
+        return doc is not None and (k := np.searchsorted(self.doc, doc)) < len(self.doc) and self.doc[k] == doc
 
-    def of(self, doc: int | None, base: int, n: int, lane, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, number of words) of a document's rows, if the words there have the row's hash.
+    def of(self, doc: int, base: int, n: int, lanes) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, number of words) of a document's rows, if the words there have both of the row's hashes, which are its source's.
 
-        The document has ``n`` words, from ``base`` on in ``sums``.
+        The document has ``n`` words, from ``base`` on in the sums of ``lanes``.
         """
-        a, b = (np.searchsorted(self.doc, doc, side) for side in ("left", "right")) if doc is not None else (0, 0)
-        start, size, h1 = self.start[a:b], self.size[a:b], self.h1[a:b]
-        inside = start + size <= n
-        start, size, h1 = start[inside], size[inside], h1[inside]
-        same = signed(lane.ranges(sums, base + start, base + start + size)) == h1
+        a, b = (np.searchsorted(self.doc, doc, side) for side in ("left", "right"))
+        start, size = self.start[a:b], self.size[a:b]
+        same = start + size <= n
+        first, last = base + np.where(same, start, 0), base + np.where(same, start + size, 0)
+        folded = self.folded[a:b] & same
+        for (lane, sums), h in zip(lanes, self.hashes, strict=True):
+            found = signed(lane.ranges(sums, first, last))
+            if folded.any():
+                at = np.arange(base, base + n - self.window + 1)
+                each = np.append(0, np.bitwise_xor.accumulate(signed(lane.ranges(sums, at, at + self.window))))
+                begin = start[folded]
+                found[folded] = each[begin] ^ each[begin + size[folded] - self.window + 1]
+            same &= found == h[a:b]
         return start[same], size[same]
 
 
 def _expand(window: int):
-    """The single edges of the paths asked for in a block's documents."""
+    """The single edges of the paths asked for in a block's documents, each with its two nodes: the window without its last and its first word."""
 
     def run(texts: pa.Table, asked: pa.Table) -> pa.Table:
         found, at = [_EDGES.empty_table()], _At(asked, window)
         for batch in unpacked(texts.column("piece")) if len(asked) else ():
             ids = batch.column("doc_id").to_pylist()
             for a, b, buf, offsets in chunks(batch.column("text")):
-                rows = [row for row in range(a, b) if ids[row] is not None and (k := np.searchsorted(at.doc, ids[row])) < len(at.doc) and at.doc[k] == ids[row]]
+                rows = [row for row in range(a, b) if at.has(ids[row])]
                 if not rows:
                     continue
                 w = Words(buf, offsets)
-                (lane, sums), (lane2, sums2) = w.sequence(0), w.sequence(1)
+                lanes = w.sequence(0), w.sequence(1)
                 for row in rows:
                     base = w.first[row - a]
-                    start, size = at.of(ids[row], base, w.counts[row - a], lane, sums)
+                    start, size = at.of(ids[row], base, w.counts[row - a], lanes)
                     edges = size - window + 1
                     each = np.repeat(start - np.append(0, np.cumsum(edges)[:-1]), edges) + np.arange(edges.sum())
                     i = base + each
-                    found.append(pa.table([pa.array(np.full(len(each), ids[row], np.int64)), pa.array(each.astype(np.int32)), *(pa.array(signed(x.ranges(y, i, i + window))) for x, y in ((lane, sums), (lane2, sums2)))], schema=_EDGES))
+                    nodes = [signed(lanes[0][0].ranges(lanes[0][1], i + k, i + k + window - 1)) for k in (0, 1)]
+                    content = signed(lanes[0][0].ranges(lanes[0][1], np.array([base]), np.array([base + w.counts[row - a]])))[0]
+                    found.append(pa.table([pa.array(np.full(len(each), ids[row], np.int64)), pa.array(np.full(len(each), content)), pa.array(each.astype(np.int32)), *(pa.array(signed(x.ranges(y, i, i + window))) for x, y in lanes), *map(pa.array, nodes)], schema=_EDGES))
         return pa.concat_tables(found)
 
     return run
 
 
 def repeated_paths(docs: DataFrame, packed: DataFrame, blocks: int, window: int = 50, anchor: int = 12) -> DataFrame:
-    """(doc, start, edges, h1): the windows of each document that also start in one with a smaller id.
+    """(doc, start, edges, h1, h2, folded): the windows of each document that also start in one with a smaller id.
 
-    ``start`` is the first window's first word, ``edges`` the number of consecutive windows, ``h1`` the
-    hash of their words. Rows with a null doc_id or text are neither sources nor targets. ``packed`` and
+    ``start`` is the first window's first word, ``edges`` the number of consecutive windows, ``h1`` and ``h2`` the
+    hashes of their words, which are those of the source's words; if ``folded``, the hashes of each window's words, joined by exclusive or. Rows with a null doc_id or text are neither sources nor targets. ``packed`` and
     ``blocks`` are the same documents as ``packed_blocks`` gives them.
     """
     if not 0 < anchor <= window:
@@ -122,23 +142,37 @@ def repeated_paths(docs: DataFrame, packed: DataFrame, blocks: int, window: int
     paths = docs.mapInArrow(_paths(window, anchor), PATHS)
     repeated = (
         paths.groupBy("anchor")
-        .agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("h1").alias("a"), F.max("h1").alias("b"))
+        .agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("h2").alias("c"), F.max("h2").alias("d"))
         .where("lo < hi")
-        .select("anchor", "lo", (F.col("a") != F.col("b")).alias("branching"))
+        .select("anchor", "lo", ((F.col("a") != F.col("b")) | (F.col("c") != F.col("d"))).alias("branching"))
     )
     mine = cut(paths.join(repeated, "anchor").drop("anchor"))
-    straight = mine.where("not branching and doc > lo").select("doc", "start", "edges", "h1")
+    straight = mine.where("not branching and doc > lo").select("doc", "start", "edges", "h1", "h2")
 
     branching = mine.where("branching")
     source = branching.groupBy("h1", "h2").agg(F.min("doc").alias("source"))
     branching = branching.join(source, ["h1", "h2"])
-    copies = branching.where("doc > source").select("doc", "start", "edges", "h1")
-    asked = branching.where("doc = source").select("doc", "start", "edges", "h1").withColumn("block", _block(blocks))
+    copies = branching.where("doc > source").select("doc", "start", "edges", "h1", "h2")
+    asked = branching.where("doc = source").select("doc", "start", "edges", "h1", "h2").withColumn("block", _block(blocks))
     edges = packed.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_expand(window), EDGES)
-    edges = edges.repartition("h1", "h2")  # the aggregation and the join below share this exchange
-    first = edges.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
-    single = edges.join(first, ["h1", "h2"]).where("doc > lo").select("doc", "start", F.lit(1).alias("edges"), "h1")
-    return straight.unionByName(copies).unionByName(single)
+    # written once, so that the aggregation combines before its shuffle and the join can split a very common window
+    edges = cut(edges)
+    whole = straight.unionByName(copies).withColumn("folded", F.lit(False))
+    return whole.unionByName(_compacted(edges).withColumn("folded", F.lit(True)))
+
+
+def _compacted(edges: DataFrame) -> DataFrame:
+    """(doc, start, edges, h1, h2): the repeated edges of each document that start in a smaller one too, compacted along nonbranching nodes."""
+    graph = edges.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.first("head").alias("head"), F.first("tail").alias("tail")).where("lo < hi")
+    graph = cut(graph.select("h1", "h2", "lo", "head", "tail"))
+    out = graph.groupBy(F.col("head").alias("node")).agg(F.count("*").alias("out")).where("out = 1")
+    into = graph.groupBy(F.col("tail").alias("node")).agg(F.count("*").alias("into")).where("into = 1")
+    passed = out.join(into, "node").select(F.col("node").alias("head"), F.lit(True).alias("passed"))
+    mine = edges.join(graph.select("h1", "h2", "lo"), ["h1", "h2"]).where("doc > lo").join(passed, "head", "left")
+    order = Window.partitionBy("doc", "content").orderBy("start")  # rows that share an id may have different texts
+    goes_on = F.coalesce((F.lag("start").over(order) == F.col("start") - 1) & (F.lag("lo").over(order) == F.col("lo")) & F.col("passed"), F.lit(False))
+    paths = mine.dropDuplicates(["doc", "content", "start"]).withColumn("new", (~goes_on).cast("int")).withColumn("path", F.sum("new").over(order))
+    return paths.groupBy("doc", "content", "path").agg(F.min("start").alias("start"), F.count("*").cast("int").alias("edges"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2")).drop("content", "path")
 
 
 def _block(blocks: int):
@@ -154,14 +188,14 @@ def _apply(window: int, texts: bool):
             keys += ids
             for a, b, buf, offsets in chunks(batch.column("text")):
                 w = Words(buf, offsets)
-                lane, sums = w.sequence(0)
+                lanes = [w.sequence(k) for k in (0, 1)] if any(map(at.has, ids[a:b])) else []
                 data = buf.tobytes()
                 for row in range(a, b):
                     base, n = w.first[row - a], int(w.counts[row - a])
                     out = data[offsets[row - a] : offsets[row - a + 1]].split()
-                    start, size = at.of(ids[row], base, n, lane, sums)
                     runs = []
-                    if len(start):
+                    if at.has(ids[row]) and len((found := at.of(ids[row], base, n, lanes))[0]):
+                        start, size = found
                         change = np.zeros(n + 1, np.int64)
                         np.add.at(change, start, 1)
                         np.add.at(change, start + size, -1)
