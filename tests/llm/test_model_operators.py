@@ -133,6 +133,39 @@ def test_neighbours_of_few_rows(spark):
     assert ann.search(vectors(spark, one[:1]), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_neighbours_by_row_length_and_size(spark):
+    """Rows that share an id are rows of their own; vectors of another length take no part; large and tiny components count."""
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.1]), (3, [2e200, 1e200]), (4, [1e-200, 3e-200]), (5, [1.0]), (100, [1.0, 2.0, 3.0]), (6, [1.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, ann.search(table, F.col("vec_id") % 50 == 0).collect()))
+    near = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    flat = {"a": [1.0, 0.0], "b": [1.0, 0.1], "3": [2.0, 1.0], "4": [1.0, 3.0]}
+    wanted = []
+    for me, other in (("a", "b"), ("b", "a")):
+        own = [(6, 1.0 if me == "a" else near(flat["b"], flat["a"])), (50, near(flat[me], flat[other])), (3, near(flat[me], flat["3"])), (4, near(flat[me], flat["4"]))]
+        wanted += [(50, n, i, pytest.approx(s)) for n, (i, s) in enumerate(sorted(own, key=lambda x: (-round(x[1], 12), x[0])), 1)]
+    assert len(got) == 8 and all(np.isfinite(r[3]) for r in got)
+    key = lambda r: (r[1], r[2], round(float(getattr(r[3], "expected", r[3])), 9))
+    assert sorted(got, key=key) == sorted(wanted, key=key)
+
+
+def test_leaves_stay_small(spark):
+    """Large leaves are split until they hold few rows, but equal vectors stay together; no row is lost."""
+    rng = np.random.default_rng(10)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(3000)] + [(9000 + k, [1.0] * 8) for k in range(300)]
+    table = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    first = ann.grow(ann._unit(np.array([v for _, v in rows[:60]])), leaf=30)
+    tree, indexed = ann.refined(table, first, leaf_rows=100)
+    sizes = sorted(r["count"] for r in indexed.groupBy("leaf").count().collect())
+    assert sum(sizes) == 3300 and first.leaves < 12 and len(sizes) > 30 and sizes[-2] <= 100
+    assert sorted(tree.leaf[tree.leaf >= 0].tolist()) == list(range(tree.leaves)) and len(set(tree.best_bins(np.ones(8)))) == tree.leaves
+    got = defaultdict(set)
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, leaf_rows=100).collect():
+        got[r.query_id].add(r.vec_id)
+    expected = brute_neighbours(rows)
+    assert np.mean([len(got[q] & {i for i, _ in expected[q]}) / 5 for q in expected]) >= 0.9
+
+
 def brute_segments(x):
     """Maximal segments by their definition: the best segment, then the same on both sides of it."""
     if not len(x):
@@ -155,6 +188,40 @@ def test_all_maximal_segments():
         assert all(s == pytest.approx(x[a:b].sum()) for a, b, s in got)
 
 
+def test_segments_take_linear_time():
+    """Costs drift the sum down, so that nearly every token opens a segment: the walk back must not grow."""
+    import time
+
+    took = []
+    for n in (32_000, 128_000):
+        at = np.arange(n) * 30
+        began = time.perf_counter()
+        assert len(toxicity.segments(at, np.full(n, 1.0), 0.1)) == n
+        took.append(time.perf_counter() - began)
+    assert took[0] < 1 and took[1] < 12 * took[0] + 0.2
+    rng = np.random.default_rng(2)
+    x = np.where(rng.random(3000) < 0.5, -1, 1) * rng.random(3000)  # a long walk: many merges
+    assert sorted((a, b) for a, b, _ in toxicity.segments(np.arange(3000), x, 0.1)) == brute_segments_fast(x)
+
+
+def brute_segments_fast(x):
+    out, todo = [], [(0, len(x))]
+    sums = np.concatenate([[0], np.cumsum(x)])
+    while todo:
+        i, j = todo.pop()
+        if i >= j:
+            continue
+        low = np.minimum.accumulate(sums[i:j])
+        gain = sums[i + 1 : j + 1] - low
+        if gain.max() <= 1e-12:
+            continue
+        e = i + 1 + int(np.argmax(gain))
+        s = i + int(np.argmin(sums[i:e]))
+        out.append((s, e))
+        todo += [(i, s), (e, j)]
+    return sorted(out)
+
+
 def test_segments_skip_background():
     full = np.array([-0.1, 2.0, -0.1, -0.1, 3.0, -0.1, -5.0, 1.0])
     sparse = toxicity.segments(np.array([1, 4, 6, 7]), full[[1, 4, 6, 7]], 0.1)
@@ -186,6 +253,46 @@ def test_toxicity_on_held_out_labels(spark):
     assert any(w in ("scumbag", "vermine", "vermines", "rotters") for p in bad.passages for w in words_of[p.start : p.end])
 
 
+def test_toxicity_scores_by_definition(spark, clashing):
+    """Scores from the fitted figures by brute force: every maximal segment, its chance, the evidence and the logistic curve."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("aeioubdst"), 5)) for _ in range(300)]
+    rows, labels = [], []
+    for k in range(400):
+        own = rng.choice(words, 60).tolist()
+        if k % 3 == 0:
+            own[5:7] = ["scumbag", "rotter"]
+        rows.append((k, " ".join(own), "en", "a"))
+        labels.append((k, 1, int(k % 3 == 0)))
+    labels += [(1, 1, 1), (0, 1, 0)]  # contradictory labels teach nothing
+    docs, known = as_rows(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, known)
+    got = {r.doc_id: r for r in toxicity.scored(docs, model).collect()}
+    for k, text, *_ in rows[:60]:
+        tokens = text.lower().split()
+        _, keys = toxicity._tokens(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+        scores = model.token_scores(keys)
+        full = np.where(np.isnan(scores), -toxicity.COST, scores)
+        told = 0.0
+        for a, b in brute_segments_fast(full):
+            chance = model.chance * len(tokens) * np.exp(-model.rate * full[a:b].sum())
+            told += -np.log10(chance) if chance <= toxicity.MOST_CHANCE else 0.0
+        assert got[k].score == pytest.approx(1 / (1 + np.exp(-(model.slope * np.log1p(told) + model.offset))), rel=1e-6)
+    # the rate solves the clean documents' distribution: one chance occurrence of the median positive score more than seen
+    clean = [k for k in range(400) if k % 3 and k != 1 and zlib.crc32(str(k).encode()) % 5]
+    own, total = [float(np.median(model.scores[model.scores > 0]))], 2
+    for k in clean:
+        text = rows[k][1].encode()
+        scores = model.token_scores(toxicity._tokens(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[1])
+        own += scores[~np.isnan(scores)].tolist()
+        total += len(scores)
+    power = (np.exp(model.rate * np.array(own)).sum() + (total - len(own)) * np.exp(-model.rate * toxicity.COST)) / total
+    assert power == pytest.approx(1, abs=1e-3)
+    assert rows_of(toxicity.scored(clashing, model).drop("passages")) == rows_of(toxicity.scored(clashing.select("doc_id", "text"), model).drop("passages"))
+    long = as_rows(spark, [(1, "scumbag fine " * 200_000, "en", "a")])
+    assert toxicity.scored(long, model).first().score > 0.5
+
+
 def test_toxicity_without_labels(spark, awkward, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.toxicity(awkward, none).collect()
@@ -205,6 +312,64 @@ def test_languages_of_documents(spark, awkward, clashing, empty):
     assert language_id.document_languages(empty).collect() == []
 
 
+def brute_languages(rows, labelled, pull=10.0, strength=60.0):
+    """(lang, score) of (text, declared, suffix, host) rows, in plain loops over the definition."""
+
+    def buckets(text):
+        b = bytes(x + 32 if 65 <= x <= 90 else x for x in (text or "").encode())
+        return [(((b[k] << 16 | b[k + 1] << 8 | b[k + 2]) * 0x9E3779B1) & 0xFFFFFFFF) >> 17 for k in range(len(b) - 2)]
+
+    names = sorted({lang for _, lang in labelled})
+    logs = []
+    for name in names:
+        n = Counter(x for text, lang in labelled if lang == name for x in buckets(text))
+        total = sum(n.values()) + 0.5 * language_id.BUCKETS
+        logs.append(lambda x, n=n, total=total: float(np.float32(np.log((n[x] + 0.5) / total))))
+    soft = lambda xs: [np.exp(x - max(xs)) / sum(np.exp(y - max(xs)) for y in xs) for x in xs]
+    scores, posts = [], []
+    for text, *_ in rows:
+        own = buckets(text) if text and text.encode().split() else []
+        scores.append([sum(map(w, own)) / len(own) * min(len(own), strength) if own else 0.0 for w in logs])
+        posts.append(soft(scores[-1]) if own else None)
+    zero = [0.0] * len(names)
+    add = lambda ps: [sum(p[k] for p in ps) for k in range(len(names))] if ps else zero
+    overall = [x + 1 for x in add([p for p in posts if p])]
+    overall = [x / sum(overall) for x in overall]
+
+    def shrunk(k, column, wider):
+        value = rows[k][column]
+        rest = add([p for j, p in enumerate(posts) if p and j != k and rows[j][column] == value]) if value is not None else zero
+        return [(a + pull * w) / (sum(rest) + pull) for a, w in zip(rest, wider, strict=True)]
+
+    out = []
+    for k, (row, score, post) in enumerate(zip(rows, scores, posts, strict=True)):
+        if post is None:
+            out.append((None, 0.0))
+            continue
+        prior = shrunk(k, 3, shrunk(k, 2, overall))
+        said = [np.log(a / w) for a, w in zip(shrunk(k, 1, overall), overall, strict=True)] if row[1] is not None else zero
+        post = soft([a + np.log(b) + c for a, b, c in zip(score, prior, said, strict=True)])
+        out.append((names[int(np.argmax(post))], max(post)))
+    return out
+
+
+def test_languages_by_definition(spark):
+    rng = np.random.default_rng(12)
+    words = {"aa": "the and of with that", "bb": "der die und nicht ein", "cc": "le la et pas une"}
+    labelled = [(" ".join(rng.choice(words[x].split(), 6)), x) for x in words for _ in range(8)]
+    rows = [("", None, None, None), (None, "aa", "s1", "h1"), ("xx", None, "s1", None)]
+    for k in range(60):
+        x = "abc"[k % 3] * 2
+        rows.append((" ".join(rng.choice(words[x].split() + ["zz"], rng.integers(1, 5))), rng.choice([None, "aa", "bb", "cc"]), f"s{k % 2}", rng.choice([None, "h1", "h2", "h3"])))
+    docs = as_rows(spark, [(k, t, x, "s") for k, (t, x) in enumerate(labelled)])
+    table = spark.createDataFrame([(k, *(None if v is None else str(v) for v in r)) for k, r in enumerate(rows)], "id long, t string, said string, suffix string, host string")
+    got = {r.id: r for r in language_id.identify(table, language_id.fit(docs), "id", *(F.col(c) for c in ("t", "said", "suffix", "host"))).collect()}
+    for k, (lang, score) in enumerate(brute_languages(rows, labelled)):
+        assert got[k].score == pytest.approx(score, rel=1e-5, abs=1e-9) and (got[k].lang == lang or score < 0.5 + 1e-6), rows[k]
+    many = as_rows(spark, [(k, f"word{k} text {k}", f"l{k:03d}", "s") for k in range(150)])
+    assert len(language_id.fit(many).languages) == 150  # no language is left out
+
+
 def test_evidence_is_fused(spark):
     """A text that says little follows its host, and its markup beats its host."""
     rows = [(k, ("the and of with that " if k % 2 else "der die und nicht ein ") * 12, "en" if k % 2 else "de", "x") for k in range(60)]
@@ -231,7 +396,7 @@ def test_pages(spark):
 
 
 def test_pipeline_stages(spark, awkward, tmp_path):
-    """Each stage against what its operator says of the stage's own input."""
+    """Each stage against a brute-force version of it on the stage's own input."""
     docs, names = awkward, []
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, "")
@@ -240,8 +405,9 @@ def test_pipeline_stages(spark, awkward, tmp_path):
         out = spark.read.parquet(path)
         before, after = docs.collect(), out.collect()
         if name == "language_id":
-            verdicts = Counter((r.doc_id, r.kept) for r in language_id.document_languages(docs).collect())
-            assert Counter((r.doc_id, True) for r in after) == Counter({k: n for k, n in verdicts.items() if k[1]})
+            labelled = {(r.doc_id, r.text, r.lang) for r in before if r.text is not None and r.lang is not None}
+            found = brute_languages([(r.text, None, None, r.source) for r in before], [x[1:] for x in labelled])
+            assert Counter((r.doc_id, r.lang) for r in after) == Counter((r.doc_id, lang) for r, (lang, score) in zip(before, found, strict=True) if lang and score >= 0.5)
             assert all(r.lang and r.text and r.text.strip() for r in after)
         if name == "near_dedup":
             from .test_text_operators import brute_near
@@ -259,6 +425,13 @@ def test_pipeline_stages(spark, awkward, tmp_path):
             for r in mixing.mixed(docs, columns=["doc_id", "text"]).collect():
                 taken[r.row.doc_id, r.row.text] += r.copies
             assert Counter((r.doc_id, r.text) for r in after) == +taken
+            sizes, words = defaultdict(list), Counter()
+            for r in before:
+                sizes[r.source].append(len(split_words(r.text)))
+            for r in after:
+                words[r.source] += len(split_words(r.text))
+            for s, target in brute_targets({s: sum(x) for s, x in sizes.items()}).items():
+                assert target - max(sizes[s]) < words[s] <= target + 1e-6
         if name == "bpe_codec":
             from .test_text_operators import library
 

@@ -91,16 +91,27 @@ def test_token_counts(awkward, clashing, empty):
 def test_counts_at_every_prefix(spark):
     text = "Internationalization isn't naïve: 日本 costs 1,234.50€ … <|endoftext|>x"
     docs = as_rows(spark, [(1, text, "en", "a")])
-    tables = token_counts.prefix_counts(docs).join(docs.select("doc_id", "text"), "doc_id")
-    asked = tables.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(text)))).alias("position"))
-    for r in token_counts.count_at(asked).collect():
-        assert r.tokens_before == len(library(text[: r.position])[0]), text[: r.position]
+    tables = token_counts.prefix_counts(docs, every=True)
+    asked = tables.select("*", F.explode(F.sequence(F.lit(-1), F.lit(len(text) + 1))).alias("position"))
+    for r in asked.select("position", token_counts.count_at(F.col("position")).alias("n")).collect():
+        assert r.n == len(library(text[: max(0, r.position)])[0]), text[: r.position]
     row = tables.select(token_counts.bytes_within(4).alias("b"), token_counts.words_within(4).alias("w"), token_counts.bytes_within(0).alias("none")).first()
     words = text.split(" ")
     fits = max(k for k in range(len(words) + 1) if len(library(" ".join(words[:k]))[0]) <= 4)
     assert row.w == fits and row.b == len(" ".join(words[:fits]).encode()) and row.none == 0
 
 
+def test_counts_of_every_prefix_of_awkward_texts(awkward):
+    short = awkward.where("length(text) < 2000 or text is null")
+    tables = token_counts.prefix_counts(short, every=True).select("doc_id", "n_tokens", "char_tokens")
+    wanted = []
+    for i, t, *_ in awkward_rows():
+        if len(t or "") < 2000:
+            counts = [len(library((t or "")[:k])[0]) for k in range(len(t or "") + 1)]
+            wanted.append((i, counts[-1], counts))
+    assert rows_of(tables) == sorted(wanted, key=repr)
+
+
 def test_prefix_counts_of_random_words():
     c = token_counts.counter(token_counts.VOCABULARY)
     rng = np.random.default_rng(0)
@@ -223,16 +234,18 @@ def test_quality_base(awkward, clashing, empty):
 
 
 def test_quality_line_frequency(spark):
-    """A line in more documents of a host than the limit goes; copies of one text count once; another host's lines don't count."""
+    """A line in more documents of a host than the limit goes; rows of one doc_id count once, and so do equal texts without one; another host's lines don't count."""
     own = lambda k: " ".join(chr(97 + k % 26) * 3 + chr(97 + k // 26) + chr(97 + j) for j in range(12))
     boiler = "All rights reserved 2024 and so on and so forth for ever and ever"
     rows = [(k, f"{own(k)}\n{boiler}", "en", "h") for k in range(6)]
     rows += [(50, f"{boiler}\nALL rights  reserved 1999 and so on and so forth for ever and ever", "en", "h")]
-    rows += [(60, f"{own(60)}\n{boiler}", "en", "other")] + [(70 + k, own(70) + "\n" + own(71), "en", "h") for k in range(9)]
+    rows += [(60, f"{own(60)}\n{boiler}", "en", "other")] + [(70, own(70) + "\n" + own(71), "en", "h") for k in range(9)] + [(None, own(80), "en", "h") for k in range(9)]
+    rows += [(90 + k, own(90), "en", "h") for k in range(6)]
     got = {r.doc_id: r for r in quality.quality(as_rows(spark, rows), line_limit=5).collect()}
     assert got[0].n_removed == 14 and got[0].kept
     assert got[50].n_removed == 28 and not got[50].kept
-    assert got[60].n_removed == 0 and got[70].n_removed == 0 and got[70].kept
+    assert got[60].n_removed == 0 and got[70].n_removed == 0 and got[70].kept and got[None].kept
+    assert all(got[90 + k].n_removed == 12 and not got[90 + k].kept for k in range(6))  # copies are documents
 
 
 def test_quality_texts_without_frequent_lines(spark, awkward, empty):
