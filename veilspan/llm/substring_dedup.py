@@ -34,8 +34,8 @@ from .common import Words, block_of, chunks, cut, packed_blocks, signed, sliding
 
 PATHS = "doc long, start int, edges int, anchor long, h1 long, h2 long"
 _PATHS = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("edges", pa.int32()), ("anchor", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
-EDGES = "doc long, content long, start int, h1 long, h2 long, head long, tail long"
-_EDGES = pa.schema([(x, pa.int32() if x == "start" else pa.int64()) for x in ("doc", "content", "start", "h1", "h2", "head", "tail")])
+EDGES = "doc long, content int, start int, h1 long, h2 long, head int, tail int"
+_EDGES = pa.schema([(x, pa.int64() if x in ("doc", "h1", "h2") else pa.int32()) for x in ("doc", "content", "start", "h1", "h2", "head", "tail")])
 
 
 def _paths(window: int, anchor: int):
@@ -120,8 +120,9 @@ def _expand(window: int):
                     edges = size - window + 1
                     each = np.repeat(start - np.append(0, np.cumsum(edges)[:-1]), edges) + np.arange(edges.sum())
                     i = base + each
-                    nodes = [signed(lanes[0][0].ranges(lanes[0][1], i + k, i + k + window - 1)) for k in (0, 1)]
-                    content = signed(lanes[0][0].ranges(lanes[0][1], np.array([base]), np.array([base + w.counts[row - a]])))[0]
+                    # nodes that share 32 bits pass for one with more edges, which only ends a path
+                    nodes = [signed(lanes[0][0].ranges(lanes[0][1], i + k, i + k + window - 1)).astype(np.int32) for k in (0, 1)]
+                    content = signed(lanes[0][0].ranges(lanes[0][1], np.array([base]), np.array([base + w.counts[row - a]])))[0].astype(np.int32)
                     found.append(pa.table([pa.array(np.full(len(each), ids[row], np.int64)), pa.array(np.full(len(each), content)), pa.array(each.astype(np.int32)), *(pa.array(signed(x.ranges(y, i, i + window))) for x, y in lanes), *map(pa.array, nodes)], schema=_EDGES))
         return pa.concat_tables(found)
 
@@ -155,8 +156,6 @@ def repeated_paths(docs: DataFrame, packed: DataFrame, blocks: int, window: int
     copies = branching.where("doc > source").select("doc", "start", "edges", "h1", "h2")
     asked = branching.where("doc = source").select("doc", "start", "edges", "h1", "h2").withColumn("block", _block(blocks))
     edges = packed.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_expand(window), EDGES)
-    # written once, so that the aggregation combines before its shuffle and the join can split a very common window
-    edges = cut(edges)
     whole = straight.unionByName(copies).withColumn("folded", F.lit(False))
     return whole.unionByName(_compacted(edges).withColumn("folded", F.lit(True)))
 
@@ -164,11 +163,11 @@ def repeated_paths(docs: DataFrame, packed: DataFrame, blocks: int, window: int
 def _compacted(edges: DataFrame) -> DataFrame:
     """(doc, start, edges, h1, h2): the repeated edges of each document that start in a smaller one too, compacted along nonbranching nodes."""
     graph = edges.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.first("head").alias("head"), F.first("tail").alias("tail")).where("lo < hi")
-    graph = cut(graph.select("h1", "h2", "lo", "head", "tail"))
     out = graph.groupBy(F.col("head").alias("node")).agg(F.count("*").alias("out")).where("out = 1")
     into = graph.groupBy(F.col("tail").alias("node")).agg(F.count("*").alias("into")).where("into = 1")
     passed = out.join(into, "node").select(F.col("node").alias("head"), F.lit(True).alias("passed"))
-    mine = edges.join(graph.select("h1", "h2", "lo"), ["h1", "h2"]).where("doc > lo").join(passed, "head", "left")
+    flagged = graph.select("h1", "h2", "lo", "head").join(passed, "head", "left").select("h1", "h2", "lo", "passed")
+    mine = edges.select("doc", "content", "start", "h1", "h2").join(flagged, ["h1", "h2"]).where("doc > lo")
     order = Window.partitionBy("doc", "content").orderBy("start")  # rows that share an id may have different texts
     goes_on = F.coalesce((F.lag("start").over(order) == F.col("start") - 1) & (F.lag("lo").over(order) == F.col("lo")) & F.col("passed"), F.lit(False))
     paths = mine.dropDuplicates(["doc", "content", "start"]).withColumn("new", (~goes_on).cast("int")).withColumn("path", F.sum("new").over(order))
