@@ -110,12 +110,13 @@ class Words:
 
     ``start``/``end`` are byte positions in ``buf``; ``doc`` is each word's document within the run;
     ``first`` has, for each document, the index of its first word, and one more entry at the end.
+    ``gaps`` tells for each byte whether it divides words.
     """
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _IS_GAP):
         self.buf, self.offsets = buf, offsets
         n = len(buf)
-        inside = ~_IS_GAP[buf]
+        inside = ~gaps[buf]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         begins, ends = inside.copy(), inside.copy()

@@ -10,6 +10,7 @@ from .common import read
 from .language_id import document_languages, page_languages
 from .minhash import near_duplicates
 from .mixing import mixture
+from .phrases import collocations
 from .quality import quality
 from .secrets import secret_digests
 from .substring_dedup import dedup_substrings
@@ -60,6 +61,10 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_languages(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"), least=10, subsumed=50, most=2000)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe": op2_bpe,
@@ -72,6 +77,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
     "op10_secret_scan": op10_secret_scan,
+    "op11_phrase_mining": op11_phrase_mining,
 }
 
 _OP1 = r"""
@@ -148,7 +154,25 @@ judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base
 SELECT *, NOT base_failed AND NOT (n_removed > 0 AND (n_words - n_removed < 10 OR n_words - n_removed < 0.3 * n_words)) AS kept FROM judged
 """
 
+_OP11 = r"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM piece),
+f1 AS (SELECT lang, x, count(*)::BIGINT AS f FROM (SELECT lang, unnest(ws) AS x FROM w) GROUP BY ALL),
+f2 AS (SELECT lang, x, y, count(*)::BIGINT AS f FROM (SELECT lang, ws[i] AS x, ws[i + 1] AS y FROM (SELECT lang, ws, unnest(range(1, len(ws))) AS i FROM w)) GROUP BY ALL),
+f3 AS (SELECT lang, x, y, z, count(*)::BIGINT AS f FROM (SELECT lang, ws[i] AS x, ws[i + 1] AS y, ws[i + 2] AS z FROM (SELECT lang, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)) GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+  SELECT c.lang, c.x || ' ' || c.y AS phrase, 1 AS k, c.f AS a, p.f AS l, q.f AS r FROM f2 c JOIN f1 p ON p.lang = c.lang AND p.x = c.x JOIN f1 q ON q.lang = c.lang AND q.x = c.y
+  WHERE c.f >= 10 AND NOT EXISTS (SELECT 1 FROM f3 t WHERE t.lang = c.lang AND t.x = c.x AND t.y = c.y AND 100 * t.f >= 50 * c.f) AND NOT EXISTS (SELECT 1 FROM f3 t WHERE t.lang = c.lang AND t.y = c.x AND t.z = c.y AND 100 * t.f >= 50 * c.f)
+  UNION ALL SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, 1, c.f, p.f, q.f FROM f3 c JOIN f1 p ON p.lang = c.lang AND p.x = c.x JOIN f2 q ON q.lang = c.lang AND q.x = c.y AND q.y = c.z
+  UNION ALL SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, 2, c.f, p.f, q.f FROM f3 c JOIN f2 p ON p.lang = c.lang AND p.x = c.x AND p.y = c.y JOIN f1 q ON q.lang = c.lang AND q.x = c.z),
+scored AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank::INTEGER AS rank, phrase, a, l, r, n, score FROM ranked JOIN (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang) USING (lang) WHERE rank <= 2000
+"""
+
 ORACLE_SQL = {
+    "op11_phrase_mining": _OP11,
     "op8_quality_rules": _OP8,
     "op10_secret_scan": _OP10,
     "op6_minhash_near_dedup": _OP6,
