@@ -15,6 +15,7 @@ from .quality import quality
 from .secrets import secret_digests
 from .substring_dedup import dedup_substrings
 from .toxicity import toxicity
+from .vafile import search_exact
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,10 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read(spark, sf_dir, "documents"), least=10, subsumed=50, most=2000)
 
 
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_exact(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe": op2_bpe,
@@ -78,6 +83,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_secret_scan": op10_secret_scan,
     "op11_phrase_mining": op11_phrase_mining,
+    "op12_exact_topk": op12_exact_topk,
 }
 
 _OP1 = r"""
@@ -171,7 +177,14 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, rank::INTEGER AS rank, phrase, a, l, r, n, score FROM ranked JOIN (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang) USING (lang) WHERE rank <= 2000
 """
 
+_OP12 = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS c FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.c, v.c), lambda z: z[1] * z[2]))::BIGINT AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM pairs QUALIFY rank <= 5
+"""
+
 ORACLE_SQL = {
+    "op12_exact_topk": _OP12,
     "op11_phrase_mining": _OP11,
     "op8_quality_rules": _OP8,
     "op10_secret_scan": _OP10,
