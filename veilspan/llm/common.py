@@ -44,15 +44,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a frame; for plain scans that is the size of the files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-
-
-def parts_for(df: DataFrame, bytes_each: int, least: int = 1, most: int = 1 << 20) -> int:
-    return max(least, min(most, -(-input_bytes(df) // bytes_each)))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection of 64-bit integers that spreads every bit."""
     with np.errstate(over="ignore"):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import ann, bpe, token_counts
 from .common import read
+from .conversations import repaired
 from .language_id import document_languages, page_languages
 from .minhash import near_duplicates
 from .mixing import mixture
@@ -70,6 +71,10 @@ def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_exact(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe": op2_bpe,
@@ -84,6 +89,7 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_phrase_mining": op11_phrase_mining,
     "op12_exact_topk": op12_exact_topk,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _OP1 = r"""
