@@ -284,8 +284,7 @@ def _some_joined(segments: pa.Table) -> pa.Table:
     whole = json.loads(rows[0][1])
     for _, x in rows[1:]:
         whole = _follow(whole, json.loads(x))
-    conv = segments.column("conv_id")[:1]
-    return pa.table({"conv_id": conv, "place": pa.array([rows[0][0] // JOINED], pa.int64()), "segment": pa.array([json.dumps(whole)], pa.string())})
+    return pa.table({"conv_id": segments.column("conv_id")[:1], "place": segments.column("group")[:1], "segment": pa.array([json.dumps(whole)], pa.string())})
 
 
 def _joined_segments(segments: DataFrame) -> DataFrame:
@@ -294,7 +293,8 @@ def _joined_segments(segments: DataFrame) -> DataFrame:
     now = cut(segments.select("conv_id", (F.row_number().over(order) - 1).cast("long").alias("place"), "segment"))
     longest = now.agg(F.max("place")).first()[0]
     while longest:
-        now = now.groupBy("conv_id", F.expr(f"place div {JOINED}").alias("__group")).applyInArrow(_some_joined, "conv_id long, place long, segment string")
+        grouped = now.withColumn("group", F.expr(f"place div {JOINED}")).groupBy("conv_id", "group")
+        now = grouped.applyInArrow(_some_joined, "conv_id long, place long, segment string")
         now, longest = cut(now), longest // JOINED
     return now.select("conv_id", "segment")
 
