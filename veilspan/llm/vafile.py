@@ -124,7 +124,8 @@ class Grid:
         with np.errstate(over="ignore", invalid="ignore"):
             slack = np.abs(q) @ np.maximum(np.abs(low), np.abs(high)).T * (2.0 ** -50 * (q.shape[1] + 2))
             least, most = up @ low.T + down @ high.T - slack, up @ high.T + down @ low.T + slack
-        return np.nan_to_num(least, nan=-np.inf, posinf=np.inf, neginf=-np.inf), np.nan_to_num(most, nan=np.inf, posinf=np.inf, neginf=-np.inf)
+        limit = 2.0**63  # as scores are
+        return np.clip(np.nan_to_num(least, nan=-limit), -limit, limit), np.clip(np.nan_to_num(most, nan=limit), -limit, limit)
 
 
 def possible(least: np.ndarray, most: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -236,8 +237,9 @@ def search_exact(vectors: DataFrame, is_query: Column, k: int = 5, cells: int =
     blocks = lambda rows, each: max(1, -(-rows // each))
     parts, asks = blocks(n, part_rows), blocks(m, query_rows)
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    files = classes.select("cls", "id", "c").mapInArrow(approximate, "cls long, id long, cells binary").select("*", F.pmod(F.xxhash64("cls"), F.lit(parts)).alias("part"), every(asks).alias("ask"))
-    ask = queries.select("*", F.pmod(F.xxhash64("query"), F.lit(asks)).alias("ask"), every(parts).alias("part"))
+    dealt = lambda key, count: F.pmod(F.xxhash64(key), F.lit(count)).cast("int")  # noqa: E731  both sides of a cogroup need one type
+    files = classes.select("cls", "id", "c").mapInArrow(approximate, "cls long, id long, cells binary").select("*", dealt("cls", parts).alias("part"), every(asks).alias("ask"))
+    ask = queries.select("*", dealt("query", asks).alias("ask"), every(parts).alias("part"))
     found = cut(files.groupBy("part", "ask").cogroup(ask.groupBy("part", "ask")).applyInArrow(_bounded(grid, d, top), _FOUND))
     left = _still(found, _first(found, top, "least", "id"), top, "least")
     turn = Window.partitionBy("query").orderBy(F.col("most").desc(), "id", "cls")
