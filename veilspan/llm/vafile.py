@@ -23,7 +23,7 @@ from .common import cut
 
 SCALE = 256
 #: Cells in a dimension, and vectors that their edges are taken from, at most.
-CELLS = 32
+CELLS = 64
 SAMPLE = 10_000
 #: Approximations and queries that meet in a task.
 PART_ROWS = 16_384
