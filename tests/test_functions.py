@@ -1,5 +1,6 @@
 """Spans, checks, types and entities against Python models and known values."""
 
+import itertools
 import re
 
 import pytest
@@ -88,3 +89,33 @@ def test_required_parts_of_patterns(spark):
     for p in (r"[a-z]+@[a-z]+", r"https?://[^\s]+", r"\b(?:[0-9]{1,3}\.){3}\d", r"[PG]\d{7}", r"\d\d"):
         got = [[x.value for x in r.s] for r in df.select(spans.find_spans(F.col("t"), p).alias("s")).collect()]
         assert got == [re.findall(p, t) if t else [] for t in texts] or "(" in p and got == [[m[0] for m in re.finditer(p, t or "")] for t in texts]
+
+
+def test_many_matches_of_one_text(spark):
+    """Positions take time in proportion to the matches; blocks meet at every size."""
+    import time
+
+    pattern = r"[a-z]+[0-9]+@"
+    for n in (1, spans.SUM_BLOCK - 1, spans.SUM_BLOCK, spans.SUM_BLOCK + 1, 3 * spans.SUM_BLOCK):
+        text = "é🙂 " + "; ".join(f"a{k}@" for k in range(n))
+        got = spark.createDataFrame([(text,)], "t string").select(spans.find_spans(F.col("t"), pattern).alias("s")).first().s
+        assert [tuple(x) for x in got] == [(m[0], *m.span()) for m in re.finditer(pattern, text)]
+    took = {}
+    for n in (16_000, 64_000):
+        df = spark.createDataFrame([(" ".join(f"a{k}@" for k in range(n)),)], "t string").select(F.size(spans.find_spans(F.col("t"), pattern)).alias("n"))
+        began = time.time()
+        assert df.first().n == n
+        took[n] = time.time() - began
+    assert took[64_000] < 4 * took[16_000] + 5
+
+
+def test_running_and_pieces(spark):
+    values = [(k * 7919) % 11 for k in range(1500)]
+    df = spark.createDataFrame([(values,)], "v array<int>")
+    got = df.select(spans.running(F.col("v")).alias("sum"), spans.running(F.col("v"), lambda a, x: F.greatest(a, x), block=7).alias("top")).first()
+    assert got.sum == list(itertools.accumulate(values)) and got.top == list(itertools.accumulate(values, max))
+    text = "".join(chr(97 + k % 26) if k % 5 else "🙂" for k in range(3 * spans.PIECE + 5))
+    cuts = [(0, 0), (0, 1), (0, len(text)), (spans.PIECE - 1, spans.PIECE + 1), (spans.PIECE, 2 * spans.PIECE), (2 * spans.PIECE, 2 * spans.PIECE), (len(text) - 1, len(text)), (5, 3)]
+    df = spark.createDataFrame([(text, a, b) for a, b in cuts], "t string, a int, b int")
+    got = df.select("a", "b", spans.let(spans.in_pieces(F.col("t")), lambda p: spans.taken(p, F.col("a"), F.col("b"))).alias("x")).collect()
+    assert {(r.a, r.b): r.x for r in got} == {(a, b): text[a:b] for a, b in cuts}

@@ -5,6 +5,7 @@ Positions are code points, 0-based, the end exclusive.
 
 from __future__ import annotations
 
+import operator
 import re
 import re._constants as sre
 import re._parser as parser
@@ -14,6 +15,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "struct<value: string, start: int, end: int>"
+#: Elements that are summed in one fold.
+SUM_BLOCK = 512
+#: Characters in a piece of a text.
+PIECE = 1024
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -65,26 +70,54 @@ def _possible(text: Column, pattern: str) -> Column:
     return text.isNotNull() if out is None else out
 
 
+def _folded(values: Column, merge: Callable[[Column, Column], Column], start: Column) -> Column:
+    def step(state: Column, x: Column) -> Column:
+        at = merge(state["at"], x)
+        return F.struct(at.alias("at"), F.concat(state["out"], F.array(at)).alias("out"))
+
+    return F.aggregate(values, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda s: s["out"])
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column] = operator.add, block: int = SUM_BLOCK) -> Column:
+    """The sum, or what ``merge`` makes, of a non-empty array of non-negative integers up to each element.
+
+    A fold copies what it has at each step, so the array is taken in blocks, each from what those before it come to.
+    """
+    zero = F.lit(0)
+    in_parts = lambda own: F.transform(F.sequence(F.lit(1), F.size(own), F.lit(block)), lambda k: F.slice(own, k, F.lit(block)))
+    begun = lambda parts: F.concat(F.array(zero), _folded(F.transform(parts, lambda p: F.aggregate(p, zero, lambda a, x: merge(a, x))), merge, zero))
+    merged = lambda parts, starts: F.flatten(F.transform(parts, lambda p, k: _folded(p, merge, F.get(starts, k))))
+    return let(let(values, in_parts), lambda parts: let(begun(parts), lambda starts: merged(parts, starts)))
+
+
+def placed(text: Column, regex: str, matches: Column, build: Callable[[Column, Column, Column], Column]) -> Column:
+    """``build(value, start, end)`` of each of a pattern's matches: the texts between them give the positions, in time proportional to the matches."""
+    steps = F.zip_with(F.split(text, regex, -1), matches, lambda b, m: F.length(b) + F.coalesce(F.length(m), F.lit(0)))
+    return let(running(steps), lambda ends: F.transform(matches, lambda m, k: build(m, F.get(ends, k) - F.length(m), F.get(ends, k))))
+
+
 def find_spans(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches as an array of (value, start, end); empty for a null text.
 
-    The text between matches gives their positions, in one fold over the matches. Texts that cannot match are not searched.
+    Texts that cannot match are not searched.
     """
     regex = compiled(pattern)
     empty = F.array().cast(f"array<{SPAN}>")
+    span = lambda value, start, end: F.struct(value.alias("value"), start.alias("start"), end.alias("end"))
+    found = lambda matches: F.when(F.size(matches) > 0, placed(text, regex, matches, span)).otherwise(empty)
+    return F.when(_possible(text, pattern), let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), found)).otherwise(empty)
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["between"])
-        end = start + F.coalesce(F.length(x["match"]), F.lit(0))
-        span = F.array(F.struct(x["match"].alias("value"), start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["match"].isNotNull(), F.concat(state["out"], span)).otherwise(state["out"]).alias("out"))
 
-    def located(matches: Column) -> Column:
-        zipped = F.arrays_zip(F.split(text, regex, -1).alias("between"), matches.alias("match"))
-        found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
-        return F.when(F.size(matches) > 0, found).otherwise(empty)
+def in_pieces(text: Column) -> Column:
+    """A text cut every ``PIECE`` characters, for many calls of ``taken``."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
 
-    return F.when(_possible(text, pattern), let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), located)).otherwise(empty)
+def taken(pieces: Column, start: Column, end: Column) -> Column:
+    """text[start : end] of a text in pieces, in time that depends on what is taken and not on where it stands."""
+    first = F.floor(start / PIECE).cast("int")
+    own = F.slice(pieces, first + 1, F.greatest(F.ceil(end / PIECE).cast("int") - first, F.lit(0)))
+    return F.when(end > start, F.substr(F.array_join(own, ""), start - first * PIECE + 1, end - start)).otherwise("")
 
 
 def window(text: Column, start: Column, end: Column, width: int) -> Column:
