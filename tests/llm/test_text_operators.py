@@ -278,6 +278,13 @@ def brute_secrets(text):
     return tuple(sum(k == x for *_, k in found) for x in ("assign", "access", "hex")) + (hashlib.sha256(base.encode()).hexdigest(),)
 
 
+def test_many_secrets_of_one_text(spark):
+    text = "é🙂 " + " ".join(f"{k:030x} password=abcdef{k}" for k in range(3000)) + " end"
+    table = as_rows(spark, [(1, text, "en", "a")])
+    assert rows_of(secrets.secret_digests(table)) == [(1, *brute_secrets(text))]
+    assert secrets.redacted(table).first().text == "é🙂 " + " ".join(["[hex] [assign]"] * 3000) + " end"
+
+
 def test_secrets(awkward, clashing, empty):
     expected = sorted(((i, *brute_secrets(t)) for i, t, *_ in awkward_rows()), key=repr)
     for table in (awkward, clashing):

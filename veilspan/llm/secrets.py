@@ -9,6 +9,7 @@ mandatory trigrams scans every text.
 
 from __future__ import annotations
 
+import re
 import re._constants as sre
 import re._parser as parser
 from collections.abc import Callable, Iterable
@@ -18,6 +19,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import in_pieces, let, placed, running, taken
+
 #: Alternatives of a literal part that a query spells out at most; beyond it the part asks for nothing.
 SPELT = 64
 
@@ -120,11 +123,27 @@ def trigram_query(pattern: str) -> Query:
     return _spell(parser.parse(pattern))[1]
 
 
+def _any_of(endings: set[str]) -> str:
+    """An expression for any of some texts of one length, by their first characters."""
+    if endings == {""}:
+        return ""
+    firsts = sorted({x[0] for x in endings})
+    parts = [re.escape(c) + _any_of({x[1:] for x in endings if x[0] == c}) for c in firsts]
+    return f"(?:{'|'.join(parts)})"
+
+
 def postings(docs: DataFrame, key: Column, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(key, gram): for every trigram that a rule asks for, by its number, the documents that hold it."""
-    low = F.lower("text")
-    hits = F.array(*(F.when(low.contains(g), F.lit(k)) for k, g in enumerate(asked_for(rules))))
-    return docs.select(key.alias("key"), F.explode(F.array_compact(hits)).alias("gram"))
+    """(key, gram): for every trigram that a rule asks for, by its number, the documents that hold it.
+
+    A text's own trigrams are gone through once: at each place where one of those asked for may begin, it is taken without consuming the text.
+    """
+    asked = asked_for(rules)
+    if not asked:
+        return docs.select(key.alias("key"), F.lit(0).alias("gram")).limit(0)
+    begins = "".join(re.escape(c) for c in sorted({g[0] for g in asked}))
+    own = F.regexp_extract_all(F.lower("text"), F.lit(f"(?=[{begins}])(?=({_any_of(set(asked))}))"), F.lit(1))
+    numbers = F.array(*map(F.lit, asked))
+    return docs.select(key.alias("key"), F.explode(F.array_distinct(own)).alias("gram")).select("key", (F.array_position(numbers, F.col("gram")).cast("int") - 1).alias("gram"))
 
 
 def asked_for(rules: tuple[Rule, ...]) -> list[str]:
@@ -157,20 +176,13 @@ def candidates(docs: DataFrame, key: Column, rules: tuple[Rule, ...] = RULES) ->
 
 def _spans(matches: str, rule: Rule, rank: int) -> Column:
     """(start, rank, end, kind) of the kept matches, from the matches and the texts between them."""
-    between = F.split("text", rule.pattern, -1)
+    build = lambda value, start, end: F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"), value.alias("value"))
+    found = placed(F.col("text"), rule.pattern, F.col(matches), build)
+    if rule.keep:
+        found = F.filter(found, lambda x: rule.keep(x["value"]))
     typed = "array<struct<start: int, rank: int, end: int, kind: string>>"
-
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["between"])
-        end = start + F.coalesce(F.length(x["match"]), F.lit(0))
-        kept = x["match"].isNotNull() & (rule.keep(x["match"]) if rule.keep else F.lit(True))
-        one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))).cast(typed)
-        return F.struct(end.alias("at"), F.when(kept, F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
-
-    empty = F.array().cast(typed)
-    zipped = F.arrays_zip(between.alias("between"), F.col(matches).alias("match"))
-    folded = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
-    return F.when(F.size(matches) > 0, folded).otherwise(empty)
+    bare = F.transform(found, lambda x: F.struct(*(x[c].alias(c) for c in ("start", "rank", "end", "kind")))).cast(typed)
+    return F.when(F.size(matches) > 0, bare).otherwise(F.array().cast(typed))
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -214,13 +226,14 @@ def secret_digests(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` with each secret's text replaced by ``[kind]``; of overlapping secrets the first is named and all are covered."""
 
-    def step(state: Column, x: Column) -> Column:
-        new = x["start"] >= state["at"]
-        piece = F.concat(F.substr("text", state["at"] + 1, x["start"] - state["at"]), F.lit("["), x["kind"], F.lit("]"))
-        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(new, F.concat(state["out"], piece)).otherwise(state["out"]).alias("out"))
+    def rewritten(parts: Column, covered: Column) -> Column:
+        """What stands between the secrets, and their names: each from the furthest end so far."""
+        before = lambda k: F.when(k > 0, F.get(covered, k - 1)).otherwise(0)
+        piece = lambda x, at: F.when(x["start"] >= at, F.concat(taken(parts, at, x["start"]), F.lit("["), x["kind"], F.lit("]"))).otherwise("")
+        named = F.transform("secrets", lambda x, k: let(before(k), lambda at: piece(x, at)))
+        return F.concat(F.array_join(named, ""), taken(parts, F.element_at(covered, -1), F.length("text")))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.aggregate("secrets", start, step, lambda s: F.concat(s["out"], F.substr("text", s["at"] + 1, F.length("text"))))
+    ends = F.transform("secrets", lambda x: x["end"])
     found = find_secrets(docs, rules)
-    text = F.when(F.size("secrets") > 0, text).otherwise(F.col("text"))
+    text = F.when(F.size("secrets") > 0, let(in_pieces(F.col("text")), lambda parts: let(running(ends, lambda a, x: F.greatest(a, x)), lambda covered: rewritten(parts, covered)))).otherwise(F.col("text"))
     return found.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "secrets"))
