@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.spans import let
 from .common import CHUNK_BYTES, chunks, cut
 
 #: Labelled documents of each language that the trigrams are fitted on, at most.
@@ -85,17 +86,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Trigrams:
     counts = rows.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counts.toArrow().to_pandas()
     languages = sorted(set(table["lang"]))
-    n = np.full((BUCKETS, len(languages)), 0.5)
+    n = np.full((BUCKETS, len(languages)), 0.5, np.float32)  # 128 KB a language
     if len(table):
-        np.add.at(n, (table["bucket"].to_numpy(), np.searchsorted(languages, table["lang"])), table["n"].to_numpy())
-    return Trigrams(languages, np.log(n / n.sum(axis=0)) if languages else n)
+        n[table["bucket"].to_numpy(), np.searchsorted(languages, table["lang"])] += table["n"].to_numpy()
+    return Trigrams(languages, np.log(n / n.sum(axis=0, dtype=np.float64)).astype(np.float32) if languages else n)
 
 
 def _likelihoods(model: Trigrams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = model.weights.astype(np.float32)
         for batch in batches:
-            out, sizes = [], []
+            out, sizes = [np.zeros((0, weights.shape[1]))], [np.zeros(0, int)]
             for a, b, buf, offsets in chunks(batch.column("__text"), CHUNK_BYTES // 4):
                 at, size = _inner(offsets)
                 sums = np.zeros((b - a, weights.shape[1]))
@@ -108,16 +109,66 @@ def _likelihoods(model: Trigrams):
                 sizes.append(size)
             flat = np.concatenate(out)
             ends = pa.array((np.arange(len(flat) + 1) * flat.shape[1]).astype(np.int32))
-            arrays = [*batch.drop_columns(["__text"]).columns, pa.array(np.concatenate(sizes), pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat.reshape(-1)))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*(c for c in batch.schema.names if c != "__text"), "__n", "__text_score"])
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1))) for x in (flat, _posterior(flat))]
+            arrays = [*batch.drop_columns(["__text"]).columns, pa.array(np.concatenate(sizes), pa.int64()), *lists]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*(c for c in batch.schema.names if c != "__text"), "__n", "__text_score", "__p"])
 
     return run
 
 
-def _softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    powers = F.transform(scores, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, y: a + y))
+def _posterior(scores: np.ndarray) -> np.ndarray:
+    powers = np.exp(scores - scores.max(axis=1, keepdims=True))
+    return powers / powers.sum(axis=1, keepdims=True)
+
+
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    return column.fill_null([0.0] * n).flatten().to_numpy(zero_copy_only=False).reshape(len(column), n) if column.null_count else column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), n)
+
+
+def _summed(n: int):
+    """(value, posterior) to the sums by value and language of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column("value").dictionary_encode()
+            sums = np.zeros((len(values.dictionary), n))
+            np.add.at(sums, values.indices.to_numpy(), _matrix(batch.column("p"), n))
+            at, language = np.nonzero(sums)
+            yield pa.record_batch([values.dictionary.take(pa.array(at)), pa.array(language.astype(np.int32)), pa.array(sums[at, language])], names=["value", "language", "n"])
+
+    return run
+
+
+def _counts(scored: DataFrame, value: Column, n: int) -> DataFrame:
+    """(value, language, n): the posteriors of the rows with a text, summed by a value and by language."""
+    rows = scored.where("__n > 0").select(value.alias("value"), F.col("__p").alias("p")).where(F.col("value").isNotNull())
+    return rows.mapInArrow(_summed(n), "value string, language int, n double").groupBy("value", "language").agg(F.sum("n").alias("n"))
+
+
+def _fused(names: list[str], overall: np.ndarray, pull: float):
+    """Posteriors from a row's likelihoods, its own part in each count, and the counts of its suffix, host and declaration."""
+    n = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.column("__n").to_numpy() > 0
+            own = np.where(some[:, None], _matrix(batch.column("__p"), n), 0.0)
+
+            def shrunk(by: str, wider: np.ndarray, own=own, batch=batch) -> np.ndarray:
+                """Counts without the row's own part, mixed with the wider prior."""
+                counted = batch.column(by)
+                rest = np.maximum(np.where(counted.is_null().to_numpy(zero_copy_only=False)[:, None], 0.0, _matrix(counted, n) - own), 0.0)
+                return (rest + pull * wider) / (rest.sum(axis=1, keepdims=True) + pull)
+
+            prior = shrunk("__host_n", shrunk("__suffix_n", overall))
+            # P(declared | language), up to a factor that all languages share: the language's share among the rows that declare so, over its share of all
+            said = np.where(batch.column("__declared").is_null().to_numpy(zero_copy_only=False)[:, None], 0.0, np.log(shrunk("__declared_n", overall) / overall))
+            posterior = _posterior(_matrix(batch.column("__text_score"), n) + np.log(prior) + said)
+            best = posterior.argmax(axis=1)
+            lang = pa.array([names[k] for k in best.tolist()], pa.string(), mask=~some)
+            yield pa.record_batch([batch.column("__key"), lang, pa.array(np.where(some, posterior[np.arange(len(best)), best], 0.0))], names=["__key", "lang", "score"])
+
+    return run
 
 
 def identify(rows: DataFrame, model: Trigrams, key: str, text: Column, declared: Column | None, suffix: Column | None, host: Column | None, pull: float = PULL, least: float = LEAST_SCORE) -> DataFrame:
@@ -125,36 +176,31 @@ def identify(rows: DataFrame, model: Trigrams, key: str, text: Column, declared:
 
     Evidence that is null, or not given, says nothing. A text without a word is no text. Rows whose text has no trigram, or whose best language scores under
     ``least``, are not kept; a row without a trigram has a null lang and score 0. Keys may be null or repeat. Only ``key`` and what the expressions name
-    is read. Without any language in the model no row is identified.
+    is read. Without any language in the model no row is identified. Work grows in proportion to the number of languages.
     """
     names, n = model.languages, len(model.languages)
     given = [by for by, c in (("__suffix", suffix), ("__host", host), ("__declared", declared)) if c is not None]
     declared, suffix, host = (F.lit(None).cast("string") if c is None else c for c in (declared, suffix, host))
     kind = rows.schema[key].dataType.simpleString()
-    base = rows.select(F.col(key).alias("__key"), F.lower(F.substring(declared, 1, 2)).alias("__declared"), suffix.alias("__suffix"), host.alias("__host"), F.when(text.rlike(r"[^\x20\x09-\x0D]"), text.cast("string")).alias("__text"))
+    base = rows.select(F.col(key).alias("__key"), F.lower(F.substring(declared, 1, 2)).alias("__declared"), suffix.cast("string").alias("__suffix"), host.cast("string").alias("__host"), F.when(text.rlike(r"[^\x20\x09-\x0D]"), text.cast("string")).alias("__text"))
     if not names:
         return base.select(F.col("__key").alias(key), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
-    schema = f"__key {kind}, __declared string, __suffix string, __host string, __n long, __text_score array<double>"
-    scored = cut(base.mapInArrow(_likelihoods(model), schema).withColumn("__p", F.when(F.col("__n") > 0, _softmax(F.col("__text_score"))).otherwise(F.array_repeat(F.lit(1.0 / n), n))))
-
-    zero = F.array_repeat(F.lit(0.0), n)
-    own = F.when(F.col("__n") > 0, F.col("__p")).otherwise(zero)
-    sums = [F.sum(F.when(F.col("__n") > 0, F.col("__p")[k]).otherwise(0.0)) for k in range(n)]
+    schema = f"__key {kind}, __declared string, __suffix string, __host string, __n long, __text_score array<double>, __p array<double>"
+    scored = cut(base.mapInArrow(_likelihoods(model), schema))
 
     def counts(by: str) -> DataFrame:
         """A row for each value; broadcast only if there are few, else joined by a shuffle in which nulls are spread."""
-        table = cut(scored.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("__value")).agg(F.array(*sums).alias(f"{by}_n")))
-        return F.broadcast(table) if table.count() * n <= BROADCAST_CELLS else table
-
-    total = list(scored.agg(F.array(*sums).alias("n")).first().n)
-    overall = [(x or 0.0) + 1.0 for x in total]
-    overall = F.array(*(F.lit(x / sum(overall)) for x in overall))
-
-    def shrunk(counted: Column, wider: Column) -> Column:
-        """Counts without the row's own part, mixed with the wider prior."""
-        rest = F.zip_with(F.coalesce(counted, own), own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
-        size = F.aggregate(rest, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(rest, wider, lambda a, w: (a + pull * w) / (size + pull))
+        each = cut(_counts(scored, F.col(by), n))
+        found = F.map_from_entries(F.collect_list(F.struct("language", "n")))
+        table = each.groupBy(F.col("value").alias("__value")).agg(found.alias("__found"))
+        known = let(F.col("__found"), lambda m: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.try_element_at(m, k), F.lit(0.0))))
+        table = table.select("__value", known.alias(f"{by}_n"))
+        return F.broadcast(table) if each.select("value").distinct().count() * n <= BROADCAST_CELLS else table
+
+    overall = np.ones(n)
+    for r in _counts(scored, F.lit(""), n).collect():  # a row for each language
+        overall[r.language] += r.n
+    overall /= overall.sum()
 
     out = scored
     for by in ("__suffix", "__host", "__declared"):
@@ -163,16 +209,8 @@ def identify(rows: DataFrame, model: Trigrams, key: str, text: Column, declared:
             out = out.withColumn("__value", value).join(counts(by), "__value", "left").drop("__value")
         else:
             out = out.withColumn(f"{by}_n", F.lit(None).cast("array<double>"))
-    out = out.withColumn("__wide", shrunk(F.col("__suffix_n"), overall)).withColumn("__prior", shrunk(F.col("__host_n"), F.col("__wide")))
-    # P(declared | language), up to a factor that all languages share: the language's share among the rows that declare so, over its share of all
-    said = F.zip_with(shrunk(F.col("__declared_n"), overall), overall, lambda a, w: F.log(a / w))
-    said = F.when(F.col("__declared").isNotNull(), said).otherwise(zero)
-    fused = F.zip_with(F.zip_with("__text_score", F.transform("__prior", lambda x: F.log(x)), lambda a, b: a + b), said, lambda a, b: a + b)
-    out = out.withColumn("__post", _softmax(fused))
-    best = F.array_position("__post", F.array_max("__post")).cast("int")
-    lang = F.when(F.col("__n") > 0, F.element_at(F.array(*map(F.lit, names)), best))
-    score = F.when(F.col("__n") > 0, F.array_max("__post")).otherwise(0.0)
-    out = out.select(F.col("__key").alias(key), lang.alias("lang"), score.alias("score"))
+    out = out.select("__key", "__declared", "__n", "__text_score", "__p", "__suffix_n", "__host_n", "__declared_n")
+    out = out.mapInArrow(_fused(names, overall, pull), f"__key {kind}, lang string, score double").withColumnRenamed("__key", key)
     return out.withColumn("kept", F.col("lang").isNotNull() & (F.col("score") >= least))
 
 
