@@ -231,8 +231,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     marks = [f"mark{k}" for k in range(MARKS)]
     texts = cut(texts.mapInArrow(_marked, "doc_id long, text string, toxic int, " + ", ".join(f"{x} long" for x in marks)))
     single = texts.select("doc_id", "toxic", *marks)
-    for mark in marks:
-        single = single.dropDuplicates(["toxic", mark])
+    for mark in marks:  # the least id stays, whatever the order of rows
+        single = single.groupBy("toxic", F.col(mark).alias("__mark")).agg(F.min(F.struct("doc_id", *marks)).alias("least")).select("toxic", "least.*")
     texts = cut(texts.join(single.select("doc_id"), "doc_id", "left_semi").select("text", "toxic"))
     n = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
@@ -258,6 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     figures = "toxic int, n long, best double, evidence double"
     clean = [r for r in texts.mapInArrow(_known(model), figures).collect() if not r.toxic]
     counts = texts.mapInArrow(_score_counts(model), "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()  # a row for each score of the model at most
+    counts.sort(key=lambda r: r.score)  # sums of doubles follow their order
     total = sum(r.n for r in clean) + 1
     high = float(np.median(model.scores[model.scores > 0])) if (model.scores > 0).any() else 1.0
     own, times = np.array([r.score for r in counts] + [high]), np.array([r.n for r in counts] + [1])  # one chance occurrence more than seen
@@ -276,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chance = -math.log1p(-min(over, 0.999)) / (length * math.exp(-low * high))
     model = Model(model.tokens, model.scores, low, chance)
 
-    told = texts.mapInArrow(_known(model), figures).collect()
+    told = sorted(texts.mapInArrow(_known(model), figures).collect(), key=lambda r: (r.evidence, r.toxic))
     x, y = np.array([r.evidence for r in told]), np.array([r.toxic for r in told], float)
     slope, offset = _logistic(x, y)
     return Model(model.tokens, model.scores, low, chance, slope, offset)
