@@ -300,6 +300,17 @@ def test_toxicity_without_labels(spark, awkward, empty):
     assert toxicity.toxicity(empty, none).collect() == []
 
 
+def test_toxicity_does_not_follow_the_order_of_rows(spark):
+    docs, labels = spark.read.parquet(DOCS), spark.read.parquet(LABELS)
+    copies = docs.unionByName(docs.join(labels.where("toxic = 1"), "doc_id", "left_semi").withColumn("doc_id", F.col("doc_id") + 100_000))
+    more = labels.unionByName(labels.withColumn("doc_id", F.col("doc_id") + 100_000))
+    found = []
+    for parts, order in ((1, F.col("doc_id")), (7, F.xxhash64("doc_id")), (3, -F.col("doc_id"))):
+        mixed = copies.repartition(parts, "doc_id").sortWithinPartitions(order)
+        found.append(sorted((r.doc_id, r.score) for r in toxicity.toxicity(mixed, more.repartition(parts).sortWithinPartitions(order)).collect()))
+    assert found[0] == found[1] == found[2]
+
+
 def test_languages_of_documents(spark, awkward, clashing, empty):
     docs = spark.read.parquet(DOCS)
     found = language_id.document_languages(docs.withColumn("lang", F.when(F.pmod("doc_id", F.lit(2)) == 0, F.col("lang"))))
@@ -370,6 +381,23 @@ def test_languages_by_definition(spark):
     assert len(language_id.fit(many).languages) == 150  # no language is left out
 
 
+def test_many_languages(spark):
+    """The work is in proportion to the number of languages."""
+    import time
+
+    took = {}
+    for n in (60, 500):
+        rows = [(k, f"word{k % n} zq{k % n}x text{k % n} {k % n}{k % n}", f"l{k % n:03d}", f"s{k % 7}") for k in range(600)]
+        docs = as_rows(spark, rows)
+        model = language_id.fit(docs)
+        assert len(model.languages) == n
+        began = time.time()
+        got = {r.doc_id: r.lang for r in language_id.identify(docs, model, "doc_id", F.col("text"), None, None, F.col("source")).collect()}
+        took[n] = time.time() - began
+        assert sum(got[k] == lang for k, _, lang, _ in rows) > 0.9 * len(rows)
+    assert took[500] < 20 * took[60] and took[500] < 60, took
+
+
 def test_evidence_is_fused(spark):
     """A text that says little follows its host, and its markup beats its host."""
     rows = [(k, ("the and of with that " if k % 2 else "der die und nicht ein ") * 12, "en" if k % 2 else "de", "x") for k in range(60)]

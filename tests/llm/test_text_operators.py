@@ -281,7 +281,7 @@ def brute_secrets(text):
 def test_many_secrets_of_one_text(spark):
     text = "é🙂 " + " ".join(f"{k:030x} password=abcdef{k}" for k in range(3000)) + " end"
     table = as_rows(spark, [(1, text, "en", "a")])
-    assert rows_of(secrets.secret_digests(table)) == [(1, *brute_secrets(text))]
+    assert [r[:-1] for r in rows_of(secrets.secret_digests(table))] == [(1, *brute_secrets(text))]
     assert secrets.redacted(table).first().text == "é🙂 " + " ".join(["[hex] [assign]"] * 3000) + " end"
 
 
