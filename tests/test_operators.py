@@ -280,6 +280,67 @@ def test_a_hung_call_loses_its_row_only(spark):
     assert [r.response for r in model.ask(rows.where("id in (0, 3)"), Sleepy).orderBy("id").collect()] == ["A", None]
 
 
+class Slow:
+    opened = 0
+
+    def generate(self, prompt, system=None, temperature=0.0, max_tokens=0):
+        import time
+
+        time.sleep(30 if "hang" in prompt else 0.3)
+        if "boom" in prompt:
+            raise RuntimeError
+        return f"{prompt}!"
+
+
+def test_calls_in_flight(spark):
+    """Forty calls of 0.3 s at eight at a time take about 1.5 s, in order, also across batches; hung and failed ones lose their rows only."""
+    import time
+
+    model.ask(spark.range(1).selectExpr("'x' prompt"), Slow).collect()  # the worker starts
+    prompts = [f"p{k}" for k in range(40)]
+    prompts[7], prompts[20], prompts[33] = "boom", None, "hang"
+    rows = spark.createDataFrame(list(enumerate(prompts)), "id long, prompt string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+        began = time.time()
+        got = [(r.id, r.response) for r in model.ask(rows, Slow, width=8, timeout=3.0).collect()]
+        took = time.time() - began
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == [(k, None if p in ("boom", "hang", None) else f"{p}!") for k, p in enumerate(prompts)]
+    assert 1.4 < took < 9
+    assert [r.response for r in model.ask(rows.where("id < 3"), Slow, width=2).collect()] == ["p0!", "p1!", "p2!"]
+
+
+class Counted:
+    def __init__(self):
+        import tempfile
+
+        self.log = f"{tempfile.gettempdir()}/veilspan-asked"
+
+    def generate(self, prompt, system=None, temperature=0.0, max_tokens=0):
+        with open(self.log, "a") as f:
+            f.write(prompt + "\n")
+        return None if prompt == "c" else prompt.upper()
+
+
+def test_equal_prompts_are_asked_once(spark):
+    import os
+
+    log = Counted().log
+    if os.path.exists(log):
+        os.remove(log)
+    rows = spark.createDataFrame([(k, "abc"[k % 3] if k % 4 else None, "old") for k in range(60)], "id long, prompt string, response string")
+    got = {r.id: r.response for r in model.ask_once(rows, Counted, width=3, tasks=2).collect()}
+    assert got == {k: {"a": "A", "b": "B", "c": None}["abc"[k % 3]] if k % 4 else None for k in range(60)}
+    assert sorted(open(log).read().split()) == ["a", "b", "c"]
+    os.remove(log)
+    texts = docs(spark, "hi Ann", "hi Ann", "boom Ann", " ", None)
+    found = model.model_detect(texts, Fake, "Find in {text} {{json}}", once=True, width=4)
+    assert {r.doc_id: [e.value for e in r.model_entities] for r in found.collect()} == {0: ["Ann"], 1: ["Ann"], 2: [], 3: [], 4: []}
+
+
 def test_answers_of_a_tuned_model(spark):
     cases = [
         ('{"entities": [{"value": "Ann"}]}', [("UNKNOWN", "Ann", 3, 6, 0.85)]),

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
-from threading import Thread
+from dataclasses import dataclass
+from threading import Condition, Thread
 from typing import Protocol
 
 import pandas as pd
@@ -50,46 +52,107 @@ def rendered(template: str, text: Column) -> Column:
     return out
 
 
-def _answer(engine: Engine, prompt: str, system: str | None, out: list) -> None:
-    try:
-        out.append(engine.generate(prompt, system))
-    except Exception:  # a failed call is a missing answer
-        out.append(None)
+class Calls:
+    """Calls to a model in a task: at most ``width`` at once, each with an engine of its own in a daemon thread of its own.
 
+    A call that fails gives None, as does one that takes longer than ``timeout`` seconds; such a call is left behind with its engine, and a new one serves the rest.
+    """
 
-def ask(rows: DataFrame, open_engine: Callable[[], Engine], prompt: str = "prompt", system: str | None = None, timeout: float | None = None, into: str = "response") -> DataFrame:
+    def __init__(self, open_engine: Callable[[], Engine], width: int = 1, system: str | None = None, timeout: float | None = None):
+        self._open, self._width, self._system, self._timeout = open_engine, width, system, timeout
+        self._idle: list[Engine] = []
+        self._flying: list[_Call] = []
+        self._ended = Condition()
+
+    def submit(self, prompt: str | None) -> _Call:
+        """Begin a call, once there is room for it; a null prompt is not asked."""
+        if prompt is None:
+            return _Call(None, None, ended=True)
+        self._room_for(self._width)
+        call = _Call(self._idle.pop() if self._idle else self._open(), time.monotonic())
+        if self._width == 1 and self._timeout is None:
+            self._run(call, prompt)
+            return call
+        self._flying.append(call)
+        Thread(target=self._run, args=(call, prompt), daemon=True).start()
+        return call
+
+    def answer(self, call: _Call) -> str | None:
+        """A call's answer, waited for."""
+        while not call.ended:
+            self._land(call)
+        return call.answer
+
+    def _run(self, call: _Call, prompt: str) -> None:
+        try:
+            answer = call.engine.generate(prompt, self._system)
+        except Exception:  # a failed call is a missing answer
+            answer = None
+        with self._ended:
+            if not call.ended:  # else it was given up
+                call.answer, call.ended = answer, True
+                self._idle.append(call.engine)
+            self._ended.notify_all()
+
+    def _room_for(self, width: int) -> None:
+        while len(self._flying) >= width:
+            self._land()
+
+    def _land(self, wanted: _Call | None = None) -> None:
+        """Wait until some call ends, or until the first one is overdue."""
+        with self._ended:
+            landed = [c for c in self._flying if c.ended]
+            if not landed and not (wanted and wanted.ended):
+                first = min(c.began for c in self._flying)
+                self._ended.wait(None if self._timeout is None else max(0.0, first + self._timeout - time.monotonic()))
+            for c in self._flying:
+                if not c.ended and self._timeout is not None and time.monotonic() - c.began >= self._timeout:
+                    c.ended = True
+            self._flying = [c for c in self._flying if not c.ended]
+
+
+@dataclass(eq=False)
+class _Call:
+    engine: Engine | None
+    began: float | None
+    answer: str | None = None
+    ended: bool = False
+
+
+def ask(rows: DataFrame, open_engine: Callable[[], Engine], prompt: str = "prompt", system: str | None = None, timeout: float | None = None, into: str = "response", width: int = 1) -> DataFrame:
     """Add each prompt's answer; a failed call, or one beyond ``timeout`` seconds, gives null and the job goes on.
 
-    With a timeout each call has a daemon thread of its own. One that hangs is left behind with its engine, and a new engine serves the rest.
+    Up to ``width`` calls of a task are in flight at once, also from one batch of rows to the next; rows keep their order, and a task holds two batches at most.
     """
     schema = T.StructType([f for f in rows.schema.fields if f.name != into] + [T.StructField(into, T.StringType())])
     columns = schema.fieldNames()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        engine = open_engine()
-
-        def one(text):
-            nonlocal engine
-            if text is None:
-                return None
-            out: list = []
-            if timeout is None:
-                _answer(engine, text, system, out)
-                return out[0]
-            call = Thread(target=_answer, args=(engine, text, system, out), daemon=True)
-            call.start()
-            call.join(timeout)
-            if out:
-                return out[0]
-            engine = open_engine()
-            return None
-
+        calls, before = Calls(open_engine, width, system, timeout), None
+        finished = lambda frame, own: frame.assign(**{into: [calls.answer(c) for c in own]})[columns]
         for frame in frames:
-            yield frame.assign(**{into: [one(x) for x in frame[prompt]]})[columns]
+            now = frame, [calls.submit(x) for x in frame[prompt]]
+            if before:
+                yield finished(*before)
+            before = now
+        if before:
+            yield finished(*before)
 
     return rows.mapInPandas(run, schema)
 
 
+def ask_once(rows: DataFrame, open_engine: Callable[[], Engine], prompt: str = "prompt", system: str | None = None, timeout: float | None = None, into: str = "response", width: int = 1, tasks: int | None = None) -> DataFrame:
+    """``ask``, with every distinct prompt asked once and its answer joined back to all rows that have it; ``tasks`` deals the distinct prompts anew.
+
+    Rows whose prompt is null have a null answer. The order of rows is not kept.
+    """
+    keyed = rows.drop(into).withColumn("__asked", F.sha2(F.col(prompt).cast("binary"), 256))
+    distinct = keyed.where(F.col(prompt).isNotNull()).groupBy("__asked").agg(F.first(prompt).alias("__prompt"))
+    distinct = distinct if tasks is None else distinct.repartition(tasks)
+    answers = ask(distinct, open_engine, "__prompt", system, timeout, into, width).drop("__prompt")
+    return keyed.join(answers, "__asked", "left").drop("__asked")
+
+
 def first_object(response: str | None) -> str | None:
     """The first balanced JSON object of an answer, thoughts taken out; null if there is none that parses."""
     if response is None:
@@ -196,10 +259,14 @@ def placed(text: Column, answers: Column, kinds: tuple[str, ...] | None = None,
     return F.coalesce(F.array_compact(F.transform(answers, one)), no_entities())
 
 
-def model_detect(rows: DataFrame, open_engine: Callable[[], Engine], template: str, kinds: tuple[str, ...] | None = None, text: str = "text", least: float = 0.0, into: str = "model_entities") -> DataFrame:
-    """Ask for each text's entities and add those of the wanted kinds; blank texts are not sent, a failed call gives none."""
+def model_detect(rows: DataFrame, open_engine: Callable[[], Engine], template: str, kinds: tuple[str, ...] | None = None, text: str = "text", least: float = 0.0, into: str = "model_entities", once: bool = False, **how) -> DataFrame:
+    """Ask for each text's entities and add those of the wanted kinds; blank texts are not sent, a failed call gives none.
+
+    With ``once`` equal texts are sent once. ``how`` goes to ``ask`` or ``ask_once``: timeout, width and so on.
+    """
     blank = F.length(F.trim(F.coalesce(text, F.lit("")))) == 0
-    asked = ask(rows.withColumn("__prompt", F.when(~blank, rendered(template, F.col(text)))), open_engine, "__prompt", into="__response")
+    prompts = rows.withColumn("__prompt", F.when(~blank, rendered(template, F.col(text))))
+    asked = (ask_once if once else ask)(prompts, open_engine, "__prompt", into="__response", **how)
     asked = asked.withColumn("__json", extract_json("__response"))
     return asked.withColumn(into, placed(F.col(text), answered(F.col("__json")), kinds, least=least)).drop("__prompt", "__response", "__json")
 

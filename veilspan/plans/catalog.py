@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,20 +16,7 @@ from ..operators.rules import rule_entities, structured_entities, with_rules
 from ..operators.model import conversation_text, marked_json, model_detect, source_turn, tuned_entities, whole_object
 from ..operators.tables import ADDRESS_WORDS, CONTEXT_KEYWORDS, ORGANIZATION_WORDS, PRIORITIES, SURNAMES
 from ..functions.spans import find_spans
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import ORACLE_SQL, QUERIES, query
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -815,3 +800,6 @@ def conversation_sources(spark, sf_dir):
     talks = conversation_text(_table(spark, sf_dir, "conversations"))
     each = talks.select("conv_id", "turns", F.inline(find_spans(F.col("text"), "assistant")))
     return each.select("conv_id", F.col("start").cast("long").alias("start_pos"), source_turn(F.col("start"), F.col("turns")).alias("source_turn"))
+
+
+from . import corpora  # noqa: E402, F401  registers its queries
