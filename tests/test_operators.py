@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -280,6 +281,53 @@ def test_a_hung_call_loses_its_row_only(spark):
     assert [r.response for r in model.ask(rows.where("id in (0, 3)"), Sleepy).orderBy("id").collect()] == ["A", None]
 
 
+def test_keyword_heuristics_are_the_expressions():
+    """One automaton gives what an expression for each word gives."""
+    import random
+
+    from veilspan.functions import keywords
+    from veilspan.operators import rules
+    from veilspan.operators.tables import ADDRESS_WORDS, ORGANIZATION_WORDS, SURNAMES
+
+    def plain(text):
+        out = []
+        for m in re.finditer(f"[{SURNAMES}][{rules.CJK}]{{1,3}}", text):
+            if text[m.start() - 1 : m.start()] not in ("的", "之") and text[m.end() : m.end() + 1] not in ("的", "之"):
+                out.append(("PERSON_NAME", *m.span()))
+        for w in ADDRESS_WORDS:
+            for m in re.finditer(f"[{rules.CJK}\\d]{{2,20}}{w}", text):
+                if not (w == "号" and m.end() < len(text) and re.search("电话|手机|证件|身份|证号|卡号", m[0])):
+                    out.append(("ADDRESS", *m.span()))
+        for w in ORGANIZATION_WORDS:
+            out += [("ORGANIZATION", *m.span()) for m in re.finditer(f"[{rules.CJK}\\w]{{2,30}}{w}", text) if 3 <= len(m[0]) <= 30]
+        return out
+
+    rng = random.Random(5)
+    parts = [*ADDRESS_WORDS, *ORGANIZATION_WORDS, *SURNAMES[:6], "的", "之", "电话", "证号", "北京", "小", "7", "２", "a", "_", " ", "，", "🙂", "\n"]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
+        assert rules.heuristic_spans(text) == plain(text), text
+    for _ in range(500):
+        text = "".join(rng.choice("ab-") for _ in range(30))
+        word = rng.choice(["a", "ab", "bb", "-a"])
+        places = [k for k in range(len(text)) if text.startswith(word, k)]
+        assert keywords.suffixed(places, len(word), keywords.runs(text, "[ab]"), 1, 4) == [m.span() for m in re.finditer(f"[ab]{{1,4}}{word}", text)], (text, word)
+
+
+def test_keyword_hits(spark):
+    from veilspan.functions.keywords import keyword_hits
+
+    words = ["he", "she", "hers", "🙂é", "x"]
+    rows = spark.createDataFrame([("ushers 🙂é🙂éx",), (None,), ("",)], "t string")
+    got = [[tuple(h) for h in r.h] for r in rows.select(keyword_hits(F.col("t"), words).alias("h")).collect()]
+    assert got[1:] == [[], []]
+    assert sorted(got[0]) == sorted((k, a, a + len(w)) for k, w in enumerate(words) for a in range(14) if "ushers 🙂é🙂éx".startswith(w, a))
+    with pytest.raises(ValueError):
+        from veilspan.functions.keywords import automaton
+
+        automaton(("a", "a"))
+
+
 class Slow:
     opened = 0
 
