@@ -120,3 +120,75 @@ def test_saved_and_read_again(spark, tmp_path):
     save_arrow_dataset(df.where("id < 0"), path, "train")
     assert arrow_dataset(spark, path).schema.simpleString() == df.schema.simpleString() and arrow_dataset(spark, path).collect() == []
     assert split_folder(path).endswith("/train") and len(list((tmp_path / "set" / "train").glob("*.arrow"))) == 1
+
+
+NASTY = [
+    {"text": 'a "quoted" [x] {y}, \\', "n": 1, "deep": {"a": [1, {"b": "}]"}], "c": "\\\\"}},
+    {"text": "\\\\\\" + '"', "n": 2, "deep": {"a": [], "c": "é🙂\u2028"}},
+    {"text": "", "n": None, "deep": None},
+    {"text": "},{", "n": 4, "deep": {"a": [[1, [2]], "x"], "c": ']}"'}},
+]
+
+
+@pytest.mark.parametrize("dump", [{}, {"indent": 1}, {"ensure_ascii": False, "separators": (",", ":")}])
+def test_a_document_cut_at_every_byte(dump):
+    from veilspan.sources.json_documents import NOTHING, OUT, Elements, followed, summary
+
+    array = json.dumps(NASTY, **dump).encode()
+    parts = json.dumps({"meta": {"a": [1, 2], "b": "x"}, "validation": NASTY[:2], "train": NASTY, "empty": [], "n": 3}, **dump).encode()
+    for data, target, part in ((array, 1, None), (parts, 2, b"train")):
+        for cut in range(len(data) + 1):
+            left, right = data[:cut], data[cut:]
+            if part and not left.endswith(b"}"):  # blocks begin after a brace, and so never within a key
+                continue
+            assert followed(summary(left), summary(right))[OUT] == summary(data)[OUT] and followed(NOTHING, summary(left)) == summary(left)
+            one = Elements(OUT, 0, target, part, None)
+            found = [x for x in one.feed(left)]
+            head = one.left()
+            mode, depth = summary(left)[OUT]
+            assert (one.mode, one.depth) == (mode, depth)
+            two = Elements(mode, depth, target, part, one.opened)
+            for whole, text in two.feed(right):
+                found.append((True, text if whole else (head or b"") + text))
+                head = None if not whole else head
+            assert [json.loads(t) for whole, t in found if t.strip()] == NASTY, (cut, part)
+            again = Elements(OUT, 0, target, part, None)  # the same in two batches of one block
+            assert [json.loads(t) for x in (left, right) for _, t in again.feed(x) if t.strip()] == NASTY
+
+
+@pytest.mark.parametrize("width", [31, 400])
+def test_json_documents_in_blocks(spark, tmp_path, width):
+    from veilspan.sources.datasets import json_document
+
+    schema = "text string, n long, deep struct<a: string, c: string>"
+    (tmp_path / "array.json").write_text("\n " + json.dumps(NASTY * 3, ensure_ascii=False), encoding="utf-8")
+    (tmp_path / "parts.json").write_text(json.dumps({"validation": NASTY[1:], "meta": {"x": [1]}, "train": NASTY * 2}, indent=2) + "\n")
+    (tmp_path / "empty.json").write_text("[]")
+    (tmp_path / "numbers.json").write_text('{"train": [], "other": [{"text": "x"}]}')
+    keys = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for k in keys:
+            spark.conf.set(k, str(width))
+        for name, expected in (("array", NASTY * 3), ("parts", NASTY * 2), ("empty", []), ("numbers", [])):
+            text = [json.dumps(x) for x in expected]
+            wanted = spark.createDataFrame([(t,) for t in text], "v string").select(F.from_json("v", schema).alias("r")).select("r.*")
+            assert rows(json_document(spark, str(tmp_path / f"{name}.json"), schema)) == rows(wanted), name
+        assert json_document(spark, str(tmp_path / "parts.json"), schema, "validation").count() == 3
+        assert json_document(spark, str(tmp_path / "parts.json"), schema, "absent").count() == 0
+        assert json_document(spark, [str(tmp_path / "array.json"), str(tmp_path / "parts.json")], schema).count() == 5 * len(NASTY)
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
+
+
+def test_json_arrays_written_by_all_tasks(spark, tmp_path):
+    from veilspan.sources.json_documents import json_elements, write_json_arrays
+
+    df = spark.createDataFrame([(k, 'x"}],[{' * (k % 3) + "\n") for k in range(30)], "id long, t string").repartition(4)
+    write_json_arrays(df, str(tmp_path / "out"))
+    files = sorted((tmp_path / "out").glob("part-*"))
+    assert len(files) == 4 and sorted(r["id"] for f in files for r in json.loads(f.read_text())) == [*range(30)]
+    assert sorted(json.loads(r.value)["id"] for r in json_elements(spark, str(tmp_path / "out")).collect()) == [*range(30)]
+    write_json_arrays(df.where("id < 0").coalesce(1), str(tmp_path / "none"))
+    assert json_elements(spark, str(tmp_path / "none")).collect() == []

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators.model import ask_once, rendered
 from ..sources.arrow_files import arrow_dataset, save_arrow_dataset
+from ..sources.datasets import json_document
+from ..sources.json_documents import write_json_arrays
 from ..sources.storage import new_folder
 from .registry import query
 
@@ -25,6 +27,16 @@ def arrow_dataset_round_trip(spark, sf_dir):
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
 
 
+@query("SELECT source, count(*)::BIGINT AS n, sum(length(text))::BIGINT AS chars, bit_xor(hash) AS digest FROM (SELECT source, text, ('0x' || left(md5(doc_id || ':' || text), 15))::BIGINT AS hash FROM documents) GROUP BY source")
+def json_documents_round_trip(spark, sf_dir):
+    """Documents written as JSON arrays, a file a task, and read again in blocks that begin anywhere."""
+    path = new_folder(spark, "json")
+    write_json_arrays(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path)
+    rows = json_document(spark, path, "doc_id long, text string, source string")
+    number = F.conv(F.left(F.md5(F.concat_ws(":", "doc_id", "text").cast("binary")), F.lit(15)), 16, 10).cast("long")
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"), F.bit_xor(number).alias("digest"))
+
+
 class _Backwards:
     """A stand-in for a model: it says a prompt backwards."""
 

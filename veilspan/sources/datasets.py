@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .json_documents import json_elements
+
 ENTITY = "struct<type: string, value: string, start: int, end: int>"
 SAMPLE = f"instruction string, input string, output struct<entities: array<{ENTITY}>>"
 CASE = f"text string, entities array<{ENTITY}>"
@@ -24,12 +26,8 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: str = SAMPLE,
 
 
 def json_document(spark: SparkSession, path: str, schema: str = SAMPLE, part: str = "train") -> DataFrame:
-    """The rows of a JSON array, or of one part of an object of arrays."""
-    text = spark.read.text(path, wholetext=True)
-    array = F.from_json("value", f"array<struct<{_colons(schema)}>>")
-    object_ = F.from_json("value", f"struct<{part}: array<struct<{_colons(schema)}>>>")[part]
-    rows = F.when(F.ltrim("value").startswith("["), array).otherwise(object_)
-    return text.select(F.inline(rows))
+    """The rows of a JSON array, or of one part of an object of arrays, in any number of tasks; a document must be valid, an element of another form gives nulls."""
+    return json_elements(spark, path, part).select(F.from_json("value", f"struct<{_colons(schema)}>").alias("r")).select("r.*")
 
 
 def _colons(schema: str) -> str:
