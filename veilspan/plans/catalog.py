@@ -10,6 +10,7 @@ from ..functions.types import ALIASES, CANONICAL, DETECTOR_TYPES, canonical_type
 from ..operators import evaluate, prepare
 from ..operators.anonymize import Anonymizer, decrypted, encrypted, hashed, mask, pseudonymize, redact, restore, synthetic
 from ..operators.detect import MODEL_TYPES, Registry, at_least, batch_statistics, detect, exploded, hybrid_detect, of_types, type_distribution
+from ..operators.intervals import interval_join, merge_overlapping_rows
 from ..operators.recognizers import HYBRID, Recognizer, from_config
 from ..operators.refine import drop_false_positives, merge_adjacent_rows, merge_overlapping, refine, resolve, resolve_rows, validate_context
 from ..operators.rules import rule_entities, structured_entities, with_rules
@@ -398,6 +399,23 @@ def merge_overlaps(spark, sf_dir):
     return exploded(rows.withColumn("entities", merge_overlapping(F.col("entities"))), "doc_id").select("doc_id", *_long(*_SPAN), _confidence())
 
 
+@query(ORACLE_SQL["merge_overlaps"])
+def merge_overlaps_by_rows(spark, sf_dir):
+    each = exploded(_canonical(_found(spark, sf_dir, _TYPES)), "doc_id")
+    return merge_overlapping_rows(each, "doc_id").select("doc_id", *_long(*_SPAN), _confidence())
+
+
+@query(
+    f"""WITH {_CANON} SELECT a.doc_id, a.t AS entity_type, a.s::BIGINT AS start_pos, a.e::BIGINT AS end_pos, b.t AS entity_type_other, b.s::BIGINT AS start_pos_other, b.e::BIGINT AS end_pos_other
+FROM canon a JOIN canon b ON a.doc_id = b.doc_id AND a.s < b.e AND b.s < a.e WHERE a.t < b.t"""
+)
+def overlapping_pairs(spark, sf_dir):
+    """Pairs of entities of different types that share a character, by a binned join."""
+    each = exploded(_canonical(_found(spark, sf_dir, _TYPES)), "doc_id")
+    pairs = interval_join(each, each, "doc_id").where("entity_type < entity_type_other")
+    return pairs.select("doc_id", *_long("entity_type", "start_pos", "end_pos", "entity_type_other", "start_pos_other", "end_pos_other"))
+
+
 _CAPITAL = "[A-Z][a-z]+"
 
 
