@@ -120,6 +120,21 @@ def taken(pieces: Column, start: Column, end: Column) -> Column:
     return F.when(end > start, F.substr(F.array_join(own, ""), start - first * PIECE + 1, end - start)).otherwise("")
 
 
+def spliced(text: Column, spans: Column, literal: Callable[[Column, bool], Column] = lambda piece, _: piece) -> Column:
+    """The text with spans (start, end, new), in order and without overlaps, replaced; what lies between goes through ``literal(piece, whether a span follows)``."""
+
+    def joined(own: Column) -> Column:
+        before = lambda k: F.when(k > 0, F.get(own, k - 1)["end"]).otherwise(0)
+
+        def from_pieces(parts: Column) -> Column:
+            each = F.transform(own, lambda x, k: F.concat(literal(taken(parts, before(k), x["start"]), True), x["new"]))
+            return F.concat(F.array_join(each, ""), literal(taken(parts, F.element_at(own, -1)["end"], F.length(text)), False))
+
+        return F.when(F.size(own) > 0, let(in_pieces(text), from_pieces)).otherwise(literal(text, False))
+
+    return let(spans, joined)
+
+
 def window(text: Column, start: Column, end: Column, width: int) -> Column:
     """text[start - width : end + width]."""
     low = F.greatest(start - width, F.lit(0))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.entity import replaced, with_metadata
+from ..functions.spans import spliced
 from .tables import REVEALED, REVEALED_ELSE
 
 #: A strategy gives the replacement of an entity.
@@ -113,10 +114,9 @@ class Anonymizer:
         return out
 
     def text(self, text: Column, entities: Column) -> Column:
-        """The text with each entity replaced, last first. Entities must not overlap: resolve them before."""
+        """The text with each entity replaced. Entities must not overlap: resolve them before."""
         pieces = F.transform(entities, lambda e: F.struct(e["start_pos"].alias("start"), e["end_pos"].alias("end"), self.replacement(e).alias("new")))
-        last_first = F.array_sort(F.filter(pieces, lambda p: p["new"].isNotNull()), lambda a, b: F.when(a["start"] > b["start"], -1).when(a["start"] < b["start"], 1).otherwise(0))
-        return F.aggregate(last_first, text, lambda t, p: F.concat(F.substr(t, F.lit(1), p["start"]), p["new"], F.substr(t, p["end"] + 1, F.length(t))))
+        return spliced(text, F.array_sort(F.filter(pieces, lambda p: p["new"].isNotNull())))
 
     def entities(self, entities: Column) -> Column:
         """The entities with their replacements as values, at their original starts; the metadata keep the original."""
@@ -146,9 +146,7 @@ def pseudonymize(rows: DataFrame, text: str = "text", entities: str = "entities"
     rows = rows.withColumn("__distinct", distinct)
     names = F.map_from_entries(F.transform("__distinct", lambda p: F.struct(name(p).alias("k"), p["v"].alias("v"))))
     pieces = F.transform(entities, lambda x: F.struct(x["start_pos"].alias("start"), x["end_pos"].alias("end"), name(pair(x)).alias("new")))
-    last_first = F.array_sort(pieces, lambda a, b: b["start"] - a["start"])
-    new = F.aggregate(last_first, F.col(text), lambda t, p: F.concat(F.substr(t, F.lit(1), p["start"]), p["new"], F.substr(t, p["end"] + 1, F.length(t))))
-    return rows.withColumn("pseudonymized_text", new).withColumn("pseudonyms", names).drop("__distinct")
+    return rows.withColumn("pseudonymized_text", spliced(F.col(text), F.array_sort(pieces))).withColumn("pseudonyms", names).drop("__distinct")
 
 
 def restore(text: Column, pseudonyms: Column) -> Column:

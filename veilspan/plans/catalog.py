@@ -11,6 +11,7 @@ from ..operators import evaluate, prepare
 from ..operators.anonymize import Anonymizer, decrypted, encrypted, hashed, mask, pseudonymize, redact, restore, synthetic
 from ..operators.detect import MODEL_TYPES, Registry, at_least, batch_statistics, detect, exploded, hybrid_detect, of_types, type_distribution
 from ..operators.intervals import interval_join, merge_overlapping_rows
+from ..operators.pseudonyms import pseudonym_table, pseudonymize_corpus, restore_corpus, stand_in, stood_for
 from ..operators.recognizers import HYBRID, Recognizer, from_config
 from ..operators.refine import drop_false_positives, merge_adjacent_rows, merge_overlapping, refine, resolve, resolve_rows, validate_context
 from ..operators.rules import rule_entities, structured_entities, with_rules
@@ -544,6 +545,31 @@ def pseudonyms(spark, sf_dir):
     return each.select("doc_id", F.regexp_extract("pseudonym", r"^\[(.*)_\d+\]$", 1).alias("entity_type"), "value", "pseudonym", "restored")
 
 
+@query(
+    f"""WITH {_RUNS}, named AS (SELECT *, '[' || t || '_' || dense_rank() OVER (PARTITION BY t ORDER BY value) || ']' AS new FROM resolved)
+SELECT DISTINCT doc_id, t AS entity_type, value, new AS pseudonym, TRUE AS restored FROM named"""
+)
+def corpus_pseudonyms(spark, sf_dir):
+    """One pseudonym for a value in all documents, and every text restored from the table."""
+    rows = _resolved(spark, sf_dir)
+    table = pseudonym_table(rows)
+    back = restore_corpus(pseudonymize_corpus(rows, table), table).select("doc_id", F.col("restored_text").eqNullSafe(F.col("text")).alias("restored"))
+    each = exploded(rows, "doc_id").select("doc_id", "entity_type", "value").distinct()
+    return each.join(table, ["entity_type", "value"]).join(back, "doc_id").select("doc_id", "entity_type", "value", "pseudonym", "restored")
+
+
+@query(f"WITH {_CANON} SELECT t AS entity_type, count(DISTINCT value)::BIGINT AS n, count(DISTINCT value)::BIGINT AS stand_ins, count(DISTINCT value)::BIGINT AS restored, count(DISTINCT value)::BIGINT AS shaped FROM canon GROUP BY t")
+def reversible_stand_ins(spark, sf_dir):
+    """Stand-ins by a keyed permutation: as many as values, of their shape, and reversed by the key."""
+    key = "a key of whoever runs the job"
+    each = exploded(_canonical(_found(spark, sf_dir, _TYPES)), "doc_id").select("entity_type", "value").distinct()
+    each = each.withColumn("new", stand_in(F.col("entity_type"), F.col("value"), key))
+    each = each.withColumn("old", stood_for(F.col("entity_type"), F.col("new"), key))
+    shape = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
+    true = lambda c: F.count_if(c)
+    return each.groupBy("entity_type").agg(F.count("*").alias("n"), F.countDistinct("new").alias("stand_ins"), true(F.col("old") == F.col("value")).alias("restored"), true(shape("new") == shape("value")).alias("shaped"))
+
+
 _HEX = "(strpos('0123456789abcdef', substr(h, ((i - 1) * 2) % 62 + {k}, 1)) - 1)"
 _NTH = f"(16 * {_HEX.format(k=1)} + {_HEX.format(k=2)})"
 _STAND_IN = f"""array_to_string(list_transform(range(1, length(value) + 1), lambda i: CASE WHEN regexp_matches(substr(value, i, 1), '^[0-9]$') THEN substr('0123456789', {_NTH} % 10 + 1, 1)
