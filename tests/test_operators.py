@@ -281,6 +281,29 @@ def test_a_hung_call_loses_its_row_only(spark):
     assert [r.response for r in model.ask(rows.where("id in (0, 3)"), Sleepy).orderBy("id").collect()] == ["A", None]
 
 
+def test_hazards_are_told_before_the_job():
+    from veilspan.operators.isolation import hazards
+    from veilspan.operators.recognizers import HYBRID
+
+    assert not any(hazards(p) for r in (*DEFAULTS, *HYBRID) for p in r.patterns)
+    assert [bool(hazards(p)) for p in (r"(a+)+b", r"(?:a|b)*c", r"(?:(?:x{2,5}){3})+", r"(a)\1", r"(?:ab)+c+", r"(?:a{1,2000}b)*", r"(?=(a+)+)b", r"[ab]+(?:c|d)?")] == [True, True, False, True, False, True, True, False]
+
+
+def test_a_hostile_pattern_costs_its_own_hits(spark):
+    import time
+
+    from veilspan.operators.isolation import detect_isolated
+
+    registry = Registry([Recognizer("BAD", (r"(a+)+b", r"c[0-9]")), *DEFAULTS])
+    rows = docs(spark, "aab mail x@y.com", "a" * 60 + " c1 x@y.com", None, "", "c2")
+    began = time.time()
+    got = {r.doc_id: ([(e.entity_type, e.value) for e in r.entities], r.quarantined) for r in detect_isolated(rows, registry, budget=0.3).collect()}
+    assert time.time() - began < 30
+    assert got == {0: ([("BAD", "aab"), ("EMAIL", "x@y.com")], []), 1: ([("BAD", "c1"), ("EMAIL", "x@y.com")], ["BAD"]), 2: ([], []), 3: ([], []), 4: ([("BAD", "c2")], [])}
+    same = detect_isolated(rows, Registry.default()).collect()
+    assert [r.entities for r in same] == [r.entities for r in detect(rows, Registry.default()).collect()] and not any(r.quarantined for r in same)
+
+
 def test_keyword_heuristics_are_the_expressions():
     """One automaton gives what an expression for each word gives."""
     import random

@@ -82,11 +82,11 @@ def restore_corpus(rows: DataFrame, table: DataFrame, key: str = "doc_id", text:
     each = rows.select(key, F.explode(spans).alias("s")).select(key, "s.*")
     run = F.length("value") - F.length(F.ltrim("value", F.lit("[")))
     each = each.withColumn("run", run).withColumn("name", F.expr("concat('[', substr(value, run + 1))"))
-    known = each.where("run % 2 = 1").join(table.select(F.col("pseudonym").alias("name"), F.col("value").alias("original")), "name", "left")
-    new = F.concat(F.expr("repeat('[', (run - 1) div 2)"), F.coalesce("original", "name"))
-    known = known.select(key, "start", "end", new.alias("new"))
-    plain = each.where("run % 2 = 0").select(key, "start", "end", F.expr("concat(repeat('[', run div 2 - 1), name)").alias("new"))
-    found = known.unionAll(plain).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "new"))).alias("__new"))
+    # an even run has no pseudonym to look up
+    each = each.withColumn("asked", F.expr("if(run % 2 = 1, name, concat(name, '#', start))"))
+    met = each.join(table.select(F.col("pseudonym").alias("asked"), F.col("value").alias("original")), "asked", "left")
+    new = F.when(F.expr("run % 2 = 1"), F.concat(F.expr("repeat('[', (run - 1) div 2)"), F.coalesce("original", "name"))).otherwise(F.expr("concat(repeat('[', run div 2 - 1), name)"))
+    found = met.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", new.alias("new")))).alias("__new"))
     back = spliced(F.col(text), F.coalesce("__new", F.array().cast("array<struct<start: int, end: int, new: string>>")))
     return rows.join(found, key, "left").withColumn(into, back).drop("__new")
 

@@ -143,8 +143,8 @@ class Recognizer:
         near = self._near(text, start, DENY_WIDTH)
         return distinct_present(near, dict.fromkeys(w.lower() for w in self.deny_words)) > 0
 
-    def entities(self, text: Column) -> Column:
-        """Every hit of every pattern, in the order of the patterns; hits of two patterns may overlap."""
+    def entities(self, text: Column, find: Callable[[Column, str], Column] = find_spans) -> Column:
+        """Every hit of every pattern, in the order of the patterns; hits of two patterns may overlap. ``find`` gives a pattern's matches."""
 
         def build(s: Column) -> Column:
             ok = self.valid(s["value"])
@@ -152,7 +152,7 @@ class Recognizer:
             return entity(self.entity_type, s["value"], s["start"], s["end"], self.confidence(ok, self.boost(text, s["start"])), "regex", self.name, facts)
 
         def one(pattern: str) -> Column:
-            spans = find_spans(text, pattern)
+            spans = find(text, pattern)
             if self.deny_words:
                 spans = F.filter(spans, lambda s: ~self.denied(text, s["start"]))
             return F.transform(spans, build)

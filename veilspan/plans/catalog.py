@@ -10,6 +10,7 @@ from ..functions.types import ALIASES, CANONICAL, DETECTOR_TYPES, canonical_type
 from ..operators import evaluate, prepare
 from ..operators.anonymize import Anonymizer, decrypted, encrypted, hashed, mask, pseudonymize, redact, restore, synthetic
 from ..operators.detect import MODEL_TYPES, Registry, at_least, batch_statistics, detect, exploded, hybrid_detect, of_types, type_distribution
+from ..operators.isolation import detect_isolated
 from ..operators.intervals import interval_join, merge_overlapping_rows
 from ..operators.pseudonyms import pseudonym_table, pseudonymize_corpus, restore_corpus, stand_in, stood_for
 from ..operators.recognizers import HYBRID, Recognizer, from_config
@@ -18,6 +19,7 @@ from ..operators.rules import rule_entities, structured_entities, with_rules
 from ..operators.model import conversation_text, marked_json, model_detect, source_turn, tuned_entities, whole_object
 from ..operators.tables import ADDRESS_WORDS, CONTEXT_KEYWORDS, ORGANIZATION_WORDS, PRIORITIES, SURNAMES
 from ..functions.spans import find_spans
+from ..sources.storage import checkpointed
 from .registry import ORACLE_SQL, QUERIES, query
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -246,6 +248,22 @@ def configured_recognizers(spark, sf_dir):
     return exploded(rows, "doc_id").select("doc_id", "entity_type", "recognizer_name", *_long("value", "start_pos", "end_pos"), _confidence())
 
 
+_HOSTILE = (
+    Recognizer("DOTTED", (r"(?:[0-9]+\.)+[0-9]+",), base=0.6),  # a repeat in a repeat: not left to the executors' own engine
+    Recognizer("EMAIL", (_EMAIL,), "email", base=0.80),
+)
+
+
+@query(
+    f"""SELECT doc_id, 'DOTTED' AS entity_type, value, {_OUT}, 0::BIGINT AS quarantined FROM ({_spans("documents", "doc_id", "text", r"(?:[0-9]+\.)+[0-9]+")})
+UNION ALL SELECT doc_id, 'EMAIL', value, {_OUT}, 0::BIGINT FROM ({_spans("documents", "doc_id", "text", _EMAIL)})"""
+)
+def isolated_detection(spark, sf_dir):
+    """A pattern that can backtrack without end runs with a budget, next to one that cannot."""
+    rows = detect_isolated(_docs(spark, sf_dir).select("doc_id", "text"), Registry(_HOSTILE), budget=30.0)
+    return exploded(rows.withColumn("n", F.size("quarantined").cast("long")), "doc_id", "n").select("doc_id", *_long(*_SPAN), F.col("n").alias("quarantined"))
+
+
 class _Echo:
     """A stand-in for a model: it names a text's first capitalised word, and something that isn't there."""
 
@@ -551,7 +569,7 @@ SELECT DISTINCT doc_id, t AS entity_type, value, new AS pseudonym, TRUE AS resto
 )
 def corpus_pseudonyms(spark, sf_dir):
     """One pseudonym for a value in all documents, and every text restored from the table."""
-    rows = _resolved(spark, sf_dir)
+    rows = checkpointed(_resolved(spark, sf_dir))  # detected once
     table = pseudonym_table(rows)
     back = restore_corpus(pseudonymize_corpus(rows, table), table).select("doc_id", F.col("restored_text").eqNullSafe(F.col("text")).alias("restored"))
     each = exploded(rows, "doc_id").select("doc_id", "entity_type", "value").distinct()
