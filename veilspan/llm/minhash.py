@@ -79,35 +79,40 @@ def _sketched(size: int, bands: int, rows: int):
                 n, sums, found, full = [], [], [], []
                 for k, items in enumerate(shingle_sets(buf, offsets, size)):
                     n.append(len(items))
-                    sums.append([int(mix(items ^ r).sum(dtype=np.uint64)) for r in _ROUNDS[-2:]])
+                    sums.append(_class_key(items))
                     if len(items):
                         full.append(k)
                         found.append(sketch(items, bands * rows))
                 keys = _bands(np.array(found), bands) if found else np.zeros((0, bands), np.uint64)
                 lengths = np.zeros(b - a + 1, np.int32)
                 lengths[np.array(full, int) + 1] = bands
-                sums = signed(np.array(sums, np.uint64).reshape(-1, 2))
+                sums = np.array(sums, np.int64).reshape(-1, 2)
                 yield pa.record_batch([batch.column("doc_id")[a:b], pa.array(n, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.ListArray.from_arrays(pa.array(np.cumsum(lengths).astype(np.int32)), pa.array(signed(keys.reshape(-1)))), *(batch.column(x)[a:b] for x in more)], names=["doc_id", "n_shingles", "s1", "s2", "bands", *more])
 
     return run
 
 
+def _class_key(items: np.ndarray) -> tuple[int, int]:
+    """128 bits that equal sets share."""
+    s1, s2 = signed(np.array([mix(items ^ r).sum(dtype=np.uint64) for r in _ROUNDS[-2:]], np.uint64)).tolist()
+    return s1, s2
+
+
 def _sets(size: int):
     """The shingles of the documents asked for in a block."""
 
     def run(texts: pa.Table, asked: pa.Table) -> pa.Table:
-        wanted: dict[int, set[int]] = {}
-        for doc, node in zip(asked.column("doc").to_pylist(), asked.column("node").to_pylist(), strict=True):
-            wanted.setdefault(doc, set()).add(node)
+        wanted: dict[int, dict[tuple[int, int], int]] = {}
+        for doc, node, *key in zip(*(asked.column(c).to_pylist() for c in ("doc", "node", "s1", "s2")), strict=True):
+            wanted.setdefault(doc, {})[tuple(key)] = node
         nodes, sets = [], [np.zeros(0, np.uint64)]
         for batch in unpacked(texts.column("piece")) if wanted else ():
             ids = batch.column("doc_id").to_pylist()
             rows = [k for k, x in enumerate(ids) if x in wanted]
             for a, b, buf, offsets in chunks(batch.column("text").take(pa.array(rows, pa.int64()))):
                 for k, items in zip(rows[a:b], shingle_sets(buf, offsets, size), strict=True):
-                    node = int(signed(mix(items ^ _ROUNDS[-2]).sum(dtype=np.uint64, keepdims=True))[0])
-                    if len(items) and node in wanted[ids[k]]:
-                        wanted[ids[k]].remove(node)  # once, if rows repeat
+                    node = wanted[ids[k]].pop(_class_key(items), None)  # once, if rows repeat
+                    if node is not None and len(items):
                         nodes.append(node)
                         sets.append(items)
         ends = np.cumsum([len(x) for x in sets])
@@ -247,20 +252,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     schema = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>" + ", content long" * by_row
     sketched = cut(docs.mapInArrow(_sketched(shingle, bands, rows), schema))
     classes = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
-    classes = classes.select(F.col("s1").alias("node"), F.col("n_shingles").alias("n"), "doc", "bands")
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", F.col("n_shingles").alias("n"), "doc", "bands"))
 
-    met = classes.select("node", "n", F.explode("bands").alias("bucket")).repartition("bucket")
+    met = classes.select("node", "n", F.explode("bands").alias("bucket"))
     buckets = met.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("all")).where("size > 1")
     buckets = met.join(buckets, "bucket")
     # bands in which the same classes meet are one bucket
     members = buckets.groupBy("node", "n", "size", "lo", "hi", "all").agg(F.min("bucket").alias("bucket"), F.count("*").alias("bands"))
     members = cut(members.select("bucket", "node", "n", (F.col("size") * F.col("bands")).alias("met")))
     # how many meetings a node has grows with its similarity to the others: the base of a group has most
-    active = members.groupBy("node").agg(F.sum("met").alias("central")).join(classes.select("node", "doc"), "node")
+    active = members.groupBy("node").agg(F.sum("met").alias("central")).join(classes.select("node", "doc", "s1", "s2"), "node")
     active = cut(active)
 
     packed, blocks = packed_blocks(docs)
-    asked = active.select("node", "doc").withColumn("block", block_of(F.col("doc"), F.lit(0).cast("long"), blocks))
+    asked = active.select("node", "doc", "s1", "s2").withColumn("block", block_of(F.col("doc"), F.lit(0).cast("long"), blocks))
     sets = cut(packed.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_sets(shingle), "node long, shingles array<long>"))
     alone = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
     alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
@@ -272,14 +277,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     members = members.join(smallest, "bucket").where((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("low")))
     roots = _linked(members, sets, percent)
 
-    own = classes.select("node", "n", "doc")
+    own = classes.select("node", "s1", "s2", "n", "doc")
     if roots is not None:
         roots = roots.select(F.col("node.id").alias("node"), F.col("root.id").alias("root"))
         group = roots.join(own.select("node", "doc"), "node").groupBy("root").agg(F.min("doc").alias("component"))
         own = own.join(roots.join(group, "root").select("node", "root", "component"), "node", "left")
     else:
         own = own.withColumn("component", F.col("doc")).withColumn("root", F.col("node"))
-    own = own.select(F.col("node").alias("s1"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"), F.coalesce("root", "node").alias("root"))
-    out = sketched.select("doc_id", "n_shingles", "s1", *["content"] * by_row).join(own, ["s1", "n_shingles"], "left")
+    own = own.select("s1", "s2", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"), F.coalesce("root", "node").alias("root"))
+    out = sketched.select("doc_id", "n_shingles", "s1", "s2", *["content"] * by_row).join(own, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *(["content", F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("root")] if by_row else []))
