@@ -77,19 +77,20 @@ class Tree:
                 node = int(children[near])
             yield int(self.leaf[node])
 
-    def split(self, children: dict[int, np.ndarray]) -> Tree:
-        """The tree with some leaves replaced by nodes with these children; the first child keeps the leaf's number."""
+    def split(self, children: dict[int, np.ndarray]) -> tuple[Tree, dict[int, list[int]]]:
+        """The tree with some leaves replaced by nodes with these children, and the children's numbers; the first child keeps the leaf's."""
         centroids, first, width, leaf = [self.centroids], self.first.copy(), self.width.copy(), self.leaf.copy()
         node_of = {int(x): k for k, x in enumerate(self.leaf) if x >= 0}
-        n, leaves, numbers = len(self.first), self.leaves, []
+        n, leaves, numbers = len(self.first), self.leaves, {}
         for number, own in children.items():
             node = node_of[number]
             first[node], width[node], leaf[node] = n, len(own), -1
             centroids.append(own)
-            numbers += [number, *range(leaves, leaves + len(own) - 1)]
+            numbers[number] = [number, *range(leaves, leaves + len(own) - 1)]
             n, leaves = n + len(own), leaves + len(own) - 1
-        none = np.full(len(numbers), -1)
-        return Tree(np.concatenate(centroids), np.append(first, none), np.append(width, none + 1), np.append(leaf, np.array(numbers, int)))
+        flat = np.array([x for own in numbers.values() for x in own], int)
+        none = np.full(len(flat), -1)
+        return Tree(np.concatenate(centroids), np.append(first, none), np.append(width, none + 1), np.append(leaf, flat)), numbers
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -236,22 +237,37 @@ def _indexed(rows: DataFrame, tree: Tree) -> DataFrame:
     return cut(rows.mapInArrow(run, "row long, vec_id long, v array<double>, leaf int"))
 
 
+def _moved(rows: DataFrame, children: dict[int, np.ndarray], numbers: dict[int, list[int]]) -> DataFrame:
+    """Rows of leaves that are split, with the number of the child that is nearest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            old, x = batch.column("leaf").to_numpy(), _unit(_matrix(batch.column("v")))
+            new = old.copy()
+            for leaf in np.unique(old).tolist():
+                own = np.flatnonzero(old == leaf)
+                new[own] = np.array(numbers[leaf])[np.argmax(x[own] @ children[leaf].T, axis=1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "vec_id", "v")), pa.array(new, pa.int32())], names=["row", "vec_id", "v", "leaf"])
+
+    return cut(rows.mapInArrow(run, "row long, vec_id long, v array<double>, leaf int"))
+
+
 def refined(rows: DataFrame, tree: Tree, leaf_rows: int = LEAF_ROWS, most_leaves: int = MOST_LEAVES) -> tuple[Tree, DataFrame]:
     """The tree with leaves of at most ``leaf_rows`` rows, as far as the rows differ and ``most_leaves`` allows, and the rows with their leaf.
 
-    The driver gets the sizes of leaves and the new centroids.
+    Each level moves the rows of the leaves that it splits and leaves the others alone. The driver gets the sizes of leaves and the new centroids.
     """
-    done: set[int] = set()
+    open_, settled, done = _indexed(rows, tree), [], set()
     while True:
-        indexed = _indexed(rows, tree)
-        large = indexed.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > leaf_rows).collect()
+        large = open_.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > leaf_rows).collect()
         large = sorted((r.n, r.leaf) for r in large if r.leaf not in done)[::-1]
         large = large[: max(0, (most_leaves - tree.leaves) // (SPLIT_INTO - 1))]
         if not large:
-            return tree, indexed
+            break
         into = {leaf: min(SPLIT_INTO, -(-2 * n // leaf_rows)) for n, leaf in large}
+        named = lambda leaves: F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in leaves], "leaf int"))  # noqa: E731  at most most_leaves rows
         place = F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64(F.lit(4), "vec_id"), "row"))
-        chosen = indexed.where(F.col("leaf").isin(*into)).withColumn("place", place).where(F.col("place") <= SPLIT_SAMPLE).select("leaf", "v")
+        chosen = open_.join(named(into), "leaf", "left_semi").withColumn("place", place).where(F.col("place") <= SPLIT_SAMPLE).select("leaf", "v")
 
         def split(own: pa.Table) -> pa.Table:
             leaf, x = own.column("leaf")[0].as_py(), _unit(_matrix(own.column("v").combine_chunks()))
@@ -266,7 +282,12 @@ def refined(rows: DataFrame, tree: Tree, leaf_rows: int = LEAF_ROWS, most_leaves
         new = {leaf: np.array(sorted(own)) for leaf, own in children.items() if len(own) > 1}
         if not new:
             continue
-        tree = tree.split(new)
+        tree, numbers = tree.split(new)
+        settled.append(open_.join(named(new), "leaf", "left_anti"))
+        open_ = _moved(open_.join(named(new), "leaf", "left_semi"), new, numbers)
+    for part in settled:
+        open_ = open_.unionByName(part)
+    return tree, open_
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.97, sample: int = SAMPLE, leaf: int = LEAF, leaf_rows: int = LEAF_ROWS) -> DataFrame:
