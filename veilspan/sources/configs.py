@@ -8,6 +8,9 @@ from pathlib import Path
 
 from ..operators.recognizers import Recognizer, from_config
 
+#: The recognizers that come with the library.
+SHIPPED = Path(__file__).parent / "patterns" / "recognizers.yaml"
+
 
 def check(entry: Mapping) -> None:
     """Raise ValueError for what a configuration entry lacks or has wrong."""
