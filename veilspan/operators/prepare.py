@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -310,30 +310,50 @@ def generate(spark: SparkSession, quotas: Mapping[str, int], mixed: float = 0.3,
 
     Values follow from the row's number and the seed; check digits are valid.
     """
-    unknown = set(quotas) - set(TEMPLATES)
-    if unknown:
-        raise ValueError(f"no template for {sorted(unknown)}")
-    kinds = list(TEMPLATES)
+    _known(quotas)
     out = None
     for kind, n in quotas.items():
-        r = F.xxhash64("id", F.lit(kind + seed))
-
-        def parts(name: str, at: Column, r: Column = r) -> tuple[Column, Column]:
-            before, after = TEMPLATES[name].split("{}")
-            value = _value(name, r)
-            span = let(value, lambda v: _span(F.lit(name), v, at + len(before), at + len(before) + F.length(v)))
-            return F.concat(F.lit(before), value, F.lit(after)), span
-
-        text, span = parts(kind, F.lit(0))
-        other = kinds[(kinds.index(kind) + 1) % len(kinds)]
-        text2, span2 = parts(other, F.length(text))
-        both = F.pmod(r, F.lit(100)) < int(mixed * 100)
-        rows = spark.range(n).select(F.when(both, F.concat(text, text2)).otherwise(text).alias("t"), F.when(both, F.array(span, span2)).otherwise(F.array(span)).alias("s"))
-        rows = rows.select(*sample(F.col("t"), F.col("s")))
+        rows = spark.range(n).select(*_sampled(kind, F.xxhash64("id", F.lit(kind + seed)), mixed))
         out = rows if out is None else out.unionAll(rows)
     return out
 
 
+def _known(kinds: Iterable[str]) -> None:
+    if unknown := set(kinds) - set(TEMPLATES):
+        raise ValueError(f"no template for {sorted(unknown)}")
+
+
+def _sampled(kind: str, r: Column, mixed: float) -> list[Column]:
+    """A sample of a type whose values follow from a number."""
+    kinds = list(TEMPLATES)
+
+    def parts(name: str, at: Column) -> tuple[Column, Column]:
+        before, after = TEMPLATES[name].split("{}")
+        value = _value(name, r)
+        span = let(value, lambda v: _span(F.lit(name), v, at + len(before), at + len(before) + F.length(v)))
+        return F.concat(F.lit(before), value, F.lit(after)), span
+
+    text, span = parts(kind, F.lit(0))
+    text2, span2 = parts(kinds[(kinds.index(kind) + 1) % len(kinds)], F.length(text))
+    both = F.pmod(r, F.lit(100)) < int(mixed * 100)
+    return sample(F.when(both, F.concat(text, text2)).otherwise(text), F.when(both, F.array(span, span2)).otherwise(F.array(span)))
+
+
+def generate_for(rows: DataFrame, key: str, kinds: Sequence[str] = tuple(TEMPLATES), mixed: float = 0.3, seed: str = "") -> DataFrame:
+    """A training sample for every row of a table: ``key``, ``kind`` and the sample's columns.
+
+    The key fixes the type, one of ``kinds``, and the values, so that a table's samples stay the same as it grows.
+    """
+    _known(kinds)
+    names = [*kinds]
+    kind = F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(len(names))) + 1).cast("int"))
+    made = None
+    for name in names:
+        one = F.struct(*_sampled(name, F.xxhash64(key, F.lit(name + seed)), mixed))
+        made = F.when(F.col("kind") == name, one) if made is None else made.when(F.col("kind") == name, one)
+    return rows.select(key, kind.alias("kind")).withColumn("made", made).select(key, "kind", "made.*")
+
+
 def template_samples(spark: SparkSession, each: int = 3) -> DataFrame:
     """At most three samples of every type, for checks by eye."""
     return generate(spark, dict.fromkeys(TEMPLATES, min(each, 3)), mixed=0.0)
