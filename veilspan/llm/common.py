@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 from collections.abc import Iterator
@@ -44,6 +45,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def give_back() -> None:
+    """Return memory that is no longer used to the system: workers outlive their tasks and lie idle beside the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection of 64-bit integers that spreads every bit."""
     with np.errstate(over="ignore"):
@@ -203,6 +213,7 @@ def packed_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, by_id: bool =
                 with pa.ipc.new_stream(sink, _TEXTS, options=options) as out:
                     out.write_batch(rows.slice(a, b - a))
                 yield pa.record_batch([pa.array([int(block[order[a]])], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "piece"])
+        give_back()
 
     turn = F.monotonically_increasing_id()
     dealt = docs.withColumn("block", block_of(F.col("doc_id"), turn, blocks) if by_id else block_of(turn, turn, blocks))

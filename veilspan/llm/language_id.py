@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import let
-from .common import CHUNK_BYTES, chunks, cut
+from .common import CHUNK_BYTES, chunks, cut, give_back
 
 #: Labelled documents of each language that the trigrams are fitted on, at most.
 SAMPLE = 1000
@@ -112,6 +112,7 @@ def _likelihoods(model: Trigrams):
             lists = [pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1))) for x in (flat, _posterior(flat))]
             arrays = [*batch.drop_columns(["__text"]).columns, pa.array(np.concatenate(sizes), pa.int64()), *lists]
             yield pa.RecordBatch.from_arrays(arrays, names=[*(c for c in batch.schema.names if c != "__text"), "__n", "__text_score", "__p"])
+        give_back()
 
     return run
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, block_of, chunks, cut, mix, packed_blocks, signed, unpacked
+from .common import Words, block_of, chunks, cut, give_back, mix, packed_blocks, signed, unpacked
 
 #: Common shingles whose order the driver hands to the tasks, at most. It bears on speed only: any order of shingles finds all pairs.
 HEAVY = 1 << 16
@@ -88,6 +88,7 @@ def _sketched(size: int, bands: int, rows: int):
                 lengths[np.array(full, int) + 1] = bands
                 sums = np.array(sums, np.int64).reshape(-1, 2)
                 yield pa.record_batch([batch.column("doc_id")[a:b], pa.array(n, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.ListArray.from_arrays(pa.array(np.cumsum(lengths).astype(np.int32)), pa.array(signed(keys.reshape(-1)))), *(batch.column(x)[a:b] for x in more)], names=["doc_id", "n_shingles", "s1", "s2", "bands", *more])
+        give_back()
 
     return run
 
@@ -116,6 +117,7 @@ def _sets(size: int):
                         nodes.append(node)
                         sets.append(items)
         ends = np.cumsum([len(x) for x in sets])
+        give_back()
         return pa.table({"node": pa.array(nodes, pa.int64()), "shingles": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(signed(np.concatenate(sets))))})
 
     return run
@@ -175,6 +177,7 @@ def _prefixes(percent: int, heavy: list[int]):
             row, place, shingle = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in rows)
             own = [batch.column(c).take(pa.array(row)) for c in ("node", "root", "n")]
             yield pa.record_batch([*own, pa.array(place, pa.int32()), pa.array(shingle), *(pa.array(parities[row, i]) for i in range(8))], names=["node", "root", "n", "place", "s", *(f"p{i}" for i in range(8))])
+        give_back()
 
     return run
 
