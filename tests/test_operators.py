@@ -281,6 +281,15 @@ def test_a_hung_call_loses_its_row_only(spark):
     assert [r.response for r in model.ask(rows.where("id in (0, 3)"), Sleepy).orderBy("id").collect()] == ["A", None]
 
 
+def test_profile(spark):
+    from veilspan.operators.detect import profile
+
+    rows = docs(spark, "a@b.com and c@d.org", "13812345678", None)
+    got = profile(rows, entity_types=["EMAIL", "CHINA_PHONE", "URL"])
+    assert [(k, v["total_calls"], v["total_hits"]) for k, v in got.items()] == [("EMAIL", 3, 2), ("CHINA_PHONE", 3, 1), ("URL", 3, 0)]
+    assert all(v["total_time"] >= 0 and v["avg_time"] == v["total_time"] / 3 for v in got.values())
+
+
 def test_hazards_are_told_before_the_job():
     from veilspan.operators.isolation import hazards
     from veilspan.operators.recognizers import HYBRID

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from veilspan.sources.datasets import saved
 from veilspan.sources.arrow_files import BATCH_BYTES, arrow_dataset, messages, runs, save_arrow_dataset, split_folder
 
 TABLE = pa.table(
@@ -54,6 +55,7 @@ def test_an_arrow_data_set_equals_its_parquet_copy(spark, dataset, tmp_path_fact
     assert rows(arrow_dataset(spark, f"file://{dataset}", "text string, id int")) == rows(parquet.select("text", F.col("id").cast("int")))
     assert arrow_dataset(spark, str(dataset), split="validation").count() == 6
     assert arrow_dataset(spark, str(dataset / "train"), "id long").count() == 1000  # a split's own folder
+    assert saved(spark, str(dataset)).count() == 1000 and saved(spark, str(dataset), "validation").count() == 6
     with pytest.raises(Exception, match="no split"):
         arrow_dataset(spark, str(dataset), split="test")
     with pytest.raises(Exception, match="no column"):

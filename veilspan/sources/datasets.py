@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .arrow_files import arrow_dataset
 from .json_documents import json_elements
 
 ENTITY = "struct<type: string, value: string, start: int, end: int>"
@@ -61,11 +62,17 @@ def tagged_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def saved(spark: SparkSession, path: str, prefer: str = "train") -> DataFrame:
-    """A saved data set in Parquet: the preferred split if the folder has one, else its first by name, else the folder itself."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    entries = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    """A saved data set in Parquet or Arrow: the preferred split if the folder has one, else its first by name, else the folder itself."""
+
+    def listed(where: str):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(where)
+        return folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+
+    entries = listed(path)
     splits = sorted(x.getPath().getName() for x in entries if x.isDirectory() and not x.getPath().getName().startswith(("_", ".")) and "=" not in x.getPath().getName())
-    return spark.read.parquet(f"{path}/{prefer if prefer in splits else splits[0]}" if splits else path)
+    chosen = f"{path}/{prefer if prefer in splits else splits[0]}" if splits else path
+    arrow = any(x.getPath().getName().endswith(".arrow") for x in listed(chosen))
+    return arrow_dataset(spark, chosen) if arrow else spark.read.parquet(chosen)
 
 
 def write_splits(rows: DataFrame, path: str, by: str = "split") -> None:
