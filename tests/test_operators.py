@@ -568,3 +568,37 @@ def test_streams(spark, tmp_path):
     run = anonymized_stream(stream, a).writeStream.format("memory").queryName("streamed").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert {r.anonymized_text for r in spark.table("streamed").collect()} == {"mail [EMAIL] now", "nothing"}
+
+
+def test_answers_leave_in_bounded_runs():
+    """Prompts of one large batch are not all asked, nor held, before the first answers leave the task."""
+    import pyarrow as pa
+
+    from veilspan.operators.model import Calls, _asking
+
+    asked = []
+
+    class Sizes:
+        def generate(self, prompt, system_prompt=None, temperature=0.0, max_tokens=512):
+            asked.append(len(prompt))
+            return str(len(prompt))
+
+    prompts = ["x" * (k % 40_000) if k % 7 else None for k in range(3_000)]
+    batch = pa.record_batch({"id": pa.array(range(len(prompts)), pa.int64()), "prompt": pa.array(prompts, pa.string())})
+    out = _asking(lambda: Calls(Sizes, width=2), "prompt", "response", lambda x: x and f"<{x}>")(iter([batch]))
+    first = next(out)
+    assert sum(asked) < 4 << 20 and first.num_rows < 2_000
+    got = pa.Table.from_batches([first, *out]).to_pydict()
+    assert got["id"] == list(range(len(prompts))) and got["response"] == [None if p is None else f"<{len(p)}>" for p in prompts]
+
+
+class Louder:
+    def generate(self, prompt, system_prompt=None, temperature=0.0, max_tokens=512):
+        return prompt.upper()
+
+
+def test_nested_columns_and_nulls_beside_answers(spark):
+    """Columns beside the prompt come back as they were."""
+    rows = spark.createDataFrame([(None, "a", [("x", None)]), (3, None, None)], "n long, prompt string, own array<struct<a: string, b: int>>")
+    got = model.ask(rows, Louder).collect()
+    assert [(r.n, r.prompt, r.own, r.response) for r in got] == [(None, "a", [("x", None)], "A"), (3, None, None, None)]

@@ -10,10 +10,12 @@ from threading import Condition, Thread
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import slices
 from ..functions.entity import entity, no_entities, problems
 
 CONFIDENCE = 0.85
@@ -119,29 +121,40 @@ class _Call:
     ended: bool = False
 
 
-def ask(rows: DataFrame, open_engine: Callable[[], Engine], prompt: str = "prompt", system: str | None = None, timeout: float | None = None, into: str = "response", width: int = 1) -> DataFrame:
-    """Add each prompt's answer; a failed call, or one beyond ``timeout`` seconds, gives null and the job goes on.
+def ask(
+    rows: DataFrame, open_engine: Callable[[], Engine], prompt: str = "prompt", system: str | None = None, timeout: float | None = None, into: str = "response", width: int = 1, read: Callable[[str | None], str | None] | None = None
+) -> DataFrame:
+    """Add each prompt's answer, or what ``read`` makes of it; a failed call, or one beyond ``timeout`` seconds, gives null and the job goes on.
 
-    Up to ``width`` calls of a task are in flight at once, also from one batch of rows to the next; rows keep their order, and a task holds two batches at most.
+    Up to ``width`` calls of a task are in flight at once, also from one run of rows to the next; rows keep their order. Prompts and answers become Python values
+    in runs of about a megabyte, of which a task holds two at most.
     """
-    schema = T.StructType([f for f in rows.schema.fields if f.name != into] + [T.StructField(into, T.StringType())])
-    columns = schema.fieldNames()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        calls, before = Calls(open_engine, width, system, timeout), None
-        finished = lambda frame, own: frame.assign(**{into: [calls.answer(c) for c in own]})[columns]
-        for frame in frames:
-            now = frame, [calls.submit(x) for x in frame[prompt]]
-            if before:
-                yield finished(*before)
-            before = now
+    kept = [f for f in rows.schema.fields if f.name != into]
+    run = _asking(lambda: Calls(open_engine, width, system, timeout), prompt, into, read)
+    return rows.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, T.StructType([*kept, T.StructField(into, T.StringType())]))
+
+
+def _asking(open_calls: Callable[[], Calls], prompt: str, into: str, read: Callable[[str | None], str | None] | None = None) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        calls, before = open_calls(), None
+
+        def finished(own: pa.RecordBatch, asked: list[_Call]) -> pa.RecordBatch:
+            answers = map(calls.answer, asked)
+            return own.append_column(into, pa.array(map(read, answers) if read else answers, pa.string()))
+
+        for batch in batches:
+            for own in slices(batch, prompt):
+                now = own, [calls.submit(x) for x in own.column(prompt).to_pylist()]
+                if before:
+                    yield finished(*before)
+                before = now
         if before:
             yield finished(*before)
 
-    return rows.mapInPandas(run, schema)
+    return run
 
 
-def ask_once(rows: DataFrame, open_engine: Callable[[], Engine], prompt: str = "prompt", system: str | None = None, timeout: float | None = None, into: str = "response", width: int = 1, tasks: int | None = None) -> DataFrame:
+def ask_once(rows: DataFrame, open_engine: Callable[[], Engine], prompt: str = "prompt", system: str | None = None, timeout: float | None = None, into: str = "response", width: int = 1, tasks: int | None = None, read: Callable[[str | None], str | None] | None = None) -> DataFrame:
     """``ask``, with every distinct prompt asked once and its answer joined back to all rows that have it; ``tasks`` deals the distinct prompts anew.
 
     Rows whose prompt is null have a null answer. The order of rows is not kept.
@@ -149,7 +162,7 @@ def ask_once(rows: DataFrame, open_engine: Callable[[], Engine], prompt: str = "
     keyed = rows.drop(into).withColumn("__asked", F.sha2(F.col(prompt).cast("binary"), 256))
     distinct = keyed.where(F.col(prompt).isNotNull()).groupBy("__asked").agg(F.first(prompt).alias("__prompt"))
     distinct = distinct if tasks is None else distinct.repartition(tasks)
-    answers = ask(distinct, open_engine, "__prompt", system, timeout, into, width).drop("__prompt")
+    answers = ask(distinct, open_engine, "__prompt", system, timeout, into, width, read).drop("__prompt")
     return keyed.join(answers, "__asked", "left").drop("__asked")
 
 
@@ -266,9 +279,8 @@ def model_detect(rows: DataFrame, open_engine: Callable[[], Engine], template: s
     """
     blank = F.length(F.trim(F.coalesce(text, F.lit("")))) == 0
     prompts = rows.withColumn("__prompt", F.when(~blank, rendered(template, F.col(text))))
-    asked = (ask_once if once else ask)(prompts, open_engine, "__prompt", into="__response", **how)
-    asked = asked.withColumn("__json", extract_json("__response"))
-    return asked.withColumn(into, placed(F.col(text), answered(F.col("__json")), kinds, least=least)).drop("__prompt", "__response", "__json")
+    asked = (ask_once if once else ask)(prompts, open_engine, "__prompt", into="__json", read=first_object, **how)
+    return asked.withColumn(into, placed(F.col(text), answered(F.col("__json")), kinds, least=least)).drop("__prompt", "__json")
 
 
 def conversation_text(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
