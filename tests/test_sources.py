@@ -194,3 +194,24 @@ def test_json_arrays_written_by_all_tasks(spark, tmp_path):
     assert sorted(json.loads(r.value)["id"] for r in json_elements(spark, str(tmp_path / "out")).collect()) == [*range(30)]
     write_json_arrays(df.where("id < 0").coalesce(1), str(tmp_path / "none"))
     assert json_elements(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_json_blocks_come_in_bounded_runs():
+    """A batch of many bytes, or a row of many, is scanned a bounded part at a time."""
+    import pyarrow as pa
+
+    from veilspan.functions.batches import SLICE_BYTES
+    from veilspan.sources.json_documents import _blocks, _lines, _summaries, followed, NOTHING, summary
+
+    values = ['{"a": "' + "é\\\\" * 100_000 + '"', *(f', {{"a": "{"y" * 3_000}"' for _ in range(2_000)), "", "]"]
+    n = len(values)
+    batch = pa.record_batch({"file": ["f"] * n, "block": pa.array([0] * (n - 2) + [9] * 2, pa.int64()), "value": pa.array(values, pa.string())})
+    runs = list(_blocks(iter([batch])))
+    assert max(len(data) for _, data in runs) <= SLICE_BYTES and len(runs) > 5
+    whole = {b: b"".join(v.encode() + b"}" for v, k in zip(values, batch.column("block").to_pylist(), strict=True) if k == b) for b in (0, 9)}
+    assert {b: b"".join(d for k, d in runs if k == ("f", b)) for b in (0, 9)} == whole
+    got = pa.Table.from_batches(list(_summaries(iter([batch])))).to_pylist()
+    assert {r["block"]: r["summary"] for r in got} == {b: [x for pair in followed(NOTHING, summary(data)) for x in pair] for b, data in whole.items()}
+    lines = list(_lines(iter([batch])))
+    assert max(x.nbytes for x in lines) <= 2 * SLICE_BYTES
+    assert "\n".join(v for x in lines for v in x.column("value").to_pylist()) == "[" + "\n,".join(values) + "\n]"

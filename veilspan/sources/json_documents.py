@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import SLICE_BYTES, slices
+
 #: Where a byte stands: outside of strings, in one, in one after a backslash.
 OUT, IN, ESCAPED = 0, 1, 2
 _KEY = re.compile(rb'"((?:[^"\\]|\\.)*)"\s*:\s*$', re.DOTALL)
@@ -103,12 +105,15 @@ class Elements:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], bytes]]:
-    """(block, bytes): runs of a block's rows, each with the brace that it was cut at."""
+    """(block, bytes): a block's rows, each with the brace that it was cut at, in runs of bounded size that may end anywhere."""
     for batch in batches:
-        keys = zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True)
-        rows = zip(keys, batch.column("value").cast(pa.binary()).to_pylist(), strict=True)
-        for key, own in groupby(rows, lambda x: x[0]):
-            yield key, b"".join(v + b"}" for _, v in own)
+        for part in slices(batch, "value"):
+            keys = zip(part.column("file").to_pylist(), part.column("block").to_pylist(), strict=True)
+            rows = zip(keys, part.column("value").cast(pa.binary()).to_pylist(), strict=True)
+            for key, own in groupby(rows, lambda x: x[0]):
+                data = b"".join(v + b"}" for _, v in own)
+                for k in range(0, len(data), SLICE_BYTES):
+                    yield key, data[k : k + SLICE_BYTES]
 
 
 _SUMMARY = "file string, block long, number long, summary array<int>, first string"
@@ -218,11 +223,12 @@ def _elements(rows: DataFrame, states: dict, target: int, part: bytes | None) ->
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     before = "["
     for batch in batches:
-        out = []
-        for value in batch.column("value").to_pylist():
-            out.append(before + value)
-            before = ","
-        yield pa.record_batch({"value": pa.array(out, pa.string())})
+        for part in slices(batch, "value"):
+            out = []
+            for value in part.column("value").to_pylist():
+                out.append(before + value)
+                before = ","
+            yield pa.record_batch({"value": pa.array(out, pa.string())})
     yield pa.record_batch({"value": ["[]" if before == "[" else "]"]})
 
 
