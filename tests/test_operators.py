@@ -602,3 +602,10 @@ def test_nested_columns_and_nulls_beside_answers(spark):
     rows = spark.createDataFrame([(None, "a", [("x", None)]), (3, None, None)], "n long, prompt string, own array<struct<a: string, b: int>>")
     got = model.ask(rows, Louder).collect()
     assert [(r.n, r.prompt, r.own, r.response) for r in got] == [(None, "a", [("x", None)], "A"), (3, None, None, None)]
+
+
+def test_hybrid_detection_has_one_python_step(spark):
+    """Answers are taken apart where they arrive: a second worker of each task would hold texts beside the first."""
+    rows = hybrid_detect(docs(spark, "mail a@b.org"), "deep", lambda x: model.model_detect(x, Louder, "{text}"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan and "MapInPandas" not in plan
