@@ -317,3 +317,19 @@ def test_a_long_conversation_is_repaired_in_parts(spark):
             ordered.append((r, t))
     assert (found.cost, found.audit) == min(search(faults, 0, (0, 3)).values())
     assert len([x for x in found.audit if x != "I"]) == len(ordered)
+
+
+def test_automaton_memory():
+    """A shard's automaton takes a bounded number of bytes for each word."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    ids, start = rng.zipf(1.3, 200_000) % 20_000, rng.random(200_000) < 0.1
+    tracemalloc.start()
+    auto = SuffixAutomaton(ids, start, 3)
+    for _ in auto.phrases():
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print("bytes a word", peak / len(ids))
+    assert peak < 120 * len(ids)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, cut, mix
+from .common import Words, chunks, cut, give_back, mix
 
 #: Bytes of text in a shard; a longer text is a shard of its own.
 SHARD_BYTES = 6 << 20
@@ -41,6 +42,19 @@ _ENDS_PIECE[[*b".,;:!?", 10, 11, 12, 13]] = True
 _SHARD = "shard string, lang string, n long, words binary, pieces binary"
 
 
+def _distinct(key: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the first occurrence, place among the distinct ones of each, number of occurrences) of the distinct keys, in their order."""
+    order = np.argsort(key, kind="stable").astype(kind)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    del key
+    begins = np.flatnonzero(new).astype(kind)
+    inverse = np.empty(len(order), kind)
+    inverse[order] = np.cumsum(new, dtype=kind) - kind(1)
+    return order[begins], inverse, np.diff(begins, append=kind(len(order)))
+
+
 class SuffixAutomaton:
     """The suffix automaton of a set of word sequences, for phrases of at most ``depth`` words.
 
@@ -51,38 +65,51 @@ class SuffixAutomaton:
 
     def __init__(self, ids: np.ndarray, start: np.ndarray, depth: int):
         n = len(ids)
-        place = np.arange(n)
+        kind = np.int32 if n * depth < 1 << 31 else np.int64
+        place = np.arange(n, dtype=kind)
         room = place - np.maximum.accumulate(np.where(start, place, 0)) + 1 if n else place  # words of the sequence up to here
         node_at, first = None, 0
         counts, parents, last, depths = [], [], [], []
         for d in range(1, depth + 1):
-            ends = np.flatnonzero(room >= d)
-            words = ids[ends - d + 1].astype(np.int64)
-            key = words if d == 1 else node_at[ends] * (int(ids.max(initial=0)) + 1) + words
-            _, at, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            parents.append(np.full(len(at), -1) if d == 1 else node_at[ends[at]] + before)
+            ends = np.flatnonzero(room >= d).astype(kind)
+            key = ids[ends - (d - 1)].astype(np.int64)
+            if d > 1:
+                key += node_at[ends].astype(np.int64) * (int(ids.max(initial=0)) + 1)
+            at, inverse, count = _distinct(key, kind)
+            del key
+            parents.append(np.full(len(at), -1, kind) if d == 1 else node_at[ends[at]] + kind(before))
             counts.append(count)
             last.append(ends[at])
-            depths.append(np.full(len(at), d))
-            node_at = np.zeros(n, np.int64)
+            depths.append(np.full(len(at), d, np.int8))
+            node_at = np.zeros(n, kind)
             node_at[ends] = inverse
             before, first = first, first + len(at)
-        count, parent, self.last, self.depth = (np.concatenate(x) if x else np.zeros(0, int) for x in (counts, parents, last, depths))
+            del ends, at, inverse, count
+        del node_at, room, place
+        joined = lambda x: np.concatenate(x) if x else np.zeros(0, kind)
+        count, self.last, self.depth = joined(counts), joined(last), joined(depths)
+        self._parent = parent = joined(parents)
+        del counts, last, depths, parents
         #: The state of each phrase: its own, or that of the longer phrase that ends wherever it ends.
-        self.state = np.arange(len(count))
+        self.state = np.arange(len(count), dtype=kind)
         whole = np.flatnonzero((parent >= 0) & (count == count[np.maximum(parent, 0)]))
         for d in range(depth, 1, -1):
             child = whole[self.depth[whole] == d]
             self.state[parent[child]] = self.state[child]
         self.endpos = count
-        top = np.zeros(len(count), bool)  # the shortest phrase of its state
-        top[parent < 0] = True
-        inner = np.flatnonzero(parent >= 0)
-        top[inner] = self.state[parent[inner]] != self.state[inner]
-        self.link = np.full(len(count), -1)
-        shortest = np.flatnonzero(top & (parent >= 0))
-        self.link[self.state[shortest]] = self.state[parent[shortest]]
-        self.states = np.unique(self.state)
+
+    @cached_property
+    def states(self) -> np.ndarray:
+        return np.unique(self.state)
+
+    @cached_property
+    def link(self) -> np.ndarray:
+        """The suffix link of each state."""
+        inner = np.flatnonzero(self._parent >= 0)
+        shortest = inner[self.state[self._parent[inner]] != self.state[inner]]  # the shortest phrase of its state
+        out = np.full(len(self.state), -1, self.state.dtype)
+        out[self.state[shortest]] = self.state[self._parent[shortest]]
+        return out
 
     def phrases(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(number of words, last position of one occurrence, number of occurrences) of every distinct phrase, shortest first.
@@ -98,13 +125,13 @@ def _tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]
     """The words of a run of texts, and whether each begins a piece; A-Z are lowered."""
     buf = np.where((buf >= 65) & (buf <= 90), buf + 32, buf).astype(np.uint8)
     w = Words(buf, offsets, _BETWEEN | _ENDS_PIECE)
-    piece = np.cumsum(_ENDS_PIECE[buf])[w.start] if len(w) else np.zeros(0, int)
+    piece = np.cumsum(_ENDS_PIECE[buf], dtype=np.int32 if len(buf) < 1 << 31 else np.int64)[w.start] if len(w) else np.zeros(0, int)
     start = np.ones(len(w), bool)
     start[1:] = (np.diff(piece) > 0) | (np.diff(w.doc) > 0)
     inside = np.zeros(len(buf) + 1, np.int8)
     inside[w.start] += 1
     inside[w.end] -= 1
-    kept = buf[np.cumsum(inside[:-1]).astype(bool)]
+    kept = buf[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
     ends = np.concatenate([[0], np.cumsum(w.end - w.start)]).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(ends), pa.py_buffer(kept)]), start
 
@@ -150,6 +177,8 @@ def _shards(most: int) -> Callable:
                         yield close(task, number := number + 1, full, held.pop(full))
         for lang, own in held.items():
             yield close(task, number := number + 1, lang, own)
+        held.clear()
+        give_back()
 
     return run
 
@@ -229,30 +258,39 @@ def _mined(word_parts: int, parts: int, depth: int) -> Callable:
             start[1:] |= ids[:-1] < 0  # a word after a rare one begins a piece
             start = start[ids >= 0] | (np.diff(np.flatnonzero(ids >= 0), prepend=-2) > 1)
             ids = ids[ids >= 0]
-            names, local = np.unique(ids, return_inverse=True)
-            rows, counts = [np.zeros((0, depth), np.int64)], [np.zeros(0, np.int64)]
-            for d, last, count in SuffixAutomaton(local, start, depth).phrases():
+            del codes
+            first, local, _ = _distinct(ids, np.int32 if len(ids) < 1 << 31 else np.int64)
+            kind = np.uint32 if ids.max(initial=0) + 1 < 1 << 32 and len(ids) < 1 << 32 else np.uint64
+            names = (ids[first] + 1).astype(kind)
+            del ids, first
+            automaton, rows, counts = SuffixAutomaton(local, start, depth), [np.zeros((depth, 0), kind)], [np.zeros(0, kind)]
+            for d, last, count in automaton.phrases():
                 if d > 1:
-                    row = np.zeros((len(last), depth), np.int64)
+                    row = np.zeros((depth, len(last)), kind)
                     for k in range(d):
-                        row[:, depth - 1 - k] = names[local[last - k]] + 1
+                        row[depth - 1 - k] = names[local[last - k]]
                     rows.append(row)
-                    counts.append(count)
-            rows, counts = np.concatenate(rows), np.concatenate(counts)
-            key = np.zeros(len(rows), np.uint64)
+                    counts.append(count.astype(kind))
+            del automaton, local, start
+            rows, counts = np.concatenate(rows, axis=1), np.concatenate(counts)
+            key = np.zeros(len(counts), np.uint64)
             with np.errstate(over="ignore"):
                 for k in range(depth):
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, k].astype(np.uint64))
-            of = (key % np.uint64(parts)).astype(np.int64)
+                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[k].astype(np.uint64))
+            key %= np.uint64(parts)
+            of = key.astype(np.int32)
+            del key
             order = np.argsort(of, kind="stable")
             edges = np.flatnonzero(np.diff(of[order], prepend=-1, append=parts))
             squeeze = zstandard.ZstdCompressor(1).compress
-            kind = "<u4" if max(rows.max(initial=0), counts.max(initial=0)) < 1 << 32 else "<u8"
+            code = "<u4" if kind is np.uint32 else "<u8"
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 own = order[a:b]
                 out["part"].append(int(of[own[0]]))
                 out["rows"].append(b - a)
-                out["phrases"].append(squeeze(kind.encode() + np.vstack([rows[own].T, counts[own]]).astype(kind).tobytes()))
+                out["phrases"].append(squeeze(code.encode() + np.vstack([rows[:, own], counts[own]]).astype(code).tobytes()))
+            del rows, counts, of, order
+        give_back()
         return pa.table({"part": pa.array(out["part"], pa.int32()), "rows": pa.array(out["rows"], pa.int64()), "phrases": pa.array(out["phrases"], pa.binary())})
 
     return run
@@ -271,6 +309,7 @@ def _summed(depth: int, least: int) -> Callable:
         del found
         table = table.group_by(names, use_threads=False).aggregate([("f", "sum")])
         table = table.filter(pc.greater_equal(table.column("f_sum"), least))
+        give_back()
         return pa.table({c: table.column("f_sum" if c == "f" else c).cast(pa.int64()) for c in [*names, "f"]})
 
     return run
