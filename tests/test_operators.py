@@ -609,3 +609,11 @@ def test_hybrid_detection_has_one_python_step(spark):
     rows = hybrid_detect(docs(spark, "mail a@b.org"), "deep", lambda x: model.model_detect(x, Louder, "{text}"))
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan and "MapInPandas" not in plan
+
+
+def test_context_is_cut_once(spark):
+    """The window around an entity stands once in a plan, however many keywords are counted in it."""
+    rows = detect(docs(spark, "手机 13812345678"), Registry([Recognizer("PHONE_NUMBER", (r"1[3-9]\d{9}",), base=0.45)]))
+    rows = rows.withColumn("entities", refine.validate_context(F.col("entities"), F.col("text")))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(substring(text") + plan.count("lower(substr(text") == 1

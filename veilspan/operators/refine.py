@@ -141,16 +141,20 @@ def merge(entities: Column, overlapping: bool = True, adjacent: bool = True) ->
 
 def context_score(e: Column, text: Column) -> Column:
     """(positive - negative) / (positive + negative) keyword occurrences around the entity; 0 without any, null for types without keywords."""
-    near = F.lower(window(text, e["start_pos"], e["end_pos"], CONTEXT_WIDTH))
+    def counted(near: Column) -> Column:
+        out = F.lit(None).cast("struct<p: int, n: int>")
+        for kind, words in CONTEXT_KEYWORDS.items():
+            p, n = (occurrences(near, tuple(w.lower() for w in words[side])) for side in ("positive", "negative"))
+            out = F.when(e["entity_type"] == kind, F.struct(p.alias("p"), n.alias("n"))).otherwise(out)
+        return out
 
-    def balance(p: Column, n: Column) -> Column:
-        return F.when(p + n > 0, (p - n) / (p + n)).otherwise(0.0)
+    def balance(c: Column) -> Column:
+        both = c["p"] + c["n"]
+        return F.when(c.isNotNull(), F.when(both > 0, (c["p"] - c["n"]) / both).otherwise(0.0))
 
-    out = F.lit(None).cast("double")
-    for kind, words in CONTEXT_KEYWORDS.items():
-        known = [tuple(w.lower() for w in words[side]) for side in ("positive", "negative")]
-        out = F.when(e["entity_type"] == kind, balance(occurrences(near, known[0]), occurrences(near, known[1]))).otherwise(out)
-    return out
+    # the window and the counts are computed once each; an expression that names them again would compute them again
+    near = F.lower(window(text, e["start_pos"], e["end_pos"], CONTEXT_WIDTH))
+    return let(let(near, counted), balance)
 
 
 def validate_context(entities: Column, text: Column, below: float = VALIDATED_BELOW) -> Column:
