@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, packed_blocks, unpacked
+from .common import BLOCK_BYTES, give_back, packed_blocks, unpacked
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: A block's distinct words are dealt into a share for every so many blocks, and 16 at least.
@@ -65,6 +65,7 @@ def _lists(shares: int):
     def run(block: pa.Table) -> pa.Table:
         squeeze = zstandard.ZstdCompressor().compress
         lists = [(k, zlib.crc32(joined := b" ".join(x)), squeeze(joined)) for k, x in enumerate(_listed(block.column("piece"), shares)) if x]
+        give_back()
         share, check, words = zip(*lists, strict=True) if lists else ((), (), ())
         return pa.table({"block": pa.array([block.column("block")[0].as_py()] * len(lists), pa.int32()), "share": pa.array(share, pa.int32()), "check": pa.array(check, pa.int64()), "words": pa.array(words, pa.binary())})
 
@@ -72,7 +73,8 @@ def _lists(shares: int):
 
 
 def _ids(path: str, words: list[bytes]) -> dict[bytes, list[int]]:
-    encode, out = tokenizer(path).encode_batch, {}
+    out: dict[bytes, list[int]] = {}
+    encode = tokenizer(path).encode_batch if words else None  # most tasks that fill in ids need none
     for k in range(0, len(words), _BATCH):
         part = words[k : k + _BATCH]
         out.update(zip(part, (x.ids for x in encode([w.decode() for w in part], add_special_tokens=False)), strict=True))
@@ -90,6 +92,8 @@ def _encode_words(path: str):
             counts = np.fromiter(map(len, mine), np.uint32, len(mine))
             flat = np.fromiter((i for x in mine for i in x), np.uint32, int(counts.sum()))
             out.append(squeeze(counts.tobytes() + flat.tobytes()))
+        del ids, lists
+        give_back()
         return pa.table({"block": share.column("block"), "share": share.column("share"), "check": share.column("check"), "ids": pa.array(out, pa.binary())})
 
     return run
@@ -120,6 +124,8 @@ def _fill(shares: int, path: str, decoded: bool):
             out.append(pa.array(mine, pa.binary()))
             if decoded:
                 back.append(pa.array([_decoded(x, pieces(path)) for x in mine], pa.string()))
+        ids.clear()
+        give_back()
         columns = {"doc_id": pa.chunked_array(keys, pa.int64()), "ids": pa.chunked_array(out, pa.binary())}
         return pa.table(columns | ({"decoded": pa.chunked_array(back, pa.string())} if decoded else {}))
 
