@@ -611,6 +611,49 @@ def test_hybrid_detection_has_one_python_step(spark):
     assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan and "MapInPandas" not in plan
 
 
+def test_texts_travel_once(spark):
+    """A text goes to a task's Python and back once: its prompt is made there."""
+    rows = hybrid_detect(docs(spark, "mail a@b.org"), "deep", lambda x: model.model_detect(x, Louder, "Find in {text}"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    step = next(x for x in plan.splitlines() if "MapInArrow" in x)
+    assert "__prompt" not in step and step.count("text#") == 2
+
+
+class Repeats:
+    """Its answer names the prompt."""
+
+    def generate(self, prompt, system_prompt=None, temperature=0.0, max_tokens=512):
+        return json.dumps({"entities": [{"type": "PROMPT", "value": prompt, "start": 0, "end": 1}]})
+
+
+@pytest.mark.parametrize("template", ["{text}", "a {{b}} {text} c", "{text}|{text}", "{text}{text", "none", "{{text}}", ""])
+def test_prompts_made_in_tasks(spark, template):
+    """They are those that ``rendered`` gives, in bounded runs; blank texts have none."""
+    texts = ["hi", "x{text}y", " \t", "  ", "", None, "\u00a0", "é漢"]
+    rows = docs(spark, *texts).withColumn("s", F.struct(F.col("text").alias("t"))).withColumn("n", F.col("doc_id").cast("int"))
+    want = {r.doc_id: r.p for r in rows.select("doc_id", model.rendered(template, F.col("text")).alias("p")).collect()}
+    got = model.model_detect(rows, Repeats, template, ("PROMPT",), into="found")
+    assert got.columns == [*rows.columns, "found"]
+    for once in (False, True):
+        found = {r.doc_id: [e.value for e in r.found] for r in model.model_detect(rows, Repeats, template, ("PROMPT",), into="found", once=once).collect()}
+        assert found == {k: [want[k]] if (t or "").strip(" ") and want[k] else [] for k, t in enumerate(texts)}
+    nested = {r.doc_id: [e.value for e in r.found] for r in model.model_detect(rows, Repeats, template, ("PROMPT",), text="s.t", into="found").collect()}
+    assert nested == found
+    numbers = {r.n: [e.value for e in r.found] for r in model.model_detect(rows, Repeats, "{text}!", ("PROMPT",), text="n", into="found").collect()}
+    assert numbers == {k: [f"{k}!"] for k in range(len(texts))}
+
+
+def test_runs_are_bounded_by_their_prompts():
+    """A long template counts in every row's prompt."""
+    import pyarrow as pa
+
+    from veilspan.operators.model import Calls, _asking
+
+    batch = pa.record_batch({"text": pa.array(["ab"] * 3_000, pa.string())})
+    out = list(_asking(lambda: Calls(Louder), "text", "response", lambda x: str(len(x)), "x" * 10_000 + "{text}")(iter([batch])))
+    assert max(x.num_rows for x in out) < 110 and [n for x in out for n in x.column("response").to_pylist()] == ["10002"] * 3_000
+
+
 def test_context_is_cut_once(spark):
     """The window around an entity stands once in a plan, however many keywords are counted in it."""
     rows = detect(docs(spark, "手机 13812345678"), Registry([Recognizer("PHONE_NUMBER", (r"1[3-9]\d{9}",), base=0.45)]))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import re
 import tempfile
 from collections.abc import Iterator
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import give_back
+
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 #: Bytes of text that the vectorised helpers work on at once; it bounds the memory of a task.
@@ -45,15 +46,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def give_back() -> None:
-    """Return memory that is no longer used to the system: workers outlive their tasks and lie idle beside the executor."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection of 64-bit integers that spreads every bit."""
     with np.errstate(over="ignore"):

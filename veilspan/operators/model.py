@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.batches import slices
+from ..functions.batches import give_back, slices
 from ..functions.entity import entity, no_entities, problems
 
 CONFIDENCE = 0.85
@@ -45,9 +45,14 @@ class Engine(Protocol):
     def generate(self, prompt: str, system_prompt: str | None = None, temperature: float = 0.0, max_tokens: int = 512) -> str: ...
 
 
+def _parts(template: str) -> list[str]:
+    """What stands between the texts of a template's prompts."""
+    return [x.replace("{{", "{").replace("}}", "}") for x in template.split("{text}")]
+
+
 def rendered(template: str, text: Column) -> Column:
     """A prompt from a template with {text}; doubled braces stand for single ones."""
-    parts = [x.replace("{{", "{").replace("}}", "}") for x in template.split("{text}")]
+    parts = _parts(template)
     out = F.lit(parts[0])
     for part in parts[1:]:
         out = F.concat(out, text, F.lit(part))
@@ -122,19 +127,26 @@ class _Call:
 
 
 def ask(
-    rows: DataFrame, open_engine: Callable[[], Engine], prompt: str = "prompt", system: str | None = None, timeout: float | None = None, into: str = "response", width: int = 1, read: Callable[[str | None], str | None] | None = None
+    rows: DataFrame, open_engine: Callable[[], Engine], prompt: str = "prompt", system: str | None = None, timeout: float | None = None, into: str = "response", width: int = 1, read: Callable[[str | None], str | None] | None = None, template: str | None = None
 ) -> DataFrame:
     """Add each prompt's answer, or what ``read`` makes of it; a failed call, or one beyond ``timeout`` seconds, gives null and the job goes on.
 
     Up to ``width`` calls of a task are in flight at once, also from one run of rows to the next; rows keep their order. Prompts and answers become Python values
-    in runs of about a megabyte, of which a task holds two at most.
+    in runs of about a megabyte, of which a task holds two at most. With a ``template`` (see ``rendered``) the column holds texts, blank ones are not asked, and a
+    prompt is made where it is asked, so that a text does not travel twice.
     """
     kept = [f for f in rows.schema.fields if f.name != into]
-    run = _asking(lambda: Calls(open_engine, width, system, timeout), prompt, into, read)
+    run = _asking(lambda: Calls(open_engine, width, system, timeout), prompt, into, read, template)
     return rows.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, T.StructType([*kept, T.StructField(into, T.StringType())]))
 
 
-def _asking(open_calls: Callable[[], Calls], prompt: str, into: str, read: Callable[[str | None], str | None] | None = None) -> Callable:
+def _asking(open_calls: Callable[[], Calls], prompt: str, into: str, read: Callable[[str | None], str | None] | None = None, template: str | None = None) -> Callable:
+    parts = ["", ""] if template is None else _parts(template)
+    size = {"times": max(1, len(parts) - 1), "beside": sum(len(x.encode()) for x in parts)}
+
+    def filled(text: str | None) -> str | None:
+        return text.join(parts) if text and text.strip(" ") else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         calls, before = open_calls(), None
 
@@ -143,13 +155,16 @@ def _asking(open_calls: Callable[[], Calls], prompt: str, into: str, read: Calla
             return own.append_column(into, pa.array(map(read, answers) if read else answers, pa.string()))
 
         for batch in batches:
-            for own in slices(batch, prompt):
-                now = own, [calls.submit(x) for x in own.column(prompt).to_pylist()]
+            for own in slices(batch, prompt, **size):
+                asked = own.column(prompt).to_pylist()
+                now = own, [calls.submit(x) for x in (asked if template is None else map(filled, asked))]
                 if before:
                     yield finished(*before)
                 before = now
         if before:
             yield finished(*before)
+        before = now = own = batch = None
+        give_back()
 
     return run
 
@@ -277,9 +292,14 @@ def model_detect(rows: DataFrame, open_engine: Callable[[], Engine], template: s
 
     With ``once`` equal texts are sent once. ``how`` goes to ``ask`` or ``ask_once``: timeout, width and so on.
     """
-    blank = F.length(F.trim(F.coalesce(text, F.lit("")))) == 0
-    prompts = rows.withColumn("__prompt", F.when(~blank, rendered(template, F.col(text))))
-    asked = (ask_once if once else ask)(prompts, open_engine, "__prompt", into="__json", read=first_object, **how)
+    if once:
+        blank = F.length(F.trim(F.coalesce(text, F.lit("")))) == 0
+        prompts = rows.withColumn("__prompt", F.when(~blank, rendered(template, F.col(text))))
+        asked = ask_once(prompts, open_engine, "__prompt", into="__json", read=first_object, **how)
+    else:
+        own = any(f.name == text and isinstance(f.dataType, T.StringType) for f in rows.schema.fields)  # else a field of a struct, or no string
+        texts = rows if own else rows.withColumn("__prompt", F.col(text).cast("string"))
+        asked = ask(texts, open_engine, text if own else "__prompt", into="__json", read=first_object, template=template, **how)
     return asked.withColumn(into, placed(F.col(text), answered(F.col("__json")), kinds, least=least)).drop("__prompt", "__json")
 
 
